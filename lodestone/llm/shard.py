@@ -61,8 +61,8 @@ def quotas(want: list[list[int]], have: list[int], free: list[int], linked: list
 def balanced_shards(rows: DataFrame, link: str, order: list[str], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """rows with ``shard``; counts of shards differ by at most one, and equal ``link`` values gather.
 
-    A group larger than half a shard is dealt into parts of that size, each of which gathers by itself. Null
-    links stand alone. ``order`` are columns that tell rows apart; rows equal in them are interchangeable.
+    A group larger than half a shard is dealt into parts of that size, which gather in shards next to
+    each other by number, so that one shard isn't asked to hold several. Null links stand alone. ``order`` are columns that tell rows apart; rows equal in them are interchangeable.
     """
     rows = cut(rows)
     total = rows.count()
@@ -70,12 +70,13 @@ def balanced_shards(rows: DataFrame, link: str, order: list[str], shards: int =
     groups = cut(rows.where(F.col(link).isNotNull()).groupBy(link).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")).withColumnRenamed(link, "_link")
     parts = F.ceil(F.col("_n") / part).cast("int")
     linked = rows.join(groups, rows[link] == groups["_link"], "left")
-    linked = linked.withColumn("_part", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64(*order, F.lit(3)), parts))).withColumn("_linked", F.col("_n").isNotNull())
+    linked = linked.withColumn("_part", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64(*order, F.lit(3)), parts))).withColumn("_linked", F.col("_n").isNotNull()).withColumn("_big", F.coalesce(F.col("_n") > part, F.lit(False)))
     state = cut(linked.withColumn("shard", F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int")).drop("_n", "_link"))
     for turn in range(rounds):
-        held = state.where("_linked").groupBy(link, "_part", "shard").agg(F.count(F.lit(1)).alias("_c"))
-        home = held.groupBy(link, "_part").agg(F.max(F.struct("_c", (-F.col("shard")).alias("s")))["s"].alias("_s"))
-        home = cut(home.select(F.col(link).alias("_link"), F.col("_part").alias("_p"), (-F.col("_s")).cast("int").alias("_home")))
+        held = state.where("_linked").groupBy(link, "_part", "shard").agg(F.count(F.lit(1)).alias("_c"), F.max("_big").alias("_big"))
+        most = F.max(F.struct("_c", (-F.col("shard")).alias("s")))["s"]
+        home = held.groupBy(link, "_part").agg(F.when(F.max("_big"), F.pmod(F.xxhash64(link) + F.col("_part"), F.lit(shards))).otherwise(-most).cast("int").alias("_home"))
+        home = cut(home.select(F.col(link).alias("_link"), F.col("_part").alias("_p"), "_home"))
         asked = state.join(home, F.col("_linked") & (state[link] == home["_link"]) & (state["_part"] == home["_p"]), "left").drop("_link", "_p")
         to = F.when(~F.col("_linked"), STAY_FREE).when(F.col("_home") == F.col("shard"), STAY_LINKED).otherwise(F.col("_home"))
         asked = cut(asked.withColumn("_to", to.cast("int")).drop("_home"))
@@ -99,7 +100,7 @@ def balanced_shards(rows: DataFrame, link: str, order: list[str], shards: int =
         state = cut(moved.select(*state.columns))
         if turn and not any(map(any, want)):
             break
-    return state.drop("_part", "_linked")
+    return state.drop("_part", "_linked", "_big")
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:

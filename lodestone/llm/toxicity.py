@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
 Texts are folded first: case, homoglyphs and digit substitutions become plain letters, everything
-else becomes one blank. The lexicon (words and word beginnings, each with the log odds of its
-document counts) and the three numbers that turn matches into a probability are fitted on a bounded
+else becomes one blank. The lexicon (words and word beginnings, each with cautious log odds of its
+rate among words) and the three numbers that turn matches into a probability are fitted on a bounded
 sample of labelled rows. Matches inside exception phrases don't count; the sum of weights is
 normalised by the text's length in words.
 """
@@ -113,50 +113,62 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _evidence(words: list[str]) -> set[str]:
-    """Whole words as `word `, and beginnings of words."""
-    own = set(words)
-    return {f"{w} " for w in own if len(w) <= 40} | {w[:n] for w in own for n in range(MIN_PREFIX, min(MAX_PREFIX, len(w)) + 1)}
+#: A pattern counts at most so often in one document, so that repetitive texts don't rule.
+BURST = 8
+
+
+def _evidence(words: list[str]) -> Counter:
+    """How often each whole word (as ``word ``) and each beginning of a word comes; under "", all words."""
+    out = Counter({"": len(words)})
+    for w, n in Counter(words).items():
+        if len(w) <= 40:
+            out[f"{w} "] += n
+        for k in range(MIN_PREFIX, min(MAX_PREFIX, len(w)) + 1):
+            out[w[:k]] += n
+    return out
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """(pattern, pos, neg): numbers of toxic and other documents of the sample that hold it."""
+    """(pattern, docs0, docs1, n0, n1): documents and occurrences, by label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(pos: Counter, neg: Counter) -> pa.RecordBatch:
-            keys = list(pos.keys() | neg.keys())
-            return pa.record_batch([pa.array(keys, pa.string()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64())], names=["pattern", "pos", "neg"])
+        def made(by: list[Counter]) -> pa.RecordBatch:
+            keys = list(by[0].keys() | by[1].keys())
+            return pa.record_batch([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in by)], names=["pattern", "docs0", "docs1", "n0", "n1"])
 
-        by: tuple[Counter, Counter] = (Counter(), Counter())
+        by = [Counter() for _ in range(4)]
         for b in batches:
             for t, toxic in zip(b.column(0), b.column(1).to_pylist()):
-                by[toxic].update(_evidence(fold(t.as_py())))
+                own = _evidence(fold(t.as_py()))
+                by[toxic].update(own.keys())
+                by[2 + toxic].update({k: min(n, BURST) if k else n for k, n in own.items()})
                 if len(by[0]) + len(by[1]) > 1_000_000:
-                    yield made(by[1], by[0])
-                    by = (Counter(), Counter())
-        yield made(by[1], by[0])
-
-    parts = sample.select("text", "toxic").mapInArrow(run, "pattern string, pos long, neg long")
-    return parts.groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-
-def _choose(rows: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Short beginnings before longer ones they cover; a beginning that is nearly always one word gives way to it."""
-    odds = {p: float(np.log((a + 0.5) / (n_pos + 1) / ((b + 0.5) / (n_neg + 1)))) for p, a, b in rows}
-    seen = {p: a for p, a, _ in rows}
-    top: dict[str, int] = {}  # of the words that begin so, the most frequent one's count
-    for p in (p for p in seen if p.endswith(" ")):
-        for n in range(MIN_PREFIX, MAX_PREFIX + 1):
-            top[p[:n].rstrip()] = max(top.get(p[:n].rstrip(), 0), seen[p])
-    words, prefixes = {}, {}
-    for p in sorted(odds, key=lambda p: (len(p.rstrip()), p)):
+                    yield made(by)
+                    by = [Counter() for _ in range(4)]
+        yield made(by)
+
+    parts = sample.select("text", "toxic").mapInArrow(run, "pattern string, docs0 long, docs1 long, n0 long, n1 long")
+    return parts.groupBy("pattern").agg(*(F.sum(c).alias(c) for c in ("docs0", "docs1", "n0", "n1")))
+
+
+def _choose(rows: list[tuple[str, int, float]]) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and beginnings with their weights, from (pattern, occurrences, weight).
+
+    The heaviest come first. What begins with a chosen beginning adds nothing; a beginning gives way if
+    chosen patterns already make up half of its occurrences, or if it is nearly always one and the same word.
+    """
+    words, prefixes, covered, top = {}, {}, Counter(), Counter()
+    for p, n, _ in rows:
+        if p.endswith(" "):
+            for k in range(MIN_PREFIX, min(MAX_PREFIX, len(p) - 1) + 1):
+                top[p[:k]] = max(top[p[:k]], n)
+    for p, n, weight in sorted(rows, key=lambda r: (-r[2], r[0].endswith(" "), len(r[0]), r[0])):
         stem = p.rstrip()
-        if any(stem[:n] in prefixes for n in range(MIN_PREFIX, len(stem) + 1)):
+        if any(stem[:k] in prefixes for k in range(MIN_PREFIX, len(stem) + 1)) or not p.endswith(" ") and (covered[p] >= n / 2 or top[p] >= 0.9 * n):
             continue
-        if p.endswith(" "):
-            words[stem] = odds[p]
-        elif top.get(p, 0) < 0.9 * seen[p]:
-            prefixes[p] = odds[p]
+        (words if p.endswith(" ") else prefixes)[stem] = weight
+        for k in range(MIN_PREFIX, len(stem) + 1):
+            covered[stem[:k]] += n
     return words, prefixes
 
 
@@ -177,10 +189,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     if not n_pos or not n_neg:
         return Model({w: 3.0 for w in SEED}, {})
-    least = max(2, n_pos // 500)
-    ratio = (F.col("pos") + 0.5) / (n_pos + 1) / ((F.col("neg") + 0.5) / (n_neg + 1))
-    rows = _counts(sample).where((F.col("pos") >= least) & (ratio > 4)).orderBy(F.desc("pos"), F.desc(ratio), "pattern").limit(lexicon_size).collect()
-    model = Model(*_choose([tuple(r) for r in rows], n_pos, n_neg))
+    counts = cut(_counts(sample))
+    all0, all1 = counts.where("pattern = ''").select("n0", "n1").first()
+    odds = F.log((F.col("n1") + 0.5) / (all1 + 1) / ((F.col("n0") + 0.5) / (all0 + 1)))
+    # The log odds less two standard errors, which go by documents: words come in bursts.
+    weight = odds - 2 * F.sqrt(1 / (F.col("docs1") + 0.5) + 1 / (F.col("docs0") + 0.5))
+    found = counts.where((F.col("pattern") != "") & (F.col("docs1") >= 3)).withColumn("weight", weight).where("weight > 1")
+    model = Model(*_choose([(r.pattern, r.n1, r.weight) for r in found.orderBy(F.desc("weight"), "pattern").limit(lexicon_size).collect()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
