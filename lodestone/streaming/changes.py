@@ -179,14 +179,13 @@ def deltas(versions: DataFrame, key: str, version: str, value: str) -> DataFrame
 
 
 def wait_for(query, holds: Callable[[], bool], seconds: float = 30) -> bool:
-    """Runs what a streaming query has available until a condition holds, or time is up."""
+    """Waits, while a streaming query runs, until a condition holds or time is up; a failed query raises."""
     import time
 
     end = time.time() + seconds
-    while time.time() < end:
-        query.processAllAvailable()
-        if holds():
-            return True
+    while time.time() < end and not holds():
+        if query.exception():
+            raise query.exception()
         time.sleep(0.2)
     return holds()
 

@@ -233,7 +233,7 @@ def test_ranges(spark):
     assert {(r.lo, r.hi, r.size) for r in got.collect()} == {(5, 10, 2), (10, 12, 2), (12, 15, 3)} and got.count() == 3
     e = spark.createDataFrame([(1, 2, 4, 5), (1, 10, 11, 0)], "doc int, start int, end int, length int")
     idx = spark.createDataFrame([(1, 0), (1, 3), (1, 6), (1, 12), (2, 7)], "doc int, index int")
-    assert {(r.doc, r.index): r.new_index for r in joins.remap_index(idx, e).collect()} == {(1, 0): 0, (1, 3): None, (1, 6): 9, (1, 12): 14, (2, 7): 7}
+    assert {(r.doc, r['index']): r.new_index for r in joins.remap_index(idx, e).collect()} == {(1, 0): 0, (1, 3): None, (1, 6): 9, (1, 12): 14, (2, 7): 7}
 
 
 def test_prefix_tree(spark):
