@@ -5,11 +5,16 @@ the 64 bits. Each pair of blocks makes a shard key, so every link lies inside so
 fingerprints form a BK-tree, whose children are keyed by their Hamming distance to the parent, and
 a lookup follows only the edges within the radius. Each shard hands on a spanning forest of its
 links, never all its pairs.
+
+``similar`` goes on to texts that share four fifths of their five-word shingles. Few of those differ in
+so few bits of a fingerprint of long shingles, so each text also has several fingerprints of its
+distinct two-word shingles, whose bits an edit moves less; what any of them links is a candidate, and
+the BK-trees of a candidate component compare the texts' own five-word shingles before they link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,30 +23,80 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 RADIUS = 4
 #: A tree holds at most so many fingerprints; larger shards are split, and their parts meet in pairs.
 TREE_ROWS = 8192
+#: For similar(): fingerprints of two-word shingles a text, texts a tree holds, and shingle hashes kept of a text.
+FAMILIES, TREE_TEXTS, SKETCH = 8, 2048, 1024
+SHINGLE, SIMILARITY = 5, 0.8
 _CHUNK = 1 << 16
+_ALL = (1 << 64) - 1
 
 
-def fingerprint(text: str | None, k: int = 4) -> int:
-    """Unsigned 64-bit SimHash of the k-word shingles, repeats counted; no words give 0."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of anything but ASCII white space, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """XXH64 (seed 42) of each k-word shingle in order; fewer words make one shingle, none make none."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, hash_of = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= k:
-        return hash_of(joined, 42)
+        return np.array([hash_of(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist()
-    ends = ends[k - 1 :].tolist()
-    n, ones = len(starts), np.zeros(64, np.int64)
-    for at in range(0, n, _CHUNK):
-        h = np.array([hash_of(joined[a:b], 42) for a, b in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])], np.uint64)
-        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return np.fromiter((hash_of(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, k: int = 4) -> int:
+    """Unsigned 64-bit SimHash of the k-word shingles, repeats counted; no words give 0."""
+    return majority(shingle_hashes(words_of(text), k))
+
+
+def family(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hashes mixed anew, differently for each n."""
+    with np.errstate(over="ignore"):
+        h = hashes + np.uint64(n + 1) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def signature(text: str | None, k: int = 4, families: int = FAMILIES) -> list[int]:
+    """fingerprint(text, k), then SimHashes of the distinct two-word shingles under so many hash families."""
+    words = words_of(text)
+    pairs = np.unique(shingle_hashes(words, 2))
+    return [majority(shingle_hashes(words, k)), *(majority(family(pairs, n)) for n in range(families))]
+
+
+def sketch(text: str | None, size: int = SKETCH) -> np.ndarray:
+    """The smallest hashes of the distinct five-word shingles: all of them in texts of up to ``size``."""
+    return np.unique(family(shingle_hashes(words_of(text), SHINGLE), -1))[:size]
+
+
+def similarity(a: frozenset[int], b: frozenset[int], size: int = SKETCH) -> float:
+    """The share of common shingles, from two sketches: exact if both are whole, else over the hashes both cover."""
+    if len(a) >= size or len(b) >= size:
+        top = min(max(x) for x in (a, b) if len(x) >= size)
+        a, b = ({h for h in x if h <= top} for x in (a, b))
+    both = len(a & b)
+    return both / max(1, len(a) + len(b) - both)
 
 
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
@@ -92,8 +147,8 @@ class BKTree:
         self.below: list[dict[int, int]] = []
         self.one: list[bool] = []
 
-    def link(self, x: int, i: int) -> Iterator[int]:
-        """Joins position i, of fingerprint x, to all within the radius; yields a partner per component joined."""
+    def link(self, x: int, i: int, accept: Callable[[int, int], bool] = lambda i, j: True) -> Iterator[int]:
+        """Joins position i, of fingerprint x, to all accepted within the radius; yields a partner's place in the tree per component joined."""
         if not self.value:
             return
         find, union, radius = self.forest.find, self.forest.union, self.radius
@@ -103,8 +158,8 @@ class BKTree:
             if self.one[v] and find(self.at[v]) == find(i):
                 continue
             d = (x ^ self.value[v]).bit_count()
-            if d <= radius and union(i, self.at[v]):
-                yield self.value[v]
+            if d <= radius and find(i) != find(self.at[v]) and accept(i, self.at[v]) and union(i, self.at[v]):
+                yield v
             todo += [c for e, c in self.below[v].items() if d - radius <= e <= d + radius]
 
     def insert(self, x: int, i: int) -> None:
@@ -133,11 +188,11 @@ def shard_links(left: list[int], right: list[int], radius: int) -> list[tuple[in
     for x in left:
         i = forest.add()
         if not right:
-            out += [(x, y) for y in tree.link(x, i)]
+            out += [(x, tree.value[v]) for v in tree.link(x, i)]
         tree.insert(x, i)
     for x in right:
         i = forest.add()
-        out += [(x, y) for y in tree.link(x, i)]
+        out += [(x, tree.value[v]) for v in tree.link(x, i)]
     return out
 
 
@@ -150,12 +205,12 @@ def _keyed(fps: DataFrame, radius: int) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def _by_key(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """Links inside each key's rows, streamed key by key; ``side`` 1 rows only meet side 0 rows."""
+def _by_key(rows: DataFrame, keys: list[str], found: Callable[[list, list], list[tuple[int, int]]], value: str = "fp") -> DataFrame:
+    """Links (a, b) that ``found`` gives for each key's values, streamed key by key; ``side`` 1 only meets side 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            pairs = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
+            pairs = np.array(links, np.int64).reshape(-1, 2)
             return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         key, sides, links = None, ([], []), []
@@ -163,20 +218,28 @@ def _by_key(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[:-2] != key:
                     if len(sides[0]) + len(sides[1]) > 1:
-                        links += shard_links(*sides, radius)
+                        links += found(*sides)
                     key, sides = row[:-2], ([], [])
-                sides[row[-2]].append(row[-1] & 0xFFFFFFFFFFFFFFFF)
+                sides[row[-2]].append(row[-1])
             if len(links) > 50_000:
                 yield made(links)
                 links = []
         if len(sides[0]) + len(sides[1]) > 1:
-            links += shard_links(*sides, radius)
+            links += found(*sides)
         yield made(links)
 
-    rows = rows.select(*keys, "side", "fp").repartition(*keys).sortWithinPartitions(*keys, "side", "fp")
+    rows = rows.select(*keys, "side", value).repartition(*keys).sortWithinPartitions(*keys, "side", *([value] if value == "fp" else []))
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _dealt(rows: DataFrame, key: str, value: str, large: DataFrame, rows_a_tree: int) -> DataFrame:
+    """rows of the keys in large (key, n), once for each pair of parts they are in: with lo, hi and side."""
+    parts = F.ceil(2 * F.col("n") / F.lit(rows_a_tree)).cast("int")
+    dealt = rows.join(large, key).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(value, F.lit(7)), "parts").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other"), "side": F.when(F.col("part") > F.col("other"), 1).otherwise(0)})
+
+
 def links(fps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough to connect all that are linked.
 
@@ -184,15 +247,15 @@ def links(fps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> D
     their own group, so nothing is left out and no group grows with the shard.
     """
     keyed = _keyed(fps, radius)
+
+    def found(left: list[int], right: list[int]) -> list[tuple[int, int]]:
+        return [(_signed(a), _signed(b)) for a, b in shard_links(*([x & _ALL for x in side] for side in (left, right)), radius)]
+
     large = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_rows))
     if large.isEmpty():
-        return _by_key(keyed.withColumn("side", F.lit(0)), ["key"], radius)
-    small = _by_key(keyed.join(large, "key", "left_anti").withColumn("side", F.lit(0)), ["key"], radius)
-    parts = F.ceil(2 * F.col("n") / F.lit(tree_rows)).cast("int")
-    dealt = keyed.join(large, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), "parts").cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other"), "side": F.when(F.col("part") > F.col("other"), 1).otherwise(0)})
-    return small.unionByName(_by_key(met, ["key", "lo", "hi"], radius))
+        return _by_key(keyed.withColumn("side", F.lit(0)), ["key"], found)
+    small = _by_key(keyed.join(large, "key", "left_anti").withColumn("side", F.lit(0)), ["key"], found)
+    return small.unionByName(_by_key(_dealt(keyed, "key", "fp", large, tree_rows), ["key", "lo", "hi"], found))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -242,14 +305,97 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = RADIUS, tree_rows
     return own.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def text_links(left: list[dict], right: list[dict], radius: int, least: float) -> list[tuple[int, int]]:
+    """A spanning forest, over the texts' numbers, of the links within left, or between left and right, if right isn't empty.
+
+    Texts link if their first fingerprints are within the radius, or if any are and the sketches are similar.
+    """
+    forest = Forest()
+    texts, shingles, out = [], [], []
+    trees = [BKTree(radius, forest) for _ in (left or right)[0]["fps"]]
+
+    def alike(i: int, j: int) -> bool:
+        return similarity(shingles[i], shingles[j]) >= least
+
+    for side, rows in enumerate((left, right)):
+        for row in rows:
+            i = forest.add()
+            texts.append(row["text_id"])
+            shingles.append(frozenset(np.frombuffer(row["sketch"] or b"", np.uint64).tolist()))
+            for n, (tree, x) in enumerate(zip(trees, row["fps"])):
+                if side or not right:
+                    for v in tree.link(x & _ALL, i, alike if n else (lambda i, j: True)):
+                        out.append((row["text_id"], texts[tree.at[v]]))
+            if not side:
+                for tree, x in zip(trees, row["fps"]):
+                    tree.insert(x & _ALL, i)
+    return out
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_id, text): text_id is a 64-bit hash of the text, a null text being empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_id"), "text")
+
+
+def similar(docs: DataFrame, k: int = 4, radius: int = RADIUS, least: float = SIMILARITY, tree_rows: int = TREE_ROWS, tree_texts: int = TREE_TEXTS) -> DataFrame:
+    """(doc_id, text_id, root) for every row of docs (doc_id, text, any more): rows of a class share a root.
+
+    Classes join what near_duplicates() links, and texts that share at least ``least`` of their five-word
+    shingles if one of their fingerprints is within the radius (for texts over SKETCH shingles the share
+    is estimated, with a standard error of 0.013 at most). Equal texts are one node. Two of n different texts get the same
+    text_id with a probability below n * n / 2**65. Null and empty texts are equal. Texts all of whose
+    doc_ids are null link by their first fingerprint only. An empty table gives no rows.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [[_signed(x) for x in signature(t.as_py(), k)] for t in b.column(2)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "text_id", "fps"])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([sketch(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["text_id", "sketch"])
+
+    own = cut(_numbered(docs).mapInArrow(sign, "doc_id long, text_id long, fps array<long>"))
+    texts = cut(own.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.min("fps").alias("fps")))
+    pool = texts.select("text_id", F.explode(F.array_distinct("fps")).alias("fp"))
+    named = cut(pool.groupBy("fp").agg(F.min("text_id").alias("name")))
+    near = links(named.select("fp"), radius, tree_rows)
+    near = near.join(named.toDF("a", "from"), "a").join(named.toDF("b", "to"), "b").select(F.col("from").alias("a"), F.col("to").alias("b"))
+    same = pool.join(named, "fp").select(F.col("text_id").alias("a"), F.col("name").alias("b"))
+    rough = components(near.unionByName(same).where("a <> b")).toDF("text_id", "rough")
+
+    # Only texts that have candidates are looked at again, one row of each.
+    members = cut(texts.join(rough, "text_id"))
+    asked = members.select(F.col("text_id").alias("_text_id"), "first_id")
+    seen = _numbered(docs).join(asked, (F.col("doc_id") == F.col("first_id")) & (F.col("text_id") == F.col("_text_id")))
+    sketches = seen.select("text_id", "text").mapInArrow(draw, "text_id long, sketch binary").groupBy("text_id").agg(F.max("sketch").alias("sketch"))
+    rows = cut(members.join(sketches, "text_id", "left").select("rough", "text_id", F.struct("text_id", "fps", "sketch").alias("member")))
+
+    def found(left: list[dict], right: list[dict]) -> list[tuple[int, int]]:
+        return text_links(left, right, radius, least)
+
+    large = cut(rows.groupBy("rough").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_texts))
+    linked = _by_key(rows.join(large, "rough", "left_anti").withColumn("side", F.lit(0)), ["rough"], found, "member")
+    if not large.isEmpty():
+        linked = linked.unionByName(_by_key(_dealt(rows, "rough", "text_id", large, tree_texts), ["rough", "lo", "hi"], found, "member"))
+    classes = components(linked).toDF("text_id", "root")
+    return own.select("doc_id", "text_id").join(classes, "text_id", "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("root"))
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id; ties keep one row."""
-    found = near_duplicates(docs, **how)
-    kept = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    once = kept.withColumnRenamed("doc_id", "_id")
-    same = docs["doc_id"].eqNullSafe(once["_id"])
-    out = docs.join(once.where("n = 1"), same, "left_semi")
-    repeated = once.where("n > 1")
-    if repeated.isEmpty():
-        return out
-    return out.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    """docs with one row of each class that similar() finds: the one with the smallest doc_id (a null only
+    where there is no other); rows alike in doc_id and text keep one."""
+    rows = similar(docs, **how).groupBy("root", "doc_id", "text_id").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "n")).alias("best")
+    kept = cut(rows.groupBy("root").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.text_id").alias("_text_id"), F.col("best.n").alias("_n")))
+    text_id = fresh("_text", docs)
+    marked = docs.withColumn(text_id, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+
+    def those(some: DataFrame) -> DataFrame:
+        return marked.join(some, marked["doc_id"].cast("long").eqNullSafe(some["_id"]) & (marked[text_id] == some["_text_id"]), "left_semi")
+
+    out, repeated = those(kept.where("_n = 1")), kept.where("_n > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(those(repeated).dropDuplicates(["doc_id", text_id]))
+    return out.drop(text_id)
