@@ -306,12 +306,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = RADIUS, tree_rows
 
 
 def text_links(left: list[dict], right: list[dict], radius: int, least: float) -> list[tuple[int, int]]:
-    """A spanning forest, over the texts' numbers, of the links within left, or between left and right, if right isn't empty.
+    """(text, root) for each text linked within left, or between left and right, if right isn't empty: stars
+    around one text of each component.
 
     Texts link if their first fingerprints are within the radius, or if any are and the sketches are similar.
     """
     forest = Forest()
-    texts, shingles, out = [], [], []
+    texts, shingles = [], []
     trees = [BKTree(radius, forest) for _ in (left or right)[0]["fps"]]
 
     def alike(i: int, j: int) -> bool:
@@ -324,12 +325,14 @@ def text_links(left: list[dict], right: list[dict], radius: int, least: float) -
             shingles.append(frozenset(np.frombuffer(row["sketch"] or b"", np.uint64).tolist()))
             for n, (tree, x) in enumerate(zip(trees, row["fps"])):
                 if side or not right:
-                    for v in tree.link(x & _ALL, i, alike if n else (lambda i, j: True)):
-                        out.append((row["text_id"], texts[tree.at[v]]))
+                    for _ in tree.link(x & _ALL, i, alike if n else (lambda i, j: True)):
+                        pass
             if not side:
                 for tree, x in zip(trees, row["fps"]):
                     tree.insert(x & _ALL, i)
-    return out
+    roots = [forest.find(i) for i in range(len(texts))]
+    several = {r for i, r in enumerate(roots) if i != r}
+    return [(texts[i], texts[r]) for i, r in enumerate(roots) if r in several]
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -376,10 +379,12 @@ def similar(docs: DataFrame, k: int = 4, radius: int = RADIUS, least: float = SI
         return text_links(left, right, radius, least)
 
     large = cut(rows.groupBy("rough").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_texts))
-    linked = _by_key(rows.join(large, "rough", "left_anti").withColumn("side", F.lit(0)), ["rough"], found, "member")
+    # A candidate component that fits one tree comes back as classes; of larger ones, the parts' classes are put together.
+    whole = rows.join(large, "rough", "left_anti").withColumn("side", F.lit(0))
+    classes = _by_key(whole, ["rough"], found, "member").toDF("text_id", "root")
     if not large.isEmpty():
-        linked = linked.unionByName(_by_key(_dealt(rows, "rough", "text_id", large, tree_texts), ["rough", "lo", "hi"], found, "member"))
-    classes = components(linked).toDF("text_id", "root")
+        linked = _by_key(_dealt(rows, "rough", "text_id", large, tree_texts), ["rough", "lo", "hi"], found, "member")
+        classes = classes.unionByName(components(linked).toDF("text_id", "root"))
     return own.select("doc_id", "text_id").join(classes, "text_id", "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("root"))
 
 
