@@ -340,15 +340,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_id"), "text")
 
 
-def similar(docs: DataFrame, k: int = 4, radius: int = RADIUS, least: float = SIMILARITY, tree_rows: int = TREE_ROWS, tree_texts: int = TREE_TEXTS) -> DataFrame:
-    """(doc_id, text_id, root) for every row of docs (doc_id, text, any more): rows of a class share a root.
-
-    Classes join what near_duplicates() links, and texts that share at least ``least`` of their five-word
-    shingles if one of their fingerprints is within the radius (for texts over SKETCH shingles the share
-    is estimated, with a standard error of 0.013 at most). Equal texts are one node. Two of n different texts get the same
-    text_id with a probability below n * n / 2**65. Null and empty texts are equal. Texts all of whose
-    doc_ids are null link by their first fingerprint only. An empty table gives no rows.
-    """
+def _classes(docs: DataFrame, k: int = 4, radius: int = RADIUS, least: float = SIMILARITY, tree_rows: int = TREE_ROWS, tree_texts: int = TREE_TEXTS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_id) of every row, and (text_id, root) of the texts that link to others."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -385,15 +378,31 @@ def similar(docs: DataFrame, k: int = 4, radius: int = RADIUS, least: float = SI
     if not large.isEmpty():
         linked = _by_key(_dealt(rows, "rough", "text_id", large, tree_texts), ["rough", "lo", "hi"], found, "member")
         classes = classes.unionByName(components(linked).toDF("text_id", "root"))
-    return own.select("doc_id", "text_id").join(classes, "text_id", "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("root"))
+    return own.select("doc_id", "text_id"), classes
+
+
+def similar(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, text_id, root) for every row of docs (doc_id, text, any more): rows of a class share a root.
+
+    Classes join what near_duplicates() links, and texts that share at least ``least`` of their five-word
+    shingles if one of their fingerprints is within the radius (for texts over SKETCH shingles the share
+    is estimated, with a standard error of 0.013 at most). Equal texts are one node. Two of n different texts get the same
+    text_id with a probability below n * n / 2**65. Null and empty texts are equal. Texts all of whose
+    doc_ids are null link by their first fingerprint only. An empty table gives no rows.
+    """
+    own, classes = _classes(docs, **how)
+    return own.join(classes, "text_id", "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("root"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each class that similar() finds: the one with the smallest doc_id (a null only
     where there is no other); rows alike in doc_id and text keep one."""
-    rows = similar(docs, **how).groupBy("root", "doc_id", "text_id").agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "n")).alias("best")
-    kept = cut(rows.groupBy("root").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.text_id").alias("_text_id"), F.col("best.n").alias("_n")))
+    own, classes = _classes(docs, **how)
+    # By text first, with partial minima: however many copies a text has, no task gets all of them.
+    rows = own.groupBy("doc_id", "text_id").agg(F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("text_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "n")).alias("best"))
+    best = best.join(classes, "text_id", "left").groupBy(F.coalesce("root", "text_id").alias("root")).agg(F.min("best").alias("best"))
+    kept = cut(best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_id").alias("_text_id"), F.col("best.n").alias("_n")))
     text_id = fresh("_text", docs)
     marked = docs.withColumn(text_id, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
