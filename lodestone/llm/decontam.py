@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,22 +201,27 @@ def original_span(text: str, start: int, end: int) -> tuple[int, int]:
 _SCHEMA = "doc_id long, item_id long, n_segments int, edits int, start long, end long"
 
 
+def _indexes(benchmark: DataFrame, pass_chars: int) -> Iterator[Broadcast[Index]]:
+    """The index of each pass. Passes take items by hash of item_id, so what one holds never grows with the benchmark."""
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull()).distinct()
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    passes = max(1, -(-total // pass_chars))
+    for p in range(passes):
+        part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).toLocalIterator()]
+        yield benchmark.sparkSession.sparkContext.broadcast(Index.of_items(sorted(part, key=lambda x: (x[0] is not None, x))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> DataFrame:
     """A row for each document and benchmark item of which it holds a passage: doc_id, item_id,
     n_segments, edits (least of any segment), start, end (code points of the text as given).
 
-    The benchmark is sent to the executors in passes of at most about ``pass_chars`` characters, by
-    hash of item_id, so what one pass holds never grows; a usual benchmark is one pass. Null or empty
-    texts and items match nothing, as do items under 20 characters. Repeated items count once;
-    repeated documents give repeated rows. An empty table gives no rows.
+    The benchmark is sent to the executors in passes of at most about ``pass_chars`` characters; a
+    usual benchmark is one pass. Null or empty texts and items match nothing, as do items under 20
+    characters. Repeated items count once; repeated documents give repeated rows. An empty table
+    gives no rows.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull()).distinct()
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-total // pass_chars))
     out = None
-    for p in range(passes):
-        part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).toLocalIterator()]
-        index = docs.sparkSession.sparkContext.broadcast(Index.of_items(sorted(part, key=lambda x: (x[0] is not None, x))))
+    for index in _indexes(benchmark, pass_chars):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -232,9 +238,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_C
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark passage."""
-    from .common import cut
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """docs without the rows whose text holds a benchmark passage, as contaminated() finds them.
+
+    Each row is judged by its own text, without a shuffle: rows that share a doc_id, or have none, don't
+    take each other along. Null and empty texts stay; an empty benchmark keeps every row.
+    """
+    at = docs.columns.index("text")
+    for index in _indexes(benchmark, pass_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not find(index.value, t.as_py()) for t in b.column(at)], pa.bool_()))
 
-    bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]), "left_anti")
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -244,7 +244,11 @@ def test_decontamination_against_brute_force(spark, odd, none):
     for r in got:
         assert decontam.normalise(text[r.doc_id][r.start : r.end])[:8] in decontam.normalise(text[r.doc_id])
         assert r.end - r.start < 170
-    assert decontam.drop_contaminated(df, bench).count() == 20
+    assert decontam.drop_contaminated(df, bench).count() == 20 == decontam.drop_contaminated(df, bench, pass_chars=300).count()
+    # Each row is judged by its own text: sharing a doc_id, or having none, takes no clean row along.
+    bad, good = text[1], text[0]
+    shared = spark.createDataFrame([(7, bad), (7, good), (None, bad), (None, good), (None, None), (7, "")], "doc_id long, text string").withColumn("_id", F.lit("x")).withColumn("item_id", F.lit("y"))
+    assert Counter(map(tuple, decontam.drop_contaminated(shared, bench).collect())) == Counter((i, t, "x", "y") for i, t in [(7, good), (None, good), (None, None), (7, "")])
     assert decontam.contaminated(odd, bench).count() == 0 and decontam.drop_contaminated(odd, bench).count() == len(ODD)
     assert decontam.contaminated(none, bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
