@@ -354,6 +354,22 @@ def test_similar_against_brute_force(spark, odd, none, tree_texts):
     assert simhash.similar(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_similar_finds_passages_cut_off_or_added(spark):
+    rng = random.Random(23)
+    words = lambda n: [f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(n)]
+    texts = []
+    for _ in range(50):
+        w = words(rng.choice((60, 150, 400, 900)))
+        n, p = len(w), rng.randrange(len(w) * 4 // 5)
+        m = n * 17 // 100
+        texts += [w, w[m:], w[: n - m], w[:p] + w[p + m :], w + words(m), w[:p] + words(m // 2) + w[p:]]
+    texts = [" ".join(w) for w in texts]
+    links = [(a, b) for a, b in brute_similar(texts)[1] if a % 6 == 0]
+    assert len(links) > 200
+    got = {r.doc_id: r.root for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[a] == got[b] for a, b in links), sum(got[a] != got[b] for a, b in links)
+
+
 def test_keep_one_with_odd_rows(spark, odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
