@@ -58,7 +58,11 @@ def nearest_cells(vectors: DataFrame, centroids: list[list[float]], v: str, n: i
     return vectors.withColumn("cell", F.explode(cells(F.col(v))))
 
 
-def ann_top_k(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 16, probes: int = 6) -> DataFrame:
+#: Cells, and cells that a query looks into: chosen for a recall of 0.9 with a margin.
+CELLS, PROBES = 16, 12
+
+
+def ann_top_k(queries: DataFrame, vectors: DataFrame, k: int, cells: int = CELLS, probes: int = PROBES) -> DataFrame:
     """Approximate top-k: every vector in its cell, every query in its nearest ``probes`` cells, an equi-join on the cell."""
     centroids = train_cells(vectors, cells)
     hit = nearest_cells(vectors, centroids, "v", 1).join(nearest_cells(queries, centroids, "q", probes), "cell")

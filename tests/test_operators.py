@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import registry, scalar, text, vectors
 from lodestone.operators import aggregates as agg
 from lodestone.operators import diff, graph, joins, ranking, text_search, windows
+from lodestone.plans import catalog
 from lodestone.sources import files, stores
 from lodestone.streaming import changes
 
@@ -44,6 +45,11 @@ def test_ann_recall(spark, sf_dir):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_ann_recall_of_the_registered_query(spark, sf_dir):
+    exact, near = ({(r.query_id, r.chunk_id) for r in catalog.QUERIES[n](spark, sf_dir).collect()} for n in ("dense_topk", "ann_topk"))
+    assert len(exact & near) / len(exact) >= 0.9
+
+
 def test_rerank_skips_small_lists_and_flat_scores(spark):
     hits = spark.createDataFrame([(1, "foo bar", i, t, s, i) for i, (t, s) in enumerate([("x", 1.0), ("foo", 1.0), ("foo bar", 1.0)], 1)], "query_id int, query_text string, chunk_id int, text string, score double, rank int")
     assert column(ranking.rerank(hits, 3), "chunk_id", "rank") == [1, 2, 3]
