@@ -1,19 +1,25 @@
 """Balanced label propagation: linked documents gather in a shard while row counts stay exactly even.
 
-Labels are shards. In each round every group of linked rows names the shard that holds most of it, the
+Labels are shards. In each round every group of linked rows names the shard that holds most of it (one
+drawn by hash where several do, so that as many rows ask to leave a shard as to enter it), the
 rows elsewhere ask to move there, and quotas are set on the driver from the counts of moves asked for
 between each two shards (at most shards squared numbers). What enters a shard beyond its capacity is
-paid back with rows that have no links, so moves never upset the balance.
+paid back with rows that have no links, so moves never upset the balance. Where a shard refuses moves,
+as many scattered groups in proportion name their next best shard in the next round. Rounds go on until
+no more links are kept within shards, and the best even state is the result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_rank
+from .common import cut, use_checkpoints, with_rank
 
-SHARDS, ROUNDS = 40, 4
+#: ROUNDS is a limit: rounds end when IDLE of them keep no more links.
+SHARDS, ROUNDS, IDLE = 40, 24, 2
 STAY_FREE, STAY_LINKED = -1, -2
 
 
@@ -58,6 +64,13 @@ def quotas(want: list[list[int]], have: list[int], free: list[int], linked: list
     return grant, pay
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like cut(), but with sizes read from files: those that Spark estimates for checkpoints multiply in each round's joins."""
+    use_checkpoints(df.sparkSession)
+    df.write.parquet(path := f"{df.sparkSession.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}")
+    return df.sparkSession.read.parquet(path)
+
+
 def balanced_shards(rows: DataFrame, link: str, order: list[str], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """rows with ``shard``; counts of shards differ by at most one, and equal ``link`` values gather.
 
@@ -71,14 +84,20 @@ def balanced_shards(rows: DataFrame, link: str, order: list[str], shards: int =
     parts = F.ceil(F.col("_n") / part).cast("int")
     linked = rows.join(groups, rows[link] == groups["_link"], "left")
     linked = linked.withColumn("_part", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64(*order, F.lit(3)), parts))).withColumn("_linked", F.col("_n").isNotNull()).withColumn("_big", F.coalesce(F.col("_n") > part, F.lit(False)))
-    state = cut(linked.withColumn("shard", F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int")).drop("_n", "_link"))
-    for turn in range(rounds):
+    state = written(linked.withColumn("shard", F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int")).drop("_n", "_link"))
+    best, most_kept, idle, refused = None, -1, 0, [0] * shards
+    for turn in range(rounds + 2):
         held = state.where("_linked").groupBy(link, "_part", "shard").agg(F.count(F.lit(1)).alias("_c"), F.max("_big").alias("_big"))
-        most = F.max(F.struct("_c", (-F.col("shard")).alias("s")))["s"]
-        home = held.groupBy(link, "_part").agg(F.when(F.max("_big"), F.pmod(F.xxhash64(link) + F.col("_part"), F.lit(shards))).otherwise(-most).cast("int").alias("_home"))
-        home = cut(home.select(F.col(link).alias("_link"), F.col("_part").alias("_p"), "_home"))
-        asked = state.join(home, F.col("_linked") & (state[link] == home["_link"]) & (state["_part"] == home["_p"]), "left").drop("_link", "_p")
-        to = F.when(~F.col("_linked"), STAY_FREE).when(F.col("_home") == F.col("shard"), STAY_LINKED).otherwise(F.col("_home"))
+        avoid = F.pmod(F.xxhash64(link, "_part", "shard", F.lit(2 * turn)), F.lit(1000)) < F.get(F.array(*map(F.lit, refused)), F.col("shard"))
+        draw = F.xxhash64(link, "_part", "shard", F.lit(2 * turn + 1))
+        most = F.max(F.struct(~avoid, "_c", draw, "shard"))["shard"]
+        home = held.groupBy(link, "_part").agg(F.when(F.max("_big"), F.pmod(F.xxhash64(link) + F.col("_part"), F.lit(shards))).otherwise(most).cast("int").alias("_home"), F.sum(F.col("_c") * F.col("_c")).alias("_kept"))
+        home = cut(home.select(F.col(link).alias("_link"), F.col("_part").alias("_p"), "_home", "_kept"))
+        kept = home.agg(F.sum("_kept")).first()[0] or 0
+        # Past the limit of rounds nobody moves but what the counts still need.
+        last = turn == rounds + 1 or turn == rounds and best is not None
+        asked = state.join(home.drop("_kept"), F.col("_linked") & (state[link] == home["_link"]) & (state["_part"] == home["_p"]), "left").drop("_link", "_p")
+        to = F.when(~F.col("_linked"), STAY_FREE).when(F.lit(turn >= rounds) | (F.col("_home") == F.col("shard")), STAY_LINKED).otherwise(F.col("_home"))
         asked = cut(asked.withColumn("_to", to.cast("int")).drop("_home"))
         want, have = [[0] * shards for _ in range(shards)], [0] * shards
         free, still = [0] * shards, [0] * shards
@@ -88,19 +107,25 @@ def balanced_shards(rows: DataFrame, link: str, order: list[str], shards: int =
                 want[r.shard][r._to] = r["count"]
             else:
                 (free if r._to == STAY_FREE else still)[r.shard] = r["count"]
+        if max(have) - min(have) <= 1:
+            idle = 0 if kept > most_kept else idle + 1
+            if not idle:
+                best, most_kept = state, kept
+        if last or idle == IDLE:
+            break
         grant, pay = quotas(want, have, free, still)
+        inward = [(sum(r[b] for r in want), sum(r[b] for r in grant)) for b in range(shards)]
+        refused = [500 * (w - g) // w if w else 0 for w, g in inward]
         moves = [(a, b, 0, grant[a][b], b) for a in range(shards) for b in range(shards) if grant[a][b]] + pay
-        if not moves:
+        if not moves and not any(map(any, want)):
             break
         table = rows.sparkSession.createDataFrame([(*m,) for m in moves], "_from int, _kind int, _lo long, _hi long, _dest int")
         ranked = with_rank(asked, ["shard", "_to"], order, max(1, total // shards), "_rank")
         here = (F.col("shard") == F.col("_from")) & (F.col("_to") == F.col("_kind")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
         # At most shards squared rows, whatever the input.
         moved = ranked.join(F.broadcast(table), here, "left").withColumn("shard", F.coalesce("_dest", "shard"))
-        state = cut(moved.select(*state.columns))
-        if turn and not any(map(any, want)):
-            break
-    return state.drop("_part", "_linked", "_big")
+        state = written(moved.select(*state.columns))
+    return (state if best is None else best).drop("_part", "_linked", "_big")
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:

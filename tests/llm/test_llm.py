@@ -437,6 +437,17 @@ def test_sharding_keeps_the_law_and_gathers_links(spark, odd, none):
     assert shard.assign(odd, 3).count() == len(ODD) and shard.assign(none).count() == 0
 
 
+def test_sharding_gathers_links_where_nearly_all_rows_have_some(spark):
+    rows = [(i, f"pair {i // 2}" if i < 3900 else f"text {i}") for i in range(4000)]
+    got = shard.assign(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    assert set(Counter(r["shard"] for r in got).values()) == {400}
+    where = defaultdict(set)
+    for r in got:
+        if r.doc_id < 3900:
+            where[r.doc_id // 2].add(r["shard"])
+    assert sum(len(v) == 1 for v in where.values()) >= 0.9 * len(where)
+
+
 def test_quotas_never_break_the_counts():
     rng = random.Random(2)
     for _ in range(200):
