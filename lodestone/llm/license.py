@@ -46,6 +46,29 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+#: Digests of the canonical forms of longer licences' full texts, as Debian's common-licenses have them;
+#: a second digest is of the text up to "END OF TERMS AND CONDITIONS".
+FULL = (
+    ("Apache-2.0", "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184"),
+    ("Apache-2.0", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-1.0-only", "2b62a0899e7031347a9577241eb9b504d0eafb4d91b28e1f99580099701d0a1a"),
+    ("GPL-1.0-only", "fb6d85b04cce9e961a8ac49322a422ceed03720cc44b403f8769a1966d803f0b"),
+    ("GPL-2.0-only", "d3d1ea54d09952fcd9626a8c4c7c325e00c7f6febdc41bf004285919d6bfaa0a"),
+    ("GPL-2.0-only", "c2043b33557c653c50c7526295a77726952cb3ecaffc4bfd33a9d0bd36a4fb38"),
+    ("GPL-3.0-only", "68ca42869e9a3e25843be66c6f296ce2b1f3629ac71d77465db0636dc8781c06"),
+    ("GPL-3.0-only", "df20d6920a2688bef2bb6fb95fc7472aa40799a7027c0ce468190c67658a9656"),
+    ("LGPL-2.0-only", "1862ecc2c3c5e3b9e88481e95603c88e089c43e9d5702b2ec01391491b606a9e"),
+    ("LGPL-2.0-only", "e29dcc167f8a363847b3c4b0a7ced67d7a2bb7b9112a3311b6877a9c0570d635"),
+    ("LGPL-2.1-only", "ac0856eb11aebb30c08445444c942c1ddcde9d0a0447c9ed2b8a19ab7d51eba5"),
+    ("LGPL-2.1-only", "2858f5a00f6672bd47f63b69b9bf4e1bc31f3541b08a5a263e59d9b384f72fdc"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("GFDL-1.2-only", "8446e2329e3fe2b35501056164a645d74fef33dc1b8a2a132629bf1935fa72e7"),
+    ("GFDL-1.3-only", "961b6d8afa12e353079f8676ad28084c800a46123e76f7f4f7e7f81df82289dc"),
+)
+
 #: A whole line that states a copyright, with its year or holder; the licence's own sentences go on after the word.
 COPYRIGHT_LINE = r"(?m)^[^\pL\pN\n]*(?:portions |all contributions )?(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9]{4}|by |the regents|all rights)[^\n]*$|^[^\pL\pN\n]*all rights reserved[^\pL\pN\n]*$"
 
@@ -71,10 +94,11 @@ def canonical_sql(text: str) -> str:
     return f"trim({c})"
 
 
-def known_licences(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, licence) of the known texts, each digest once."""
-    df = spark.createDataFrame(list(texts), "licence string, text string")
-    return df.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("licence").alias("licence"))
+def known_licences(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN, full: tuple[tuple[str, str], ...] = FULL) -> DataFrame:
+    """(digest, licence) of the known texts and of the digests in full, each digest once."""
+    df = spark.createDataFrame(list(texts), "licence string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "licence")
+    df = df.unionByName(spark.createDataFrame(list(full), "licence string, digest string"))
+    return df.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

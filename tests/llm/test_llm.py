@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import pathlib
 import random
 import re
 import zlib
@@ -139,6 +140,16 @@ def test_license_canonical(spark, odd, none):
     assert license.scan(odd).count() == len(ODD) and license.scan(none).count() == 0
 
 
+def test_license_full_texts(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    want = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all((folder / f).exists() for f in want):
+        pytest.skip("no licence texts here")
+    rows = [(i, (folder / f).read_text().replace("\n", "\r\n")) for i, f in enumerate(want)] + [(99, (folder / "GPL-3").read_text()[:-200])]
+    got = {r.doc_id: r.licence for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(enumerate(want.values())), 99: None}
+
+
 # 4 -------------------------------------------------------------------------------------------------
 
 
