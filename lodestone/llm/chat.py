@@ -140,22 +140,23 @@ SPAN = "array<struct<start:bigint,length:bigint,byte_start:bigint,byte_length:bi
 def format_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, formatted, loss_spans) from (conv_id, turn, role, text).
 
-    Turns are in the order of turn, then role, then text; null roles and texts are empty, null turns
-    come first, and rows without conv_id are one conversation. loss_spans are the escaped texts of the
+    Turns are in the order of turn, then role, then text (as given, not as escaped); null roles and texts are
+    empty, null turns come last, and each row without conv_id is a conversation of its own. loss_spans are the escaped texts of the
     assistant's turns, in code points and in bytes of ``formatted``. A conversation is one value of the
     output and has to fit a task. Repeated rows are repeated turns; an empty table gives no rows.
     """
     role, text = escape(F.col("role")), escape(F.col("text"))
     trained = F.coalesce(F.col("role") == TRAINED, F.lit(False))
-    t = turns.select("conv_id", "turn", trained.alias("trained"), F.concat(F.lit(TURN), role, F.lit(BODY)).alias("head"), text.alias("body"), F.when(trained, CLOSE_TRAINED).otherwise(CLOSE).alias("tail"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "head", "body")
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    t = turns.select("conv_id", alone.alias("alone"), "turn", F.coalesce("role", F.lit("")).alias("by_role"), F.coalesce("text", F.lit("")).alias("by_text"), trained.alias("trained"), F.concat(F.lit(TURN), role, F.lit(BODY)).alias("head"), text.alias("body"), F.when(trained, CLOSE_TRAINED).otherwise(CLOSE).alias("tail"))
+    order = Window.partitionBy("conv_id", "alone").orderBy(F.col("turn").asc_nulls_last(), "by_role", "by_text")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     piece = F.concat("head", "body", "tail")
     t = t.withColumn("piece", piece)
-    t = t.select("conv_id", "trained", "piece", F.length("head").alias("h"), F.length("body").alias("b"), F.octet_length("head").alias("hb"), F.octet_length("body").alias("bb"),
+    t = t.select("conv_id", "alone", "trained", "piece", F.length("head").alias("h"), F.length("body").alias("b"), F.octet_length("head").alias("hb"), F.octet_length("body").alias("bb"),
                  F.row_number().over(order).alias("no"), F.coalesce(F.sum(F.length("piece").cast("long")).over(before), F.lit(0)).alias("at"), F.coalesce(F.sum(F.octet_length("piece").cast("long")).over(before), F.lit(0)).alias("at_b"))
     span = F.struct((F.col("at") + F.col("h")).alias("start"), F.col("b").cast("long").alias("length"), (F.col("at_b") + F.col("hb")).alias("byte_start"), F.col("bb").cast("long").alias("byte_length"))
-    g = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sort_array(F.collect_list(F.struct("no", "piece"))).alias("pieces"), F.sort_array(F.collect_list(F.when(F.col("trained"), span))).alias("loss_spans"))
+    g = t.groupBy("conv_id", "alone").agg(F.count(F.lit(1)).alias("n_turns"), F.sort_array(F.collect_list(F.struct("no", "piece"))).alias("pieces"), F.sort_array(F.collect_list(F.when(F.col("trained"), span))).alias("loss_spans"))
     return g.select("conv_id", "n_turns", F.array_join(F.col("pieces.piece"), "").alias("formatted"), "loss_spans")
 
 
