@@ -44,6 +44,8 @@ KNOWN = (
     ("MIT", "Released under the MIT License."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 )
 
 #: Digests of the canonical forms of longer licences' full texts, as Debian's common-licenses have them;
@@ -73,25 +75,31 @@ FULL = (
 COPYRIGHT_LINE = r"(?m)^[^\pL\pN\n]*(?:portions |all contributions )?(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9]{4}|by |the regents|all rights)[^\n]*$|^[^\pL\pN\n]*all rights reserved[^\pL\pN\n]*$"
 
 
+#: Equivalent spellings that are one word, and those of which a side is two.
+_WORDS = {a: b for a, b in EQUIVALENT if " " not in a + b}
+_PHRASES = tuple((a, b) for a, b in EQUIVALENT if " " in a + b)
+
+
 def canonical(text: Column) -> Column:
-    """The canonical form; null gives an empty string."""
+    """The canonical form; null gives an empty string.
+
+    Spellings are made one token by token, so that neighbours never share a blank. Single words first: what they become
+    may be part of a phrase. The list is looked up only in texts that hold one of its words.
+    """
     c = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"))
     c = F.regexp_replace(c, COPYRIGHT_LINE, "")
-    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, r"[^\pL\pN]+", " ")), F.lit(" "))
-    for a, b in EQUIVALENT:
-        c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(c)
-
-
-def canonical_sql(text: str) -> str:
-    """The same in DuckDB."""
-    line = COPYRIGHT_LINE.removeprefix("(?m)").replace(r"\pL\pN", r"\p{L}\p{N}")
-    c = f"lower(regexp_replace(coalesce({text}, ''), '\\r\\n?', chr(10), 'g'))"
-    c = f"regexp_replace({c}, '(?m){line}', '', 'g')"
-    c = f"' ' || trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
-    for a, b in EQUIVALENT:
-        c = f"replace({c}, ' {a} ', ' {b} ')"
-    return f"trim({c})"
+    c = F.trim(F.regexp_replace(c, r"[^\pL\pN]+", " "))
+    same = F.create_map(*(F.lit(x) for kv in _WORDS.items() for x in kv))
+
+    def spelt(c: Column) -> Column:
+        words = F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(F.try_element_at(same, w), w)), " ")
+        return F.when(c.rlike(rf"(?<![^ ])(?:{'|'.join(_WORDS)})(?![^ ])"), words).otherwise(c)
+
+    # Through an array of one, so that what comes before is worked out once.
+    c = F.element_at(F.transform(F.array(c), spelt), 1)
+    for a, b in _PHRASES:
+        c = F.regexp_replace(c, rf"(?<![^ ]){a}(?![^ ])", b)
+    return c
 
 
 def known_licences(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN, full: tuple[tuple[str, str], ...] = FULL) -> DataFrame:
