@@ -17,6 +17,8 @@ from .common import ascii_lower, cut
 BITS, PER_BLOCK = 4, 4
 #: Up to so many listed keys the filter (a few bytes a key) and the list are sent to every task; above, both are shuffled.
 FEW_KEYS = 100_000
+#: Above, a key that very many URLs have (``rule com/``) is dealt into so many parts when its hit is joined back.
+SALTS = 16
 #: Query parameters that only track.
 TRACKING = r"(?i)^(utm_[a-z_]+|ref|fbclid|gclid)(=|$)"
 
@@ -78,12 +80,14 @@ def _keys(lengths: list[int]) -> Column:
     return F.concat(made, F.array(F.concat(F.lit("url "), F.col("canonical"))))
 
 
-def judge(pages: DataFrame, rules: DataFrame, urls: DataFrame | None = None, few: int = FEW_KEYS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, urls: DataFrame | None = None, few: int = FEW_KEYS, stats: dict | None = None) -> DataFrame:
     """(page_id, host, path, canonical, rule, verdict) for every row of pages (page_id, url, any more).
 
     The longest fitting rule decides. Without one, a URL whose canonical form is listed is blocked and any
     other allowed. Null urls and those without ``://`` have empty hosts and paths, which no rule
-    fits unless it is empty too. Repeated rows stay; an empty table gives no rows, an empty list allows all.
+    fits unless it is empty too. Above ``few`` listed keys the filter and the list are shuffled, each distinct key is
+    looked up once, and hits are joined back with salt. ``stats`` gets the number of keys the filter
+    lets through (``possible``) and of those listed (``listed``). Repeated rows stay; an empty table gives no rows, an empty list allows all.
     """
     listed = cut(listing(rules, urls))
     n = listed.count()
@@ -94,9 +98,16 @@ def judge(pages: DataFrame, rules: DataFrame, urls: DataFrame | None = None, few
     sent = F.broadcast if small else (lambda df: df)
     parts = cut(pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical_of(F.col("url")).alias("canonical")))
     keys = parts.select("host", "path", "canonical").distinct().withColumn("key", F.explode(_keys(lengths)))
-    keys = keys.withColumn("block", _block(F.col("key"), blocks)).withColumn("mask", _mask(F.col("key")))
-    possible = keys.join(sent(bloom(listed.select("key"), blocks)), "block").where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"))
-    hits = possible.join(sent(listed), "key").groupBy("host", "path", "canonical").agg(F.max(F.struct(F.coalesce(F.length("rule"), F.lit(-1)), "rule", "verdict")).alias("best"))
+    asked = keys if small else keys.select("key").distinct()
+    asked = asked.withColumn("block", _block(F.col("key"), blocks)).withColumn("mask", _mask(F.col("key")))
+    possible = asked.join(sent(bloom(listed.select("key"), blocks)), "block").where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"))
+    found = possible.join(sent(listed), "key")
+    if stats is not None:
+        stats |= {"possible": possible.select("key").distinct().count(), "listed": found.select("key").distinct().count()}
+    if not small:
+        salted = found.select("key", "rule", "verdict", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        found = keys.withColumn("salt", F.pmod(F.xxhash64("host", "path", "canonical"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    hits = found.groupBy("host", "path", "canonical").agg(F.max(F.struct(F.coalesce(F.length("rule"), F.lit(-1)), "rule", "verdict")).alias("best"))
     hits = cut(hits.select(F.xxhash64("host", "path", "canonical").alias("h"), *(F.col(c).alias(f"_{c}") for c in ("host", "path", "canonical")), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")))
     same = (F.xxhash64("host", "path", "canonical") == F.col("h")) & (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")) & (F.col("canonical") == F.col("_canonical"))
     return parts.join(hits, same, "left").select("page_id", "host", "path", "canonical", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
