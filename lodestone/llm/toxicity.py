@@ -23,8 +23,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import cut
 
-#: At most about so many labelled rows are read for fitting, and so many patterns kept.
-SAMPLE_ROWS, LEXICON_SIZE = 20_000, 5_000
+#: At most about so many labelled rows are read for fitting, and so many patterns kept; a pattern counts at most BURST times
+#: in one document, so that repetitive texts don't rule. All three are parameters of fit().
+SAMPLE_ROWS, LEXICON_SIZE, BURST = 20_000, 5_000, 8
 #: Letters of other scripts and signs that look like Latin letters.
 HOMOGLYPHS = dict(zip("авеіјкмнорстухѕԁɡօαβεηικνορτυχ@$€£", "abeijkmhopctyxsdgoabenikvoptuxasel", strict=True))
 DIGITS = dict(zip("0134578", "oieastb", strict=True))
@@ -113,22 +114,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-#: A pattern counts at most so often in one document, so that repetitive texts don't rule.
-BURST = 8
-
-
 def _evidence(words: list[str]) -> Counter:
     """How often each whole word (as ``word ``) and each beginning of a word comes; under "", all words."""
     out = Counter({"": len(words)})
     for w, n in Counter(words).items():
-        if len(w) <= 40:
-            out[f"{w} "] += n
+        out[f"{w} "] += n
         for k in range(MIN_PREFIX, min(MAX_PREFIX, len(w)) + 1):
             out[w[:k]] += n
     return out
 
 
-def _counts(sample: DataFrame) -> DataFrame:
+def _counts(sample: DataFrame, burst: int) -> DataFrame:
     """(pattern, docs0, docs1, n0, n1): documents and occurrences, by label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +137,7 @@ def _counts(sample: DataFrame) -> DataFrame:
             for t, toxic in zip(b.column(0), b.column(1).to_pylist()):
                 own = _evidence(fold(t.as_py()))
                 by[toxic].update(own.keys())
-                by[2 + toxic].update({k: min(n, BURST) if k else n for k, n in own.items()})
+                by[2 + toxic].update({k: min(n, burst) if k else n for k, n in own.items()})
                 if len(by[0]) + len(by[1]) > 1_000_000:
                     yield made(by)
                     by = [Counter() for _ in range(4)]
@@ -172,12 +168,13 @@ def _choose(rows: list[tuple[str, int, float]]) -> tuple[dict[str, float], dict[
     return words, prefixes
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon_size: int = LEXICON_SIZE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon_size: int = LEXICON_SIZE, burst: int = BURST) -> Model:
     """A model from labels (doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0.
 
     Of several labels of a document the largest counts; null labels and documents without text are
     left out. About ``sample_rows`` labelled rows at most are used, chosen by hash of doc_id; that
-    bound also bounds what reaches the driver (three numbers a row, and ``lexicon_size`` patterns).
+    bound also bounds what reaches the driver (three numbers a row, and ``lexicon_size`` patterns). A pattern
+    counts at most ``burst`` times in one document; no word is too long to be one.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5 != 0))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -189,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     if not n_pos or not n_neg:
         return Model({w: 3.0 for w in SEED}, {})
-    counts = cut(_counts(sample))
+    counts = cut(_counts(sample, burst))
     all0, all1 = counts.where("pattern = ''").select("n0", "n1").first()
     odds = F.log((F.col("n1") + 0.5) / (all1 + 1) / ((F.col("n0") + 0.5) / (all0 + 1)))
     # The log odds less two standard errors, which go by documents: words come in bursts.
