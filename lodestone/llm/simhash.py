@@ -10,7 +10,7 @@ links, never all its pairs.
 so few bits of a fingerprint, least of all where a passage is cut off or added. So each text also has
 keys, each made of the least values that several hash functions give its five-word shingles: two texts
 have a key in common with a chance that depends on the share of common shingles alone. Texts with a
-key in common are candidates, and are linked if their shingles are compared and found similar.
+key in common are candidates, and are linked if their shingles, all of them, are compared and found similar.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh
@@ -30,11 +30,12 @@ RADIUS = 4
 #: A tree holds at most so many fingerprints; larger shards are split, and their parts meet in pairs.
 TREE_ROWS = 8192
 #: For similar(): keys a text, least values a key (at a share s, 1 - (1 - s**LEAST)**KEYS have a key in common),
-#: texts compared at once, and shingle hashes kept of a text.
-KEYS, LEAST, TREE_TEXTS, SKETCH = 25, 5, 2048, 1024
+#: and texts and shingle hashes compared at once.
+KEYS, LEAST, TREE_TEXTS, TREE_SHINGLES = 25, 5, 2048, 4_000_000
 SHINGLE, SIMILARITY = 5, 0.8
 _CHUNK = 1 << 16
 _ALL = (1 << 64) - 1
+_NONE = np.zeros(0, np.uint64)
 
 
 def _signed(x: int) -> int:
@@ -99,18 +100,21 @@ def keys_of(text: str | None) -> list[int]:
     return key.tolist()
 
 
-def sketch(text: str | None, size: int = SKETCH) -> np.ndarray:
-    """The smallest hashes of the distinct five-word shingles: all of them in texts of up to ``size``."""
-    return np.unique(family(shingle_hashes(words_of(text), SHINGLE), -1))[:size]
+def shingles_of(text: str | None) -> np.ndarray:
+    """The hashes of the distinct five-word shingles, in order."""
+    return np.unique(family(shingle_hashes(words_of(text), SHINGLE), -1))
 
 
-def similarity(a: frozenset[int], b: frozenset[int], size: int = SKETCH) -> float:
-    """The share of common shingles, from two sketches: exact if both are whole, else over the hashes both cover."""
-    if len(a) >= size or len(b) >= size:
-        top = min(max(x) for x in (a, b) if len(x) >= size)
-        a, b = ({h for h in x if h <= top} for x in (a, b))
-    both = len(a & b)
-    return both / max(1, len(a) + len(b) - both)
+def similar_shingles(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the share of common shingles is at least so much."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or len(a) < least * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return both >= least * (len(a) + len(b) - both)
 
 
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
@@ -246,10 +250,14 @@ def _by_key(rows: DataFrame, keys: list[str], found: Callable[[list, list], list
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _dealt(rows: DataFrame, key: str, value: str, large: DataFrame, rows_a_tree: int) -> DataFrame:
-    """rows of the keys in large (key, n), once for each pair of parts they are in: with lo, hi and side."""
-    parts = F.ceil(2 * F.col("n") / F.lit(rows_a_tree)).cast("int")
-    dealt = rows.join(large, key).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(value, F.lit(7)), "parts").cast("int"))
+def _parted(rows: DataFrame, key: str, value: str, large: DataFrame) -> DataFrame:
+    """rows of the keys in large (key, parts), each with its part."""
+    return rows.join(large.select(key, "parts"), key).withColumn("part", F.pmod(F.xxhash64(value, F.lit(7)), "parts").cast("int"))
+
+
+def _dealt(rows: DataFrame, key: str, value: str, large: DataFrame) -> DataFrame:
+    """rows of the keys in large, once for each pair of parts they are in: with lo, hi and side."""
+    dealt = _parted(rows, key, value, large)
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return met.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other"), "side": F.when(F.col("part") > F.col("other"), 1).otherwise(0)})
 
@@ -265,11 +273,11 @@ def links(fps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> D
     def found(left: list[int], right: list[int]) -> list[tuple[int, int]]:
         return [(_signed(a), _signed(b)) for a, b in shard_links(*([x & _ALL for x in side] for side in (left, right)), radius)]
 
-    large = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_rows))
+    large = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_rows).withColumn("parts", F.ceil(2 * F.col("n") / F.lit(tree_rows)).cast("int")))
     if large.isEmpty():
         return _by_key(keyed.withColumn("side", F.lit(0)), ["key"], found)
     small = _by_key(keyed.join(large, "key", "left_anti").withColumn("side", F.lit(0)), ["key"], found)
-    return small.unionByName(_by_key(_dealt(keyed, "key", "fp", large, tree_rows), ["key", "lo", "hi"], found))
+    return small.unionByName(_by_key(_dealt(keyed, "key", "fp", large), ["key", "lo", "hi"], found))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -323,7 +331,8 @@ def text_links(left: list[dict], right: list[dict], radius: int, least: float) -
     """(text, root) for each text linked within left, or between left and right, if right isn't empty: stars
     around one text of each component.
 
-    Texts link if their fingerprints are within the radius, or if they have a key in common and similar sketches.
+    Texts link if their fingerprints are within the radius, or if they have a key in common and similar shingles.
+    Those that share a ``root`` are linked already.
     """
     forest = Forest()
     find = forest.find
@@ -331,12 +340,15 @@ def text_links(left: list[dict], right: list[dict], radius: int, least: float) -
     texts, shingles = [], []
     # Of each key, the texts by a member of their component: a component is passed over as a whole once it is joined.
     holders: dict[int, dict[int, list[int]]] = {}
+    known: dict[int, int] = {}
 
     for side, rows in enumerate((left, right)):
         for row in rows:
             i = forest.add()
             texts.append(row["text_id"])
-            shingles.append(frozenset(np.frombuffer(row["sketch"] or b"", np.uint64).tolist()))
+            shingles.append(np.frombuffer(row["shingles"], np.uint64) if row["shingles"] else _NONE)
+            if row["root"] is not None:
+                forest.union(i, known.setdefault(row["root"], i))
             x, keys = row["fp"] & _ALL, row["keys"]
             if side or not right:
                 for _ in tree.link(x, i):
@@ -347,7 +359,7 @@ def text_links(left: list[dict], right: list[dict], radius: int, least: float) -
                         if find(root) == find(i):
                             continue
                         for j in members:
-                            if j not in tried and similarity(shingles[i], shingles[j]) >= least:
+                            if j not in tried and similar_shingles(shingles[i], shingles[j], least):
                                 forest.union(i, j)
                                 break
                             tried.add(j)
@@ -364,27 +376,52 @@ def text_links(left: list[dict], right: list[dict], radius: int, least: float) -
     return [(texts[i], texts[r]) for i, r in enumerate(roots) if r in several]
 
 
+def _hashes() -> tuple[Column, Column]:
+    """Two 64-bit hashes of the text with seeds of their own, a null text being empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def _apart(df: DataFrame, clash: DataFrame | None, text_id: str = "text_id", check: str = "check") -> DataFrame:
+    """df with a new number for texts that share their first hash but not their second: 128 bits tell texts apart."""
+    if clash is None:
+        return df
+    # Of n texts about n * n / 2**65 share a number.
+    other = fresh("_clash", df)
+    both = df.join(F.broadcast(clash.select(F.col("text_id").alias(other))), F.col(text_id) == F.col(other), "left")
+    return both.withColumn(text_id, F.when(F.col(other).isNotNull(), F.xxhash64(text_id, check)).otherwise(F.col(text_id))).drop(other)
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_id, text): text_id is a 64-bit hash of the text, a null text being empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_id"), "text")
+    """(doc_id, text_id, check, text)."""
+    text_id, check = _hashes()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id.alias("text_id"), check.alias("check"), "text")
 
 
-def _classes(docs: DataFrame, k: int = 4, radius: int = RADIUS, least: float = SIMILARITY, tree_rows: int = TREE_ROWS, tree_texts: int = TREE_TEXTS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_id) of every row, and (text_id, root) of the texts that link to others."""
+def _classes(docs: DataFrame, k: int = 4, radius: int = RADIUS, least: float = SIMILARITY, tree_rows: int = TREE_ROWS, tree_texts: int = TREE_TEXTS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(doc_id, text_id) of every row, (text_id, root) of the texts that link to others, and the clashes of _apart()."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() for t in b.column(2)]
+            texts = [t.as_py() for t in b.column(3)]
             fps = pa.array([_signed(fingerprint(t, k)) for t in texts], pa.int64())
             keys = pa.array([[_signed(x) for x in keys_of(t)] for t in texts], pa.list_(pa.int64()))
-            yield pa.record_batch([b.column(0), b.column(1), fps, keys], names=["doc_id", "text_id", "fp", "keys"])
+            yield pa.record_batch([*b.columns[:3], fps, keys], names=["doc_id", "text_id", "check", "fp", "keys"])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([sketch(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["text_id", "sketch"])
+            yield pa.record_batch([b.column(0), pa.array([shingles_of(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["text_id", "shingles"])
 
-    own = cut(_numbered(docs).mapInArrow(sign, "doc_id long, text_id long, fp long, keys array<long>"))
-    texts = cut(own.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    def distinct(own: DataFrame) -> DataFrame:
+        return cut(own.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("check").alias("check"), F.max("check").alias("check_2")))
+
+    own = cut(_numbered(docs).mapInArrow(sign, "doc_id long, text_id long, check long, fp long, keys array<long>"))
+    texts, clash = distinct(own), None
+    if not texts.where("check <> check_2").isEmpty():
+        clash = texts.where("check <> check_2")
+        own = _apart(own, clash)
+        texts = distinct(own)
+    texts = texts.drop("check", "check_2")
 
     def stars(pool: DataFrame, names: DataFrame) -> DataFrame:
         return pool.join(names, "value").select(F.col("text_id").alias("a"), F.col("name").alias("b"))
@@ -400,47 +437,71 @@ def _classes(docs: DataFrame, k: int = 4, radius: int = RADIUS, least: float = S
     # Only texts that have candidates are looked at again, one row of each.
     members = cut(texts.join(rough, "text_id"))
     asked = members.select(F.col("text_id").alias("_text_id"), "first_id")
-    seen = _numbered(docs).join(asked, (F.col("doc_id") == F.col("first_id")) & (F.col("text_id") == F.col("_text_id")))
-    sketches = seen.select("text_id", "text").mapInArrow(draw, "text_id long, sketch binary").groupBy("text_id").agg(F.max("sketch").alias("sketch"))
-    rows = cut(members.join(sketches, "text_id", "left").select("rough", "text_id", F.struct("text_id", "fp", "keys", "sketch").alias("member")))
+    seen = _apart(_numbered(docs), clash).join(asked, (F.col("doc_id") == F.col("first_id")) & (F.col("text_id") == F.col("_text_id")))
+    drawn = seen.select("text_id", "text").mapInArrow(draw, "text_id long, shingles binary").groupBy("text_id").agg(F.max("shingles").alias("shingles"))
+    member = F.struct("text_id", "fp", "keys", "shingles", F.lit(None).cast("long").alias("root"))
+    rows = cut(members.join(drawn, "text_id", "left").select("rough", "text_id", member.alias("member")))
 
     def found(left: list[dict], right: list[dict]) -> list[tuple[int, int]]:
         return text_links(left, right, radius, least)
 
-    large = cut(rows.groupBy("rough").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_texts))
-    # A candidate component that fits one tree comes back as classes; of larger ones, the parts' classes are put together.
+    size = F.greatest(F.count(F.lit(1)) / tree_texts, F.sum(F.octet_length("member.shingles") / 8) / TREE_SHINGLES)
+    large = cut(rows.groupBy("rough").agg(size.alias("size")).where("size > 1").withColumn("parts", F.ceil(2 * F.col("size")).cast("int")))
+    # A candidate component that fits one tree comes back as classes.
     whole = rows.join(large, "rough", "left_anti").withColumn("side", F.lit(0))
     classes = _by_key(whole, ["rough"], found, "member").toDF("text_id", "root")
     if not large.isEmpty():
-        linked = _by_key(_dealt(rows, "rough", "text_id", large, tree_texts), ["rough", "lo", "hi"], found, "member")
-        classes = classes.unionByName(components(linked).toDF("text_id", "root"))
-    return own.select("doc_id", "text_id"), classes
+        classes = classes.unionByName(_large_classes(rows, large, found, tree_texts))
+    return own.select("doc_id", "text_id"), classes, clash
+
+
+def _large_classes(rows: DataFrame, large: DataFrame, found: Callable[[list, list], list[tuple[int, int]]], tree_texts: int) -> DataFrame:
+    """(text_id, root) of the candidate components in large, whose parts are compared one by one.
+
+    First each part by itself, then one text of each part's classes with the others'. A family whose texts are alike is
+    one class after that, in work that grows with its size. Only components that still have several classes have all their
+    parts compared pair by pair, which leaves no link out.
+    """
+    parted = cut(_parted(rows, "rough", "text_id", large).withColumn("side", F.lit(0)))
+    first = cut(_by_key(parted, ["rough", "part"], found, "member"))
+    heads = cut(parted.select("rough", "text_id", "member", "side").join(first.where("a <> b").select(F.col("a").alias("text_id")), "text_id", "left_anti"))
+    few = heads.groupBy("rough").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= tree_texts).select("rough")
+    second = _by_key(heads.join(few, "rough", "left_semi"), ["rough"], found, "member")
+    state = cut(components(first.unionByName(second).where("a <> b")).toDF("text_id", "root"))
+    named = cut(parted.select("rough", "text_id", "member").join(state, "text_id", "left").withColumn("root", F.coalesce("root", "text_id")))
+    apart = named.groupBy("rough").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("rough")
+    apart = cut(large.join(apart, "rough", "left_semi"))
+    if apart.isEmpty():
+        return state
+    member = F.struct("member.text_id", "member.fp", "member.keys", "member.shingles", "root")
+    third = _by_key(_dealt(named.select("rough", "text_id", member.alias("member")), "rough", "text_id", apart), ["rough", "lo", "hi"], found, "member")
+    return components(state.toDF("a", "b").unionByName(third).where("a <> b")).toDF("text_id", "root")
 
 
 def similar(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, text_id, root) for every row of docs (doc_id, text, any more): rows of a class share a root.
 
     Classes join what near_duplicates() links, and texts that share at least ``least`` of their five-word
-    shingles if they have a key in common (at a share of 0.8 all but 5 in 100,000 pairs have one; for texts over SKETCH shingles the share
-    is estimated, with a standard error of 0.013 at most). Equal texts are one node. Two of n different texts get the same
-    text_id with a probability below n * n / 2**65. Null and empty texts are equal. Texts all of whose
+    shingles if they have a key in common (at a share of 0.8 all but 5 in 100,000 pairs have one). Equal texts are one
+    node; 128 bits of hash tell texts apart. Null and empty texts are equal. Texts all of whose
     doc_ids are null link by their fingerprint only. An empty table gives no rows.
     """
-    own, classes = _classes(docs, **how)
+    own, classes, _ = _classes(docs, **how)
     return own.join(classes, "text_id", "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("root"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each class that similar() finds: the one with the smallest doc_id (a null only
     where there is no other); rows alike in doc_id and text keep one."""
-    own, classes = _classes(docs, **how)
+    own, classes, clash = _classes(docs, **how)
     # By text first, with partial minima: however many copies a text has, no task gets all of them.
     rows = own.groupBy("doc_id", "text_id").agg(F.count(F.lit(1)).alias("n"))
     best = rows.groupBy("text_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "n")).alias("best"))
     best = best.join(classes, "text_id", "left").groupBy(F.coalesce("root", "text_id").alias("root")).agg(F.min("best").alias("best"))
     kept = cut(best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_id").alias("_text_id"), F.col("best.n").alias("_n")))
-    text_id = fresh("_text", docs)
-    marked = docs.withColumn(text_id, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    text_id, check = fresh("_text", docs), fresh("_check", docs)
+    one, two = _hashes()
+    marked = _apart(docs.withColumn(text_id, one).withColumn(check, two), clash, text_id, check)
 
     def those(some: DataFrame) -> DataFrame:
         return marked.join(some, marked["doc_id"].cast("long").eqNullSafe(some["_id"]) & (marked[text_id] == some["_text_id"]), "left_semi")
@@ -448,4 +509,4 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     out, repeated = those(kept.where("_n = 1")), kept.where("_n > 1")
     if not repeated.isEmpty():
         out = out.unionByName(those(repeated).dropDuplicates(["doc_id", text_id]))
-    return out.drop(text_id)
+    return out.drop(text_id, check)
