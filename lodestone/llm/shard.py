@@ -27,7 +27,8 @@ def quotas(want: list[list[int]], have: list[int], free: list[int], linked: list
     """Granted moves and the repayments (shard, kind, lo, hi, to) that leave the counts at most one apart.
 
     lo and hi are ranks among the shard's free rows (kind STAY_FREE) or, only where those don't
-    suffice, among its linked rows that stay.
+    suffice, among its linked rows that stay, or last those whose move to another shard (kind) was refused.
+    So every row of a shard can pay, and the counts always come out.
     """
     n, total = len(have), sum(have)
     goal = [total // n + (s < total % n) for s in range(n)]
@@ -48,19 +49,16 @@ def quotas(want: list[list[int]], have: list[int], free: list[int], linked: list
     gaps = [[b, goal[b] - after[b]] for b in range(n) if after[b] < goal[b]]
     pay = []
     for b in range(n):
-        surplus, used = after[b] - goal[b], {STAY_FREE: 0, STAY_LINKED: 0}
-        while surplus > 0:
-            kind = STAY_FREE if used[STAY_FREE] < free[b] else STAY_LINKED
-            room = (free[b] if kind == STAY_FREE else linked[b]) - used[kind]
-            if not room:
-                break
-            k = min(surplus, gaps[-1][1], room)
-            pay.append((b, kind, used[kind], used[kind] + k, gaps[-1][0]))
-            used[kind] += k
-            surplus -= k
-            gaps[-1][1] -= k
-            if not gaps[-1][1]:
-                gaps.pop()
+        surplus = after[b] - goal[b]
+        for kind, at, end in ((STAY_FREE, 0, free[b]), (STAY_LINKED, 0, linked[b]), *((c, grant[b][c], want[b][c]) for c in range(n))):
+            while surplus > 0 and at < end:
+                k = min(surplus, gaps[-1][1], end - at)
+                pay.append((b, kind, at, at + k, gaps[-1][0]))
+                at += k
+                surplus -= k
+                gaps[-1][1] -= k
+                if not gaps[-1][1]:
+                    gaps.pop()
     return grant, pay
 
 
