@@ -10,12 +10,14 @@ from .common import table
 
 #: Fixed values of the URL query: host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: The listed URLs of the query: those of pages on hosts whose first label is this, standing for an outside list.
-LISTED_LABEL = "spam-farm"
+#: The parts of the listed URLs, those with even numbers below LISTED_BELOW. Odd numbers, other endings and queries
+#: that don't merely track are near misses.
+LISTED_HOSTS = ("", "m.", "blog."), ("spam-farm", "casino-win", "free-bets", "cheap-pills"), ("com", "org")
+LISTED_PATHS, LISTED_BELOW = ("en", "fr", "de", "es"), 1000
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.cut(topk.integer_vectors(table(spark, sf_dir, "embeddings")))
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
@@ -42,14 +44,21 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
-    listed = pages.where(urls.host_of(F.col("url")).startswith(f"{LISTED_LABEL}."))
-    return urls.judge(pages, rules, listed)
+    return urls.judge(pages, rules, listed_urls(spark))
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """(url): an outside list, made by a rule."""
+    hosts = [f"{a}{b}.example.{c}" for a in LISTED_HOSTS[0] for b in LISTED_HOSTS[1] for c in LISTED_HOSTS[2]]
+    of = lambda values: F.explode(F.array(*map(F.lit, values)))
+    parts = spark.range(0, LISTED_BELOW, 2).withColumn("host", of(hosts)).withColumn("lang", of(LISTED_PATHS))
+    return parts.select(F.format_string("http://%s/%s/%d", "host", "lang", "id").alias("url"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
@@ -86,18 +95,30 @@ QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_chat_formatting, op3_lice
 
 _W = r"[^\x20\x09-\x0D]+"
 
+
+def _canonical_sql(text: str) -> str:
+    """The canonical licence text in DuckDB: every word between blanks of its own, so that plain replacing loses none."""
+    line = license.COPYRIGHT_LINE.removeprefix("(?m)").replace(r"\pL\pN", r"\p{L}\p{N}")
+    c = f"regexp_replace(lower(regexp_replace({text}, '\\r\\n?', chr(10), 'g')), '(?m){line}', '', 'g')"
+    c = f"' ' || replace(trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ', '  ') || ' '"
+    for a, b in sorted(license.EQUIVALENT, key=lambda ab: " " in ab[0] + ab[1]):
+        c = f"replace({c}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+    return f"trim(replace({c}, '  ', ' '))"
+
+
+
 ORACLES = {
     "op1_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(range(1, 65), lambda i: q.x[i] * d.x[i]))::BIGINT AS score
-              FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+              FROM (SELECT vec_id, min(x) AS x FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id) q JOIN v d ON q.vec_id <> d.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op2_chat_formatting": """
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-        e AS (SELECT *, (length(role || text) - length(replace(role || text, chr(92), ''))
+        e AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, (length(role || text) - length(replace(role || text, chr(92), ''))
                 + 2 * ((length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '</s>', ''))) // 4
                 + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7)) AS grown FROM t)
         SELECT conv_id, count(*)::BIGINT AS n_turns,
@@ -105,10 +126,13 @@ ORACLES = {
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length(role) + length(text) + grown + 3 + 6 + CASE WHEN role = 'assistant' THEN 4 ELSE 7 END)::BIGINT AS formatted_chars
-        FROM e GROUP BY conv_id""",
-    "op3_license_scan": "WITH k AS (SELECT sha256(" + license.canonical_sql("text") + ") AS digest, min(licence) AS licence FROM (VALUES "
-        + ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in license.KNOWN)
-        + ") AS x(licence, text) GROUP BY 1), d AS (SELECT doc_id, sha256(" + license.canonical_sql("text") + ") AS digest FROM documents) SELECT doc_id, digest, licence FROM d LEFT JOIN k USING (digest)",
+        FROM e GROUP BY conv_id, alone""",
+    "op3_license_scan": f"""
+        WITH t AS (SELECT licence, text, NULL AS doc_id, NULL AS digest FROM (VALUES {", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in license.KNOWN)}) AS x(licence, text)
+                   UNION ALL SELECT NULL, coalesce(text, ''), doc_id, NULL FROM documents),
+        c AS (SELECT licence, doc_id, sha256({_canonical_sql("text")}) AS digest FROM t),
+        k AS (SELECT digest, min(licence) AS licence FROM (SELECT digest, licence FROM c WHERE licence IS NOT NULL UNION ALL VALUES {", ".join(f"('{d}', '{n}')" for n, d in license.FULL)}) GROUP BY digest)
+        SELECT c.doc_id, c.digest, k.licence FROM c LEFT JOIN k ON c.digest = k.digest WHERE c.licence IS NULL""",
     "op4_url_filter": """
         WITH p AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                           coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
@@ -118,12 +142,14 @@ ORACLES = {
                              WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
                              WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
                              WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM c),
-        l AS (SELECT DISTINCT canonical FROM c WHERE starts_with(host, 'spam-farm.'))
+        l AS (SELECT a || b || '.example.' || t || '/' || g || '/' || n::VARCHAR AS canonical FROM (SELECT unnest(['', 'm.', 'blog.']) AS a), (SELECT unnest(['spam-farm', 'casino-win', 'free-bets', 'cheap-pills']) AS b),
+              (SELECT unnest(['com', 'org']) AS t), (SELECT unnest(['en', 'fr', 'de', 'es']) AS g), (SELECT unnest(range(0, 1000, 2)) AS n))
         SELECT page_id, host, path, r.canonical, rule,
                CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
         FROM r LEFT JOIN l ON r.canonical = l.canonical""",
     "op9_mixing": f"""
-        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_W}')), 0)::BIGINT AS size FROM documents),
+        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_W}')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest,
+                          row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1 AS place FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 3 * source_size AS stop FROM s),
         l AS (SELECT *, row_number() OVER o AS place,
@@ -132,11 +158,8 @@ ORACLES = {
         h AS (SELECT min_by(level, place) AS held FROM l WHERE level * w < stop),
         t AS (SELECT source, source_size, CASE WHEN held IS NULL THEN stop::DOUBLE ELSE least(stop::DOUBLE, held * w) END AS target FROM l, h),
         r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM t),
-        u AS (SELECT d.*, r.source_size, r.target, r.rate, x.seed,
-                     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || (x.seed // 4)::VARCHAR), (x.seed % 4) * 8 + 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS draw
-              FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range(16))::INT AS seed) x),
-        g AS (SELECT source, seed, abs(any_value(source_size) * floor(any_value(rate)) + sum(CASE WHEN draw < rate - floor(rate) THEN size ELSE 0 END)::BIGINT - any_value(target)) AS gap FROM u GROUP BY source, seed),
-        b AS (SELECT source, seed FROM g QUALIFY row_number() OVER (PARTITION BY source ORDER BY gap, seed) = 1)
-        SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-        FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source AND u.seed = b.seed""",
+        u AS (SELECT d.*, r.source_size, r.target, r.rate,
+                     ('0x' || substr(md5(concat_ws('|', '0', coalesce((d.doc_id)::VARCHAR, ''), d.digest, (d.place)::VARCHAR)), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS draw
+              FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+        SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM u""",
 }
