@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,10 +14,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the folder the cluster names; a local one only where none is named."""
+    """Point reliable checkpoints at the folder the cluster names.
+
+    Only a local session may do without one; on a cluster a machine's own folder would lose data with its executor.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a shared folder")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -53,32 +53,57 @@ def test_queries_match_sql(spark, sf_dir, name):
 # 1 -------------------------------------------------------------------------------------------------
 
 
-def test_topk_prunes_and_stays_exact(spark):
-    rng = np.random.default_rng(1)
-    centres = rng.normal(size=(8, 16))
-    x = [(i, (centres[i % 8] + 0.1 * rng.normal(size=16)).tolist()) for i in range(900)] + [(i, centres[0].tolist()) for i in range(900, 940)]
-    x += [(2000, None), (2001, [float("nan")] * 16), (2002, [None] * 16), (2003, [float("inf")] * 16), (2004, []), (None, [1.0] * 16), (0, x[0][1]), (2005, [1.5] * 20)]
-    v = topk.integer_vectors(spark.createDataFrame(x, "vec_id long, embedding array<float>"))
-    own = {r.vec_id: r.x for r in v.collect()}
-    assert 2000 not in own and 2003 not in own and own[2004] == [] and len(own) == 942
+def brute_topk(rows, wanted, k=10):
+    """rows (id, vector): of the queries' least vectors, the k best of all rows with another id."""
+    out = {}
+    for q in {i for i, _ in rows if wanted(i)}:
+        v = min(list(x) for i, x in rows if i == q)
+        out[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(v, x)), i) for i, x in rows if i != q)[:k])]
+    return out
+
+
+def asked(df):
     got = defaultdict(list)
-    for r in topk.top_k(v, v.where("vec_id % 100 = 0 or vec_id = 2004"), 10, tile_rows=200, tile_queries=4, block_rows=16).collect():
+    for r in df.collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    for q in got:
-        want = sorted(((-sum(a * b for a, b in zip(own[q], own[d])), d) for d in own if d != q))[:10]
-        assert sorted(got[q]) == [(k + 1, d, -s) for k, (s, d) in enumerate(want)]
-    assert len(got) == 11
-    empty = v.limit(0)
-    assert topk.top_k(empty, empty).count() == 0
+    return {q: sorted(v) for q, v in got.items()}
 
 
-def test_topk_skips_blocks(monkeypatch):
-    x = np.repeat(np.eye(8, dtype=np.int64) * 100, 64, axis=0)
-    seen = []
-    products = topk._products
-    monkeypatch.setattr(topk, "_products", lambda a, b: seen.append(len(a)) or products(a, b))
-    out = topk.best_of_tile(np.array([-1]), x[:1], np.arange(512), x, 10, 64)
-    assert [o[1] for o in out] == list(range(10)) and sum(seen[2:]) < 512
+def test_topk_stays_exact(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(8, 16))
+    x = [(i, (centres[i % 8] + 0.1 * rng.normal(size=16)).tolist()) for i in range(900)] + [(i, centres[0].tolist()) for i in range(900, 940)]
+    x += [(2000, None), (2001, [float("nan")] * 16), (2002, [None] * 16), (2003, [float("inf")] * 16), (2004, []), (None, [1.0] * 16), (0, x[0][1]), (0, [9.0] * 16), (7, [1.5] * 20)]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<float>")
+    for c in ("x", "no", "tile", "pack", "near", "rank", "score"):
+        df = df.withColumn(c, F.lit("x"))
+    v = topk.integer_vectors(df)
+    rows = [(r.vec_id, r.x) for r in v.collect()]
+    assert not {2000, 2001, 2002, 2003} & {i for i, _ in rows} and (2004, []) in rows and len(rows) == 944
+    wide = v.withColumn("tile", F.lit(1))
+    for how in ({"tile_queries": 4, "block_rows": 16}, {"waves": ()}, {"waves": (1, 1), "block_rows": 1000}):
+        assert asked(topk.top_k(wide, wide.where("vec_id % 100 = 0 or vec_id = 2004"), 10, **how)) == brute_topk(rows, lambda i: i % 100 == 0 or i == 2004)
+    few = spark.createDataFrame([(0, [1]), (0, [2]), (5, [])], "vec_id long, x array<long>")
+    assert asked(topk.top_k(few, few, 10)) == {0: [(1, 5, 0)], 5: [(1, 0, 0), (2, 0, 0)]}
+    bare = spark.createDataFrame([(0, []), (100, [])], "vec_id long, x array<long>")
+    assert asked(topk.top_k(bare, bare, 10)) == {0: [(1, 100, 0)], 100: [(1, 0, 0)]}
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0 == topk.top_k(v, v.limit(0)).count()
+
+
+def test_topk_skips_blocks(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 32)) * 300
+    x = np.floor(centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 32)) * 30).astype(int).tolist()
+    x += [x[0]] * 3000  # a vector that a quarter of the rows have
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, x array<long>")
+    stats = {}
+    got = asked(topk.top_k(df, df.where("vec_id % 100 = 0"), 10, block_rows=64, stats=stats))
+    m = np.array(x)
+    for q in list(got)[::9]:
+        s = m @ m[q]
+        order = [i for i in np.lexsort((np.arange(len(m)), -s)) if i != q][:10]
+        assert [(i, s_) for _, i, s_ in got[q]] == [(i, s[i]) for i in order]
+    assert stats["all"] == 11_000 * 110 and stats["scored"] < 0.2 * stats["all"]
 
 
 # 2 -------------------------------------------------------------------------------------------------
@@ -86,16 +111,18 @@ def test_topk_skips_blocks(monkeypatch):
 
 def test_chat_round_trip_and_mask(spark):
     said = ["</s>[INST] ok [/INST]", "\\e\\\\e<\\es>", "<<s></s", "[[INST]", "", None, "tail [", "é漢😀\n", "\\"]
-    rows = [(c, t, ("user", "assistant", None, "sys<s>tem")[t % 4], said[(c + t) % len(said)]) for c in range(9) for t in range(6)] + [(None, 1, "assistant", "a"), (50, None, "assistant", "x"), (50, None, "assistant", "x")]
+    rows = [(c, t, ("user", "assistant", None, "sys<s>tem")[t % 4], said[(c + t) % len(said)]) for c in range(9) for t in range(6)] + [(60, 1, "user", x) for x in ("<s>", "<a", "<", "\\")] + [(None, 1, "assistant", "a"), (50, None, "assistant", "x"), (50, None, "assistant", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)).withColumn("prompt", F.lit(1))
     out = chat.format_turns(chat.turns_of(df))
     out = out.select("*", chat.read_turns(F.col("formatted")).alias("back"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
     by = defaultdict(list)
     for c, t, r, x in rows:
-        by[c].append((t if t is not None else -1, r or "", x or ""))
+        by[c].append((t if t is not None else 99, r or "", x or ""))
     assert len(out) == len(by)
+    alone = chat.format_turns(chat.turns_of(spark.createDataFrame([(None, t, "user", "a") for t in range(5)], "conv_id long, turn long, role string, text string"))).collect()
+    assert [(r.conv_id, r.n_turns) for r in alone] == [(None, 1)] * 5
     for r in out:
-        want = sorted(by[r.conv_id], key=lambda x: x[0])
+        want = sorted(by[r.conv_id])
         assert [(t.role, t.text) for t in r.back] == [w[1:] for w in want] and r.n_turns == len(want)
         assert r.loss == "".join(w[2] for w in want if w[1] == "assistant")
         for s in r.loss_spans:
@@ -137,6 +164,10 @@ def test_license_canonical(spark, odd, none):
     rows = [(1, same), (2, mit + " and more"), (3, "RELEASED under the MIT licence!"), (4, None), (4, ""), (5, "copyright holders")]
     got = [(r.doc_id, r.licence) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
     assert got == [(1, "MIT"), (2, None), (3, "MIT"), (4, None), (4, None), (5, None)]
+    spelt = [f"{a} {a} x {b}" for a, b in license.EQUIVALENT] + ["Licence-LICENCE licence sub licence sub-licence"]
+    back = [f"{b} {b} x {b}" for _, b in license.EQUIVALENT] + ["license license license sublicense sublicense"]
+    for one, two in zip(*([r.c for r in spark.createDataFrame(list(enumerate(x)), "i int, text string").orderBy("i").select(license.canonical(F.col("text")).alias("c")).collect()] for x in (spelt, back))):
+        assert one == two
     assert license.scan(odd).count() == len(ODD) and license.scan(none).count() == 0
 
 
@@ -172,6 +203,13 @@ def test_urls_against_brute_force(spark, sf_dir, few):
     assert len(got) == 2 * len(us)
     for i, u in enumerate(us + us):
         assert got[i] == brute_verdict(u, rules, listed), u
+    if not few:
+        stats = {}
+        many = spark.range(3000).select(F.format_string("http://h%d.test/", "id").alias("url"))
+        near = spark.range(3000).select(F.col("id").alias("page_id"), F.format_string("http://h%d.test/x", "id").alias("url"))
+        got = urls.judge(near.unionByName(spark.createDataFrame([(9000 + i, None) for i in range(50)], "page_id long, url string")), spark.createDataFrame([("h7.test", "/x", "block")], "host string, path string, verdict string"), many, 0, stats)
+        assert [r.page_id for r in got.where("verdict = 'block'").collect()] == [7] and got.count() == 3050
+        assert stats["listed"] == 1 < stats["possible"] < 2000  # the exact join has removed false positives
     assert urls.judge(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
@@ -210,6 +248,37 @@ def test_toxicity_folding_and_exceptions(spark, odd, none):
     assert toxicity.fit(none, labels.limit(0)).words
 
 
+def naive_matches(model, text):
+    """(weight, place) of each word, without an automaton: the whole words' and beginnings' largest weight, unless inside an exception."""
+    words = toxicity.fold(text)
+    out = {}
+    for i, w in enumerate(words):
+        best = max([model.words.get(w, 0.0), *(x for p, x in model.prefixes.items() if w.startswith(p))])
+        if best > 0:
+            out[i] = best
+    for e in (toxicity.fold(e) for e in model.exceptions):
+        for i in range(len(words) - len(e) + 1):
+            if words[i : i + len(e)] == e:
+                for j in range(i, i + len(e)):
+                    out.pop(j, None)
+    return out, len(words)
+
+
+def test_toxicity_scores_against_a_naive_matcher(spark, sf_dir):
+    docs, labels = docs_of(spark, "/root/testdata/sf0.01"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    model.words |= {"can": 1.0, "x" * 60: 2.0}
+    hits = 0
+    extra = ["the trash can is an idiot", "village idiot pub idiot", "x" * 60, "trash trash can", None, ""]
+    for r in toxicity.score(docs.select("doc_id", "text").unionByName(spark.createDataFrame([(i, t) for i, t in enumerate(extra)], "doc_id long, text string")), model).collect():
+        got, n = naive_matches(model, r.text)
+        hits += bool(got)
+        total, n = sum(got.values()), max(n, 1)
+        z = model.bias + model.slopes[0] * np.log1p(total) + model.slopes[1] * np.sqrt(total / n) + model.slopes[2] * np.log1p(100 * len(got) / n)
+        assert r.toxicity == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+    assert hits > 10
+
+
 # 6 -------------------------------------------------------------------------------------------------
 
 
@@ -223,47 +292,92 @@ def edits(a, b):
     return min(row)
 
 
+def passage_within(item, text, width, budget):
+    """Whether any ``width`` characters of the item, wherever they begin, are within the budget of a stretch of the text."""
+    return any(edits(item[s : s + width], text) <= budget for s in range(len(item) - width + 1))
+
+
 def test_decontamination_against_brute_force(spark, odd, none):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
     words = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, words(30)) for i in range(8)] + [(20, "short one here"), (21, None), (22, ""), (0, None)]
+    items = [(i, words(16)) for i in range(8)] + [(20, "zshort one here"), (21, None), (22, ""), (0, None), (23, "zed middling item of under fifty")]
     rows, want = [], set()
     for i in range(60):
-        t = words(40)
+        t = words(12)
         if i % 3:
             item, passage = items[i % 8]
-            passage = list(passage[10:130])
+            at = rng.randrange(len(passage) - 52)
+            passage = list(passage[at : at + 52])
             for _ in range((i % 4) * 2):
                 at = rng.randrange(len(passage))
                 passage[at : at + 1] = rng.choice([["z"], [], [passage[at], "q"]])
-            t = f"{t}\n{''.join(passage).upper()}  {words(40)}"
+            t = f"{t}\n{''.join(passage).upper()}  {words(12)}"
         rows.append((i, t))
         for item, text in items:
             plain = decontam.normalise(text)
-            segs = [plain[s : s + decontam.WIDTH] for s in {*range(0, max(1, len(plain) - 79), 40), max(0, len(plain) - 80)}] if len(plain) >= 20 else []
-            if any(edits(s, decontam.normalise(t)) <= decontam.budget_of(len(s)) for s in segs):
+            if len(plain) >= 50 and passage_within(plain, decontam.normalise(t), 50, 3):
                 want.add((i, item))
+    rows += [(100, "a Zshort  one here!"), (101, "zshort one hereabouts"), (102, f"x {items[-1][1]} y"), (103, f"x {items[-1][1][:-1]}x y")]
+    want |= {(100, 20), (102, 23), (103, 23)}
     df = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string")
     bench = spark.createDataFrame([*items, items[1]], "item_id long, text string")
     got = decontam.contaminated(df, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) + sum(a == rows[1][0] for a, _ in want)
-    assert len({a for a, _ in want}) == 40
+    assert len({a for a, _ in want}) > 25
     several = decontam.contaminated(df, bench, pass_chars=300)
     assert {(r.doc_id, r.item_id) for r in several.collect()} == want
     text = dict(rows)
     for r in got:
-        assert decontam.normalise(text[r.doc_id][r.start : r.end])[:8] in decontam.normalise(text[r.doc_id])
-        assert r.end - r.start < 170
-    assert decontam.drop_contaminated(df, bench).count() == 20 == decontam.drop_contaminated(df, bench, pass_chars=300).count()
+        assert edits(decontam.normalise(dict((k, v) for k, v in items if v)[r.item_id])[r.item_start : r.item_end][:50], decontam.normalise(text[r.doc_id][max(0, r.start - 8) : r.end + 8])) <= 3
+        assert r.end - r.start < 80
+    clean = len(rows) - len({a for a, _ in want})
+    assert decontam.drop_contaminated(df.where("doc_id <> 1"), bench).count() == clean - (1 not in {a for a, _ in want}) == decontam.drop_contaminated(df.where("doc_id <> 1"), bench, pass_chars=300).count()
     # Each row is judged by its own text: sharing a doc_id, or having none, takes no clean row along.
-    bad, good = text[1], text[0]
+    bad, good = text[100], text[0]
     shared = spark.createDataFrame([(7, bad), (7, good), (None, bad), (None, good), (None, None), (7, "")], "doc_id long, text string").withColumn("_id", F.lit("x")).withColumn("item_id", F.lit("y"))
     assert Counter(map(tuple, decontam.drop_contaminated(shared, bench).collect())) == Counter((i, t, "x", "y") for i, t in [(7, good), (None, good), (None, None), (7, "")])
     assert decontam.contaminated(odd, bench).count() == 0 and decontam.drop_contaminated(odd, bench).count() == len(ODD)
     assert decontam.contaminated(none, bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_passages_wherever_they_begin():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    items = [words(60) for _ in range(30)]
+    index = decontam.Index.of_items(list(enumerate(items)))
+    for length in (50, 60, 80, 120):
+        for share in (0, 2):
+            found = 0
+            for _ in range(60):
+                k = rng.randrange(30)
+                at = rng.randrange(len(items[k]) - length)
+                p = list(items[k][at : at + length].strip().ljust(length, "x") if share else items[k][at : at + length])
+                for _ in range(share * length // 50):
+                    p[rng.randrange(len(p))] = "z"
+                found += k in {r[0] for r in decontam.find(index, f"{words(50)} {''.join(p)} {words(50)}")}
+            assert found >= (59 if share else 60), (length, share, found)
+
+
+def test_decontamination_gives_a_row_for_each_region():
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(n))
+    item, gap = words(60), words(400)
+    index = decontam.Index.of_items([(1, item)])
+    a, b = item[:90], item[200:300].strip()
+    t = f"{gap} {a} {gap} {b} {gap} {a}"
+    got = decontam.find(index, t)
+    assert [t[r[4] : r[5]].strip() for r in got] == [a.strip(), b, a.strip()] and all(r[1] == 0 for r in got)
+    assert decontam.original_spans("  A  b\tC ", [(0, 1), (2, 5), (0, 5)]) == [(2, 3), (5, 8), (2, 8)]
+
+
+def test_decontamination_of_repetitive_texts():
+    index = decontam.Index.of_items([(1, "a" * 1500), (2, "xyz hello " * 60)])
+    got = decontam.find(index, "a" * 3000 + " clean words " + "xyz hello " * 100)
+    assert [(r[0], r[1]) for r in got] == [(1, 0), (2, 0)] and got[0][4] == 0 and 3000 <= got[0][5] <= 3003
+
+
 # 7 -------------------------------------------------------------------------------------------------
 
 
@@ -359,7 +473,7 @@ def test_similar_against_brute_force(spark, odd, none, tree_texts):
     found = sum(got[a] == got[b] for a, b in links)
     assert found >= 0.98 * len(links), (found, len(links))
     wrong = sum(classes[a] != classes[b] for c in set(got.values()) for m in [[i for i in got if got[i] == c]] for a, b in zip(m, m[1:]))
-    assert wrong <= 2  # estimates of the long texts
+    assert not wrong
     kept = {r.doc_id for r in simhash.keep_one(df, tree_texts=tree_texts).collect()}
     assert kept == {min(i for i in got if got[i] == c) for c in set(got.values())}
     assert simhash.similar(none).count() == 0 and simhash.keep_one(none).count() == 0
@@ -389,12 +503,30 @@ def test_keep_one_with_odd_rows(spark, odd):
     assert simhash.keep_one(spark.createDataFrame(same_id, DOCS)).count() == 4
 
 
-def test_sketches_estimate_the_share_of_long_texts():
+def test_shingles_are_compared_whole():
     rng = random.Random(3)
     w = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
     v = [x if rng.random() > 0.02 else x + "z" for x in w]
     a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, v))
-    assert abs(simhash.similarity(*(frozenset(simhash.sketch(" ".join(x)).tolist()) for x in (w, v))) - len(a & b) / len(a | b)) < 0.05
+    share = len(a & b) / len(a | b)
+    x, y = (simhash.shingles_of(" ".join(t)) for t in (w, v))
+    assert simhash.similar_shingles(x, y, share - 1e-6) and not simhash.similar_shingles(x, y, share + 1e-6)
+
+
+def test_large_families_and_clashing_numbers(spark, monkeypatch):
+    rng = random.Random(31)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    base = words(200)
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(150)]
+    chain = words(300)
+    texts += [" ".join(chain[5 * k : 5 * k + 200]) for k in range(21)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes, links = brute_similar(texts)
+    got = {r.doc_id: r.root for r in simhash.similar(df, tree_texts=16).collect()}
+    assert all(got[a] == got[b] for a, b in links) and len(set(got.values())) == len(set(classes))
+    hashes = simhash._hashes()
+    monkeypatch.setattr(simhash, "_hashes", lambda: (F.pmod(hashes[0], F.lit(20)), hashes[1]))
+    assert simhash.keep_one(df).count() == len(set(classes))
 
 
 def test_components_of_chains_and_stars(spark):
@@ -461,19 +593,20 @@ def test_sharding_gathers_links_where_nearly_all_rows_have_some(spark):
 
 def test_quotas_never_break_the_counts():
     rng = random.Random(2)
-    for _ in range(200):
+    for _ in range(1000):
         n = rng.randint(1, 6)
         want = [[rng.randrange(9) if a != b else 0 for b in range(n)] for a in range(n)]
-        free, linked = [rng.randrange(9) for _ in range(n)], [rng.randrange(9) for _ in range(n)]
+        free, linked = ([rng.randrange(rng.choice((1, 9))) for _ in range(n)] for _ in range(2))
         have = [free[s] + linked[s] + sum(want[s]) for s in range(n)]
-        grant, pay = shard.quotas(want, have, free, linked)
+        grant, pay = shard.quotas(want, have, list(free), list(linked))
         after = [have[s] + sum(g[s] for g in grant) - sum(grant[s]) for s in range(n)]
         for b, kind, lo, hi, to in pay:
-            assert 0 <= lo < hi <= (free if kind == shard.STAY_FREE else linked)[b]
+            assert 0 <= lo < hi <= (free[b] if kind == shard.STAY_FREE else linked[b] if kind == shard.STAY_LINKED else want[b][kind])
+            assert kind < 0 or lo >= grant[b][kind]
             after[b] -= hi - lo
             after[to] += hi - lo
         assert all(grant[a][b] <= want[a][b] for a in range(n) for b in range(n))
-        assert max(after) - min(after) <= 1 or any(not f for f in free)
+        assert max(after) - min(after) <= 1
 
 
 # 9 -------------------------------------------------------------------------------------------------
@@ -499,19 +632,47 @@ def test_targets_share_the_excess(spark):
 
 
 def test_mix_comes_near_targets(spark, sf_dir, odd, none):
-    docs = docs_of(spark, "/root/testdata/sf0.01")
+    docs = docs_of(spark, "/root/testdata/sf0.1")
     plan = mix.plan(docs).collect()
-    taken = Counter()
+    taken, spread, aim = Counter(), Counter(), {}
     for r in plan:
+        rate = r.target / r.source_size
         taken[r.source] += r.size * r.copies
-        assert 0 <= r.copies <= 3
-    for r in plan:
-        assert abs(taken[r.source] - r.target) <= 0.05 * r.target
+        spread[r.source] += r.size**2 * (rate % 1) * (1 - rate % 1)
+        aim[r.source] = r.target
+        assert int(rate) <= r.copies <= min(3, int(rate) + 1)
+    for s in aim:
+        assert abs(taken[s] - aim[s]) <= 4 * spread[s] ** 0.5 + 1
+    assert sum(abs(taken[s] / aim[s] - 1) for s in aim) / len(aim) < 0.05
     emitted = {(r.doc_id): r["count"] for r in mix.mix(docs).groupBy("doc_id").count().collect()}
     assert emitted == {r.doc_id: r.copies for r in plan if r.copies}
     assert mix.plan(odd).count() == len(ODD) and mix.mix(odd).columns == odd.columns and mix.plan(none).count() == 0 and mix.mix(none).count() == 0
 
 
+def test_mix_draws_for_each_row(spark, monkeypatch):
+    monkeypatch.setattr(mix, "CHUNK", 64)
+    rows = [(None, f"w {i} w", "a") for i in range(800)] + [(None, "same words here", "b")] * 400 + [(5, "x y z", "c")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    plan = mix.plan(docs)
+    assert plan.count() == len(rows)
+    out = mix.mix(docs.withColumn("_own", F.lit(1)).withColumn("_part", F.lit(1)))
+    for r in plan.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target"), F.sum("copies").alias("n")).collect():
+        assert abs(r.taken - r.target) < 0.1 * r.target
+        assert out.where(F.col("source") == r.source).count() == r.n
+    assert Counter(map(tuple, mix.mix(docs).collect())) == Counter(map(tuple, mix.mix(docs.repartition(3)).collect()))
+
+
+def test_targets_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mix, "FEW_SOURCES", 10)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 500).alias("source"))
+    plan = mix.plan(docs)
+    want = duckdb.connect()
+    want.register("documents", docs.toPandas())
+    got = {tuple(r) for r in plan.select("doc_id", "target").collect()}
+    assert got == {(a, b) for a, b in want.execute(f"SELECT doc_id, target FROM ({queries.ORACLES['op9_mixing']})").fetchall()}
+    assert mix.mix(docs).count() == plan.agg(F.sum("copies")).first()[0]
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 
