@@ -49,11 +49,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``; stages meet in tables under the checkpoint folder."""
+    """The rows of the last stage over ``documents``; stages meet in tables under the checkpoint folder.
+
+    A stage's table is removed once the next one is written; the last one stays, as the result is read from it.
+    """
     common.use_checkpoints(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{base}/{k}")
+        if k:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
         docs = spark.read.parquet(path)
     return docs
