@@ -467,15 +467,16 @@ def _large_classes(rows: DataFrame, large: DataFrame, found: Callable[[list, lis
     heads = cut(parted.select("rough", "text_id", "member", "side").join(first.where("a <> b").select(F.col("a").alias("text_id")), "text_id", "left_anti"))
     few = heads.groupBy("rough").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= tree_texts).select("rough")
     second = _by_key(heads.join(few, "rough", "left_semi"), ["rough"], found, "member")
-    state = cut(components(first.unionByName(second).where("a <> b")).toDF("text_id", "root"))
-    named = cut(parted.select("rough", "text_id", "member").join(state, "text_id", "left").withColumn("root", F.coalesce("root", "text_id")))
+    # A text's class is that of its part's, and the part's that of its head among the heads: two lookups.
+    named = parted.select("rough", "text_id", "member").join(first.toDF("text_id", "_head"), "text_id", "left").withColumn("_head", F.coalesce("_head", "text_id"))
+    named = cut(named.join(second.toDF("_head", "root"), "_head", "left").withColumn("root", F.coalesce("root", "_head")).drop("_head"))
     apart = named.groupBy("rough").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("rough")
     apart = cut(large.join(apart, "rough", "left_semi"))
     if apart.isEmpty():
-        return state
+        return named.select("text_id", "root")
     member = F.struct("member.text_id", "member.fp", "member.keys", "member.shingles", "root")
     third = _by_key(_dealt(named.select("rough", "text_id", member.alias("member")), "rough", "text_id", apart), ["rough", "lo", "hi"], found, "member")
-    return components(state.toDF("a", "b").unionByName(third).where("a <> b")).toDF("text_id", "root")
+    return components(named.select(F.col("text_id").alias("a"), F.col("root").alias("b")).unionByName(third).where("a <> b")).toDF("text_id", "root")
 
 
 def similar(docs: DataFrame, **how) -> DataFrame:
