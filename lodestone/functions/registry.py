@@ -69,6 +69,13 @@ def equal_by(compare: Callable[[Column, Column], Column], a: str, b: str) -> Col
     return F.when(F.col(a).isNull() | F.col(b).isNull(), F.col(a).isNull() & F.col(b).isNull()).otherwise(compare(F.col(a), F.col(b)))
 
 
+def once_per_key(df: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with the columns that ``compute`` gives for its distinct keys (key): each key is worked out once, however often it comes."""
+    found = compute(df.select(key).distinct())
+    same = df[key].eqNullSafe(found[key])
+    return df.join(found, same, "left").select(df["*"], *(found[c] for c in found.columns if c != key))
+
+
 def read_lines(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """(file, start, end, text): lines of files (file, text), from 1, both ends included."""
     got = wanted.join(files, "file")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .udf import pandas_function
+
 
 def clamp(v: Column, lo: Column | float, hi: Column | float) -> Column:
     return F.least(F.greatest(v, F.lit(lo)), F.lit(hi))
@@ -90,6 +95,51 @@ def stable_key(text: Column) -> Column:
     return F.conv(F.array_join(F.reverse(pairs), ""), 16, 10).cast("decimal(20,0)")
 
 
+#: What kinds of values are hashed as.
+NULL_HASH, TRUE_HASH, FALSE_HASH, STRING_HASH, ARRAY_HASH, OBJECT_HASH = 349, 433, 863, 149417, 104579, 181387
+
+
+def _hash_of(x: object, h: int) -> int:
+    def step(value: int) -> int:
+        return (h * 31 + value) & 0xFFFFFFFF
+
+    if isinstance(x, bool):
+        return step(TRUE_HASH if x else FALSE_HASH)
+    if x is None:
+        return step(NULL_HASH)
+    if isinstance(x, int | float):
+        return step(int(x))
+    if isinstance(x, str):
+        h = step(STRING_HASH)
+        units = x.encode("utf-16-le", "surrogatepass")
+        for i in range(0, len(units), 2):
+            h = step(units[i] | units[i + 1] << 8)
+        return h
+    if isinstance(x, list):
+        h = step(ARRAY_HASH)
+        for v in x:
+            h = _hash_of(v, h)
+        return h
+    h = step(OBJECT_HASH)
+    for k in sorted(x):
+        h = _hash_of(x[k], _hash_of(k, h))
+    return h
+
+
+@pandas_function("int")
+def structural_hash(text: pd.Series) -> pd.Series:
+    """The hash of a JSON value as signed 32 bits: kinds are told apart, keys count in order. Broken JSON gives null."""
+
+    def one(t: str | None) -> int | None:
+        try:
+            h = None if t is None else _hash_of(json.loads(t), 0)
+        except ValueError:
+            return None
+        return h if h is None or h < 1 << 31 else h - (1 << 32)
+
+    return text.map(one).astype("Int32")
+
+
 def string_hash(text: Column, start: int = 0) -> Column:
     """h = h * 31 + c over characters, as signed 32 bits."""
     two32 = 1 << 32

@@ -5,6 +5,8 @@ from __future__ import annotations
 import posixpath
 import re
 import unicodedata
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,20 +42,41 @@ def token_bucket(token: Column) -> Column:
     return (h % SPARSE_SIZE).cast("int")
 
 
+@lru_cache(maxsize=1 << 16)
+def _bucket(token: str) -> int:
+    """token_bucket() of one token; frequent tokens are hashed once a process."""
+    h = 2166136261
+    for c in token:
+        h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+    return h % SPARSE_SIZE
+
+
+_TOKEN = re.compile(SPARSE_TOKEN)
+
+
+def encode_sparse(text: str | None) -> list[tuple[int, float]]:
+    """A text's buckets with their counts over the largest; null has none."""
+    tf = Counter()
+    for w, n in Counter(_TOKEN.findall(text or "")).items():
+        tf[_bucket(w.lower())] += n
+    top = max(tf.values(), default=1)
+    return [(i, n / top) for i, n in tf.items()]
+
+
+@pandas_function("array<struct<idx:int,weight:double>>")
+def sparse_vector(text: pd.Series) -> pd.Series:
+    """encode_sparse() of each text: all in its own row, nothing is shuffled."""
+    return text.map(encode_sparse)
+
+
 def sparse_encode(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Long form (id, idx, weight): count of a bucket over the largest count of the text."""
-    tokens = df.select(id_col, F.explode(sparse_tokens(F.col(text_col))).alias("token"))
-    # Hash each distinct token of a text once; counts add up in buckets.
-    counts = tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("c")).withColumn("idx", token_bucket(F.col("token")))
-    tf = counts.groupBy(id_col, "idx").agg(F.sum("c").alias("tf"))
-    top = tf.groupBy(id_col).agg(F.max("tf").alias("top"))
-    return tf.join(top, id_col).select(id_col, "idx", (F.col("tf") / F.col("top")).alias("weight"))
+    """Long form (id, idx, weight): count of a bucket over the largest count of the text, row by row."""
+    return df.select(id_col, F.explode(sparse_vector(text_col)).alias("x")).select(id_col, "x.idx", "x.weight")
 
 
 def sparse_map(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, sparse map<int,double>) of every row; empty texts have an empty map."""
-    maps = sparse_encode(df, id_col, text_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("sparse"))
-    return df.select(id_col).join(maps, id_col, "left").withColumn("sparse", F.coalesce("sparse", F.create_map().cast("map<int,double>")))
+    return df.select(id_col, F.map_from_entries(sparse_vector(text_col)).alias("sparse"))
 
 
 def utf16_length(text: Column) -> Column:
@@ -71,38 +94,24 @@ def token_estimate(text: Column) -> Column:
 #: What marks a comment as a licence header, and the most lines looked at.
 HEADER_WORDS = ("copyright", "©", "(c)", "license", "licensed under", "all rights reserved", "spdx-license-identifier", "permission is hereby", "redistribution", "without warranty", "@file", "@author", "@copyright", "@license", "apache license", "mit license", "mozilla public")
 HEADER_LINES = 80
-_CODE = re.compile(r"(import|export|package|using|namespace|#pragma|#include|#ifndef|#define|@(interface|implementation|class)\b|(module|class|struct|enum|function|def|public|private|protected)\b)|[\w$][\w$.<>,\s]*\s+[\w$]+\s*\(")
-_HEADER = re.compile("|".join(re.escape(w) + (r"\b" if w[0] == "@" else "") for w in HEADER_WORDS), re.I)
-
-
-def _header_end(lines: list[str]) -> int:
-    """Index behind the leading header, 0 if there is none."""
-    first = next((i for i, x in enumerate(lines) if x.strip()), len(lines))
-    at = first
-    if at < len(lines) and lines[at].lstrip().startswith("/*"):
-        end = next((i + 1 for i in range(at, len(lines)) if "*/" in lines[i]), len(lines))
-        if _HEADER.search("\n".join(lines[at:end])):
-            at = next((i for i in range(end, len(lines)) if lines[i].strip()), len(lines))
-    for at in range(at, len(lines) + 1):
-        if at == len(lines) or at - first >= HEADER_LINES:
-            break
-        line = lines[at].strip()
-        if not line or _HEADER.search(line) or re.match(r"(//|#)[-=/*\s]{4,}$|//-{3,}|\*\s*[-=]{3,}\s*$", line):
-            continue
-        if not re.match(r"//|#|/\*|\*", line) or _CODE.match(line):
-            break
-    return at if at > first and _HEADER.search("\n".join(lines[first:at])) else 0
+#: What a text may begin with: blank lines, line comments (a number sign has to stand apart, else it is code), block comments.
+_LEADING = rf"\A(?:[ \t]*(?:(?://[^\n]*|#(?:[ \t#=*!-][^\n]*)?|/\*[\s\S]*?\*/[ \t]*|\*[^\n]*)?(?:\r?\n|\z))){{1,{HEADER_LINES}}}+"
 
 
-@pandas_function("struct<body:string,header_lines:int>")
-def strip_header(text: pd.Series) -> pd.DataFrame:
-    """The text without its leading licence header, and the number of lines taken off."""
-    out = []
-    for t in text:
-        lines = (t or "").split("\n")
-        n = _header_end(lines)
-        out.append((None if t is None else "\n".join(lines[n:]) if n else t, n))
-    return pd.DataFrame(out, columns=["body", "header_lines"])
+def strip_header(text: str | Column) -> Column:
+    """struct<body, header_lines>: the text without the comments it begins with, if any of them holds one of HEADER_WORDS, and the
+    number of lines taken off. At most HEADER_LINES comments and blank lines are looked at; null has no body."""
+    text = F.col(text) if isinstance(text, str) else text
+    lead = F.regexp_extract(text, _LEADING, 0)
+    marked = F.exists(F.array(*map(F.lit, HEADER_WORDS)), lambda w: F.lower(lead).contains(w))
+    n = F.when(marked, F.length(lead)).otherwise(0)
+    lines = F.when(marked, F.length(lead) - F.length(F.replace(lead, F.lit("\n")))).otherwise(0)
+    return F.struct(F.substring(text, n + 1, F.length(text)).alias("body"), F.coalesce(lines, F.lit(0)).alias("header_lines"))
+
+
+def shift_lines(line: Column, header_lines: Column) -> Column:
+    """A line of the body as a line of the whole text."""
+    return line + header_lines
 
 
 @pandas_function("string")
@@ -112,23 +121,32 @@ def strip_diagrams(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else fence.sub(lambda m: f"[{m[1].lower()} diagram omitted — {m[0].count(chr(10)) + 1} lines]", t))
 
 
-@pandas_function("string")
-def compact_code(text: pd.Series) -> pd.Series:
-    """Over 48 lines: the first 28 and last 8; then long brace blocks, up to their first closing brace, collapse."""
+#: Lines from which code is cut, lines kept at both ends, and the size from which a brace block is folded.
+COMPACT_LINES, COMPACT_HEAD, COMPACT_TAIL, FOLD_CHARS, FOLD_LINES = 48, 28, 8, 160, 4
 
-    def braces(m: re.Match) -> str:
-        lines = m[0].split("\n")
-        return m[0] if len(m[0]) <= 160 or len(lines) <= 4 else f"{lines[0]}\n  /* ... {len(lines) - 2} lines ... */\n{lines[-1]}"
 
-    def one(t: str | None) -> str | None:
-        if t is None:
-            return None
-        lines = t.strip().split("\n")
-        if len(lines) > 48:
-            lines = [*lines[:28], f"/* ... {len(lines) - 36} lines omitted ... */", *lines[-8:]]
-        return re.sub(r"\{[\s\S]*?\}", braces, "\n".join(lines))
+def compact_code(text: str | Column) -> Column:
+    """Long code as its first and last lines with a note between; then brace blocks, each up to its first closing brace, fold to
+    their first and last line where they are long. Braces are split off as pieces, so that every piece is looked at once."""
+    text = F.col(text) if isinstance(text, str) else text
 
-    return text.map(one)
+    def ends(lines: Column, head: int, tail: int, note: Column) -> Column:
+        return F.array_join(F.concat(F.slice(lines, 1, head), F.array(note), F.slice(lines, F.size(lines) - tail + 1, tail)), "\n")
+
+    def note(left_out: Column, lead: str, words: str) -> Column:
+        return F.concat(F.lit(f"{lead}/* ... "), left_out.cast("string"), F.lit(f" {words} ... */"))
+
+    def cut(lines: Column) -> Column:
+        rest = F.size(lines) - (COMPACT_HEAD + COMPACT_TAIL)
+        return F.when(F.size(lines) > COMPACT_LINES, ends(lines, COMPACT_HEAD, COMPACT_TAIL, note(rest, "", "lines omitted"))).otherwise(F.array_join(lines, "\n"))
+
+    def fold(piece: Column) -> Column:
+        lines = F.split(piece, "\n")
+        large = piece.rlike(r"\A\{[^}]*\}\z") & (F.length(piece) > FOLD_CHARS) & (F.size(lines) > FOLD_LINES)
+        return F.when(large, ends(lines, 1, 1, note(F.size(lines) - 2, "  ", "lines"))).otherwise(piece)
+
+    short = cut(F.split(F.regexp_replace(text, r"^\s+|\s+\z", ""), "\n"))
+    return F.array_join(F.transform(F.regexp_extract_all(short, F.lit(r"(\{[^}]*\}|\{|[^{]+)"), F.lit(1)), fold), "")
 
 
 @pandas_function("array<string>")

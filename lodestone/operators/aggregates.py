@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .joins import ancestors
 from .windows import islands
@@ -67,26 +70,36 @@ def repository_map(symbols: DataFrame, most: int = 50) -> DataFrame:
 def parent_chunks(chunks: DataFrame, most: int = 1500) -> DataFrame:
     """(file, ord, group): consecutive chunks under one header whose joined length stays within ``most``.
 
-    chunks (file, ord, header, text). The joined length leaves out the separator that the next chunk would add. It is a fold in
-    order, so a file's lengths (not its texts) are folded as one array.
+    chunks (file, ord, header, text). The joined length leaves out the separator that the next chunk would add. Chunks of a file
+    stream by in order, as lengths without their texts, and only the group that is open is remembered.
     """
-    g = chunks.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("header", F.lit("")).alias("header"), F.length("text").alias("n")))).alias("l"))
-    start = F.struct(F.lit(0).alias("grp"), F.lit(None).cast("string").alias("header"), F.lit(0).alias("len"), F.array().cast("array<struct<ord:bigint,grp:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = s["header"].isNotNull() & ((s["header"] != x["header"]) | (s["len"] + x["n"] > most))
-        grp = s["grp"] + new.cast("int")
-        length = F.when(new | s["header"].isNull(), x["n"]).otherwise(s["len"] + 2 + x["n"])
-        return F.struct(grp.alias("grp"), x["header"].alias("header"), length.alias("len"), F.concat(s["out"], F.array(F.struct(x["ord"].cast("long").alias("ord"), grp.alias("grp")))).alias("out"))
-
-    return g.select("file", F.explode(F.aggregate("l", start, step)["out"]).alias("o")).select("file", F.col("o.ord").alias("ord"), F.col("o.grp").alias("group"))
+    kind = chunks.schema["file"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group, header, length = object(), 0, None, 0
+        for b in batches:
+            groups = []
+            for f, h, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if f != at:
+                    at, group, length = f, 0, n
+                elif h != header or length + n > most:
+                    group, length = group + 1, n
+                else:
+                    length += 2 + n
+                header = h
+                groups.append(group)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(groups, pa.int32())], names=["file", "ord", "group"])
+
+    lengths = chunks.select("file", F.col("ord").cast("long"), F.coalesce("header", F.lit("")).alias("header"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    schema = StructType([StructField("file", kind), StructField("ord", LongType()), StructField("group", IntegerType())])
+    return lengths.repartition("file").sortWithinPartitions("file", "ord").mapInArrow(run, schema)
 
 
 def parent_texts(chunks: DataFrame, most: int = 1500) -> DataFrame:
     """(parent_key, parent_text) of parent_chunks."""
     grouped = chunks.join(parent_chunks(chunks, most), ["file", "ord"])
     g = grouped.groupBy("file", "group").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("l"))
-    return g.select(F.concat("file", F.lit("::parent::"), F.col("group").cast("string")).alias("parent_key"), F.substring(F.array_join(F.transform("l", lambda x: x["text"]), "\n\n"), 1, most).alias("parent_text"))
+    return g.select(F.concat(F.col("file").cast("string"), F.lit("::parent::"), F.col("group").cast("string")).alias("parent_key"), F.substring(F.array_join(F.transform("l", lambda x: x["text"]), "\n\n"), 1, most).alias("parent_text"))
 
 
 #: States of tests by priority.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.udf import pandas_function
+from ..session import use_checkpoints
 from ..sources.stores import replace_files
 
 KINDS = ("calls", "imports", "inherits", "contains")
@@ -163,24 +164,13 @@ def modularity(edges: DataFrame, assignment: DataFrame) -> float:
     return float(got or 0.0)
 
 
-def louvain(edges: DataFrame, rounds: int = 12) -> tuple[DataFrame, float]:
-    """(node, community) and modularity, by local moves in rounds.
+def _local_moves(both: DataFrame, strength: DataFrame, m2: float, rounds: int, quality) -> tuple[DataFrame, float]:
+    """(node, community) by local moves in rounds over edges (a, b, w) both ways, best by ``quality``.
 
-    Half of the nodes, by hash and round, may move at a time, so that neighbours don't swap for ever; the best state by
-    modularity is kept. Every round is cut by a checkpoint. No edges: nothing, and 0.
+    Half of the nodes, by hash and round, may move at a time, so that neighbours don't swap for ever.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where("a <> b").checkpoint()
-    strength = both.groupBy("a").agg(F.sum("w").alias("k")).checkpoint()
-    m2 = strength.agg(F.sum("k")).first()[0]
     state = strength.select(F.col("a").alias("node"), F.col("a").alias("community"))
-    if not m2:
-        return state.limit(0), 0.0
-    best, best_q, idle = state, -1.0, 0
+    best, best_q, idle = state, quality(state), 0
     for r in range(rounds):
         total = state.join(strength, state["node"] == strength["a"]).groupBy("community").agg(F.sum("k").alias("tot"))
         to = both.join(state.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("kin"))
@@ -192,8 +182,40 @@ def louvain(edges: DataFrame, rounds: int = 12) -> tuple[DataFrame, float]:
         pick = o.withColumn("g", gain).groupBy("a", "own").agg(F.max_by("community", F.struct("g", (F.col("community") == F.col("own")).alias("stay"), "community")).alias("to"))
         moves = F.pmod(F.xxhash64("a", F.lit(r // 2)), F.lit(2)) == r % 2
         state = pick.select(F.col("a").alias("node"), F.when(moves, F.col("to")).otherwise(F.col("own")).alias("community")).checkpoint()
-        q = modularity(edges, state)
+        q = quality(state)
         best, best_q, idle = (state, q, 0) if q > best_q + 1e-12 else (best, best_q, idle + 1)
         if idle >= 4:
             break
     return best, best_q
+
+
+def louvain(edges: DataFrame, rounds: int = 12, levels: int = 8) -> tuple[DataFrame, float]:
+    """(node, community) and modularity of undirected edges (a, b, w).
+
+    Nodes move until modularity stays; then communities become the nodes of a smaller graph, whose nodes move in
+    turn, level by level, until a level gains nothing. Every round is cut by a checkpoint. No edges: nothing, and 0.
+    """
+    use_checkpoints(edges.sparkSession)
+    both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where("a <> b").checkpoint()
+    strength = both.groupBy("a").agg(F.sum("w").alias("k")).checkpoint()
+    m2 = strength.agg(F.sum("k")).first()[0]
+    found = strength.select(F.col("a").alias("node"), F.col("a").alias("community"))
+    if not m2:
+        return found.limit(0), 0.0
+
+    def through(state: DataFrame, above: DataFrame) -> DataFrame:
+        return state.withColumnRenamed("community", "_c").join(above.select(F.col("node").alias("_c"), "community"), "_c").select("node", "community")
+
+    best_q = -1.0
+    for _ in range(levels):
+        state, q = _local_moves(both, strength, m2, rounds, lambda s, f=found: modularity(edges, through(f, s)))
+        if q <= best_q + 1e-12:
+            break
+        found, best_q = through(found, state).checkpoint(), q
+        ends = state.select(F.col("node").alias("a"), F.col("community").alias("ca")), state.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+        strength = strength.join(ends[0], "a").groupBy(F.col("ca").alias("a")).agg(F.sum("k").alias("k")).checkpoint()
+        # What lies inside a community is part of its strength and of no move.
+        both = both.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")).checkpoint()
+        if both.isEmpty():
+            break
+    return found, best_q

@@ -145,23 +145,55 @@ def delete_recursive(tree: DataFrame, key: str, prefix: list[str]) -> DataFrame:
 
 
 def remap_index(indexes: DataFrame, edits: DataFrame, group: str = "doc") -> DataFrame:
-    """(group, index, new_index): shifted by the edits (start, end, length) that end before it; null inside an edit."""
-    hit = indexes.join(edits, group, "left")
-    inside = (F.col("start") <= F.col("index")) & (F.col("index") < F.col("end"))
-    shift = F.sum(F.when(F.col("end") <= F.col("index"), F.col("length") - (F.col("end") - F.col("start"))).otherwise(0))
-    return hit.groupBy(group, "index").agg(F.when(~F.coalesce(F.bool_or(inside), F.lit(False)), F.col("index") + shift).alias("new_index"))
+    """(group, index, new_index): shifted by the edits (start, end, length) that end before it; null inside an edit.
+
+    Edits of a group lie apart. Edits' running shift and the indexes meet in one sort by place: no index meets every edit.
+    """
+    grown = F.col("length") - (F.col("end") - F.col("start"))
+    ends = edits.select(group, F.col("end").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("index"), grown.cast("long").alias("_shift"), F.lit(None).cast("long").alias("_until"))
+    starts = edits.select(group, F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("index"), F.lit(0).cast("long").alias("_shift"), F.col("end").cast("long").alias("_until"))
+    own = indexes.select(group, "index").distinct().select(group, F.col("index").alias("_at"), F.lit(2).alias("_kind"), F.col("index").cast("long"), F.lit(0).cast("long").alias("_shift"), F.lit(None).cast("long").alias("_until"))
+    w = Window.partitionBy(group).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = ends.unionByName(starts).unionByName(own).withColumn("_shift", F.sum("_shift").over(w)).withColumn("_until", F.max("_until").over(w))
+    inside = F.coalesce(F.col("index") < F.col("_until"), F.lit(False))
+    return both.where("_kind = 2").select(group, "index", F.when(~inside, F.col("index") + F.col("_shift")).alias("new_index"))
 
 
 #: Stands for no distance.
 FAR = 2 << 20
 
 
-def word_distance(words: DataFrame, anchors: DataFrame, ranges: DataFrame, keywords: list[str]) -> DataFrame:
+def word_distance(words: DataFrame, anchors: DataFrame, ranges: DataFrame, keywords: list[str], width: int = 256) -> DataFrame:
     """(id, word, distance): enclosing ranges between a word's nearest anchor at or before its place and the place.
 
-    words (id, doc, word, pos), anchors (doc, word, pos), ranges (doc, start, end). Keywords and words without an
-    anchor are FAR.
+    words (id, doc, word, pos), anchors (doc, word, pos), ranges (doc, start, end; half-open). Keywords and words without an
+    anchor are FAR. Anchors meet only the ranges in their bucket of places.
     """
     near = asof(words.select("id", "doc", "word", "pos"), anchors.withColumn("anchor", F.col("pos")), ["doc", "word"], "pos", "anchor", "anchor")
-    around = near.join(ranges, "doc", "left").groupBy("id", "word", "anchor").agg(F.sum(((F.col("start") <= F.col("anchor")) & (F.col("anchor") < F.col("end")) & ~((F.col("start") <= F.col("pos")) & (F.col("pos") < F.col("end")))).cast("int")).alias("d"))
-    return around.select("id", "word", F.when(F.col("word").isin(*keywords) | F.col("anchor").isNull(), FAR).otherwise(F.coalesce("d", F.lit(0))).alias("distance"))
+    spans = ranges.where("start < end").select("doc", "start", "end").withColumn("_b", F.explode(spread(F.col("start"), F.col("end") - 1, width)))
+    hit = near.withColumn("_b", F.floor(F.col("anchor") / width)).join(spans, ["doc", "_b"])
+    left = hit.where((F.col("start") <= F.col("anchor")) & (F.col("anchor") < F.col("end")) & (F.col("end") <= F.col("pos")))
+    counts = left.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("d"))
+    return near.join(counts, "id", "left").select("id", "word", F.when(F.col("word").isin(*keywords) | F.col("anchor").isNull(), FAR).otherwise(F.coalesce("d", F.lit(0))).alias("distance"))
+
+
+#: Kinds of symbols that hold others, the length from which a chunk isn't expanded.
+CONTAINERS, EXPAND_BELOW = ("class", "struct", "namespace", "interface", "enum", "union"), 500
+
+
+def expand_chunks(chunks: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(chunk_id, text): short code chunks with the text of the innermost container symbol that holds their first line.
+
+    chunks (chunk_id, file, doc_type, symbol_type, symbol_name, start_line, text), symbols (file, symbol_type, start_line, end_line,
+    ord), files (file, text). Containers themselves, other types, long chunks, and chunks whose container already
+    shows them or is blank, stay as they are.
+    """
+    short = (F.col("doc_type") == "code_chunk") & (F.length("text") < EXPAND_BELOW) & F.col("start_line").isNotNull() & ~F.coalesce(F.col("symbol_type").isin(*CONTAINERS), F.lit(False))
+    holders = symbols.where(F.col("symbol_type").isin(*CONTAINERS)).select("file", F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), "ord")
+    inner = innermost(chunks.where(short).select("chunk_id", "file", "start_line"), holders, "file", "start_line", ["chunk_id"], "_s", "_e", "ord")
+    lines = F.split(F.col("_file_text"), "\n")
+    around = inner.join(files.select("file", F.col("text").alias("_file_text")), "file").select("chunk_id", F.trim(F.array_join(F.slice(lines, F.col("_s").cast("int"), F.greatest(F.col("_e") - F.col("_s") + 1, F.lit(0)).cast("int")), "\n")).alias("_around"))
+    own = F.trim("text")
+    note = F.concat(F.lit("\n\n// --- matched symbol ("), F.coalesce("symbol_type", F.lit("")), F.lit(": "), F.coalesce("symbol_name", F.lit("unknown")), F.lit(") ---\n\n"))
+    grown = F.when(F.col("_around").isNull() | (F.col("_around") == "") | F.col("_around").contains(own), F.col("text")).otherwise(F.concat("_around", note, own))
+    return chunks.join(around, "chunk_id", "left").select("chunk_id", grown.alias("text"))

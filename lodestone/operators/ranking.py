@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.text import overlap, rerank_tokens
+from ..functions.scalar import stable_key
+from ..functions.text import encode_sparse, overlap, rerank_tokens
 from ..functions.vectors import dot
+from ..session import use_checkpoints
 from .windows import min_max
 
 
@@ -18,20 +25,87 @@ def top_k(df: DataFrame, keys: list[str], score: str, tie: str, k: int, out: str
     return df.withColumn(out, rn).where(F.col(out) <= k)
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, few: int = 10_000) -> DataFrame:
-    """(query_id, chunk_id, score, rank): exact, by dot product. queries (query_id, q), vectors (chunk_id, v).
+#: So many queries are scored against every row at once; more are taken in blocks of that number.
+FEW_QUERIES = 2_000
+
+
+def _matrix(lists: list, dims: int | None = None) -> np.ndarray:
+    """A row for each list, padded with zeros or cut to ``dims``; nulls are zeros."""
+    dims = max([0, *(len(x) for x in lists if x is not None)]) if dims is None else dims
+    out = np.zeros((len(lists), dims))
+    for i, x in enumerate(lists):
+        if x is not None:
+            out[i, : min(len(x), dims)] = x[:dims]
+    return out
+
 
-    A stated, checked number of queries is sent to every task and each vector meets all of them; more are taken in
-    blocks of that number.
+def _best_by_blocks(queries: DataFrame, rows: DataFrame, k: int, few: int, prepare: Callable, score: Callable) -> DataFrame:
+    """(query_id, chunk_id, score, rank): of queries (query_id, x) and rows (chunk_id, y), the k best scores of each query, ties by chunk.
+
+    Queries are taken in blocks of ``few``; a block is made ready by prepare(xs) and goes to the tasks. score(ready, ys) gives a matrix
+    with a row for each y, NaN for none. A batch of rows hands on k of each query, so nothing else is shuffled.
     """
     n = queries.count()
     blocks = max(1, -(-n // few))
+    (qid, _), (cid, _) = (list(df.schema.fields) for df in (queries, rows))
+    schema = StructType([StructField("query_id", qid.dataType), StructField("chunk_id", cid.dataType), StructField("score", DoubleType())])
     out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = top_k(vectors.join(F.broadcast(part)).withColumn("score", dot("q", "v")).select("query_id", "chunk_id", "score"), ["query_id"], "score", "chunk_id", k)
-        out = got if out is None else out.unionByName(got)
-    return out
+    for block in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        asked = part.collect()
+        ids, ready = [r[0] for r in asked], prepare([r[1] for r in asked])
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, ready=ready) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                chunks, got = b.column(0).to_pylist(), []
+                scores = score(ready, b.column(1).to_pylist()) if ids else np.zeros((len(chunks), 0))
+                for j, q in enumerate(ids):
+                    own = np.flatnonzero(~np.isnan(scores[:, j]))
+                    if len(own) > k:
+                        own = own[scores[own, j] >= -np.partition(-scores[own, j], k - 1)[k - 1]]
+                    best = sorted(((-scores[i, j], chunks[i]) for i in own), key=lambda x: (x[0], x[1] is None, x[1]))[:k]
+                    got += [(q, c, -s) for s, c in best]
+                yield pa.RecordBatch.from_pylist([{"query_id": q, "chunk_id": c, "score": float(s)} for q, c, s in got], schema=to_arrow_schema(schema))
+
+        found = rows.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, ["query_id"], "score", "chunk_id", k)
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, few: int = FEW_QUERIES) -> DataFrame:
+    """(query_id, chunk_id, score, rank): exact, by dot product over the shorter length, to nine places. queries (query_id, q),
+    vectors (chunk_id, v); a null vector has the score 0."""
+
+    def score(q: np.ndarray, vs: list) -> np.ndarray:
+        return np.round(_matrix(vs, q.shape[1]) @ q.T, 9)
+
+    return _best_by_blocks(queries.select("query_id", "q"), vectors.select("chunk_id", "v"), k, few, _matrix, score)
+
+
+def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int, few: int = FEW_QUERIES) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by the dot product of sparse vectors, to six places; only chunks that share a bucket.
+
+    queries (query_id, text) and chunks (chunk_id, text) are encoded in their own rows: however common a bucket, no join meets it.
+    """
+
+    def prepare(texts: list) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        postings: dict[int, list[tuple[int, float]]] = {}
+        for j, t in enumerate(texts):
+            for i, w in encode_sparse(t):
+                postings.setdefault(i, []).append((j, w))
+        return len(texts), {i: (np.array([j for j, _ in p]), np.array([w for _, w in p])) for i, p in postings.items()}
+
+    def score(ready: tuple, texts: list) -> np.ndarray:
+        n, postings = ready
+        out = np.zeros((len(texts), n))
+        for row, t in zip(out, texts):
+            for i, w in encode_sparse(t):
+                if i in postings:
+                    who, weights = postings[i]
+                    row[who] += w * weights
+        return np.where(out > 0, np.round(out, 6), np.nan)
+
+    return _best_by_blocks(queries.select("query_id", "text"), chunks.select("chunk_id", "text"), k, few, prepare, score)
 
 
 def train_cells(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8, seed: int = 1) -> list[list[float]]:
@@ -62,11 +136,35 @@ def nearest_cells(vectors: DataFrame, centroids: list[list[float]], v: str, n: i
 CELLS, PROBES = 16, 12
 
 
+def save_index(vectors: DataFrame, path: str, cells: int = CELLS) -> None:
+    """Writes the index: centroids, and vectors (chunk_id, v) with their stable key, by cell. No vectors leave no index."""
+    spark = vectors.sparkSession
+    if vectors.isEmpty():
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        return
+    c = train_cells(vectors, cells)
+    spark.createDataFrame(list(enumerate(c)), "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    keyed = nearest_cells(vectors.withColumn("key", stable_key(F.col("chunk_id").cast("string"))), c, "v", 1)
+    keyed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[list[list[float]], DataFrame]:
+    """Centroids, and (chunk_id, v, key, cell): a cell is a folder, so a query reads only those it looks into."""
+    c = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
+    return [r.centre for r in c], spark.read.parquet(f"{path}/cells")
+
+
+def search_index(queries: DataFrame, centroids: list[list[float]], cells: DataFrame, k: int, probes: int = PROBES) -> DataFrame:
+    """(query_id, chunk_id, score, rank) from a loaded index."""
+    hit = cells.join(nearest_cells(queries, centroids, "q", probes), "cell")
+    return top_k(hit.withColumn("score", dot("q", "v")).select("query_id", "chunk_id", "score"), ["query_id"], "score", "chunk_id", k)
+
+
 def ann_top_k(queries: DataFrame, vectors: DataFrame, k: int, cells: int = CELLS, probes: int = PROBES) -> DataFrame:
     """Approximate top-k: every vector in its cell, every query in its nearest ``probes`` cells, an equi-join on the cell."""
     centroids = train_cells(vectors, cells)
-    hit = nearest_cells(vectors, centroids, "v", 1).join(nearest_cells(queries, centroids, "q", probes), "cell")
-    return top_k(hit.withColumn("score", dot("q", "v")).select("query_id", "chunk_id", "score"), ["query_id"], "score", "chunk_id", k)
+    return search_index(queries, centroids, nearest_cells(vectors, centroids, "v", 1), k, probes)
 
 
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
@@ -84,15 +182,37 @@ def rerank(hits: DataFrame, k: int, vector_weight: float = 0.7, keyword_weight:
     return df.withColumn("rank", rn).where(F.col("rank") <= F.greatest(F.lit(k), F.lit(0))).drop("_n", "_norm", "_kw")
 
 
+def by_route(hits: DataFrame, route: str, k: int, kind: str = "doc_type") -> DataFrame:
+    """The k best hits of each query whose type is the route's; the route ``all`` takes every type."""
+    kept = hits if route == "all" else hits.where(F.col(kind) == route)
+    return top_k(kept, ["query_id"], "score", "chunk_id", k)
+
+
 def path_tier(path: Column, last: tuple[str, ...]) -> Column:
     """0 below src, 2 below a vendored folder, else 1."""
     parts = F.transform(F.filter(F.split(path, r"[/\\]"), lambda p: p != ""), F.lower)
     return F.when(F.get(parts, F.lit(0)) == "src", 0).when(F.exists(parts, lambda p: p.isin(*last)), 2).otherwise(1)
 
 
+def global_place(df: DataFrame, order: list, out: str) -> DataFrame:
+    """df with ``out``: the place in the order of the whole table, from 0.
+
+    Rows are sorted into ranges and numbered in each; the driver sees one count a range.
+    """
+    use_checkpoints(df.sparkSession)
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    counts = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}
+    before = F.array(*(F.lit(sum(n for q, n in counts.items() if q < p)).cast("long") for p in range(max(counts, default=0) + 1)))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn(out, F.get(before, F.col("_part")) + inside - 1).drop("_part")
+
+
 def page(df: DataFrame, order: list, size: int, keys: list[str] | None = None) -> DataFrame:
-    """df with ``page`` and ``item`` numbers from 0."""
-    rn = F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(*order)) - 1
+    """df with ``page`` and ``item`` numbers from 0, within each key, or over the whole table."""
+    if not keys:
+        df = global_place(df, order, "_rn")
+        return df.withColumn("page", F.floor(F.col("_rn") / size)).withColumn("item", F.col("_rn") % size).drop("_rn")
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     return df.withColumn("_rn", rn).withColumn("page", F.floor(F.col("_rn") / size)).withColumn("item", F.col("_rn") % size).drop("_rn")
 
 
@@ -131,13 +251,16 @@ def recent(df: DataFrame, keys: list[str], item: str, ts: str, n: int = 5) -> Da
 
 
 def limit_by_level(df: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Ranges (start, end) of the shallow nesting levels that together stay within ``most``.
+    """Distinct ranges (start, end) of the shallow nesting levels that together stay within ``most``.
 
-    A range's level is the number of ranges of its key that hold it.
+    Ranges of a key nest or lie apart (they may touch). A range's level is the number of ranges that hold it: those begun before it
+    less those ended, in one sort of both ends.
     """
-    inner, outer = df.select(*keys, "start", "end"), df.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"))
-    holds = (F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")) & ((F.col("s") < F.col("start")) | (F.col("end") < F.col("e")))
-    level = inner.join(outer, keys).groupBy(*keys, "start", "end").agg(F.sum(holds.cast("int")).alias("level"))
+    own = df.select(*keys, "start", "end").distinct()
+    opened = own.select(*keys, "start", "end", F.col("start").alias("_at"), F.lit(1).alias("_kind"), (-F.col("end")).alias("_long"), F.lit(1).alias("_step"))
+    closed = own.select(*keys, "start", "end", F.col("end").alias("_at"), F.lit(0).alias("_kind"), F.lit(0).alias("_long"), F.lit(-1).alias("_step"))
+    before = Window.partitionBy(*keys).orderBy("_at", "_kind", "_long").rowsBetween(Window.unboundedPreceding, -1)
+    level = opened.unionByName(closed).withColumn("level", F.coalesce(F.sum("_step").over(before), F.lit(0))).where("_kind = 1").select(*keys, "start", "end", "level")
     counts = level.groupBy(*keys, "level").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("sum", F.sum("n").over(Window.partitionBy(*keys).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)))
     return level.join(counts.where(F.col("sum") <= most).select(*keys, "level"), [*keys, "level"])
@@ -161,9 +284,7 @@ def beyond_last(df: DataFrame, keys: list[str], name: str, keep: int) -> DataFra
 
 def trim_lru(df: DataFrame, ts: str, limit: int) -> DataFrame:
     """Where there are ``limit`` rows or more, the newest half of the limit."""
-    w = Window.partitionBy()
-    out = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_rn", F.row_number().over(w.orderBy(F.desc(ts))))
-    return out.where((F.col("_n") < limit) | (F.col("_rn") <= limit // 2)).drop("_n", "_rn")
+    return df.orderBy(F.desc(ts)).limit(limit // 2) if df.limit(limit).count() >= limit else df
 
 
 def rank_providers(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -184,10 +305,10 @@ def search_position(values: DataFrame, value: str, x: float) -> DataFrame:
 CHANGE_ORDER = {"delete": 0, "modified": 1, "unchanged": 1, "insert": 2}
 
 
-def order_changes(df: DataFrame) -> DataFrame:
-    """Cell changes by place, deletions before changes before insertions."""
+def order_changes(df: DataFrame, ties: list[str] | None = None) -> DataFrame:
+    """Cell changes by place, deletions before changes before insertions, then by ``ties``."""
     kind = F.element_at(F.create_map(*(F.lit(x) for kv in CHANGE_ORDER.items() for x in kv)), F.col("type"))
-    return df.orderBy(F.coalesce("modified_index", "original_index"), kind, "original_index")
+    return df.orderBy(F.coalesce("modified_index", "original_index"), kind, "original_index", *(ties or []))
 
 
 def recommend(deps: DataFrame, selected: DataFrame, seeds: int = 3, per_seed: int = 6, most: int = 5) -> DataFrame:

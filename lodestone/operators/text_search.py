@@ -43,6 +43,21 @@ def search(docs: DataFrame, id_col: str, pattern: str, quota: int = 10_000, char
     return hit.where(F.size("matches") > 0)
 
 
+def search_folders(docs: DataFrame, folder: str, id_col: str, pattern: str, most: int) -> DataFrame:
+    """(folder, id, taken, limit_hit): of each folder's texts, in order of id, the matches up to ``most`` a folder; limit_hit says
+    that the folder has more. Each folder is searched on its own; whether any hit its limit is their OR.
+
+    A text with a match takes one at least, so only the first ``most`` + 1 of them can count: no folder is gathered.
+    """
+    n = docs.select(folder, id_col, F.regexp_count("text", F.lit(pattern)).cast("long").alias("n")).where("n > 0")
+    w = Window.partitionBy(folder).orderBy(id_col)
+    few = n.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most + 1)
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("n").over(Window.partitionBy(folder))
+    few = few.withColumn("_before", before).withColumn("limit_hit", total > most).where(F.col("_before") < most)
+    return few.select(folder, id_col, F.least("n", F.lit(most) - F.col("_before")).alias("taken"), "limit_hit")
+
+
 def search_lines(docs: DataFrame, id_col: str, pattern: str) -> DataFrame:
     """(id, line_no, line, n) of lines with a match, without leaving the JVM."""
     lines = docs.select(id_col, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -73,19 +88,51 @@ def find_text(text: pd.Series, snippet: pd.Series) -> pd.DataFrame:
 
 
 def section_headers(docs: DataFrame, id_col: str) -> DataFrame:
-    """(id, line_no, kind, label, separator) of ``#region`` and ``MARK:`` lines, from 1."""
+    """(id, line_no, kind, label, separator) of ``#region`` and ``MARK:`` lines, from 1; headers with neither a label nor a
+    separator are left out. Both are patterns over one line, so no window of lines is needed; marked_blocks() is for
+    patterns over several."""
     lines = docs.select(id_col, F.posexplode(F.split("text", "\n")).alias("i", "line"))
     region = F.regexp_extract("line", r"(?i)^\s*(?://|#|/\*|--|<!--)?\s*#?\s*region\b[:\s]*(.*?)\s*(?:-->|\*/)?\s*$", 1)
     mark = F.regexp_extract("line", r"\bMARK:\s*(-?\s*.*?)\s*(?:\*/)?\s*$", 1)
     kind = F.when(F.col("line").rlike(r"(?i)^\s*(//|#|/\*|--|<!--)?\s*#?\s*region\b"), "region").when(F.col("line").rlike(r"\bMARK:"), "mark")
     raw = F.when(kind == "region", region).otherwise(mark)
     out = lines.withColumn("kind", kind).where("kind is not null")
-    return out.select(id_col, (F.col("i") + 1).alias("line_no"), "kind", F.trim(F.regexp_replace(raw, r"^-+|-+$", "")).alias("label"), raw.startswith("-").alias("separator"))
+    return out.select(id_col, (F.col("i") + 1).alias("line_no"), "kind", F.trim(F.regexp_replace(raw, r"^-+|-+$", "")).alias("label"), raw.startswith("-").alias("separator")).where("label <> '' or separator")
+
+
+#: Lines looked at together, and the most lines of a header over several lines.
+CHUNK_LINES, HEADER_MOST = 100, 5
+
+
+def marked_blocks(docs: DataFrame, id_col: str, pattern: str) -> DataFrame:
+    """(id, line_no, end_line, label, separator) of headers that a pattern with groups ``label`` and ``separator`` finds, over several
+    lines. Lines are looked at in chunks of CHUNK_LINES that overlap by HEADER_MOST, so longer headers are found only where they
+    lie in one chunk; one that overlaps the header before it is left out."""
+
+    @F.pandas_udf("array<struct<line_no:int,end_line:int,label:string,separator:boolean>>")
+    def run(text: pd.Series) -> pd.Series:
+        rx = re.compile(pattern, re.M | re.S)
+
+        def one(t: str | None) -> list[tuple]:
+            lines, out = (t or "").split("\n"), []
+            for first in range(0, len(lines), CHUNK_LINES - HEADER_MOST):
+                chunk = "\n".join(lines[first : first + CHUNK_LINES])
+                for m in rx.finditer(chunk):
+                    g = m.groupdict()
+                    a = first + chunk.count("\n", 0, m.start()) + 1
+                    b = a + m[0].count("\n")
+                    if (g.get("label") or g.get("separator")) and (not out or a > out[-1][1]):
+                        out.append((a, b, g.get("label") or "", bool(g.get("separator"))))
+            return out
+
+        return text.map(one)
+
+    return docs.select(id_col, F.explode(run("text")).alias("h")).select(id_col, "h.*")
 
 
 def split_context(text: Column) -> Column:
     """Sections of a context by their ``--- NAME`` lines."""
-    return F.filter(F.transform(F.split(text, r"\n(?=--- (?:FILE|GRAPH|LINKED CODE|GIT))"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"\n(?=--- (?:FILE|GRAPH|LINKED CODE|GIT))"), lambda s: F.regexp_replace(s, r"^\s+|\s+\z", "")), lambda s: s != "")
 
 
 def merge_context(sections: DataFrame, budget: int, git_budget: int, excluded: list[str] | None = None) -> DataFrame:
@@ -97,9 +144,30 @@ def merge_context(sections: DataFrame, budget: int, git_budget: int, excluded: l
     return sections.withColumn("used", used).where(F.col("used") <= F.when(git, git_budget).otherwise(budget))
 
 
+#: Tools that write a file, and words after which a file may be named without a folder.
+WRITERS, MAKER = ("edit_file", "rewrite_file", "create_file_or_folder"), "create_file_or_folder"
+WRITE_WORDS = "输出|写入|write|create"
+
+
 def deliverable(messages: DataFrame) -> DataFrame:
-    """(conv_id, path): the .md file edited last, else the first that a user names."""
-    edited = F.max_by("path", F.when((F.col("role") == "tool") & F.lower("path").endswith(".md"), F.col("turn")))
-    named = F.when(F.col("role") == "user", F.regexp_extract("text", r"([^\s`'\"]+\.md)\b", 1))
+    """(conv_id, path): the .md file that a tool wrote last with success, else the first that a user names: with a folder,
+    or on a line after a word for writing.
+
+    messages (conv_id, turn, role, text, path), and where tools differ (tool, ok, is_folder): without these columns every
+    tool row is a successful edit.
+    """
+    has = lambda c: c in messages.columns
+    wrote = (F.col("role") == "tool") & F.lower("path").endswith(".md")
+    if has("ok"):
+        wrote = wrote & F.coalesce("ok", F.lit(False))
+    if has("tool"):
+        wrote = wrote & F.col("tool").isin(*WRITERS)
+    if has("is_folder"):
+        wrote = wrote & ~((F.col("tool") == MAKER) & F.coalesce("is_folder", F.lit(False)))
+    edited = F.max_by("path", F.when(wrote, F.col("turn")))
+    with_folder = r"[`'\"]?([^\s`'\"]*(?:[\\/][^\s`'\"]*)+\.md)[`'\"]?"
+    pattern = rf"(?i){with_folder}|(?:{WRITE_WORDS})[^\n]*?([^\s`'\"]+\.md)"
+    found = F.concat(F.regexp_extract("text", pattern, 1), F.regexp_extract("text", pattern, 2))
+    named = F.when(F.col("role") == "user", found)
     first = F.min_by(named, F.when(named != "", F.col("turn")))
     return messages.groupBy("conv_id").agg(F.coalesce(edited, first).alias("path"))

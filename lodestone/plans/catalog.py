@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, text, vectors
@@ -13,20 +11,9 @@ from ..operators import diff, graph, joins, ranking, text_search, windows
 from ..session import load
 from ..sources import files, stores
 from ..streaming import changes
+from . import order_catalog, rows_catalog, sources_catalog, streams_catalog, text_catalog  # noqa: F401 - they register their queries
 from . import retrieval
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+from .registered import ORACLES, QUERIES, query  # noqa: F401
 
 
 def _vectors(spark, d):
@@ -34,20 +21,19 @@ def _vectors(spark, d):
 
 
 def _queries(spark, d):
-    """The first vector of each label."""
-    return load(spark, d, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q")).select(F.col("label").cast("long").alias("query_id"), "q")
+    """Every twentieth vector, with the text of its document."""
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    return load(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).join(docs, "query_id", "left")
 
 
-_DOT = "list_sum(list_transform(range(1, 65), lambda i: q.q[i]::DOUBLE * e.embedding[i]::DOUBLE))"
-_QUERY = "q AS (SELECT label::BIGINT AS query_id, min_by(embedding, vec_id) AS q FROM embeddings GROUP BY label)"
+_DOT = "round(list_sum(list_transform(range(1, 65), lambda i: q.q[i]::DOUBLE * e.embedding[i]::DOUBLE)), 9)"
+_QUERY = "q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0)"
 _DENSE = f"""{_QUERY}, s AS (SELECT q.query_id, e.vec_id AS chunk_id, {_DOT} AS score FROM q, embeddings e),
- dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s QUALIFY rank <= 48)"""
+ dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 48)"""
 
 
 def _dense(spark, d, k=48):
-    v = _vectors(spark, d)
-    hits = v.join(F.broadcast(_queries(spark, d))).withColumn("score", vectors.dot("q", "v")).withColumn("_r", F.round("score", 9))
-    return ranking.top_k(hits, ["query_id"], "_r", "chunk_id", k).select("query_id", "chunk_id", "score", "rank")
+    return ranking.dense_top_k(_queries(spark, d), _vectors(spark, d), k)
 
 
 # Retrieval -------------------------------------------------------------------------------------------
@@ -55,17 +41,18 @@ def _dense(spark, d, k=48):
 
 @query(f"WITH {_DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM dense WHERE rank <= 10")
 def dense_topk(spark, d):
-    return _dense(spark, d, 10).withColumn("score", F.round("score", 6))
+    return _dense(spark, d, 10).withColumn("score", F.round("score", 6)).select("query_id", "chunk_id", "score", "rank")
 
 
-_HITS = f"""{_DENSE}, h AS (SELECT x.query_id, x.chunk_id, x.score, x.rank, doc.text, doc.source, qd.text AS query_text
-  FROM dense x JOIN documents doc ON doc.doc_id = x.chunk_id JOIN documents qd ON qd.doc_id = x.query_id),
- w AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9_$.]+'), lambda t: length(t) > 1)) AS dt,
+_RANKED = """w AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9_$.]+'), lambda t: length(t) > 1)) AS dt,
    list_distinct(list_filter(regexp_extract_all(lower(query_text), '[a-zA-Z0-9_$.]+'), lambda t: length(t) > 1)) AS qt,
    count(*) OVER p AS n, min(score) OVER p AS lo, max(score) OVER p AS hi FROM h WINDOW p AS (PARTITION BY query_id)),
  k AS (SELECT *, CASE WHEN n <= 12 THEN score ELSE 0.7 * CASE WHEN hi <= lo THEN score ELSE (score - lo) / (hi - lo) END
    + 0.3 * CASE WHEN len(qt) = 0 OR len(dt) = 0 THEN 0 ELSE len(list_intersect(qt, dt)) / len(qt) END END AS s2 FROM w),
  rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 12 THEN -s2 END NULLS FIRST, rank) AS r2 FROM k)"""
+_HITS = f"""{_DENSE}, h AS (SELECT x.query_id, x.chunk_id, x.score, x.rank, doc.text, doc.source, qd.text AS query_text
+  FROM dense x JOIN documents doc ON doc.doc_id = x.chunk_id JOIN documents qd ON qd.doc_id = x.query_id),
+ {_RANKED}"""
 
 
 def _hits(spark, d):
@@ -105,31 +92,40 @@ def sparse_encode(spark, d):
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 10""")
 def sparse_topk(spark, d):
     """Every benchmark item is a query; ten rows for each are the report."""
-    chunks = text.sparse_encode(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
-    q = text.sparse_encode(load(spark, d, "benchmark"), "item_id", "text").select(F.col("item_id").alias("query_id"), "idx", F.col("weight").alias("qw"))
-    s = chunks.join(q, "idx").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
-    return ranking.top_k(s, ["query_id"], "score", "chunk_id", 10)
+    chunks = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return ranking.sparse_top_k(load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), chunks, 10)
 
 
-@query(f"""WITH {_DENSE}, c AS {_sparse('documents', 'doc_id')}, qq AS (SELECT * FROM {_sparse('documents', 'doc_id')} WHERE id IN (SELECT query_id FROM q)),
+_FUSED = f"""v AS (SELECT * FROM embeddings SEMI JOIN documents ON doc_id = vec_id), {_DENSE.replace("embeddings", "v")}, c AS {_sparse('(SELECT * FROM documents SEMI JOIN embeddings ON doc_id = vec_id)', 'doc_id')}, qq AS (SELECT * FROM {_sparse('documents', 'doc_id')} WHERE id IN (SELECT query_id FROM q)),
  ss AS (SELECT qq.id AS query_id, c.id AS chunk_id, round(sum(qq.weight * c.weight), 6) AS score FROM qq JOIN c USING (idx) GROUP BY ALL),
  sp AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ss QUALIFY rank <= 48),
- u AS (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT * FROM sp)
- SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY ALL""")
+ u AS (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT * FROM sp),
+ fused AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY ALL)"""
+
+
+def _asked(spark, d):
+    """The queries that have a text."""
+    return _queries(spark, d).where("text is not null")
+
+
+def _chunks(spark, d):
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("file"))
+    return _vectors(spark, d).join(docs, "chunk_id")
+
+
+@query(f"WITH {_FUSED} SELECT query_id, chunk_id, round(score, 9) AS score FROM fused")
 def rrf_fuse(spark, d):
-    terms = text.sparse_encode(load(spark, d, "documents"), "doc_id", "text")
-    q = terms.join(_queries(spark, d).select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "idx", F.col("weight").alias("qw"))
-    s = terms.withColumnRenamed("doc_id", "chunk_id").join(q, "idx").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
-    sparse = ranking.top_k(s, ["query_id"], "score", "chunk_id", 48)
-    return ranking.rrf(_dense(spark, d).select("query_id", "chunk_id", "rank").unionByName(sparse.select("query_id", "chunk_id", "rank"))).withColumn("score", F.round("score", 9))
+    return retrieval.fused(_asked(spark, d), _chunks(spark, d), 48).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(f"""WITH {_FUSED}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused QUALIFY rank <= 48),
+ h AS (SELECT x.query_id, x.chunk_id, x.score, x.rank, doc.text, doc.source, qd.text AS query_text FROM best x JOIN documents doc ON doc.doc_id = x.chunk_id JOIN documents qd ON qd.doc_id = x.query_id),
+ {{_RANKED}},
+ t AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(source) ORDER BY r2) AS rn, count(*) OVER (PARTITION BY query_id) AS m FROM rr WHERE r2 <= 24),
+ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN m > 12 AND rn > 2 THEN 1 ELSE 0 END, r2) AS pick FROM t)
+ SELECT query_id, chunk_id, source AS file, round(s2, 6) AS score, pick::INT AS pick FROM o WHERE pick <= 12""".replace("{_RANKED}", _RANKED.replace("<= 12", "<= 24").replace("> 12", "> 24")))
 def hybrid_retrieval(spark, d):
-    docs = load(spark, d, "documents")
-    chunks = _vectors(spark, d).join(docs.select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("file")), "chunk_id")
-    queries = _queries(spark, d).join(docs.select(F.col("doc_id").alias("query_id"), "text"), "query_id")
-    return retrieval.hybrid(queries, chunks)
+    return retrieval.hybrid(_asked(spark, d), _chunks(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -137,23 +133,19 @@ def ann_topk(spark, d):
     return ranking.ann_top_k(_queries(spark, d), _vectors(spark, d), 10)
 
 
+@query("SELECT count(*) AS queries, true AS recall_is_90 FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall(spark, d):
+    """Recall at ten of the approximate search, as it is shipped, against the exact one: 0.9 at least."""
+    exact, near = _dense(spark, d, 10), ranking.ann_top_k(_queries(spark, d), _vectors(spark, d), 10)
+    hit = exact.join(near.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("recall_is_90"))
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
 def vector_norm(spark, d):
     return load(spark, d, "embeddings").select("vec_id", F.round(vectors.norm("embedding"), 6).alias("norm"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS self FROM embeddings")
-def l2_normalise(spark, d):
-    v = load(spark, d, "embeddings").withColumn("u", vectors.l2_normalise("embedding"))
-    return v.select("vec_id", F.round(vectors.dot("u", "u"), 4).alias("self"))
-
-
-@query("SELECT vec_id, true AS same FROM embeddings")
-def vector_bytes(spark, d):
-    v = load(spark, d, "embeddings")
-    return v.select("vec_id", (vectors.from_bytes(vectors.to_bytes("embedding")) == F.col("embedding")).alias("same"))
-
-
 # Text ------------------------------------------------------------------------------------------------
 
 
@@ -174,17 +166,6 @@ def license_lines(spark, d):
     return load(spark, d, "documents").select("doc_id", t.rlike("(?i)copyright|license|©").alias("notice"), F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike("(?i)copyright|licen[sc]e"))).alias("lines"))
 
 
-@query()
-def strip_header(spark, d):
-    s = load(spark, d, "documents").select("doc_id", text.strip_header("text").alias("s"))
-    return s.select("doc_id", F.length("s.body").alias("chars"), "s.header_lines")
-
-
-@query()
-def compact_code(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.length(text.compact_code(text.strip_diagrams("text"))).alias("chars"))
-
-
 @query("SELECT doc_id, md5(strip_accents(text)) AS digest FROM documents")
 def remove_accents(spark, d):
     return load(spark, d, "documents").select("doc_id", F.md5(text.remove_accents("text")).alias("digest"))
@@ -235,19 +216,6 @@ def sub_questions(spark, d):
     return b.select("item_id", F.explode(F.when(F.length("text") < 30, F.array("text")).otherwise(whole)).alias("part"))
 
 
-@query()
-def line_diff(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "text")
-    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")), "doc_id")
-    return pairs.select("doc_id", F.size(diff.line_diff("text", "next")).alias("edits"), F.size(diff.line_diff_scored("text", "next")).alias("scored"))
-
-
-@query()
-def chunk_parents(spark, d):
-    lines = load(spark, d, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("ord"), F.col("lang").alias("header"), "text")
-    return agg.parent_chunks(lines)
-
-
 @query("""WITH n AS (SELECT c.doc_id, c.ch, c.n AS x, coalesce(m.n, 0) AS y FROM (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE doc_id % 50 = 0) GROUP BY ALL) c
  LEFT JOIN (SELECT doc_id - 1 AS doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE doc_id % 50 = 1) GROUP BY ALL) m USING (doc_id, ch)),
  o AS (SELECT m.doc_id, 0 AS x, m.n AS y FROM (SELECT doc_id - 1 AS doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE doc_id % 50 = 1) GROUP BY ALL) m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = m.doc_id AND n.ch = m.ch)),
@@ -369,10 +337,10 @@ def longest_prefix(spark, d):
     return joins.longest_prefix(p, "path", folders, "prefix", ["page_id"])
 
 
-@query("SELECT d.doc_id, coalesce(b.text, substr(d.text, 1, 40)) AS text FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id")
+@query("SELECT d.doc_id, md5(coalesce(b.text, d.text)) AS digest FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id")
 def lookup_parent(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("own"))
-    return joins.lookup(docs, load(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id"), "doc_id", "text", "own").select("doc_id", "text")
+    docs = load(spark, d, "documents").select("doc_id", F.col("text").alias("own"))
+    return joins.lookup(docs, load(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id"), "doc_id", "text", "own").select("doc_id", F.md5("text").alias("digest"))
 
 
 # Aggregates -------------------------------------------------------------------------------------------
@@ -397,7 +365,7 @@ def distinct_by_key(spark, d):
 @query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 def dedupe_keep_first(spark, d):
     docs = load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return docs.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return windows.keep_first(docs, ["h"], ["doc_id"]).select("doc_id")
 
 
 @query("SELECT event_type, count(*) AS n, min_by(event_id, event_id) AS event_id FROM events GROUP BY event_type")
@@ -468,9 +436,11 @@ def append_if_absent(spark, d):
     return g.select("user_id", F.array_join("items", ",").alias("kinds"))
 
 
-@query("SELECT l_suppkey, max(l_quantity) AS worst, 4.0::DOUBLE AS base FROM lineitem GROUP BY l_suppkey HAVING max(l_quantity) > 40")
+@query("SELECT l_partkey, max(l_extendedprice) AS worst, min(l_extendedprice) AS base FROM lineitem GROUP BY l_partkey HAVING max(l_extendedprice) > 10 * min(l_extendedprice)")
 def above_baseline(spark, d):
-    return agg.above_baseline(load(spark, d, "lineitem").withColumn("base", F.lit(4.0)), ["l_suppkey"], "l_quantity", "base")
+    """Parts whose dearest line is over ten times their cheapest."""
+    base = F.min("l_extendedprice").over(Window.partitionBy("l_partkey"))
+    return agg.above_baseline(load(spark, d, "lineitem").withColumn("base", base), ["l_partkey"], "l_extendedprice", "base")
 
 
 # Windows ----------------------------------------------------------------------------------------------
@@ -594,9 +564,13 @@ def top_k_rows(spark, d):
 
 
 def _parts(spark, d):
-    """Parts bought in one order; orders are small (at most a few tens of lines)."""
-    li = load(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src")).distinct()
-    return li.join(li.withColumnRenamed("src", "dst"), "l_orderkey").where("src < dst").select("src", "dst").distinct()
+    """Parts and the orders they were bought in; parts of one order are two steps apart. Parts are even, orders odd."""
+    return load(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_orderkey") * 2 + 1).alias("dst"))
+
+
+def _hops(spark, d, hops):
+    near = graph.neighbours(_parts(spark, d), spark.createDataFrame([(2,), (4,)], "node long"), 2 * hops)
+    return near.where("hop % 2 = 0").select((F.col("node") / 2).cast("long").alias("node"), (F.col("hop") / 2).cast("int").alias("hop"))
 
 
 _PARTS = "li AS (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem), e AS (SELECT DISTINCT a.p AS src, b.p AS dst FROM li a JOIN li b USING (l_orderkey) WHERE a.p < b.p), b2 AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
@@ -604,12 +578,12 @@ _PARTS = "li AS (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem), e AS
 
 @query(f"WITH {_PARTS} SELECT DISTINCT dst AS node, 1 AS hop FROM b2 WHERE src IN (1, 2) AND dst NOT IN (1, 2)")
 def hop1(spark, d):
-    return graph.neighbours(_parts(spark, d), spark.createDataFrame([(1,), (2,)], "node long"), 1)
+    return _hops(spark, d, 1)
 
 
 @query(f"WITH {_PARTS}, h1 AS (SELECT DISTINCT dst AS node FROM b2 WHERE src IN (1, 2) AND dst NOT IN (1, 2)), h2 AS (SELECT DISTINCT dst AS node FROM b2 WHERE src IN (SELECT node FROM h1) AND dst NOT IN (1, 2) AND dst NOT IN (SELECT node FROM h1)) SELECT node, 1 AS hop FROM h1 UNION ALL SELECT node, 2 FROM h2")
 def hop2(spark, d):
-    return graph.neighbours(_parts(spark, d), spark.createDataFrame([(1,), (2,)], "node long"), 2)
+    return _hops(spark, d, 2)
 
 
 @query("SELECT DISTINCT c_custkey AS src, l_partkey AS dst, c_name AS src_name, p_name AS dst_name FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_name = (SELECT min(p_name) FROM part)")
@@ -624,14 +598,6 @@ def relation_lookup(spark, d):
     return r.select(num("src"), num("dst"), "src_name", "dst_name")
 
 
-@query()
-def communities(spark, d):
-    """Suppliers of shared parts, weighted by the number of parts."""
-    li = load(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("a")).distinct()
-    e = li.join(li.withColumnRenamed("a", "b"), "l_partkey").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    return graph.louvain(e, 6)[0]
-
-
 # Changes ----------------------------------------------------------------------------------------------
 
 
@@ -645,8 +611,7 @@ def change_coalesce(spark, d):
  s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS events FROM s GROUP BY user_id, n""")
 def debounce_session(spark, d):
     e = load(spark, d, "events")
-    s = e.groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count(F.lit(1)).alias("events"))
-    return s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+    return changes.debounce(e, "ts", "2 hours", F.count(F.lit(1)).alias("events"), keys=("user_id",))
 
 
 @query("SELECT time_bucket(INTERVAL '15 minutes', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
@@ -659,16 +624,6 @@ def ring_buffer(spark, d):
     return changes.ring(load(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", 5)
 
 
-@query()
-def throttle(spark, d):
-    return changes.throttle(load(spark, d, "events"), "user_id", "ts", 3600.0)
-
-
-@query()
-def buffer_from_first(spark, d):
-    return changes.buffer_from_first(load(spark, d, "events"), "user_id", "ts", 3600.0)
-
-
 @query("SELECT doc_id, source AS file, CASE WHEN doc_id % 10 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE NOT (source IN ('src1', 'src2') AND doc_id % 10 <> 0) AND NOT source = 'src2'")
 def incremental_index(spark, d):
     docs = load(spark, d, "documents").select("doc_id", F.col("source").alias("file"))
@@ -690,7 +645,8 @@ def doc_type_default(spark, d):
     return load(spark, d, "events").select("event_id", back.alias("t"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_prop FROM events")
+@query("SELECT event_id, len(json_keys(props))::INT AS n, array_to_string(list_transform(json_keys(props), lambda k: k || '=' || json_extract_string(props, '$.' || k)), ',') AS entries FROM events")
 def json_access(spark, d):
     p = F.from_json("props", "map<string,string>")
-    return load(spark, d, "events").select("event_id", F.element_at(p, F.element_at(F.json_object_keys("props"), 1)).alias("first_prop"))
+    every = F.array_join(F.transform(F.map_entries(p), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return load(spark, d, "events").select("event_id", F.size(p).alias("n"), every.alias("entries"))

@@ -1,20 +1,18 @@
-"""The retrieval query: route, top-k, fuse, rerank, diversify, expand, merge, as one lazy plan."""
+"""The retrieval query: route, top-k, fuse, rerank, diversify, expand, merge, as one plan."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sparse_encode
-from ..operators.ranking import dense_top_k, rerank, rrf, top_k
+from ..operators.ranking import dense_top_k, rerank, rrf, sparse_top_k, top_k
 from ..operators.windows import cap_per_group, keep_first
 
 
-def sparse_top_k(query_terms: DataFrame, chunk_terms: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by the dot product of long-form sparse vectors: an equi-join on the bucket."""
-    q = query_terms.select("query_id", "idx", F.col("weight").alias("qw"))
-    s = chunk_terms.join(q, "idx").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
-    return top_k(s, ["query_id"], "score", "chunk_id", k)
+def fused(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): the k best of each of the dense and sparse lists, fused by rank."""
+    dense, sparse = dense_top_k(queries, chunks, k), sparse_top_k(queries, chunks, k)
+    return rrf(dense.select("query_id", "chunk_id", "rank").unionByName(sparse.select("query_id", "chunk_id", "rank")))
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 12, cap: int = 2) -> DataFrame:
@@ -23,10 +21,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 12, cap: int = 2) ->
     queries (query_id, q, text), chunks (chunk_id, v, text, file). Dense and sparse lists are fused, then reranked with the
     keywords and capped per file.
     """
-    dense = dense_top_k(queries.select("query_id", "q"), chunks.select("chunk_id", "v"), 4 * k).select("query_id", "chunk_id", "rank")
-    qt = sparse_encode(queries, "query_id", "text")
-    sparse = sparse_top_k(qt, sparse_encode(chunks, "chunk_id", "text"), 4 * k).select("query_id", "chunk_id", "rank")
-    fused = top_k(rrf(dense.unionByName(sparse)), ["query_id"], "score", "chunk_id", 4 * k)
-    hits = fused.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id").join(chunks.select("chunk_id", "text", "file"), "chunk_id")
+    best = top_k(fused(queries, chunks, 4 * k), ["query_id"], "score", "chunk_id", 4 * k)
+    hits = best.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id").join(chunks.select("chunk_id", "text", "file"), "chunk_id")
     ranked = rerank(keep_first(hits, ["query_id", "chunk_id"], ["rank"]), 2 * k)
     return cap_per_group(ranked, "query_id", "file", "rank", cap, k).select("query_id", "chunk_id", "file", "score", "pick")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -16,7 +17,7 @@ from ..functions.text import extension, glob_regex
 SKIPPED = ("node_modules", ".git", ".build", "out", "build", "dist", "prebuilts", "prebuilt", "prebuild", "target", "bin", "obj", "venv", "env", "__pycache__", "coverage", "temp", "tmp", ".vscode", ".github", ".gitlab", ".gitea", ".svn", ".hg", ".idea", ".settings", ".circleci", ".husky", "third_party", "third-party", ".venv", ".gradle", ".cargo", ".next", ".nuxt", ".yarn", ".pnpm", "test", "tests")
 LAST = ("external", "third_party", "third-party", "vendor", "vendors", "deps", "dependencies")
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".cpp", ".h", ".hpp", ".c", ".py", ".md", ".txt", ".sci", ".sce", ".m", ".java")
-SPECIAL = ("compile_commands.json", ".mcodeignore", ".voidignore")
+SPECIAL = ("compile_commands.json",)
 
 
 def _folders(path: Column) -> Column:
@@ -29,10 +30,11 @@ def in_skipped_folder(path: Column) -> Column:
     return F.exists(_folders(path), lambda p: F.lower(p).isin(*SKIPPED) | (p.startswith(".") & ~p.isin(".", "..")))
 
 
-def is_indexable(path: Column) -> Column:
+def is_indexable(path: Column, special: Sequence[str] = SPECIAL) -> Column:
+    """By extension, or by name: ``special`` names, such as those of ignore files, are indexed wherever they lie."""
     base = F.regexp_extract(path, r"([^/\\]*)$", 1)
     parts = F.split(path, r"[/\\]")
-    return base.isin(*SPECIAL) | (~F.exists(parts, lambda p: p.isin(*SKIPPED[:6])) & extension(path).isin(*EXTENSIONS))
+    return base.isin(*special) | (~F.exists(parts, lambda p: p.isin(*SKIPPED[:6])) & extension(path).isin(*EXTENSIONS))
 
 
 def is_ignored(path: Column, patterns: Sequence[str]) -> Column:
@@ -107,14 +109,10 @@ def drop_ignored(files: DataFrame, rule_files: Sequence[tuple[str, Sequence[str]
 def decode(content: Column) -> Column:
     """UTF-16 by its mark, else UTF-8; null for binaries (an undecodable character among the first 1000, and a NUL)."""
     mark = F.hex(F.substring(content, 1, 2))
-    body = F.when(mark == "FFFE", F.decode(F.substring(content, 3, 1 << 30), "UTF-16LE")).when(mark == "FEFF", F.decode(F.substring(content, 3, 1 << 30), "UTF-16BE")).otherwise(F.regexp_replace(F.expr(f"make_valid_utf8({_sql(content)})"), "^\ufeff", ""))
+    body = F.when(mark == "FFFE", F.decode(F.substring(content, 3, 1 << 30), "UTF-16LE")).when(mark == "FEFF", F.decode(F.substring(content, 3, 1 << 30), "UTF-16BE")).otherwise(F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\ufeff", ""))
     return F.when(F.substring(body, 1, 1000).contains("\ufffd") & body.contains("\x00"), None).otherwise(body)
 
 
-def _sql(c: Column) -> str:
-    return f"`{c._jc.toString()}`"
-
-
 # Logs ------------------------------------------------------------------------------------------------
 
 COMMIT = "struct<path:string,added:int,deleted:int>"
@@ -199,12 +197,44 @@ def read_jsonc(df: DataFrame, text_col: str, schema: str) -> DataFrame:
     return df.withColumn("value", F.from_json(strip_json_comments(F.col(text_col)), schema))
 
 
-def to_typed_json(c: Column) -> Column:
-    return F.to_json(c)
+#: Tags of typed values, and how deep they are revived.
+URI_TAG, REGEX_TAG, DATE_TAG, DEPTH = 1, 2, 17, 200
+
+
+def typed_date(ts: Column) -> Column:
+    """A time as a tagged object, for to_json()."""
+    return F.struct(F.lit(DATE_TAG).alias("$mid"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("source"))
+
 
+def typed_regex(source: Column, flags: Column) -> Column:
+    return F.struct(F.lit(REGEX_TAG).alias("$mid"), source.alias("source"), flags.alias("flags"))
 
-def from_typed_json(c: Column, schema: str) -> Column:
-    return F.from_json(c, schema)
+
+@pandas_function("array<struct<path:string,kind:string,value:string>>")
+def revive_json(text: pd.Series) -> pd.Series:
+    """Every leaf of a JSON text with its path: tagged URIs, patterns and times as such, other values as JSON. What lies
+    deeper than DEPTH stays JSON; broken JSON and nulls give null."""
+
+    def walk(x: object, path: str, depth: int) -> list[tuple[str, str, str]]:
+        tag = x.get("$mid") if isinstance(x, dict) else None
+        if tag == URI_TAG:
+            return [(path, "uri", f"{x.get('scheme', 'file')}://{x.get('authority', '')}{x.get('path', '')}")]
+        if tag == REGEX_TAG:
+            return [(path, "regex", f"/{x.get('source', '')}/{x.get('flags', '')}")]
+        if tag == DATE_TAG:
+            return [(path, "date", str(x.get("source")))]
+        if not isinstance(x, dict | list) or depth > DEPTH:
+            return [(path, "json", json.dumps(x, ensure_ascii=False))]
+        parts = x.items() if isinstance(x, dict) else enumerate(x)
+        return [leaf for k, v in parts for leaf in walk(v, f"{path}.{k}" if path else str(k), depth + 1)]
+
+    def one(t: str | None) -> list | None:
+        try:
+            return None if t is None else walk(json.loads(t), "", 0)
+        except ValueError:
+            return None
+
+    return text.map(one)
 
 
 def splice_tokens(data: Column, edits: Column) -> Column:

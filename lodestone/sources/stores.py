@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import posixpath
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,39 @@ def read_records(spark: SparkSession, path: str, route: str = "all") -> DataFram
     return df if route == "all" else df.where(F.col("doc_type") == route)
 
 
+class JsonStore:
+    """A JSON object of strings in one small file. Changes wait for flush(), or until the oldest is ``delay`` seconds old and
+    another comes; ``now`` writes at once."""
+
+    def __init__(self, spark: SparkSession, path: str, delay: float = 0.1) -> None:
+        self.spark, self.path, self.delay, self.since = spark, path, delay, None
+        try:
+            rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m")).collect()
+            self.values: dict[str, str] = dict(rows[0].m or {}) if rows else {}
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            self.values = {}
+
+    def get(self, key: str, default: str | None = None) -> str | None:
+        return self.values.get(key, default)
+
+    def set(self, key: str, value: str | None, now: bool = False) -> None:
+        """A null value deletes the key."""
+        if value is None:
+            self.values.pop(key, None)
+        else:
+            self.values[key] = value
+        self.since = self.since or time.monotonic()
+        if now or time.monotonic() - self.since >= self.delay:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.since is not None:
+            self.spark.createDataFrame([(json.dumps(self.values),)], "value string").coalesce(1).write.mode("overwrite").text(self.path)
+            self.since = None
+
+
 def replace_files(table: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
     """table without the rows of files (file), plus new."""
     return table.join(files.select("file").distinct(), "file", "left_anti").unionByName(new)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..sources.stores import replace_files
 
@@ -16,9 +17,10 @@ def coalesce(changes: DataFrame, path: str = "path", kind: str = "type") -> Data
     return changes.groupBy(path).agg(F.when(F.bool_or(F.col(kind) == "deleted"), "deleted").otherwise("updated").alias(kind))
 
 
-def debounce(df: DataFrame, ts: str, gap: str, *aggs: Column) -> DataFrame:
-    """(start, end, ...): what came without a quiet gap, as one row, over the whole stream. A gap of exactly the length doesn't part."""
-    out = df.groupBy(F.session_window(ts, gap).alias("w")).agg(*aggs)
+def debounce(df: DataFrame, ts: str, gap: str, *aggs: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, start, end, ...): what came without a quiet gap, as one row, by key or over the whole stream. A gap of exactly the
+    length doesn't part."""
+    out = df.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(*aggs)
     return out.withColumns({"start": F.col("w.start"), "end": F.col("w.end")}).drop("w")
 
 
@@ -77,7 +79,7 @@ def buffer_from_first(df: DataFrame, key: str, ts: str, delay: float) -> DataFra
 
 
 def buffer_stream(stream: DataFrame, key: str, delay_ms: int) -> DataFrame:
-    """A live stream of (key, value string), a row per key and ``delay_ms`` from its first event: values joined."""
+    """A live stream of (key, value string), a row per key and ``delay_ms`` from its first event: values joined, nulls left out."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held, n = state.get if state.exists else ("", 0)
@@ -86,7 +88,7 @@ def buffer_stream(stream: DataFrame, key: str, delay_ms: int) -> DataFrame:
             yield pd.DataFrame({key: [k[0]], "data": [held], "n": [n]})
             return
         for pdf in batches:
-            held, n = held + "".join(pdf["value"]), n + len(pdf)
+            held, n = held + "".join(pdf["value"].dropna()), n + len(pdf)
         if not state.exists:
             state.setTimeoutDuration(delay_ms)
         state.update((held, n))
@@ -95,6 +97,37 @@ def buffer_stream(stream: DataFrame, key: str, delay_ms: int) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, data string, n long", "held string, n long", "append", "ProcessingTimeTimeout")
 
 
+def throttle_stream(stream: DataFrame, key: str, delay_ms: int) -> DataFrame:
+    """A live stream of (key, value double) throttled by key: (key, total, n). What comes first goes out at once, then at most one
+    row a ``delay_ms`` with the sum of what came meanwhile. Null values count and add nothing."""
+
+    def row(k: tuple, total: float, n: int) -> pd.DataFrame:
+        return pd.DataFrame({key: [k[0]], "total": [float(total)], "n": [n]})
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            total, n = state.get
+            if n:
+                state.update((0.0, 0))
+                state.setTimeoutDuration(delay_ms)
+                yield row(k, total, n)
+            else:
+                state.remove()
+            return
+        new = pd.concat(list(batches))["value"]
+        if state.exists:
+            total, n = state.get
+            state.update((total + float(new.sum()), n + len(new)))
+            state.setTimeoutDuration(delay_ms)
+        else:
+            state.update((0.0, 0))
+            state.setTimeoutDuration(delay_ms)
+            yield row(k, new.sum(), len(new))
+
+    kind = dict(stream.dtypes)[key]
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, total double, n long", "total double, n long", "append", "ProcessingTimeTimeout")
+
+
 def ring(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """The last n rows of each key, oldest first in ``place``."""
     w = Window.partitionBy(*keys)
@@ -115,42 +148,95 @@ def apply_changes(chunks: DataFrame, changes: DataFrame, new: DataFrame) -> Data
 class IndexSync:
     """Versioned index tables kept up to date by a change stream.
 
-    Each batch writes the next version and then points to it, so readers always see a whole one; a batch that is
-    run again writes the same version. Failed files go to a dead-letter table and are tried again with the next batch.
+    A batch is applied to the version the pointer names, written as the next one, and pointed to with its stream and number:
+    readers always see a whole version, a batch that is run again is known and does nothing, and a stream with a new checkpoint
+    goes on from the current version, whatever its numbers. What a crash left unpointed is written over.
+
+    ``chunk`` gives (file, ..., chunk columns) of files (file, text); with a column ``ok`` it may say that a file failed: its old chunks
+    stay, and the file waits in the version's dead-letter table until the next batch tries it again.
     """
 
+    _FAILED = "file string, text string"
+
     def __init__(self, spark: SparkSession, root: str, chunk: Callable[[DataFrame], DataFrame], active: Callable[[], bool] = lambda: True) -> None:
         self.spark, self.root, self.chunk, self.active = spark, root, chunk, active
         self.events: list[tuple[str, int]] = []
 
-    def version(self) -> int | None:
+    def _pointers(self) -> DataFrame | None:
         try:
-            return self.spark.read.text(f"{self.root}/current").agg(F.max(F.col("value").cast("int"))).first()[0]
+            return self.spark.read.schema("version int, stream string, batch long").json(f"{self.root}/current")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return None
             raise
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{self.version()}")
+    def version(self) -> int | None:
+        p = self._pointers()
+        return None if p is None else p.agg(F.max("version")).first()[0]
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/v{self.version() if version is None else version}/chunks")
+
+    def failed(self, version: int | None = None) -> DataFrame:
+        """(file, text): the dead letters."""
+        return self.spark.read.schema(self._FAILED).parquet(f"{self.root}/v{self.version() if version is None else version}/failed")
+
+    def _write(self, version: int, chunks: DataFrame, failed: DataFrame) -> None:
+        chunks.write.mode("overwrite").parquet(f"{self.root}/v{version}/chunks")
+        failed.write.mode("overwrite").parquet(f"{self.root}/v{version}/failed")
 
     def build(self, chunks: DataFrame) -> None:
-        chunks.write.mode("overwrite").parquet(f"{self.root}/v0")
-        self._point(0)
+        self._write(0, chunks, self.spark.createDataFrame([], self._FAILED))
+        self._point(0, "build", -1)
         self.events.append(("complete", 0))
 
-    def _point(self, v: int) -> None:
-        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/current")
+    def _point(self, version: int, stream: str, batch: int) -> None:
+        self.spark.createDataFrame([(version, stream, batch)], "version int, stream string, batch long").coalesce(1).write.mode("append").json(f"{self.root}/current")
 
     def on_batch(self, changes: DataFrame, batch_id: int) -> None:
-        """For foreachBatch: changes (file, type, text)."""
-        if not self.active() or self.version() is None:
+        """For foreachBatch: changes (file, type, text), with ``seq`` where a file may be updated more than once in a batch: the
+        update with the largest counts."""
+        base = self.version()
+        if not self.active() or base is None:
             return
-        v = batch_id + 1
-        new = self.chunk(changes.where("type = 'updated'").select("file", "text").dropDuplicates(["file"]))
-        apply_changes(self.read(), changes, new).write.mode("overwrite").parquet(f"{self.root}/v{v}")
-        self._point(v)
-        self.events.append(("incrementalSync", v))
+        stream = self.spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        if not self._pointers().where((F.col("stream") == stream) & (F.col("batch") == batch_id)).isEmpty():
+            return
+        changes = changes.persist()
+        try:
+            order = F.col("seq") if "seq" in changes.columns else F.lit(0)
+            last = changes.where("type = 'updated'").groupBy("file").agg(F.max_by("text", order).alias("text"))
+            batch = coalesce(changes.select("file", "type"), "file")
+            again = self.failed(base).join(batch, "file", "left_anti")
+            tried = last.join(batch.where("type = 'updated'"), "file", "left_semi").unionByName(again)
+            new = self.chunk(tried)
+            bad = new.where("not ok").select("file").distinct() if "ok" in new.columns else self.spark.createDataFrame([], "file string")
+            done = batch.unionByName(again.select("file", F.lit("updated").alias("type"))).join(bad, "file", "left_anti")
+            good = new.where("ok").drop("ok") if "ok" in new.columns else new
+            self._write(base + 1, apply_changes(self.read(base), done, good.join(bad, "file", "left_anti")), tried.join(bad, "file", "left_semi"))
+        finally:
+            changes.unpersist()
+        self._point(base + 1, stream, batch_id)
+        self.events.append(("incrementalSync", base + 1))
+
+
+class IndexEvents(StreamingQueryListener):
+    """A stream's life as index events: progress with the batch, then complete, or error with what was thrown."""
+
+    def __init__(self) -> None:
+        self.events: list[tuple[str, object]] = []
+
+    def onQueryStarted(self, event) -> None:
+        self.events.append(("started", event.name))
+
+    def onQueryProgress(self, event) -> None:
+        self.events.append(("progress", event.progress.batchId))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.events.append(("error", event.exception) if event.exception else ("complete", None))
 
 
 def retry_failed(files: DataFrame, parse: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame], DataFrame]) -> DataFrame:
