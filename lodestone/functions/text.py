@@ -54,11 +54,17 @@ def _bucket(token: str) -> int:
 _TOKEN = re.compile(SPARSE_TOKEN)
 
 
-def encode_sparse(text: str | None) -> list[tuple[int, float]]:
-    """A text's buckets with their counts over the largest; null has none."""
+def bucket_counts(text: str | None) -> Counter:
+    """How often each of a text's buckets comes; null has none."""
     tf = Counter()
     for w, n in Counter(_TOKEN.findall(text or "")).items():
         tf[_bucket(w.lower())] += n
+    return tf
+
+
+def encode_sparse(text: str | None) -> list[tuple[int, float]]:
+    """A text's buckets with their counts over the largest."""
+    tf = bucket_counts(text)
     top = max(tf.values(), default=1)
     return [(i, n / top) for i, n in tf.items()]
 

@@ -19,6 +19,7 @@ _SYMBOLS = (
     (r"^\s*function\s*(?:\[?[\w,\s]*\]?\s*=\s*)()([A-Za-z_]\w*)\s*\(", 0, 2),
     (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(function|def|fun|func|fn)\s+([A-Za-z_$][\w$]*)", 0, 2),
     (r"^\s*(?!return\b|else\b|new\b|throw\b|if\b|for\b|while\b|switch\b)(?:[A-Za-z_][\w:<>,*&\[\]]*\s+)+()([A-Za-z_][\w:]*)\s*\([^;]*$", 0, 2),
+    (r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*()(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b)([A-Za-z_$][\w$]*)\s*\([^;]*\)\s*(?::\s*[^{;]+)?\{\s*$", 0, 2),
 )
 
 
@@ -88,12 +89,19 @@ def extract_relations(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: A name that more files than this define says nothing about which is meant.
+MOST_DEFINITIONS = 20
+
+
+def build_graph(files: DataFrame, most_definitions: int = MOST_DEFINITIONS) -> tuple[DataFrame, DataFrame]:
     """nodes (id, file, kind, name) and edges (file, src, dst, kind) from files (file, text).
 
-    Imports are resolved by file stem and calls by symbol name; what is defined nowhere is left out.
+    Imports are resolved by file stem and calls by symbol name: in the caller's own file if it defines the name, else in all files
+    that do, unless they are more than ``most_definitions``. What is defined nowhere is left out. Files are parsed once, into
+    shared storage.
     """
-    parsed = files.select("file", chunk_code("text").alias("c"), extract_relations("text").alias("r")).persist()
+    use_checkpoints(files.sparkSession)
+    parsed = files.select("file", chunk_code("text").alias("c"), extract_relations("text").alias("r")).checkpoint()
     symbols = parsed.select("file", F.explode("c").alias("c")).where("c.symbol_type <> 'file'").select("file", F.col("c.symbol_type").alias("kind"), F.col("c.symbol_name").alias("name")).distinct()
     nodes = parsed.select(F.col("file").alias("id"), "file", F.lit("file").alias("kind"), F.col("file").alias("name"))
     nodes = nodes.unionByName(symbols.select(F.concat("file", F.lit("#"), "name").alias("id"), "file", "kind", "name")).dropDuplicates(["id"])
@@ -102,7 +110,11 @@ def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_stem = files.select(F.col("file").alias("dst"), stem(F.col("file")).alias("stem"))
     imports = rel.where("kind = 'imports'").withColumn("stem", stem(F.regexp_replace("target", r"\.(?=[A-Za-z_]\w*$)", "/"))).join(by_stem, "stem").select("file", F.col("file").alias("src"), "dst", "kind")
     named = symbols.select(F.col("name").alias("target"), F.concat("file", F.lit("#"), "name").alias("dst"))
-    calls = rel.where("kind in ('calls', 'inherits')").join(named, "target").select("file", F.concat("file", F.lit("#"), "source").alias("src"), "dst", "kind")
+    asked = rel.where("kind in ('calls', 'inherits')")
+    own = asked.join(symbols.select("file", F.col("name").alias("target")).distinct(), ["file", "target"], "left_semi").withColumn("dst", F.concat("file", F.lit("#"), "target"))
+    rare = named.groupBy("target").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_definitions).select("target")
+    others = asked.join(own.select("file", "target").distinct(), ["file", "target"], "left_anti").join(named.join(rare, "target"), "target")
+    calls = own.select(*others.columns).unionByName(others).select("file", F.concat("file", F.lit("#"), "source").alias("src"), "dst", "kind")
     contains = symbols.select("file", F.col("file").alias("src"), F.concat("file", F.lit("#"), "name").alias("dst"), F.lit("contains").alias("kind"))
     return nodes, imports.unionByName(calls).unionByName(contains).where("src <> dst").distinct()
 

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scalar import stable_key
-from ..functions.text import encode_sparse, overlap, rerank_tokens
+from ..functions.text import bucket_counts, overlap, rerank_tokens
 from ..functions.vectors import dot
 from ..session import use_checkpoints
 from .windows import min_max
@@ -39,6 +39,11 @@ def _matrix(lists: list, dims: int | None = None) -> np.ndarray:
     return out
 
 
+def _rounded(x: np.ndarray, places: int) -> np.ndarray:
+    """Halves away from zero, as SQL rounds."""
+    return np.sign(x) * np.floor(np.abs(x) * 10.0**places + 0.5) / 10.0**places
+
+
 def _best_by_blocks(queries: DataFrame, rows: DataFrame, k: int, few: int, prepare: Callable, score: Callable) -> DataFrame:
     """(query_id, chunk_id, score, rank): of queries (query_id, x) and rows (chunk_id, y), the k best scores of each query, ties by chunk.
 
@@ -77,7 +82,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, few: int = FEW_Q
     vectors (chunk_id, v); a null vector has the score 0."""
 
     def score(q: np.ndarray, vs: list) -> np.ndarray:
-        return np.round(_matrix(vs, q.shape[1]) @ q.T, 9)
+        return _rounded(_matrix(vs, q.shape[1]) @ q.T, 9)
 
     return _best_by_blocks(queries.select("query_id", "q"), vectors.select("chunk_id", "v"), k, few, _matrix, score)
 
@@ -88,22 +93,27 @@ def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int, few: int = FEW_Q
     queries (query_id, text) and chunks (chunk_id, text) are encoded in their own rows: however common a bucket, no join meets it.
     """
 
-    def prepare(texts: list) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
-        postings: dict[int, list[tuple[int, float]]] = {}
+    def prepare(texts: list) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        postings: dict[int, list[tuple[int, int]]] = {}
+        tops = np.ones(len(texts))
         for j, t in enumerate(texts):
-            for i, w in encode_sparse(t):
-                postings.setdefault(i, []).append((j, w))
-        return len(texts), {i: (np.array([j for j, _ in p]), np.array([w for _, w in p])) for i, p in postings.items()}
+            counts = bucket_counts(t)
+            tops[j] = max(counts.values(), default=1)
+            for i, c in counts.items():
+                postings.setdefault(i, []).append((j, c))
+        return tops, {i: (np.array([j for j, _ in p]), np.array([c for _, c in p], float)) for i, p in postings.items()}
 
     def score(ready: tuple, texts: list) -> np.ndarray:
-        n, postings = ready
-        out = np.zeros((len(texts), n))
+        # Counts are multiplied and divided by the largest at the end, so that sums are whole numbers.
+        tops, postings = ready
+        out = np.zeros((len(texts), len(tops)))
         for row, t in zip(out, texts):
-            for i, w in encode_sparse(t):
-                if i in postings:
-                    who, weights = postings[i]
-                    row[who] += w * weights
-        return np.where(out > 0, np.round(out, 6), np.nan)
+            counts = bucket_counts(t)
+            for i in counts.keys() & postings.keys():
+                who, of = postings[i]
+                row[who] += counts[i] * of
+            row /= tops * max(counts.values(), default=1)
+        return np.where(out > 0, _rounded(out, 6), np.nan)
 
     return _best_by_blocks(queries.select("query_id", "text"), chunks.select("chunk_id", "text"), k, few, prepare, score)
 

@@ -14,33 +14,34 @@ MATCHES = "array<struct<start_line:int,start_col:int,end_line:int,end_col:int,pr
 
 
 def search(docs: DataFrame, id_col: str, pattern: str, quota: int = 10_000, chars: int = 250) -> DataFrame:
-    """(id, matches, limit_hit): places from 0, lines may be crossed, previews start 20 characters before.
+    """(id, matches, total, limit_hit): places from 0, lines may be crossed, previews start 20 characters before.
 
-    At most ``quota`` matches of a text are given; limit_hit says that there are more.
+    At most ``quota`` matches of a text are given with places; all are counted in total, and limit_hit says that there are more
+    than are given.
     """
 
-    @F.pandas_udf(f"struct<m:{MATCHES},limit_hit:boolean>")
+    @F.pandas_udf(f"struct<m:{MATCHES},total:bigint,limit_hit:boolean>")
     def run(text: pd.Series) -> pd.DataFrame:
         rx, rows = re.compile(pattern), []
         for t in text:
-            found, more, starts = [], False, None
+            found, total, starts = [], 0, None
             for m in rx.finditer(t or ""):
                 if m.end() == m.start():
                     continue
-                if len(found) == quota:
-                    more = True
-                    break
+                total += 1
+                if total > quota:
+                    continue
                 starts = starts or [0, *(i + 1 for i, c in enumerate(t) if c == "\n")]
                 import bisect
 
                 a, b = bisect.bisect_right(starts, m.start()) - 1, bisect.bisect_right(starts, m.end()) - 1
                 left = max(starts[a], m.start() - 20)
                 found.append((a, m.start() - starts[a], b, m.end() - starts[b], t[left : left + chars].split("\n")[0] if a == b else t[left : m.end()]))
-            rows.append((found, more))
-        return pd.DataFrame(rows, columns=["m", "limit_hit"])
+            rows.append((found, total, total > quota))
+        return pd.DataFrame(rows, columns=["m", "total", "limit_hit"])
 
-    hit = docs.select(id_col, run("text").alias("r")).select(id_col, F.col("r.m").alias("matches"), "r.limit_hit")
-    return hit.where(F.size("matches") > 0)
+    hit = docs.select(id_col, run("text").alias("r")).select(id_col, F.col("r.m").alias("matches"), "r.total", "r.limit_hit")
+    return hit.where("total > 0")
 
 
 def search_folders(docs: DataFrame, folder: str, id_col: str, pattern: str, most: int) -> DataFrame:

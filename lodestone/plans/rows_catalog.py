@@ -251,6 +251,35 @@ def expanded_chunks(spark, d):
     return out.select(F.col("chunk_id").alias("doc_id"), F.md5("text").alias("digest"))
 
 
+def _sources(spark, d):
+    """A small source file for each customer: it imports the next one's and calls its function."""
+    k = F.col("c_custkey")
+    t = F.format_string("import { f%d } from './m%d';\nclass K%d extends Base {\n  run() {\n    f%d();\n  }\n}\nfunction f%d() {\n  return shared();\n}\n", k + 1, k + 1, k, k + 1, k)
+    return load(spark, d, "customer").select("c_custkey", F.concat(F.lit("src/m"), k.cast("string"), F.lit(".ts")).alias("file"), t.alias("text"))
+
+
+@query("SELECT c_custkey, 'class' AS symbol_type, 'K' || c_custkey::VARCHAR AS symbol_name, 2::INT AS start_line, 6::INT AS end_line FROM customer UNION ALL SELECT c_custkey, 'function', 'f' || c_custkey::VARCHAR, 7, 9 FROM customer UNION ALL SELECT c_custkey, 'function', 'run', 3, 5 FROM customer")
+def code_chunks(spark, d):
+    c = _sources(spark, d).select("c_custkey", F.explode(graph.chunk_code("text")).alias("c"))
+    return c.select("c_custkey", "c.symbol_type", "c.symbol_name", "c.start_line", "c.end_line")
+
+
+@query("""SELECT c_custkey, 'imports' AS kind, NULL AS source, './m' || (c_custkey + 1)::VARCHAR AS target, 1::INT AS line FROM customer UNION ALL SELECT c_custkey, 'inherits', 'K' || c_custkey::VARCHAR, 'Base', 2 FROM customer
+ UNION ALL SELECT c_custkey, 'calls', 'K' || c_custkey::VARCHAR, 'f' || (c_custkey + 1)::VARCHAR, 4 FROM customer UNION ALL SELECT c_custkey, 'calls', 'f' || c_custkey::VARCHAR, 'shared', 8 FROM customer""")
+def code_relations(spark, d):
+    r = _sources(spark, d).select("c_custkey", F.explode(graph.extract_relations("text")).alias("r"))
+    return r.select("c_custkey", "r.kind", "r.source", "r.target", "r.line")
+
+
+@query("""WITH k AS (SELECT c_custkey AS k, (SELECT max(c_custkey) FROM customer) AS last FROM customer), n AS (SELECT 'src/m' || k::VARCHAR || '.ts' AS f, k, last FROM k)
+ SELECT f AS src, 'src/m' || (k + 1)::VARCHAR || '.ts' AS dst, 'imports' AS kind FROM n WHERE k < last UNION ALL SELECT f || '#K' || k::VARCHAR, 'src/m' || (k + 1)::VARCHAR || '.ts#f' || (k + 1)::VARCHAR, 'calls' FROM n WHERE k < last
+ UNION ALL SELECT f, f || '#' || unnest(['K' || k::VARCHAR, 'f' || k::VARCHAR, 'run']), 'contains' FROM n""")
+def code_graph(spark, d):
+    """Imports, calls and what files contain, of all the small source files together."""
+    _, edges = graph.build_graph(_sources(spark, d))
+    return edges.select("src", "dst", "kind")
+
+
 # Aggregates ------------------------------------------------------------------------------------------------
 
 

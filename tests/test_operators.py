@@ -41,7 +41,7 @@ def test_ann_recall(spark, sf_dir):
     v = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     key = lambda df: {(r.query_id, r.chunk_id) for r in df.collect()}
-    exact, near = key(ranking.dense_top_k(q, v, 10)), key(ranking.ann_top_k(q, v, 10, 16, 12))
+    exact, near = key(ranking.dense_top_k(q, v, 10)), key(ranking.ann_top_k(q, v, 10))
     assert len(exact & near) / len(exact) >= 0.9
 
 
@@ -412,6 +412,22 @@ def test_diff_models():
             assert n == len(a) + len(b) - 2 * lcs[-1][-1]
 
 
+def test_diff_of_long_texts():
+    rng = random.Random(6)
+    a = [f"line {rng.randrange(4000)}" for _ in range(8000)]
+    b = [x for x in a if rng.random() > 0.02]
+    for _ in range(150):
+        b.insert(rng.randrange(len(b)), f"new {rng.random()}")
+    for f in (diff.shortest_edits, diff.scored_edits):
+        out, at = [], 0
+        for a1, a2, b1, b2 in f(a, b):
+            out += a[at:a1] + b[b1:b2]
+            at = a2
+        assert out + a[at:] == b
+    # Nothing in common: no path is searched.
+    assert diff.shortest_edits([f"a{i}" for i in range(20_000)], [f"b{i}" for i in range(20_000)]) == [(0, 20_000, 0, 20_000)]
+
+
 def test_cell_diff(spark):
     got = one(spark, diff.cell_diff("a", "b"), a=["1", "2", "3"], b=["1", "9", "3", "4"])
     assert [(r.status, r.original, r.modified) for r in got] == [("unchanged", 0, 0), ("modified", 1, 1), ("unchanged", 2, 2), ("inserted", None, 3)]
@@ -441,8 +457,7 @@ def test_search(spark):
 
 
 def test_throttle_and_buffer_models():
-    assert changes.throttle_times([0, 1, 2, 10, 11, 30], 5) == [(0, 1), (5, 2), (10, 1), (15, 1), (30, 1)] or changes.throttle_times([0, 1, 2, 10, 11, 30], 5)[0] == (0, 1)
-    assert sum(n for _, n in changes.throttle_times([0, 1, 2, 10, 11, 30], 5)) == 6
+    assert changes.throttle_times([0, 1, 2, 10, 11, 30], 5) == [(0, 1), (5, 2), (10, 1), (15, 1), (30, 1)]
     assert changes.anchored_times([0, 3, 5, 6, 20], 5) == [(5, 2), (10, 2), (25, 1)]
 
 
@@ -462,9 +477,103 @@ def test_index_sync_from_a_stream(spark, tmp_path):
     assert [e[0] for e in sync.events] == ["complete", "incrementalSync"]
 
 
+def test_index_sync_after_crashes_and_fresh_checkpoints(spark, tmp_path):
+    chunk = lambda f: f.select("file", F.explode(F.split("text", ";")).alias("chunk"))
+    rows = lambda *r: spark.createDataFrame(list(r), "file string, type string, text string, seq int")
+    sync = changes.IndexSync(spark, str(tmp_path / "ix"), chunk)
+    sync.build(chunk(spark.createDataFrame([("a", "1"), ("b", "2")], "file string, text string")))
+    now = lambda: {(r.file, r.chunk) for r in sync.read().collect()}
+    sync.on_batch(rows(("a", "updated", "old", 1), ("a", "updated", "new", 2)), 4)
+    assert now() == {("a", "new"), ("b", "2")} and sync.version() == 1
+    # A stream with a fresh checkpoint begins at 0 again: nothing is lost.
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", "second")
+    try:
+        sync.on_batch(rows(("b", "updated", "3", 1)), 0)
+        assert now() == {("a", "new"), ("b", "3")} and sync.version() == 2
+        # Run again behind the pointer: the same batch does nothing, whatever it holds.
+        sync.on_batch(rows(("b", "updated", "again", 1)), 0)
+        assert now() == {("a", "new"), ("b", "3")} and sync.version() == 2
+        # A crash before the pointer leaves a version that nobody reads; the batch writes it anew.
+        point, sync._point = sync._point, lambda *a: (_ for _ in ()).throw(RuntimeError("crash"))
+        with pytest.raises(RuntimeError):
+            sync.on_batch(rows(("a", "updated", "half", 1)), 1)
+        assert now() == {("a", "new"), ("b", "3")}
+        sync._point = point
+        sync.on_batch(rows(("a", "updated", "whole", 1)), 1)
+        assert now() == {("a", "whole"), ("b", "3")} and sync.version() == 3
+    finally:
+        spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
+
+
+def test_dead_letters_are_tried_again(spark, tmp_path):
+    works = [False]
+    sync = changes.IndexSync(spark, str(tmp_path / "ix"), lambda f: f.select("file", "text", ((F.col("file") != "bad") | F.lit(works[0])).alias("ok")))
+    sync.build(spark.createDataFrame([("bad", "0"), ("good", "0")], "file string, text string"))
+    batch = lambda *r: spark.createDataFrame(list(r), "file string, type string, text string")
+    sync.on_batch(batch(("bad", "updated", "1"), ("good", "updated", "1")), 0)
+    assert {(r.file, r.text) for r in sync.read().collect()} == {("bad", "0"), ("good", "1")} and sync.failed().first().file == "bad"
+    works[0] = True
+    sync.on_batch(batch(("other", "updated", "2")), 1)
+    assert {(r.file, r.text) for r in sync.read().collect()} == {("bad", "1"), ("good", "1"), ("other", "2")} and sync.failed().isEmpty()
+
+
+def test_throttle_stream(spark, tmp_path):
+    src = tmp_path / "in"
+    put = lambda n, *rows: spark.createDataFrame(list(rows), "key string, value double").coalesce(1).write.mode("append").json(str(src)) or n
+    put(0, ("k", 1.0), ("k", None), ("j", 5.0))
+    s = spark.readStream.schema("key string, value double").option("maxFilesPerTrigger", 1).json(str(src))
+    q = changes.throttle_stream(s, "key", 4000).writeStream.format("memory").queryName("throttled").outputMode("append").trigger(processingTime="200 milliseconds").start()
+    got = lambda: [(r.key, r.total, r.n) for r in spark.table("throttled").collect()]
+    try:
+        assert changes.wait_for(q, lambda: len(got()) == 2, 60) and set(got()) == {("k", 1.0, 2), ("j", 5.0, 1)}
+        put(1, ("k", 2.0), ("k", 3.0))
+        assert changes.wait_for(q, lambda: len(got()) == 3, 60) and got()[-1] == ("k", 5.0, 2)
+    finally:
+        q.stop()
+
+
+def test_json_store_waits(spark, tmp_path):
+    at = str(tmp_path / "s")
+    store = stores.JsonStore(spark, at, delay=3600)
+    store.set("a", "1")
+    assert stores.JsonStore(spark, at).get("a") is None
+    store.set("b", "2", now=True)
+    store.set("a", None)
+    store.flush()
+    again = stores.JsonStore(spark, at)
+    assert again.values == {"b": "2"} and again.get("a", "x") == "x"
+
+
+def test_saved_index_gives_what_was_built(spark, sf_dir, tmp_path):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    v = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    ranking.save_index(v, str(tmp_path / "ix"))
+    got = ranking.search_index(q, *ranking.load_index(spark, str(tmp_path / "ix")), 5)
+    key = lambda df: {(r.query_id, r.chunk_id, r["rank"]) for r in df.collect()}
+    assert key(got) == key(ranking.ann_top_k(q, v, 5))
+    ranking.save_index(v.limit(0), str(tmp_path / "ix"))
+    assert not (tmp_path / "ix").exists()
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from lodestone import session
+
+    class Cluster:
+        master = "yarn"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Cluster()
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})()
+
+    with pytest.raises(ValueError):
+        session.use_checkpoints(Session())
+
+
 def test_buffer_stream(spark, tmp_path):
     src = tmp_path / "in"
-    spark.createDataFrame([("k", "a"), ("k", "b"), ("j", "c")], "key string, value string").coalesce(1).write.json(str(src))
+    spark.createDataFrame([("k", "a"), ("k", None), ("j", "c")], "key string, value string").coalesce(1).write.json(str(src))
     s = spark.readStream.schema("key string, value string").json(str(src))
     q = changes.buffer_stream(s, "key", 200).writeStream.format("memory").queryName("buffered").outputMode("append").trigger(processingTime="200 milliseconds").start()
     try:
