@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import use_checkpoints
+
 #: ASCII white space, as the word contracts have it; a word is a run of anything else.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the folder the cluster names.
-
-    Only a local session may do without one; on a cluster a machine's own folder would lose data with its executor.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir has to name a shared folder")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and read back from shared storage: survives lost executors."""
     use_checkpoints(df.sparkSession)
@@ -54,11 +40,20 @@ def with_rank(df: DataFrame, keys: list[str], order: list[str], rows: int, out:
     A window over a key that holds a large share of the rows would put them into one task. So the
     rows of a key are dealt into hash buckets of about ``per_bucket`` rows, ranked there, and moved
     up by the number of rows in the buckets before. ``rows`` is the expected number of rows of a
-    key. Rows equal in ``order`` are interchangeable and take neighbouring ranks.
+    key. Rows equal in ``order`` are interchangeable. ``df`` has to be read from storage: where very many rows
+    are alike, so that a bucket is far over its size, its rows are told apart by their place in the files.
     """
     buckets = max(1, -(-rows // per_bucket))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("long"))
+    counts = cut(dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
+    hot = counts.where(F.col("_n") > 40 * per_bucket)
+    if not hot.isEmpty():
+        # At most one in 40 * per_bucket rows has such a bucket.
+        parts = hot.select(*keys, "_bucket", F.ceil(F.col("_n") / per_bucket).alias("_parts"))
+        place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), "_parts")
+        dealt = dealt.join(F.broadcast(parts), [*keys, "_bucket"], "left")
+        dealt = cut(dealt.withColumn("_bucket", F.when(F.col("_parts").isNull(), F.col("_bucket")).otherwise(F.lit(buckets) * (place + 1) + F.col("_bucket"))).drop("_parts"))
+        counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))

@@ -591,6 +591,15 @@ def test_sharding_gathers_links_where_nearly_all_rows_have_some(spark):
     assert sum(len(v) == 1 for v in where.values()) >= 0.9 * len(where)
 
 
+def test_ranks_of_rows_that_are_all_alike(spark):
+    df = common.cut(spark.createDataFrame([(k, 1 if i < 900 else i, "t") for k in "ab" for i in range(1000)], "k string, doc_id long, t string"))
+    got = common.with_rank(df, ["k"], ["doc_id", "t"], 1000, "rank", per_bucket=10).collect()
+    assert {k: sorted(r["rank"] for r in got if r.k == k) for k in "ab"} == {k: list(range(1000)) for k in "ab"}
+    same = spark.createDataFrame([(None, "all the same")] * 3000, "doc_id long, text string")
+    n = Counter(r["shard"] for r in shard.assign(same, 7).collect())
+    assert sum(n.values()) == 3000 and max(n.values()) - min(n.values()) <= 1
+
+
 def test_quotas_never_break_the_counts():
     rng = random.Random(2)
     for _ in range(1000):
@@ -703,6 +712,15 @@ def test_packing_round_trip(spark, sf_dir, odd, none):
     assert pack.pack(none).count() == 0
 
 
+def test_packing_a_text_longer_than_a_batch(spark):
+    df = spark.createDataFrame([(1, "word " * 9000), (2, "a"), (None, "b")], "doc_id long, text string").withColumn("ids", F.lit("x"))
+    packed = pack.pack(df.coalesce(1), 512, batch_tokens=1000).collect()
+    ids = [np.frombuffer(r.ids, "<u4")[a:b].tolist() for r in sorted(packed, key=lambda r: r.pack_id) for k, (a, b) in enumerate(zip(r.cu_seqlens, r.cu_seqlens[1:])) if r.doc_ids[k] == 1]
+    starts = [r.piece_starts[k] for r in sorted(packed, key=lambda r: r.pack_id) for k in range(len(r.doc_ids)) if r.doc_ids[k] == 1]
+    whole = sum((i for _, i in sorted(zip(starts, ids))), [])
+    assert whole == [*pack.tokenizer()("word " * 9000), pack.END]
+
+
 def test_best_fit_decreasing_against_linear_search():
     rng = random.Random(7)
     for cap in (1, 7, 64, 100):
