@@ -144,7 +144,8 @@ def _asked(tiles: DataFrame, state: DataFrame | None) -> DataFrame:
 
 
 def _reaching(asked: DataFrame, packs: DataFrame, n_packs: int, dims: int, take: int | None) -> DataFrame:
-    """(tile, block, i, bound): the blocks that may still hold something for a query, at most ``take`` of a pack."""
+    """(tile, block, i, bound, kth, kth_id): the blocks that may still hold something for a query, at most ``take`` of a
+    pack, with the k-th best that has to be beaten."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,24 +168,28 @@ def _reaching(asked: DataFrame, packs: DataFrame, n_packs: int, dims: int, take:
                     i, block = i[keep], block[keep]
                 for lo_ in range(0, len(i), 50_000):
                     part = slice(lo_, lo_ + 50_000)
-                    yield pa.record_batch([pa.array(np.full(len(i[part]), r["no"])), pa.array(nos[block[part]]), pa.array(i[part].astype(np.int32)), pa.array(bound[i[part], block[part]])], names=["tile", "block", "i", "bound"])
+                    own = i[part]
+                    cols = (np.full(len(own), r["no"]), nos[block[part]], own.astype(np.int32), bound[own, block[part]], kth[own, 0], kth_id[own, 0])
+                    yield pa.record_batch([pa.array(c) for c in cols], names=["tile", "block", "i", "bound", "kth", "kth_id"])
 
     met = asked.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(n_packs - 1)))).join(packs, "pack")
-    return met.select("no", "n", "x", "state", "nos", "least_ids", "hi", "lo").mapInArrow(run, "tile long, block long, i int, bound long")
+    return met.select("no", "n", "x", "state", "nos", "least_ids", "hi", "lo").mapInArrow(run, "tile long, block long, i int, bound long, kth long, kth_id long")
 
 
 def _scored(wanted: DataFrame, tiles: DataFrame, blocks: DataFrame, dims: int, k: int) -> DataFrame:
-    """(tile, i, query_id, vec_id, score): of each wanted block (tile, block, who) the k best of each query in ``who``."""
+    """(tile, i, query_id, vec_id, score): of each wanted block (tile, block, who) the k best of each query in ``who`` that beat its
+    k-th best so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():
-                who = np.array(sorted(r["who"]))
+                asked = sorted(r["who"], key=lambda w: w["i"])
+                who = np.array([w["i"] for w in asked])
                 q_ids, ids = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "ids"))
                 q, x = np.frombuffer(r["q"], np.int64).reshape(len(q_ids), dims)[who], np.frombuffer(r["x"], np.int64).reshape(len(ids), dims)
-                for i, s in zip(who, _products(q, x.T)):
-                    other = np.flatnonzero(ids != q_ids[i])
+                for i, w, s in zip(who, asked, _products(q, x.T)):
+                    other = np.flatnonzero((ids != q_ids[i]) & ((s > w["kth"]) | ((s == w["kth"]) & (ids < w["kth_id"]))))
                     best = other[np.lexsort((ids[other], -s[other]))[:k]]
                     out += [(r["tile"], int(i), int(q_ids[i]), int(ids[j]), int(s[j])) for j in best]
             kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 3)
@@ -220,12 +225,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int =
         if take is not None:
             first = F.row_number().over(Window.partitionBy("tile", "i").orderBy(F.desc("bound"), "block"))
             reach = reach.withColumn("place", first).where(F.col("place") <= take)
-        reach = cut(reach.select("tile", "block", "i", "bound"))
+        reach = cut(reach.select("tile", "block", "i", "bound", "kth", "kth_id"))
         if reach.isEmpty():
             break
         if stats is not None:
             products += reach.join(blocks.select(F.col("no").alias("block"), "n"), "block").agg(F.sum("n")).first()[0]
-        got = _scored(reach.groupBy("tile", "block").agg(F.collect_list("i").alias("who")), tiles, blocks, dims, k)
+        got = _scored(reach.groupBy("tile", "block").agg(F.collect_list(F.struct("i", "kth", "kth_id")).alias("who")), tiles, blocks, dims, k)
         found = got if found is None else found.unionByName(got)
         found = cut(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
         if take is None:
