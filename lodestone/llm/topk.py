@@ -23,8 +23,8 @@ from .common import cut
 SCALE = 1024
 #: Rows of a block, queries of a tile, blocks whose bounds travel together.
 BLOCK_ROWS, TILE_QUERIES, PACK_BLOCKS = 256, 512, 1024
-#: Blocks a query takes in each wave; what is left after them is one more wave.
-WAVES = (2, 16)
+#: Blocks a query takes in each wave before the last, which takes what is left.
+WAVES = (4,)
 #: The order is fitted on about so many vectors at most (it decides how much is pruned, never the result).
 SAMPLE_ROWS, MOST_CELLS = 20_000, 1024
 _RANGES = "no long, n int, least_id long, ids binary, x binary, hi binary, lo binary"

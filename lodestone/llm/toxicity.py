@@ -124,27 +124,49 @@ def _evidence(words: list[str]) -> Counter:
     return out
 
 
-def _counts(sample: DataFrame, burst: int) -> DataFrame:
-    """(pattern, docs0, docs1, n0, n1): documents and occurrences, by label."""
+def _toxic_counts(texts: DataFrame, burst: int) -> DataFrame:
+    """(pattern, docs, n): documents and occurrences of every pattern of the toxic texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(by: list[Counter]) -> pa.RecordBatch:
-            keys = list(by[0].keys() | by[1].keys())
-            return pa.record_batch([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in by)], names=["pattern", "docs0", "docs1", "n0", "n1"])
+        def made(docs: Counter, n: Counter) -> pa.RecordBatch:
+            keys = list(docs)
+            return pa.record_batch([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (docs, n))], names=["pattern", "docs", "n"])
 
-        by = [Counter() for _ in range(4)]
+        docs, n = Counter(), Counter()
         for b in batches:
-            for t, toxic in zip(b.column(0), b.column(1).to_pylist()):
+            for t in b.column(0):
                 own = _evidence(fold(t.as_py()))
-                by[toxic].update(own.keys())
-                by[2 + toxic].update({k: min(n, burst) if k else n for k, n in own.items()})
-                if len(by[0]) + len(by[1]) > 1_000_000:
-                    yield made(by)
-                    by = [Counter() for _ in range(4)]
-        yield made(by)
+                docs.update(own.keys())
+                n.update({k: min(c, burst) if k else c for k, c in own.items()})
+                if len(docs) > 300_000:
+                    yield made(docs, n)
+                    docs, n = Counter(), Counter()
+        yield made(docs, n)
 
-    parts = sample.select("text", "toxic").mapInArrow(run, "pattern string, docs0 long, docs1 long, n0 long, n1 long")
-    return parts.groupBy("pattern").agg(*(F.sum(c).alias(c) for c in ("docs0", "docs1", "n0", "n1")))
+    return texts.select("text").mapInArrow(run, "pattern string, docs long, n long").groupBy("pattern").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+
+
+def _other_counts(texts: DataFrame, patterns: list[str], burst: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and occurrences of the given patterns in the other texts: a task counts in two arrays and hands on sums."""
+    places = texts.sparkSession.sparkContext.broadcast({p: i for i, p in enumerate(patterns)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = places.value
+        docs, n = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for b in batches:
+            for t in b.column(0):
+                for k, c in _evidence(fold(t.as_py())).items():
+                    if (i := at.get(k)) is not None:
+                        docs[i] += 1
+                        n[i] += min(c, burst) if k else c
+        own = np.flatnonzero(docs)
+        yield pa.record_batch([pa.array(own), pa.array(docs[own]), pa.array(n[own])], names=["i", "docs", "n"])
+
+    sums = texts.select("text").mapInArrow(run, "i long, docs long, n long").groupBy("i").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).toArrow()
+    docs, n = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
+    at = sums.column("i").to_numpy()
+    docs[at], n[at] = sums.column("docs").to_numpy(), sums.column("n").to_numpy()
+    return docs, n
 
 
 def _choose(rows: list[tuple[str, int, float]]) -> tuple[dict[str, float], dict[str, float]]:
@@ -173,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
 
     Of several labels of a document the largest counts; null labels and documents without text are
     left out. About ``sample_rows`` labelled rows at most are used, chosen by hash of doc_id; that
-    bound also bounds what reaches the driver (three numbers a row, and ``lexicon_size`` patterns). A pattern
+    bound also bounds what reaches the driver (three numbers a row, and the patterns that three or more toxic documents of
+    the sample share) and what is sent to the tasks. At most ``lexicon_size`` patterns are kept. A pattern
     counts at most ``burst`` times in one document; no word is too long to be one.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5 != 0))
@@ -186,13 +209,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     if not n_pos or not n_neg:
         return Model({w: 3.0 for w in SEED}, {})
-    counts = cut(_counts(sample, burst))
-    all0, all1 = counts.where("pattern = ''").select("n0", "n1").first()
-    odds = F.log((F.col("n1") + 0.5) / (all1 + 1) / ((F.col("n0") + 0.5) / (all0 + 1)))
+    # Patterns of fewer than three toxic documents can't be chosen, so the other texts are searched for the rest alone.
+    toxic = _toxic_counts(sample.where("toxic = 1"), burst).where("docs >= 3 or pattern = ''").orderBy("pattern").toArrow()
+    patterns, docs1, n1 = toxic.column("pattern").to_pylist(), toxic.column("docs").to_numpy(), toxic.column("n").to_numpy()
+    docs0, n0 = _other_counts(sample.where("toxic = 0"), patterns, burst)
+    all1, all0 = int(n1[0]), int(n0[0])
+    odds = np.log((n1 + 0.5) / (all1 + 1) / ((n0 + 0.5) / (all0 + 1)))
     # The log odds less two standard errors, which go by documents: words come in bursts.
-    weight = odds - 2 * F.sqrt(1 / (F.col("docs1") + 0.5) + 1 / (F.col("docs0") + 0.5))
-    found = counts.where((F.col("pattern") != "") & (F.col("docs1") >= 3)).withColumn("weight", weight).where("weight > 1")
-    model = Model(*_choose([(r.pattern, r.n1, r.weight) for r in found.orderBy(F.desc("weight"), "pattern").limit(lexicon_size).collect()]))
+    weight = odds - 2 * np.sqrt(1 / (docs1 + 0.5) + 1 / (docs0 + 0.5))
+    found = sorted((i for i in range(1, len(patterns)) if docs1[i] >= 3 and weight[i] > 1), key=lambda i: (-weight[i], patterns[i]))
+    model = Model(*_choose([(patterns[i], int(n1[i]), float(weight[i])) for i in found[:lexicon_size]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
