@@ -177,8 +177,9 @@ def word_distance(words: DataFrame, anchors: DataFrame, ranges: DataFrame, keywo
     return near.join(counts, "id", "left").select("id", "word", F.when(F.col("word").isin(*keywords) | F.col("anchor").isNull(), FAR).otherwise(F.coalesce("d", F.lit(0))).alias("distance"))
 
 
-#: Kinds of symbols that hold others, the length from which a chunk isn't expanded.
+#: Kinds of symbols that hold others, the length from which a chunk isn't expanded, and the note between both texts.
 CONTAINERS, EXPAND_BELOW = ("class", "struct", "namespace", "interface", "enum", "union"), 500
+EXPAND_NOTE = "\n\n// --- matched symbol (%s: %s) ---\n\n"
 
 
 def expand_chunks(chunks: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -194,6 +195,6 @@ def expand_chunks(chunks: DataFrame, symbols: DataFrame, files: DataFrame) -> Da
     lines = F.split(F.col("_file_text"), "\n")
     around = inner.join(files.select("file", F.col("text").alias("_file_text")), "file").select("chunk_id", F.trim(F.array_join(F.slice(lines, F.col("_s").cast("int"), F.greatest(F.col("_e") - F.col("_s") + 1, F.lit(0)).cast("int")), "\n")).alias("_around"))
     own = F.trim("text")
-    note = F.concat(F.lit("\n\n// --- matched symbol ("), F.coalesce("symbol_type", F.lit("")), F.lit(": "), F.coalesce("symbol_name", F.lit("unknown")), F.lit(") ---\n\n"))
+    note = F.format_string(EXPAND_NOTE, F.coalesce("symbol_type", F.lit("")), F.coalesce("symbol_name", F.lit("unknown")))
     grown = F.when(F.col("_around").isNull() | (F.col("_around") == "") | F.col("_around").contains(own), F.col("text")).otherwise(F.concat("_around", note, own))
     return chunks.join(around, "chunk_id", "left").select("chunk_id", grown.alias("text"))

@@ -311,6 +311,19 @@ def search_position(values: DataFrame, value: str, x: float) -> DataFrame:
     return values.agg(F.when(F.coalesce(F.bool_or(F.col(value) == x), F.lit(False)), F.sum((F.col(value) < x).cast("int"))).otherwise(-F.coalesce(F.sum((F.col(value) < x).cast("int")), F.lit(0)) - 1).alias("position"))
 
 
+def sorted_map(df: DataFrame, keys: list[str], key: str, value: str, order: str, before=None) -> DataFrame:
+    """(keys, entries): a map of each key's last value by ``order``, iterated in order of its own key, or by a comparator
+    before(a, b) over entries (negative, zero or positive)."""
+    last = df.groupBy(*keys, key).agg(F.max_by(value, order).alias(value))
+    entries = last.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(key, value))).alias("entries"))
+    return entries if before is None else entries.withColumn("entries", F.array_sort("entries", before))
+
+
+def floor_entry(entries: Column, key: str, x: Column) -> Column:
+    """The last entry of a sorted map whose key is at most x; null if there is none."""
+    return F.try_element_at(F.filter(entries, lambda e: e[key] <= x), F.lit(-1))
+
+
 #: Kinds of change in the order in which they apply at one place.
 CHANGE_ORDER = {"delete": 0, "modified": 1, "unchanged": 1, "insert": 2}
 

@@ -145,9 +145,9 @@ def merge_context(sections: DataFrame, budget: int, git_budget: int, excluded: l
     return sections.withColumn("used", used).where(F.col("used") <= F.when(git, git_budget).otherwise(budget))
 
 
-#: Tools that write a file, and words after which a file may be named without a folder.
+#: Tools that write a file, and what names one in a user's text.
 WRITERS, MAKER = ("edit_file", "rewrite_file", "create_file_or_folder"), "create_file_or_folder"
-WRITE_WORDS = "输出|写入|write|create"
+NAMED_FILE = r"""[`'"]?([^\s`'"]*(?:[\\/][^\s`'"]*)+\.md)[`'"]?|(?:输出|写入|write|create)[^\n]*?([^\s`'"]+\.md)"""
 
 
 def deliverable(messages: DataFrame) -> DataFrame:
@@ -166,9 +166,7 @@ def deliverable(messages: DataFrame) -> DataFrame:
     if has("is_folder"):
         wrote = wrote & ~((F.col("tool") == MAKER) & F.coalesce("is_folder", F.lit(False)))
     edited = F.max_by("path", F.when(wrote, F.col("turn")))
-    with_folder = r"[`'\"]?([^\s`'\"]*(?:[\\/][^\s`'\"]*)+\.md)[`'\"]?"
-    pattern = rf"(?i){with_folder}|(?:{WRITE_WORDS})[^\n]*?([^\s`'\"]+\.md)"
-    found = F.concat(F.regexp_extract("text", pattern, 1), F.regexp_extract("text", pattern, 2))
+    found = F.concat(*(F.regexp_extract("text", f"(?i){NAMED_FILE}", g) for g in (1, 2)))
     named = F.when(F.col("role") == "user", found)
     first = F.min_by(named, F.when(named != "", F.col("turn")))
     return messages.groupBy("conv_id").agg(F.coalesce(edited, first).alias("path"))

@@ -136,3 +136,14 @@ def merged_context(spark, d):
 def whole_table_pages(spark, d):
     """Pages of a whole table: places are counted range by range, not in one task."""
     return ranking.page(load(spark, d, "orders"), ["o_totalprice", "o_orderkey"], 25).select("o_orderkey", "page", F.col("item").cast("int"))
+
+
+@query("""WITH l AS (SELECT o_custkey, o_orderpriority AS k, max(o_orderkey) AS v FROM orders GROUP BY ALL)
+ SELECT o_custkey, string_agg(k || '=' || v::VARCHAR, ';' ORDER BY k) AS up, string_agg(k || '=' || v::VARCHAR, ';' ORDER BY v DESC) AS down, max_by(v, k) FILTER (k <= '3') AS floor FROM l GROUP BY o_custkey""")
+def sorted_maps(spark, d):
+    """Each customer's last order of each priority, as a sorted map, by a comparator, and its entry at or below 3."""
+    o = load(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("k"), F.col("o_orderkey").alias("v"))
+    shown = lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["k"], F.lit("="), e["v"].cast("string"))), ";")
+    up, down = ranking.sorted_map(o, ["o_custkey"], "k", "v", "v"), ranking.sorted_map(o, ["o_custkey"], "k", "v", "v", lambda a, b: (b["v"] - a["v"]).cast("int"))
+    up = up.select("o_custkey", shown("entries").alias("up"), ranking.floor_entry(F.col("entries"), "k", F.lit("3"))["v"].alias("floor"))
+    return up.join(down.select("o_custkey", shown("entries").alias("down")), "o_custkey")
