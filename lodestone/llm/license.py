@@ -6,6 +6,8 @@ letters and digits one blank.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,26 +82,46 @@ _WORDS = {a: b for a, b in EQUIVALENT if " " not in a + b}
 _PHRASES = tuple((a, b) for a, b in EQUIVALENT if " " in a + b)
 
 
+def _where(c: Column, marks: tuple[str, ...], pattern: str, by: str) -> Column:
+    """c with the pattern replaced, which is only tried where one of the marks is there: without it nothing fits."""
+    found = c.contains(marks[0])
+    for m in marks[1:]:
+        found = found | c.contains(m)
+    return F.when(found, F.regexp_replace(c, pattern, by)).otherwise(c)
+
+
+def _once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """then(c), with c worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(c), then), 1)
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; null gives an empty string.
 
     Spellings are made one token by token, so that neighbours never share a blank. Single words first: what they become
-    may be part of a phrase. The list is looked up only in texts that hold one of its words.
+    may be part of a phrase. Each step is worked out only for texts that hold what it looks for.
     """
-    c = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"))
-    c = F.regexp_replace(c, COPYRIGHT_LINE, "")
-    c = F.trim(F.regexp_replace(c, r"[^\pL\pN]+", " "))
     same = F.create_map(*(F.lit(x) for kv in _WORDS.items() for x in kv))
+    words = F.array(*map(F.lit, _WORDS))
 
     def spelt(c: Column) -> Column:
-        words = F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(F.try_element_at(same, w), w)), " ")
-        return F.when(c.rlike(rf"(?<![^ ])(?:{'|'.join(_WORDS)})(?![^ ])"), words).otherwise(c)
-
-    # Through an array of one, so that what comes before is worked out once.
-    c = F.element_at(F.transform(F.array(c), spelt), 1)
-    for a, b in _PHRASES:
-        c = F.regexp_replace(c, rf"(?<![^ ]){a}(?![^ ])", b)
-    return c
+        tokens = F.split(c, " ")
+        return F.when(F.arrays_overlap(tokens, words), F.array_join(F.transform(tokens, lambda w: F.coalesce(F.try_element_at(same, w), w)), " ")).otherwise(c)
+
+    def phrase(a: str, b: str) -> Callable[[Column], Column]:
+        return lambda c: _where(c, (a,), rf"(?<![^ ]){a}(?![^ ])", b)
+
+    steps = [
+        lambda c: _where(c, ("\r",), "\r\n?", "\n"),
+        lambda c: _where(c, ("copyright", "(c)", "©", "all rights reserved"), COPYRIGHT_LINE, ""),
+        lambda c: F.trim(F.regexp_replace(c, r"[^\pL\pN]+", " ")),
+        spelt,
+        *(phrase(a, b) for a, b in _PHRASES),
+    ]
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for step in steps:
+        out = _once(out, step)
+    return out
 
 
 def known_licences(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN, full: tuple[tuple[str, str], ...] = FULL) -> DataFrame:
