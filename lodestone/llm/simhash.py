@@ -85,9 +85,18 @@ _MULTIPLY, _ADD = (family(np.arange(KEYS * LEAST, dtype=np.uint64), n) for n in
 _MULTIPLY |= np.uint64(1)
 
 
-def keys_of(text: str | None) -> list[int]:
-    """KEYS unsigned numbers, each of the least values that LEAST hash functions give the five-word shingles; no words give none."""
-    hashes = np.unique(family(shingle_hashes(words_of(text), SHINGLE), -1))
+def shingle_set(words: list[bytes], below: np.ndarray | None = None) -> np.ndarray:
+    """The hashes of the distinct five-word shingles, in order; fewer words make one. Each is made of the two four-word shingles
+    in it, whose hashes (``below``) may be given."""
+    four = shingle_hashes(words, SHINGLE - 1) if below is None else below
+    if len(words) >= SHINGLE:
+        with np.errstate(over="ignore"):
+            four = four[:-1] * np.uint64(0xD6E8FEB86659FD93) + four[1:]
+    return np.unique(family(four, -1))
+
+
+def keys_of(hashes: np.ndarray) -> list[int]:
+    """KEYS unsigned numbers, each of the least values that LEAST hash functions give a set of shingles; none give none."""
     if not len(hashes):
         return []
     least = np.full(KEYS * LEAST, _ALL, np.uint64)
@@ -100,11 +109,6 @@ def keys_of(text: str | None) -> list[int]:
     return key.tolist()
 
 
-def shingles_of(text: str | None) -> np.ndarray:
-    """The hashes of the distinct five-word shingles, in order."""
-    return np.unique(family(shingle_hashes(words_of(text), SHINGLE), -1))
-
-
 def similar_shingles(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether the share of common shingles is at least so much."""
     if len(a) > len(b):
@@ -403,14 +407,17 @@ def _classes(docs: DataFrame, k: int = 4, radius: int = RADIUS, least: float = S
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() for t in b.column(3)]
-            fps = pa.array([_signed(fingerprint(t, k)) for t in texts], pa.int64())
-            keys = pa.array([[_signed(x) for x in keys_of(t)] for t in texts], pa.list_(pa.int64()))
-            yield pa.record_batch([*b.columns[:3], fps, keys], names=["doc_id", "text_id", "check", "fp", "keys"])
+            fps, keys = [], []
+            for t in b.column(3):
+                words = words_of(t.as_py())
+                hashes = shingle_hashes(words, k)
+                fps.append(_signed(majority(hashes)))
+                keys.append([_signed(x) for x in keys_of(shingle_set(words, hashes if k == SHINGLE - 1 else None))])
+            yield pa.record_batch([*b.columns[:3], pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_id", "check", "fp", "keys"])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([shingles_of(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["text_id", "shingles"])
+            yield pa.record_batch([b.column(0), pa.array([shingle_set(words_of(t.as_py())).tobytes() for t in b.column(1)], pa.binary())], names=["text_id", "shingles"])
 
     def distinct(own: DataFrame) -> DataFrame:
         return cut(own.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("check").alias("check"), F.max("check").alias("check_2")))

@@ -509,7 +509,7 @@ def test_shingles_are_compared_whole():
     v = [x if rng.random() > 0.02 else x + "z" for x in w]
     a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, v))
     share = len(a & b) / len(a | b)
-    x, y = (simhash.shingles_of(" ".join(t)) for t in (w, v))
+    x, y = (simhash.shingle_set(simhash.words_of(" ".join(t))) for t in (w, v))
     assert simhash.similar_shingles(x, y, share - 1e-6) and not simhash.similar_shingles(x, y, share + 1e-6)
 
 
