@@ -11,12 +11,11 @@ no more links are kept within shards, and the best even state is the result.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, use_checkpoints, with_rank
+from ..session import scratch
+from .common import cut, forget, with_rank
 
 #: ROUNDS is a limit: rounds end when IDLE of them keep no more links.
 SHARDS, ROUNDS, IDLE = 40, 24, 2
@@ -62,11 +61,10 @@ def quotas(want: list[list[int]], have: list[int], free: list[int], linked: list
     return grant, pay
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> tuple[DataFrame, str]:
     """Like cut(), but with sizes read from files: those that Spark estimates for checkpoints multiply in each round's joins."""
-    use_checkpoints(df.sparkSession)
-    df.write.parquet(path := f"{df.sparkSession.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}")
-    return df.sparkSession.read.parquet(path)
+    df.write.parquet(path := scratch(df.sparkSession, "shards"))
+    return df.sparkSession.read.parquet(path), path
 
 
 def balanced_shards(rows: DataFrame, link: str, order: list[str], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -82,8 +80,8 @@ def balanced_shards(rows: DataFrame, link: str, order: list[str], shards: int =
     parts = F.ceil(F.col("_n") / part).cast("int")
     linked = rows.join(groups, rows[link] == groups["_link"], "left")
     linked = linked.withColumn("_part", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64(*order, F.lit(3)), parts))).withColumn("_linked", F.col("_n").isNotNull()).withColumn("_big", F.coalesce(F.col("_n") > part, F.lit(False)))
-    state = written(linked.withColumn("shard", F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int")).drop("_n", "_link"))
-    best, most_kept, idle, refused = None, -1, 0, [0] * shards
+    state, at = written(linked.withColumn("shard", F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int")).drop("_n", "_link"))
+    best, best_at, most_kept, idle, refused = None, None, -1, 0, [0] * shards
     for turn in range(rounds + 2):
         held = state.where("_linked").groupBy(link, "_part", "shard").agg(F.count(F.lit(1)).alias("_c"), F.max("_big").alias("_big"))
         avoid = F.pmod(F.xxhash64(link, "_part", "shard", F.lit(2 * turn)), F.lit(1000)) < F.get(F.array(*map(F.lit, refused)), F.col("shard"))
@@ -108,7 +106,9 @@ def balanced_shards(rows: DataFrame, link: str, order: list[str], shards: int =
         if max(have) - min(have) <= 1:
             idle = 0 if kept > most_kept else idle + 1
             if not idle:
-                best, most_kept = state, kept
+                if best_at:
+                    forget(rows.sparkSession, best_at)
+                best, best_at, most_kept = state, at, kept
         if last or idle == IDLE:
             break
         grant, pay = quotas(want, have, free, still)
@@ -122,7 +122,10 @@ def balanced_shards(rows: DataFrame, link: str, order: list[str], shards: int =
         here = (F.col("shard") == F.col("_from")) & (F.col("_to") == F.col("_kind")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
         # At most shards squared rows, whatever the input.
         moved = ranked.join(F.broadcast(table), here, "left").withColumn("shard", F.coalesce("_dest", "shard"))
-        state = written(moved.select(*state.columns))
+        old = at
+        state, at = written(moved.select(*state.columns))
+        if old != best_at:
+            forget(rows.sparkSession, old)
     return (state if best is None else best).drop("_part", "_linked", "_big")
 
 
