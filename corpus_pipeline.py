@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import common, decontam, mix, pack, simhash, toxicity
+from lodestone.session import scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +52,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stage's table is removed once the next one is written; the last one stays, as the result is read from it.
     """
-    common.use_checkpoints(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    base = scratch(spark, "pipeline")
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{base}/{k}")
         if k:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            common.forget(spark, f"{base}/{k - 1}")
         docs = spark.read.parquet(path)
     return docs
