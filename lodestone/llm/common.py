@@ -18,6 +18,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the driver collect its garbage. Spark removes shuffle files and checkpoints (with spark.cleaner.referenceTracking.cleanCheckpoints)
+    once nothing on the driver refers to them any more, which it notices only then: iterations that cut their
+    lineage many times would pile up both."""
+    spark._jvm.System.gc()
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Removes a table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
