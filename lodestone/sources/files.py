@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.udf import pandas_function
+from ..session import use_checkpoints
 from ..functions.text import extension, glob_regex
 
 #: Folders that a scan leaves out, folders that come last, and what may be indexed.
@@ -122,13 +123,20 @@ def parse_log(lines: DataFrame, prefix: str = "COMMIT|") -> DataFrame:
     """(hash, author, date, message, files) from (line_no, line).
 
     A header line opens a record; tab lines under it are file counts (``-`` is 0). A message may hold
-    pipes. Records without a hash are dropped. Line order is one sequence, so this is for one log at a time:
-    add a ``log`` column to read many, each on its own.
+    pipes. Records without a hash are dropped. With a ``log`` column there are many logs, each on its own; without one, lines are
+    one sequence, which is cut into ranges whose headers are counted on from those before: no task holds it all.
     """
     keys = ["log"] if "log" in lines.columns else []
-    order = Window.partitionBy(*keys).orderBy("line_no")
     head = F.col("line").startswith(prefix)
-    df = lines.withColumn("rec", F.sum(head.cast("int")).over(order)).where("rec > 0")
+    if keys:
+        rec = F.sum(head.cast("int")).over(Window.partitionBy(*keys).orderBy("line_no"))
+    else:
+        use_checkpoints(lines.sparkSession)
+        lines = lines.repartitionByRange("line_no").withColumn("_part", F.spark_partition_id()).checkpoint()
+        heads = {r["_part"]: r["n"] for r in lines.groupBy("_part").agg(F.count_if(head).alias("n")).collect()}
+        before = F.array(*(F.lit(sum(n for q, n in heads.items() if q < p)) for p in range(max(heads, default=0) + 1)))
+        rec = F.get(before, F.col("_part")) + F.sum(head.cast("int")).over(Window.partitionBy("_part").orderBy("line_no"))
+    df = lines.withColumn("rec", rec).where("rec > 0")
     part = F.split("line", r"\|")
     tabs = F.split("line", "\t")
     count = lambda i: F.coalesce(F.get(tabs, F.lit(i)).try_cast("int"), F.lit(0))

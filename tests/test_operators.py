@@ -196,6 +196,9 @@ def test_git_log(spark, tmp_path):
     df = files.read_git_log(spark, str(tmp_path / "log.txt"))
     assert files.commit_totals(df).orderBy("hash").first().asDict() == {"hash": "abc123def456", "lines_added": 10, "lines_deleted": 2, "files_changed": 2}
     assert "- src/pay.cpp (+10, -2)" in files.commit_document(df).orderBy("hash").first().text
+    many = "\n".join(f"COMMIT|h{i}|A|d|m\n1\t2\tf{i}\n3\t4\tg{i}" for i in range(500)).split("\n")
+    one_log = files.parse_log(spark.createDataFrame(list(enumerate(many)), "line_no long, line string"))
+    assert {(r.hash, tuple(f.path for f in r.files)) for r in one_log.collect()} == {(f"h{i}", (f"f{i}", f"g{i}")) for i in range(500)}
     n = files.parse_numstat(spark.createDataFrame([("3\t1\ta",), ("",), ("-\t-\tb",)], "line string"))
     assert {(r.file, r.added, r.removed) for r in n.collect()} == {("a", 3, 1), ("b", 0, 0)}
 
