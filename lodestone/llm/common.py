@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import use_checkpoints
+from ..session import scratch, use_checkpoints
 
 #: ASCII white space, as the word contracts have it; a word is a run of anything else.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder: computed once, where a checkpoint computes its last stage twice."""
+    df.write.parquet(path := scratch(df.sparkSession, "stored"))
+    return df.sparkSession.read.parquet(path)
+
+
 def sweep(spark: SparkSession) -> None:
     """Has the driver collect its garbage. Spark removes shuffle files and checkpoints (with spark.cleaner.referenceTracking.cleanCheckpoints)
     once nothing on the driver refers to them any more, which it notices only then: iterations that cut their
@@ -71,3 +77,19 @@ def with_rank(df: DataFrame, keys: list[str], order: list[str], rows: int, out:
     offsets = counts.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
     return dealt.join(offsets, [*keys, "_bucket"]).withColumn(out, F.col("_before") + inside - 1).drop("_bucket", "_before")
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds ``out``: the 0-based place of each row within ``keys``, by ``order``; rows equal in both are interchangeable.
+
+    One range-partitioned sort by keys and order; a place is counted from the first row of its key in the partition, plus
+    the key's rows in the partitions before. A key's rows, even if all alike, spread over as many partitions as they need.
+    """
+    tie = F.xxhash64(F.monotonically_increasing_id()).alias("_tie")
+    cols = [*keys, *order, "_tie"]
+    rows = df.select("*", tie).repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id()).drop("_tie")
+    rows = stored(rows.withColumn("_part", F.shiftright("_at", 33)))
+    first = rows.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    first = first.select(*keys, "_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(first, [*keys, "_part"]).withColumn(out, F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_part", "_first", "_before")

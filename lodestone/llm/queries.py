@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, license, mix, pack, shard, simhash, topk, toxicity, urls
+from . import bpe, chat, decontam, license, mix, pack, shard, simhash, topk, toxicity, trie, urls
 from .common import table
 
 #: Fixed values of the URL query: host, path, verdict.
@@ -85,13 +85,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    both = bpe.decode(coded.select("doc_id", "ids"), ranks)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(*trie.rebuilt(trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_chat_formatting, op3_license_scan, op4_url_filter, op5_toxicity, op6_decontamination, op7_simhash, op8_sharding, op9_mixing, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_chat_formatting, op3_license_scan, op4_url_filter, op5_toxicity, op6_decontamination, op7_simhash, op8_sharding, op9_mixing, op10_packing, op12_bpe, op13_prefix_trie, pipeline)}
 
 _W = r"[^\x20\x09-\x0D]+"
 
@@ -162,4 +175,21 @@ ORACLES = {
                      ('0x' || substr(md5(concat_ws('|', '0', coalesce((d.doc_id)::VARCHAR, ''), d.digest, (d.place)::VARCHAR)), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS draw
               FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
         SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM u""",
+    "op13_prefix_trie": """
+        WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS crc),
+        t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos
+              FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS said,
+                     xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda a, x: xor(a // 256, crc[xor(a % 256, x) + 1])), 4294967295) % 9 AS h
+              FROM t, crc GROUP BY conv_id, crc),
+        r AS (SELECT c.conv_id, list_concat(coalesce(g.said[1:c.h], []), c.said[c.h + 1:]) AS said FROM c LEFT JOIN c g ON g.conv_id = c.conv_id - c.conv_id % 5),
+        p AS (SELECT conv_id, d, len(said) AS n, to_json(said[1:d])::VARCHAR AS k, CASE WHEN d > 0 THEN to_json(said[1:d - 1])::VARCHAR END AS up, CASE WHEN d > 0 THEN strlen(said[d].text) ELSE 0 END AS bytes, said
+              FROM (SELECT *, unnest(range(0, len(said) + 1)) AS d FROM r)),
+        node AS (SELECT k, d, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes, min_by(said, conv_id) AS said, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256
+                 FROM p GROUP BY k, d),
+        kids AS (SELECT up AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY up),
+        w AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (k)),
+        s AS (SELECT to_json(said[1:a])::VARCHAR AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM w) GROUP BY 1)
+        SELECT w.conv_id, w.d AS depth, above.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, w.ends_sha256
+        FROM w JOIN s ON w.k = s.k LEFT JOIN w above ON w.d > 0 AND above.k = w.up""",
 }
