@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, license, mix, pack, shard, simhash, topk, toxicity, trie, urls
+from . import align, bpe, chat, decontam, license, mix, pack, shard, simhash, topk, toxicity, trie, urls
 from .common import table
 
 #: Fixed values of the URL query: host, path, verdict.
@@ -85,6 +85,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        left, right = align.ByteLevel(a.read()), align.Pieces(b.read())
+    return align.align(table(spark, sf_dir, "documents"), left, right, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -104,7 +112,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_chat_formatting, op3_license_scan, op4_url_filter, op5_toxicity, op6_decontamination, op7_simhash, op8_sharding, op9_mixing, op10_packing, op12_bpe, op13_prefix_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_chat_formatting, op3_license_scan, op4_url_filter, op5_toxicity, op6_decontamination, op7_simhash, op8_sharding, op9_mixing, op10_packing, op11_alignment, op12_bpe, op13_prefix_trie, pipeline)}
 
 _W = r"[^\x20\x09-\x0D]+"
 
