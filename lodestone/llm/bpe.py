@@ -34,6 +34,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def safe_regions(text: str, size: int) -> Iterator[str]:
+    """A text in regions of ``size`` characters or somewhat more, cut where no match goes on; without such a place, the rest is one."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > size and (m := _SAFE.search(text, at + size)):
+            end = m.end()
+        yield text[at:end]
+        at = end
+
+
 class RankQueue:
     """Places by rank."""
 
@@ -185,16 +196,6 @@ class Bpe:
         self.known.update((w, ids) for w, ids in out.items() if len(w) <= SHORT)
         return out
 
-    def regions(self, text: str) -> Iterator[list[str]]:
-        """The matches of a text, region by region."""
-        at = 0
-        while at < len(text):
-            end = len(text)
-            if end - at > REGION and (m := _SAFE.search(text, at + REGION)):
-                end = m.end()
-            yield self.pattern.findall(text, at, end)
-            at = end
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32, as the ranks' own library gives them without special tokens."""
         out: list[list[bytes]] = [[] for _ in texts]
@@ -208,7 +209,8 @@ class Bpe:
                 out[i].append(b"".join([before.get(w) or found[w] for w in matches]))
 
         for i, text in enumerate(texts):
-            for matches in self.regions(text):
+            for region in safe_regions(text, REGION):
+                matches = self.pattern.findall(region)
                 waiting.append((i, matches))
                 held += len(matches)
                 if held >= LOOKED_UP:

@@ -8,7 +8,6 @@ the position ids, which start again at 0 with each segment.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
+
 #: Where the public vocabularies lie; a parameter of every function that needs one.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before this vocabulary's merges.
@@ -25,16 +26,32 @@ END = 50256
 ROW_TOKENS = 2048
 #: Tokens that are packed together; the last row or two of each batch stay partly empty.
 BATCH_TOKENS = 2_000_000
+#: Characters that are encoded at once.
+REGION = 100_000
 
 SCHEMA = "pack_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<bigint>, piece_starts array<bigint>, piece_lasts array<boolean>"
 
 
-def tokenizer(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
+def tokenizer(ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
+    """The ids of a text of any length and kind. It is encoded in regions that no match leaves; a region without a place
+    to cut it at, as a run of blanks or one endless word, would overflow the library's stack and goes through the rank queue."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    own = []
+
+    def encode(text: str) -> list[int]:
+        out = []
+        for region in bpe.safe_regions(text, REGION):
+            if len(region) <= 2 * REGION:
+                out += library(region)
+                continue
+            if not own:
+                own.append(bpe.Bpe(ranks, PATTERN))
+            out += np.frombuffer(own[0].encode([region])[0], "<u4").tolist()
+        return out
+
+    return encode
 
 
 class Capacities:
@@ -112,11 +129,13 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCABU
     packed as often as they come; a null doc_id stays null. Documents of more than ``row_tokens``
     ids are cut into pieces of that length and a rest; piece_starts says where in the document
     each begins, piece_lasts whether it is the last. Rows are filled with END behind n_tokens. pack_id
-    holds the partition and a running number. An empty table gives no rows.
+    holds the partition and a running number. An empty table gives no rows. The vocabulary is read by the driver and sent
+    to the tasks: its size doesn't depend on the data.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(bpe.read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary)
+        encode = tokenizer(ranks.value)
         made, held, pieces = TaskContext.get().partitionId() << 40, 0, []
         for b in batches:
             for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
