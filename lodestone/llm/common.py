@@ -18,17 +18,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared folder: computed once, where a checkpoint computes its last stage twice."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows from a table in the shared folder, whose sizes the planner reads from its files; and the table's path."""
     df.write.parquet(path := scratch(df.sparkSession, "stored"))
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
 
 
-def sweep(spark: SparkSession) -> None:
-    """Has the driver collect its garbage. Spark removes shuffle files and checkpoints (with spark.cleaner.referenceTracking.cleanCheckpoints)
-    once nothing on the driver refers to them any more, which it notices only then: iterations that cut their
-    lineage many times would pile up both."""
-    spark._jvm.System.gc()
+def stored(df: DataFrame) -> DataFrame:
+    return written(df)[0]
 
 
 def forget(spark: SparkSession, path: str) -> None:

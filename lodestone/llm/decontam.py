@@ -11,8 +11,9 @@ verbatim passage of WIDTH characters is found, and every longer one with BUDGET
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget, written
+
 WIDTH, Q, BUDGET = 50, 10, 3
 #: Benchmark characters searched for in one pass; a larger benchmark takes several passes.
 PASS_CHARS = 1_000_000
@@ -88,13 +91,17 @@ class Index:
 
     @staticmethod
     def of_items(items: list[tuple[int | None, str | None]]) -> Index:
+        return Index.of_parts([(item, 0, normalise(text)) for item, text in items])
+
+    @staticmethod
+    def of_parts(parts: list[tuple[int | None, int, str]]) -> Index:
+        """parts: (item, place in the normalised item, what it has there)."""
         pieces, short = [], {}
-        for item, text in items:
-            plain = normalise(text)
+        for item, place, plain in parts:
             c = _chars(plain)
             if len(c) >= 2 * Q:
-                pieces += [(item, at, c[at : at + PIECE]) for at in range(0, max(1, len(c) - 2 * WIDTH), PIECE - 2 * WIDTH)]
-            elif plain:
+                pieces += [(item, place + at, c[at : at + PIECE]) for at in range(0, max(1, len(c) - 2 * WIDTH), PIECE - 2 * WIDTH)]
+            elif plain and not place:
                 short.setdefault(plain, []).append(item)
         return Index(pieces, short)
 
@@ -302,14 +309,39 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
 _SCHEMA = "doc_id long, item_id long, edits int, item_start int, item_end int, start long, end long"
 
 
-def _indexes(benchmark: DataFrame, pass_chars: int) -> Iterator[Broadcast[Index]]:
-    """The index of each pass. Passes take items by hash of item_id, so what one holds never grows with the benchmark."""
+def _indexes(benchmark: DataFrame, pass_chars: int) -> Iterator[tuple[Index, bool]]:
+    """The index of each pass, and whether it is the last; made when it is asked for, of at most ``pass_chars`` characters and an overlap.
+
+    Items come to the driver by and by, dealt by id and text, so that neither a null id nor one that many items share
+    makes a large pass; an item longer than a pass is cut into parts that overlap by two passages.
+    """
     items = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull()).distinct()
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-total // pass_chars))
-    for p in range(passes):
-        part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).toLocalIterator()]
-        yield benchmark.sparkSession.sparkContext.broadcast(Index.of_items(sorted(part, key=lambda x: (x[0] is not None, x))))
+    held, size = [], 0
+    for r in items.repartition(max(1, -(-2 * total // pass_chars)), "item_id", "text").toLocalIterator():
+        plain = normalise(r.text)
+        for at in range(0, max(1, len(plain) - 2 * WIDTH), pass_chars):
+            part = plain[at : at + pass_chars + 2 * WIDTH]
+            if held and size + len(part) > pass_chars:
+                yield Index.of_parts(sorted(held, key=lambda x: (x[0] is not None, x))), False
+                held, size = [], 0
+            held.append((r.item_id, at, part))
+            size += len(part)
+    yield Index.of_parts(sorted(held, key=lambda x: (x[0] is not None, x))), True
+
+
+def _passes(benchmark: DataFrame, pass_chars: int, work: Callable[[Broadcast[Index]], DataFrame]) -> Iterator[tuple[DataFrame, str | None]]:
+    """What ``work`` makes of each pass, and the path of its table. A single pass is not worked off here; of several, one is
+    written and its index released before the next is made."""
+    alone = True
+    for index, last in _indexes(benchmark, pass_chars):
+        sent = benchmark.sparkSession.sparkContext.broadcast(index)
+        if alone and last:
+            yield work(sent), None
+            return
+        alone = False
+        yield written(work(sent))
+        sent.destroy()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> DataFrame:
@@ -318,14 +350,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_C
     of the text as given). A passage that comes twice is two regions.
 
     The benchmark is sent to the executors in passes of at most about ``pass_chars`` characters; a
-    usual benchmark is one pass. Null or empty texts and items match nothing. Items shorter than WIDTH are
+    usual benchmark is one pass, others are written pass by pass. What crosses the cut of an item longer than a pass is
+    two regions. Null or empty texts and items match nothing. Items shorter than WIDTH are
     one passage each, with fewer edits; those under 20 characters are found verbatim, as words of their own. Repeated
     items count once; repeated documents give repeated rows. An empty table gives no rows.
     """
-    out = None
-    for index in _indexes(benchmark, pass_chars):
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    def search(index: Broadcast[Index]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = []
                 for i, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -335,9 +366,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_C
                 kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64())
                 yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCHEMA)
+
+    return reduce(DataFrame.unionByName, (found for found, _ in _passes(benchmark, pass_chars, search)))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> DataFrame:
@@ -346,12 +377,18 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, pass_chars: int = P
     Each row is judged by its own text, without a shuffle: rows that share a doc_id, or have none, don't
     take each other along. Null and empty texts stay; an empty benchmark keeps every row.
     """
-    at = docs.columns.index("text")
-    for index in _indexes(benchmark, pass_chars):
+    at, left = docs.columns.index("text"), docs
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    def keep(index: Broadcast[Index]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b.filter(pa.array([not find(index.value, t.as_py()) for t in b.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return left.mapInArrow(run, docs.schema)
+
+    before = None
+    for left, path in _passes(benchmark, pass_chars, keep):
+        if before:
+            forget(docs.sparkSession, before)
+        before = path
+    return left

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, common, decontam, license, mix, pack, queries, shard, simhash, topk, toxicity, urls
+from lodestone.llm import bpe, chat, common, decontam, license, mix, pack, queries, shard, simhash, topk, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, "lone words here", "en", "b", 15), (3, "x" * 50_000 + " y" * 30_000, "en", "a", 0), (4, "same text twice over", None, "a", None), (5, "same text twice over", None, None, None), (6, " \t\n ", "de", "b", 4)]
@@ -341,6 +341,22 @@ def test_decontamination_against_brute_force(spark, odd, none):
     assert decontam.contaminated(none, bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_passes_are_bounded(spark):
+    """Neither items without an id, nor one id, nor one long item makes a large pass; one index is alive at a time."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    items = [(None, words(20)) for _ in range(100)] + [(1, words(20)) for _ in range(50)] + [(2, words(2000)), (3, None), (4, ""), (5, "short one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sizes = [(sum(len(c) for *_, c in index.pieces), last) for index, last in decontam._indexes(bench, 2000)]
+    assert max(n for n, _ in sizes) < 2000 + 4 * decontam.WIDTH and [last for _, last in sizes] == [False] * (len(sizes) - 1) + [True] and len(sizes) > 10
+    long = items[150][1]
+    docs = [(i, f"{words(5)} {t[:60] if i < 150 else long[7000:7080]} {words(5)}") for i, t in ((i, t) for i, (_, t) in enumerate(items[:151]))] + [(999, words(40))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = [sorted((r.doc_id, r.item_id if r.item_id is not None else -1, r.start, r.end, r.item_start) for r in decontam.contaminated(df, bench, n).collect()) for n in (2000, 10**6)]
+    assert rows[0] == rows[1] and {r[0] for r in rows[0]} == set(range(151))
+    assert [r.doc_id for r in decontam.drop_contaminated(df, bench, 2000).collect()] == [999]
+
+
 def test_decontamination_finds_passages_wherever_they_begin():
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
@@ -686,7 +702,7 @@ def test_targets_of_many_sources(spark, monkeypatch):
 
 
 def test_packing_round_trip(spark, sf_dir, odd, none):
-    encode = pack.tokenizer()
+    encode = pack.tokenizer(bpe.read_ranks(pack.VOCABULARY))
     for df, size in ((docs_of(spark, sf_dir), 2048), (odd, 512), (odd, 1)):
         packed = pack.pack(df, size, batch_tokens=20_000).collect()
         pieces = []
@@ -718,7 +734,22 @@ def test_packing_a_text_longer_than_a_batch(spark):
     ids = [np.frombuffer(r.ids, "<u4")[a:b].tolist() for r in sorted(packed, key=lambda r: r.pack_id) for k, (a, b) in enumerate(zip(r.cu_seqlens, r.cu_seqlens[1:])) if r.doc_ids[k] == 1]
     starts = [r.piece_starts[k] for r in sorted(packed, key=lambda r: r.pack_id) for k in range(len(r.doc_ids)) if r.doc_ids[k] == 1]
     whole = sum((i for _, i in sorted(zip(starts, ids))), [])
-    assert whole == [*pack.tokenizer()("word " * 9000), pack.END]
+    assert whole == [*pack.tokenizer(bpe.read_ranks(pack.VOCABULARY))("word " * 9000), pack.END]
+
+
+@pytest.mark.parametrize("sign", [" ", "\n", "x", "é", "a b"])
+def test_packing_texts_that_the_library_cannot_take(spark, sign):
+    """A million blanks overflow the library's stack; here they are one match of five million."""
+    import tiktoken
+
+    ranks = bpe.read_ranks(pack.VOCABULARY)
+    text = sign * (250_000 // len(sign)) + "a"
+    assert pack.tokenizer(ranks)(text) == tiktoken.Encoding("own", pat_str=pack.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+    rows = pack.pack(spark.createDataFrame([(1, sign * (5_000_000 // len(sign)) + "a"), (2, "b")], "doc_id long, text string")).collect()
+    decode = bpe.Bpe(ranks, "").decode
+    parts = sorted((d, at, r.ids[4 * a : 4 * b]) for r in rows for d, at, a, b in zip(r.doc_ids, r.piece_starts, r.cu_seqlens, r.cu_seqlens[1:]))
+    whole = b"".join(bytes(x) for d, _, x in parts if d == 1)
+    assert decode(whole[:-4]).decode() == sign * (5_000_000 // len(sign)) + "a"
 
 
 def test_best_fit_decreasing_against_linear_search():
