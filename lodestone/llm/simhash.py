@@ -21,10 +21,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, sweep
+from .common import cut, forget, fresh, written
 
 RADIUS = 4
 #: A tree holds at most so many fingerprints; larger shards are split, and their parts meet in pairs.
@@ -299,18 +299,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = df.groupBy("a").agg(F.min("b").alias("m")).select(F.bitwise_not("a").alias("k"), "m")
         return df.join(least, F.bitwise_not(df["a"]) == least["k"]).select("a", "b", "m")
 
-    e = cut(larger_first(edges))
-    state = None
+    def settled(df: DataFrame) -> tuple[DataFrame, dict, str]:
+        """The edges from a table, with their number and hash: one job."""
+        seen = Observation()
+        marked = larger_first(df).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("hash"))
+        table, path = written(marked)
+        return table, seen.get, path
+
+    e, state, path = settled(edges)
     for _ in range(rounds):
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == state:
-            break
-        state = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = with_min(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        small = with_min(cut(larger_first(large))).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        e = cut(larger_first(small))
-        sweep(e.sparkSession)
+        large = larger_first(with_min(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
+        small = with_min(large).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        last, before = path, state
+        e, state, path = settled(small)
+        forget(e.sparkSession, last)  # no round reads it any more
+        if state == before:
+            break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -443,7 +448,6 @@ def _classes(docs: DataFrame, k: int = 4, radius: int = RADIUS, least: float = S
     rough = components(near.unionByName(same).unionByName(stars(pool, shared)).where("a <> b")).toDF("text_id", "rough")
 
     # Only texts that have candidates are looked at again, one row of each.
-    sweep(docs.sparkSession)
     members = cut(texts.join(rough, "text_id"))
     asked = members.select(F.col("text_id").alias("_text_id"), "first_id")
     seen = _apart(_numbered(docs), clash).join(asked, (F.col("doc_id") == F.col("first_id")) & (F.col("text_id") == F.col("_text_id")))
@@ -508,7 +512,6 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     rows = own.groupBy("doc_id", "text_id").agg(F.count(F.lit(1)).alias("n"))
     best = rows.groupBy("text_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "n")).alias("best"))
     best = best.join(classes, "text_id", "left").groupBy(F.coalesce("root", "text_id").alias("root")).agg(F.min("best").alias("best"))
-    sweep(docs.sparkSession)
     kept = cut(best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_id").alias("_text_id"), F.col("best.n").alias("_n")))
     text_id, check = fresh("_text", docs), fresh("_check", docs)
     one, two = _hashes()
