@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Characters of a batch of documents, units that are tokenised as one text, units and pairs in a row of a batch's tables.
-BATCH_CHARS, JOINED_UNITS, SLICE = 16_000_000, 512, 32_768
+#: Characters of a batch of documents, units that are tokenised as one text, such texts in one call, units and pairs in a row
+#: of a batch's tables.
+BATCH_CHARS, JOINED_UNITS, CALLED, SLICE = 4_000_000, 512, 32, 32_768
 #: A unit begins with a blank and goes on up to a blank after a sign that is no white space. A token of either side lies within one.
 UNIT = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*)?|\s+")
 
@@ -105,7 +106,8 @@ class Side:
         spans = list(zip(cuts, cuts[1:]))
         texts = ["".join(units[lo:hi]) for lo, hi in spans]
         valid, found, starts = np.ones(len(units), bool), [], []
-        for (lo, hi), text, ids in zip(spans, texts, self.encode(texts)):
+        encoded = chain.from_iterable(self.encode(texts[k : k + CALLED]) for k in range(0, len(texts), CALLED))
+        for (lo, hi), text, ids in zip(spans, texts, encoded):
             at, made = int(ends[lo - 1]) if lo else 0, np.array(ids, np.int32)
             stops = at + np.cumsum(self.sizes[made]) if ids else np.zeros(0, np.int64)
             if self._spelt(ids) == text.encode() and np.isin(ends[lo:hi], stops).all():
@@ -121,6 +123,14 @@ class Side:
         return np.concatenate([np.zeros(0, np.int32), *found]), np.concatenate([np.zeros(0, np.int64), *starts]), valid
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 _OVERLAPS = """
     CREATE TEMP TABLE links AS
     SELECT a.unit, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.s >= b.s WHERE a.s < b.e      -- the token that holds its first byte
@@ -147,11 +157,12 @@ def _spelt_groups(g: np.ndarray, side: np.ndarray, unit: np.ndarray, ids: np.nda
         return [""] * units
     new = np.concatenate(([True], unit[1:] != unit[:-1]))
     sign = np.where(new, "", np.where(np.concatenate(([True], g[1:] != g[:-1])), ";", np.where(np.concatenate(([True], side[1:] != side[:-1])), "|", ",")))
-    number = ids.astype(str)
-    text = "".join(chain.from_iterable(zip(sign.tolist(), number.tolist())))
-    ends, out = np.cumsum(np.char.str_len(number) + ~new), [""] * units
+    written = np.array([str(i) for i in range(int(ids.max()) + 1)], object)
+    sizes = np.array([len(x) for x in written])[ids]
+    text = "".join(chain.from_iterable(zip(sign.tolist(), written[ids].tolist())))
+    ends, out = np.cumsum(sizes + ~new), [""] * units
     first = np.flatnonzero(new)
-    lo = ends[first] - np.char.str_len(number[first])
+    lo = ends[first] - sizes[first]
     for u, x, y in zip(unit[first].tolist(), lo.tolist(), [*lo[1:].tolist(), len(text)]):
         out[u] = text[x:y]
     return out
@@ -182,15 +193,17 @@ def _aligned(batch: int, docs: list[tuple[int | None, np.ndarray]], units: list[
     links = np.zeros(len(units), np.int64)
     links[linked.column("unit").to_numpy()] = linked.column("n").to_numpy()
     counts += [np.bincount(unit[first], minlength=len(units)), links]
-    times = np.zeros(len(units), np.int64)
-    for doc_id, own in docs:
-        whole = bool(len(own)) and bool(valid[own].all())
-        sums = [int(c[own].sum()) if whole else 0 for c in counts]
-        text = ";".join([spelt[u] for u in own.tolist()]) if whole else ""
-        if whole:
-            times += np.bincount(own, minlength=len(units))
-        groups = hashlib.sha256(text.encode()).hexdigest() if digest and whole else text
-        yield dict(zip(("batch", "kind", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "own"), (batch, _DOC, doc_id, *sums, groups, own.astype("<i4").tobytes() if whole else b"")))
+    counts.append(~valid)
+    all_own = np.concatenate([np.zeros(0, np.int32), *(own for _, own in docs)])
+    until = np.cumsum([len(own) for _, own in docs])
+    # Sums over a document's units: differences of running sums.
+    sums = [np.diff(np.concatenate(([0], np.cumsum(c[all_own], dtype=np.int64)))[np.concatenate(([0], until))]) for c in counts]
+    whole = (sums[-1] == 0) & (np.diff(until, prepend=0) > 0)
+    times = np.bincount(all_own[np.repeat(whole, np.diff(until, prepend=0))], minlength=len(units))
+    for (doc_id, own), good, n in zip(docs, whole.tolist(), (np.stack(sums[:-1]) * whole).T.tolist()):
+        text = ";".join(map(spelt.__getitem__, own.tolist())) if good else ""
+        groups = hashlib.sha256(text.encode()).hexdigest() if digest and good else text
+        yield dict(zip(("batch", "kind", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "own"), (batch, _DOC, doc_id, *n, groups, own.astype("<i4").tobytes() if good else b"")))
     con.register("counted", pa.table({"unit": np.arange(len(units), dtype=np.int32), "times": times}))
     con.execute("CREATE TEMP TABLE used AS FROM counted WHERE times > 0")
     con.execute(_PAIRS)
@@ -216,7 +229,7 @@ def _batches(docs: DataFrame, left: ByteLevel | Pieces, right: ByteLevel | Piece
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
         a, b, made, held = Side(left), Side(right), TaskContext.get().partitionId() << 32, 0
         docs_: list[tuple[int | None, np.ndarray]] = []
-        units: dict[str, int] = {}
+        units = Numbers()
 
         def settle() -> Iterator[pa.RecordBatch]:
             out, size = [], 0
@@ -231,12 +244,12 @@ def _batches(docs: DataFrame, left: ByteLevel | Pieces, right: ByteLevel | Piece
         for t in batches:
             for doc_id, text in zip(t.column(0).to_pylist(), t.column(1)):
                 text = text.as_py()
-                own = [units.setdefault(u, len(units)) for u in UNIT.findall(f" {text}")] if text else []
+                own = list(map(units.__getitem__, UNIT.findall(f" {text}"))) if text else []
                 docs_.append((doc_id, np.array(own, np.int32)))
                 held += 100 + len(text or "")
                 if held >= batch_chars:
                     yield from settle()
-                    docs_, units, held, made = [], {}, 0, made + 1
+                    docs_, units, held, made = [], Numbers(), 0, made + 1
         if docs_:
             yield from settle()
 
