@@ -1,20 +1,21 @@
 """Two tokenizers' tokens of the same texts, aligned by the bytes they cover.
 
 Texts are cut before blanks that follow another sign, where neither tokenizer has a token that goes on. A task
-gathers a batch of documents and tokenises each different unit of it once. DuckDB then holds the token
-intervals of both sides: ASOF joins within each token's range give the overlapping pairs, a window sum over ends
-that both sides share the groups. Pair counts of batches are summed in Spark, and each batch is joined with the
-counts of the pairs it has, from which it scores its documents.
+takes its documents in batches and aligns each different unit of a batch once. DuckDB holds the token intervals of both
+sides: ASOF joins within each token's range give the overlapping pairs, a window sum over ends that both sides share
+the groups. Pair counts of batches are summed in Spark, and each batch is joined with the counts of the pairs it
+has, from which it scores its documents.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
-from itertools import chain
+from functools import cached_property, lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Characters of a batch of documents, units that are tokenised as one text, such texts in one call, units and pairs in a row
-#: of a batch's tables.
-BATCH_CHARS, JOINED_UNITS, CALLED, SLICE = 4_000_000, 512, 32, 32_768
+#: Characters of documents whose new units are aligned together, different units of a batch, units that are tokenised as one
+#: text, such texts in one call, units and pairs in a row of a batch's tables.
+STEP_CHARS, BATCH_UNITS, JOINED_UNITS, CALLED, SLICE = 4_000_000, 400_000, 512, 32, 32_768
 #: A unit begins with a blank and goes on up to a blank after a sign that is no white space. A token of either side lies within one.
 UNIT = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*)?|\s+")
 
 
-@dataclass
+@dataclass(frozen=True)
 class ByteLevel:
     """A byte-level tokenizer by its JSON description."""
 
@@ -58,7 +59,7 @@ class ByteLevel:
         return out
 
 
-@dataclass
+@dataclass(frozen=True)
 class Pieces:
     """A sentence-piece model that puts a blank before each text; it is given the units without theirs."""
 
@@ -123,6 +124,12 @@ class Side:
         return np.concatenate([np.zeros(0, np.int32), *found]), np.concatenate([np.zeros(0, np.int64), *starts]), valid
 
 
+@lru_cache(2)
+def opened(tokenizer: ByteLevel | Pieces) -> Side:
+    """One for all tasks of a worker."""
+    return Side(tokenizer)
+
+
 class Numbers(dict):
     """Numbers keys in the order in which they are first asked for."""
 
@@ -132,7 +139,6 @@ class Numbers(dict):
 
 
 _OVERLAPS = """
-    CREATE TEMP TABLE links AS
     SELECT a.unit, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.s >= b.s WHERE a.s < b.e      -- the token that holds its first byte
     UNION ALL
     SELECT a.unit, a.id AS a, b.id AS b FROM b ASOF JOIN a ON b.s > a.s WHERE b.s < a.e       -- those that begin inside it"""
@@ -145,6 +151,7 @@ _PAIRS = """
     CREATE TEMP TABLE pairs AS SELECT a, b, n, row_number() OVER (ORDER BY a, b) - 1 AS pair FROM
         (SELECT a, b, sum(times)::BIGINT AS n FROM links JOIN used USING (unit) GROUP BY a, b)"""
 _UNIT_PAIRS = "SELECT unit, pair::INT AS pair FROM links JOIN pairs USING (a, b) JOIN used USING (unit) ORDER BY unit"
+_LINKS = ("unit", "a", "b")
 
 _BATCH = "batch long, kind int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, at long, own binary, more binary, a array<int>, b array<int>, n array<long>"
 _DOC, _UNITS, _PAIR = range(3)
@@ -168,58 +175,96 @@ def _spelt_groups(g: np.ndarray, side: np.ndarray, unit: np.ndarray, ids: np.nda
     return out
 
 
-def _aligned(batch: int, docs: list[tuple[int | None, np.ndarray]], units: list[str], left: Side, right: Side, digest: bool) -> Iterator[dict]:
-    """The rows of a batch: documents (their sums, and their units' numbers), and the batch's tables of units and pairs."""
+class Batch:
+    """Documents of a task, and what is known of their different units: counts of tokens of both sides, groups and links,
+    whether the tokens don't spell the unit, the groups as text, and the links."""
+
+    def __init__(self, number: int, left: Side, right: Side, digest: bool) -> None:
+        self.number, self.sides, self.digest = number, (left, right), digest
+        self.units, self.docs, self.known = Numbers(), [], 0
+        self.counts = np.zeros((5, 0), np.int64)
+        self.spelt: list[str] = []
+        self.links: list[tuple[np.ndarray, ...]] = []
+        self.times = np.zeros(0, np.int64)
+
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        own = map(self.units.__getitem__, UNIT.findall(f" {text}")) if text else ()
+        self.docs.append((doc_id, np.array(list(own), np.int32)))
+
+    def _align(self, units: list[str]) -> None:
+        """Aligns units that are new."""
+        con = _duckdb()
+        ends = np.cumsum([len(u.encode()) for u in units], dtype=np.int64)
+        found = [side.intervals(units, ends) for side in self.sides]
+        valid, counts = found[0][2] & found[1][2], []
+        for name, side, (ids, starts, _) in zip("ab", self.sides, found):
+            unit = np.searchsorted(ends, starts, "right").astype(np.int32)
+            if not valid.all():
+                keep = valid[unit]
+                ids, starts, unit = ids[keep], starts[keep], unit[keep]
+            counts.append(np.bincount(unit, minlength=len(units)))
+            con.register("made", pa.table({"s": starts, "e": starts + side.sizes[ids], "id": ids, "unit": unit}))
+            con.execute(f"CREATE TEMP TABLE {name} AS FROM made")
+        links = con.sql(_OVERLAPS).to_arrow_table()
+        unit, a, b = (links.column(c).to_numpy() for c in _LINKS)
+        self.links.append((unit + np.int32(self.known), a, b))
+        grouped = con.sql(_GROUPS).to_arrow_table()
+        con.close()
+        g, of, group_unit, ids = (grouped.column(c).to_numpy() for c in ("g", "side", "unit", "id"))
+        first = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
+        counts += [np.bincount(group_unit[first], minlength=len(units)), np.bincount(unit, minlength=len(units)), ~valid]
+        self.spelt += _spelt_groups(g, of, group_unit, ids, len(units))
+        self.counts = np.concatenate([self.counts, np.array(counts, np.int64)], axis=1)
+        self.known += len(units)
+
+    def settle(self) -> Iterator[dict]:
+        """The rows of the documents since the last time: their sums, and their units' numbers."""
+        new = list(islice(self.units, self.known, None))
+        if new:
+            self._align(new)
+        sizes = np.array([len(own) for _, own in self.docs], np.int64)
+        until = np.concatenate(([0], np.cumsum(sizes)))
+        every = np.concatenate([np.zeros(0, np.int32), *(own for _, own in self.docs)])
+        # Sums over a document's units: differences of running sums.
+        sums = np.array([np.diff(np.concatenate(([0], np.cumsum(c[every])))[until]) for c in self.counts])
+        whole = (sums[-1] == 0) & (sizes > 0)
+        times = np.bincount(every[np.repeat(whole, sizes)], minlength=self.known)
+        times[: len(self.times)] += self.times
+        self.times = times
+        for (doc_id, own), good, n in zip(self.docs, whole.tolist(), (sums[:-1] * whole).T.tolist()):
+            text = ";".join(map(self.spelt.__getitem__, own.tolist())) if good else ""
+            groups = hashlib.sha256(text.encode()).hexdigest() if self.digest and good else text
+            packed = zlib.compress(own.astype("<i4").tobytes(), 1) if good else b""
+            yield dict(zip(("batch", "kind", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "own"), (self.number, _DOC, doc_id, *n, groups, packed)))
+        self.docs = []
+
+    def finish(self) -> Iterator[dict]:
+        """The batch's tables of units and pairs."""
+        con = _duckdb()
+        unit, a, b = (np.concatenate([np.zeros(0, np.int32), *(x[k] for x in self.links)]) for k in range(3))
+        con.register("links", pa.table(dict(zip(_LINKS, (unit, a, b)))))
+        con.register("counted", pa.table({"unit": np.arange(self.known, dtype=np.int32), "times": self.times}))
+        con.execute("CREATE TEMP TABLE used AS FROM counted WHERE times > 0")
+        con.execute(_PAIRS)
+        links = con.sql(_UNIT_PAIRS).to_arrow_table()
+        unit, pair = (links.column(c).to_numpy() for c in ("unit", "pair"))
+        for lo in range(0, self.known, SLICE):
+            x, y = np.searchsorted(unit, [lo, lo + SLICE])
+            if y > x:
+                yield {"batch": self.number, "kind": _UNITS, "at": self.known, "own": zlib.compress(unit[x:y].astype("<i4").tobytes(), 1), "more": zlib.compress(pair[x:y].astype("<i4").tobytes(), 1)}
+        pairs = con.sql("SELECT a, b, n FROM pairs ORDER BY pair").to_arrow_table()
+        con.close()
+        for lo in range(0, pairs.num_rows, SLICE):
+            yield {"batch": self.number, "kind": _PAIR, "at": lo} | {c: pairs.column(c).slice(lo, SLICE).to_pylist() for c in "abn"}
+
+
+def _duckdb():
     import duckdb
 
-    ends = np.cumsum([len(u.encode()) for u in units], dtype=np.int64)
-    sides = [side.intervals(units, ends) for side in (left, right)]
-    valid = sides[0][2] & sides[1][2]
-    con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
-    counts = []
-    for name, side, (ids, starts, _) in zip("ab", (left, right), sides):
-        unit = np.searchsorted(ends, starts, "right").astype(np.int32)
-        keep = valid[unit] if len(unit) else np.zeros(0, bool)
-        ids, starts, unit = ids[keep], starts[keep], unit[keep]
-        counts.append(np.bincount(unit, minlength=len(units)))
-        con.register("made", pa.table({"s": starts, "e": starts + side.sizes[ids], "id": ids, "unit": unit}))
-        con.execute(f"CREATE TEMP TABLE {name} AS FROM made")
-    con.execute(_OVERLAPS)
-    grouped = con.sql(_GROUPS).to_arrow_table()
-    g, of, unit, ids = (grouped.column(c).to_numpy() for c in ("g", "side", "unit", "id"))
-    spelt = _spelt_groups(g, of, unit, ids, len(units))
-    first = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
-    linked = con.sql("SELECT unit, count(*) AS n FROM links GROUP BY unit").to_arrow_table()
-    links = np.zeros(len(units), np.int64)
-    links[linked.column("unit").to_numpy()] = linked.column("n").to_numpy()
-    counts += [np.bincount(unit[first], minlength=len(units)), links]
-    counts.append(~valid)
-    all_own = np.concatenate([np.zeros(0, np.int32), *(own for _, own in docs)])
-    until = np.cumsum([len(own) for _, own in docs])
-    # Sums over a document's units: differences of running sums.
-    sums = [np.diff(np.concatenate(([0], np.cumsum(c[all_own], dtype=np.int64)))[np.concatenate(([0], until))]) for c in counts]
-    whole = (sums[-1] == 0) & (np.diff(until, prepend=0) > 0)
-    times = np.bincount(all_own[np.repeat(whole, np.diff(until, prepend=0))], minlength=len(units))
-    for (doc_id, own), good, n in zip(docs, whole.tolist(), (np.stack(sums[:-1]) * whole).T.tolist()):
-        text = ";".join(map(spelt.__getitem__, own.tolist())) if good else ""
-        groups = hashlib.sha256(text.encode()).hexdigest() if digest and good else text
-        yield dict(zip(("batch", "kind", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "own"), (batch, _DOC, doc_id, *n, groups, own.astype("<i4").tobytes() if good else b"")))
-    con.register("counted", pa.table({"unit": np.arange(len(units), dtype=np.int32), "times": times}))
-    con.execute("CREATE TEMP TABLE used AS FROM counted WHERE times > 0")
-    con.execute(_PAIRS)
-    links_of = con.sql(_UNIT_PAIRS).to_arrow_table()
-    unit, pair = (links_of.column(c).to_numpy() for c in ("unit", "pair"))
-    for lo in range(0, len(units), SLICE):
-        x, y = np.searchsorted(unit, [lo, lo + SLICE])
-        if y > x:
-            yield {"batch": batch, "kind": _UNITS, "at": len(units), "own": unit[x:y].astype("<i4").tobytes(), "more": pair[x:y].astype("<i4").tobytes()}
-    pairs = con.sql("SELECT a, b, n FROM pairs ORDER BY pair").to_arrow_table()
-    for lo in range(0, pairs.num_rows, SLICE):
-        yield {"batch": batch, "kind": _PAIR, "at": lo} | {c: pairs.column(c).slice(lo, SLICE).to_pylist() for c in "abn"}
-    con.close()
-
-
-def _batches(docs: DataFrame, left: ByteLevel | Pieces, right: ByteLevel | Pieces, batch_chars: int, digest: bool) -> DataFrame:
+    return duckdb.connect(config={"threads": 1, "temp_directory": ""})
+
+
+def _batches(docs: DataFrame, left: ByteLevel | Pieces, right: ByteLevel | Pieces, step_chars: int, batch_units: int, digest: bool) -> DataFrame:
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _BATCH.split(", ")])
 
@@ -227,13 +272,12 @@ def _batches(docs: DataFrame, left: ByteLevel | Pieces, right: ByteLevel | Piece
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
-        a, b, made, held = Side(left), Side(right), TaskContext.get().partitionId() << 32, 0
-        docs_: list[tuple[int | None, np.ndarray]] = []
-        units = Numbers()
+        made, held = TaskContext.get().partitionId() << 32, 0
+        batch = Batch(made, opened(left), opened(right), digest)
 
-        def settle() -> Iterator[pa.RecordBatch]:
+        def written(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
             out, size = [], 0
-            for row in _aligned(made, docs_, list(units), a, b, digest):
+            for row in rows:
                 out.append(row)
                 size += len(row.get("own", b"")) + len(row.get("groups", "")) + 500
                 if size > 4_000_000:
@@ -244,14 +288,17 @@ def _batches(docs: DataFrame, left: ByteLevel | Pieces, right: ByteLevel | Piece
         for t in batches:
             for doc_id, text in zip(t.column(0).to_pylist(), t.column(1)):
                 text = text.as_py()
-                own = list(map(units.__getitem__, UNIT.findall(f" {text}"))) if text else []
-                docs_.append((doc_id, np.array(own, np.int32)))
+                batch.add(doc_id, text)
                 held += 100 + len(text or "")
-                if held >= batch_chars:
-                    yield from settle()
-                    docs_, units, held, made = [], Numbers(), 0, made + 1
-        if docs_:
-            yield from settle()
+                if held >= step_chars:
+                    yield from written(batch.settle())
+                    held = 0
+                    if batch.known >= batch_units:
+                        yield from written(batch.finish())
+                        made += 1
+                        batch = Batch(made, opened(left), opened(right), digest)
+        yield from written(batch.settle())
+        yield from written(batch.finish())
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _BATCH)
 
@@ -266,16 +313,16 @@ def _score(batch: pa.Table, counted: pa.Table) -> pa.Table:
     units = max(tables.column("at").to_pylist(), default=0)
     sums = np.zeros((2, units), np.int64)
     for own, more in zip(tables.column("own").to_pylist(), tables.column("more").to_pylist()):
-        unit, pair = np.frombuffer(own, "<i4"), np.frombuffer(more, "<i4")
+        unit, pair = (np.frombuffer(zlib.decompress(x), "<i4") for x in (own, more))
         np.add.at(sums[0], unit, best[pair])
         np.add.at(sums[1], unit, count[pair])
-    own = [np.frombuffer(x.as_py(), "<i4") for x in docs.column("own")]
+    own = [np.frombuffer(zlib.decompress(x) if x else b"", "<i4") for x in docs.column("own").to_pylist()]
     made = [pa.array([int(s[o].sum()) for o in own], pa.int64()) for s in sums]
     names = [c.split()[0] for c in _RESULT.split(", ")]
     return pa.table({c: made[("n_best", "count_sum").index(c)] if c in ("n_best", "count_sum") else docs.column(c) for c in names})
 
 
-def align(docs: DataFrame, left: ByteLevel | Pieces, right: ByteLevel | Pieces, batch_chars: int = BATCH_CHARS, digest: bool = False) -> DataFrame:
+def align(docs: DataFrame, left: ByteLevel | Pieces, right: ByteLevel | Pieces, step_chars: int = STEP_CHARS, batch_units: int = BATCH_UNITS, digest: bool = False) -> DataFrame:
     """docs (doc_id, text, any more), row for row: n_a, n_b, n_groups, n_links, n_best, count_sum, groups.
 
     A blank and the text are tokenised by ``left`` and ``right`` without special tokens. Texts null, empty, or with a
@@ -284,10 +331,11 @@ def align(docs: DataFrame, left: ByteLevel | Pieces, right: ByteLevel | Pieces,
     tokens that share a byte; a pair's count is its number of links in all rows; n_best are the links whose count is the
     highest of their right id, ties included. Repeated rows count as often as they come; an empty table gives no rows.
 
-    A task holds one batch of about ``batch_chars`` characters, or one longer text. The vocabularies go to the tasks
+    A task holds the units and links of one batch, about ``batch_units`` different units, and the documents of a step, about
+    ``step_chars`` characters, or one longer text. The vocabularies go to the tasks
     with the code; the highest counts are broadcast, at most a row for each id of the right one.
     """
-    rows = stored(_batches(docs, left, right, batch_chars, digest))
+    rows = stored(_batches(docs, left, right, step_chars, batch_units, digest))
     pairs = rows.where(F.col("kind") == _PAIR).select("batch", "at", F.posexplode(F.arrays_zip("a", "b", "n")).alias("place", "p"))
     pairs = pairs.select("batch", (F.col("at") + F.col("place")).alias("pair"), "p.a", "p.b", "p.n")
     counts = stored(pair_counts(pairs))

@@ -69,13 +69,13 @@ def odd_rows():
     return rows + [(None, "hi you"), (None, "hi you"), (1011, "many words in a row " * 2000)]
 
 
-@pytest.mark.parametrize("batch", [align.BATCH_CHARS, 2000, 1])
-def test_against_naive(spark, sides, batch):
-    rows = odd_rows() if batch > 1 else odd_rows()[250:]
+@pytest.mark.parametrize("step, units", [(align.STEP_CHARS, align.BATCH_UNITS), (2000, align.BATCH_UNITS), (2000, 300), (1, 1)])
+def test_against_naive(spark, sides, step, units):
+    rows = odd_rows() if step > 1 else odd_rows()[250:]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for c in ("batch", "kind", "groups", "a", "own", "n_a", "of", "at"):
         df = df.withColumn(c, F.lit("x"))
-    assert sorted(repr(tuple(r[c] for c in COLUMNS)) for r in align.align(df, *sides, batch).collect()) == naive(rows, sides)
+    assert sorted(repr(tuple(r[c] for c in COLUMNS)) for r in align.align(df, *sides, step, units).collect()) == naive(rows, sides)
 
 
 def test_no_rows_and_no_tokens(spark, sides):
