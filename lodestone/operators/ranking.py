@@ -5,17 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.scalar import stable_key
 from ..functions.text import bucket_counts, overlap, rerank_tokens
-from ..functions.vectors import dot
-from ..session import use_checkpoints
+from ..session import scratch, use_checkpoints
+from .graph_index import GraphIndex
 from .windows import min_max
 
 
@@ -118,63 +116,15 @@ def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int, few: int = FEW_Q
     return _best_by_blocks(queries.select("query_id", "text"), chunks.select("chunk_id", "text"), k, few, prepare, score)
 
 
-def train_cells(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8, seed: int = 1) -> list[list[float]]:
-    """Centroids by k-means on at most about ``sample`` vectors, chosen by hash."""
-    share = min(1.0, sample / max(1, vectors.count()))
-    x = np.array([r.v for r in vectors.where(F.pmod(F.xxhash64("chunk_id"), F.lit(10**6)) < int(share * 10**6)).orderBy("chunk_id").select("v").collect()], float)
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
-    for _ in range(rounds):
-        at = (x @ c.T - (c * c).sum(1) / 2).argmax(1)
-        c = np.array([x[at == i].mean(0) if (at == i).any() else c[i] for i in range(len(c))])
-    return c.tolist()
-
-
-def nearest_cells(vectors: DataFrame, centroids: list[list[float]], v: str, n: int) -> DataFrame:
-    """vectors, a row for each of its n nearest cells."""
-    c = np.array(centroids)
-
-    @F.pandas_udf("array<int>")
-    def cells(x: pd.Series) -> pd.Series:
-        m = np.stack(x.to_numpy()) @ c.T - (c * c).sum(1) / 2
-        return pd.Series(list(np.argsort(-m, axis=1)[:, :n].astype("int32")))
-
-    return vectors.withColumn("cell", F.explode(cells(F.col(v))))
-
-
-#: Cells, and cells that a query looks into: chosen for a recall of 0.9 with a margin.
-CELLS, PROBES = 16, 12
-
-
-def save_index(vectors: DataFrame, path: str, cells: int = CELLS) -> None:
-    """Writes the index: centroids, and vectors (chunk_id, v) with their stable key, by cell. No vectors leave no index."""
-    spark = vectors.sparkSession
-    if vectors.isEmpty():
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        return
-    c = train_cells(vectors, cells)
-    spark.createDataFrame(list(enumerate(c)), "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-    keyed = nearest_cells(vectors.withColumn("key", stable_key(F.col("chunk_id").cast("string"))), c, "v", 1)
-    keyed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
-
-
-def load_index(spark: SparkSession, path: str) -> tuple[list[list[float]], DataFrame]:
-    """Centroids, and (chunk_id, v, key, cell): a cell is a folder, so a query reads only those it looks into."""
-    c = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
-    return [r.centre for r in c], spark.read.parquet(f"{path}/cells")
-
-
-def search_index(queries: DataFrame, centroids: list[list[float]], cells: DataFrame, k: int, probes: int = PROBES) -> DataFrame:
-    """(query_id, chunk_id, score, rank) from a loaded index."""
-    hit = cells.join(nearest_cells(queries, centroids, "q", probes), "cell")
-    return top_k(hit.withColumn("score", dot("q", "v")).select("query_id", "chunk_id", "score"), ["query_id"], "score", "chunk_id", k)
-
-
-def ann_top_k(queries: DataFrame, vectors: DataFrame, k: int, cells: int = CELLS, probes: int = PROBES) -> DataFrame:
-    """Approximate top-k: every vector in its cell, every query in its nearest ``probes`` cells, an equi-join on the cell."""
-    centroids = train_cells(vectors, cells)
-    return search_index(queries, centroids, nearest_cells(vectors, centroids, "v", 1), k, probes)
+def ann_top_k(queries: DataFrame, vectors: DataFrame, k: int, **how) -> DataFrame:
+    """(query_id, chunk_id, score, rank): approximate, by cosine, through graphs of near neighbours (see GraphIndex). queries
+    (query_id, q), vectors (chunk_id, v); those without a direction take no part."""
+    index = GraphIndex(vectors.sparkSession, scratch(vectors.sparkSession, "graphs"))
+    index.create(vectors)
+    kind = vectors.schema["chunk_id"].dataType
+    if index.shards.version() is None:
+        return queries.select("query_id", F.lit(None).cast(kind).alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return index.search(queries, k, **how).withColumn("chunk_id", F.col("chunk_id").cast(kind))
 
 
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, text, vectors
 from ..operators import aggregates as agg
-from ..operators import diff, graph, joins, ranking, text_search, windows
-from ..session import load
+from ..operators import diff, graph, graph_index, joins, ranking, text_search, windows
+from ..session import load, scratch
 from ..sources import files, stores
 from ..streaming import changes
 from . import order_catalog, rows_catalog, sources_catalog, streams_catalog, text_catalog  # noqa: F401 - they register their queries
@@ -141,6 +141,29 @@ def ann_recall(spark, d):
     return hit.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("recall_is_90"))
 
 
+_LIVE = f"v AS (SELECT CASE WHEN vec_id % 10 = 3 THEN vec_id + 1000000 ELSE vec_id END AS chunk_id, embedding FROM embeddings WHERE vec_id % 10 <> 7)"
+
+
+@query(f"""WITH {_QUERY}, {_LIVE}, s AS (SELECT q.query_id, e.chunk_id, {_DOT} AS score FROM q, v e QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY score DESC, e.chunk_id) <= 10)
+ SELECT count(DISTINCT query_id) AS queries, true AS recall_is_90, 0::BIGINT AS removed_found, (SELECT count(*) FROM v) AS nodes FROM s""")
+def graph_index_updates(spark, d):
+    """A saved graph index after two batches: a tenth of the vectors removed, another tenth moved to other ids; recall against
+    an exact search over what is left."""
+    v = _vectors(spark, d).select("chunk_id", "v")
+    index = graph_index.GraphIndex(spark, scratch(spark, "graphs"))
+    index.create(v)
+    moved = v.where("chunk_id % 10 = 3")
+    index.update(moved.withColumn("chunk_id", F.col("chunk_id") + 1_000_000), moved.select("chunk_id"), "changes", 1)
+    index.update(None, v.where("chunk_id % 10 = 7").select("chunk_id"), "changes", 2)
+    index.update(None, v.select("chunk_id"), "changes", 2)  # sent again: does nothing
+    left = v.where("chunk_id % 10 <> 7").withColumn("chunk_id", F.when(F.col("chunk_id") % 10 == 3, F.col("chunk_id") + 1_000_000).otherwise(F.col("chunk_id")))
+    near = index.search(_queries(spark, d), 10).withColumn("chunk_id", F.col("chunk_id").cast("long"))
+    exact = ranking.dense_top_k(_queries(spark, d), left, 10).join(near.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    removed = near.join(v.where("chunk_id % 10 in (3, 7)"), "chunk_id", "left_semi").agg(F.count(F.lit(1)).alias("removed_found"))
+    recall = exact.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("recall_is_90"))
+    return recall.crossJoin(removed).crossJoin(index.nodes().agg(F.count(F.lit(1)).alias("nodes")))
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
 def vector_norm(spark, d):
     return load(spark, d, "embeddings").select("vec_id", F.round(vectors.norm("embedding"), 6).alias("norm"))

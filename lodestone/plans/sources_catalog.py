@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar, text
-from ..operators import graph, ranking, text_search
+from ..functions.scalar import stable_key
+from ..operators import graph, graph_index, text_search
 from ..session import load, scratch
 from ..sources import files, stores
 from .registered import query
@@ -154,10 +155,10 @@ def decode_bytes(spark, d):
 def saved_index(spark, d):
     """An approximate index written, read back, and joined to its vectors."""
     v = load(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
-    ranking.save_index(v, at := scratch(spark, "index"))
-    centroids, cells = ranking.load_index(spark, at)
-    own = cells.select(F.col("chunk_id").alias("vec_id"), "key", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 6).alias("norm2"), F.col("cell").between(0, len(centroids) - 1).alias("in_cell"))
-    return own
+    graph_index.GraphIndex(spark, at := scratch(spark, "index")).create(v)
+    nodes = graph_index.GraphIndex(spark, at).nodes()
+    norm2 = F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 6)
+    return nodes.select(F.col("chunk_id").cast("long").alias("vec_id"), stable_key(F.col("chunk_id")).alias("key"), norm2.alias("norm2"), (F.col("cell") >= 0).alias("in_cell"))
 
 
 def _chunks(spark, d):

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "lodestone", **conf: str) -> SparkSession:
-    """A session with adaptive execution, UTC and ANSI casts; ``conf`` adds or replaces settings."""
-    own = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+    """A session with adaptive execution, UTC and ANSI casts, that removes checkpoints nothing refers to; ``conf`` adds or replaces settings."""
+    own = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
     return SparkSession.builder.appName(app).config(map=own | conf).getOrCreate()
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from ..sources.log_table import LogTable, Staged
 from ..sources.stores import replace_files
 
 
@@ -146,11 +147,12 @@ def apply_changes(chunks: DataFrame, changes: DataFrame, new: DataFrame) -> Data
 
 
 class IndexSync:
-    """Versioned index tables kept up to date by a change stream.
+    """An index kept up to date by a change stream, as a log by file (see LogTable): a batch writes its own chunks and
+    tombstones, whatever the index holds.
 
-    A batch is applied to the version the pointer names, written as the next one, and pointed to with its stream and number:
-    readers always see a whole version, a batch that is run again is known and does nothing, and a stream with a new checkpoint
-    goes on from the current version, whatever its numbers. What a crash left unpointed is written over.
+    A version is recorded with its stream and batch number: readers always see a whole version, a batch that is run again is
+    known and does nothing, and a stream with a new checkpoint goes on from the current version, whatever its numbers. What a
+    crash left unrecorded is written over.
 
     ``chunk`` gives (file, ..., chunk columns) of files (file, text); with a column ``ok`` it may say that a file failed: its old chunks
     stay, and the file waits in the version's dead-letter table until the next batch tries it again.
@@ -158,40 +160,29 @@ class IndexSync:
 
     _FAILED = "file string, text string"
 
-    def __init__(self, spark: SparkSession, root: str, chunk: Callable[[DataFrame], DataFrame], active: Callable[[], bool] = lambda: True) -> None:
+    def __init__(self, spark: SparkSession, root: str, chunk: Callable[[DataFrame], DataFrame], active: Callable[[], bool] = lambda: True, **how) -> None:
         self.spark, self.root, self.chunk, self.active = spark, root, chunk, active
+        self.table = LogTable(spark, f"{root}/chunks", "file", **how)
         self.events: list[tuple[str, int]] = []
 
-    def _pointers(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("version int, stream string, batch long").json(f"{self.root}/current")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-
     def version(self) -> int | None:
-        p = self._pointers()
-        return None if p is None else p.agg(F.max("version")).first()[0]
+        return self.table.version()
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{self.version() if version is None else version}/chunks")
+        return self.table.read(version)
 
     def failed(self, version: int | None = None) -> DataFrame:
-        """(file, text): the dead letters."""
-        return self.spark.read.schema(self._FAILED).parquet(f"{self.root}/v{self.version() if version is None else version}/failed")
-
-    def _write(self, version: int, chunks: DataFrame, failed: DataFrame) -> None:
-        chunks.write.mode("overwrite").parquet(f"{self.root}/v{version}/chunks")
-        failed.write.mode("overwrite").parquet(f"{self.root}/v{version}/failed")
+        """(file, text): the dead letters, those of the last batch up to a version."""
+        last = [r.version for r in self.table.log(version) if r.kind != "compact"][-1]
+        return self.spark.read.schema(self._FAILED).parquet(f"{self.root}/failed/v{last}")
 
     def build(self, chunks: DataFrame) -> None:
-        self._write(0, chunks, self.spark.createDataFrame([], self._FAILED))
-        self._point(0, "build", -1)
+        self.spark.createDataFrame([], self._FAILED).write.mode("overwrite").parquet(f"{self.root}/failed/v0")
+        self.table.create(chunks)
         self.events.append(("complete", 0))
 
-    def _point(self, version: int, stream: str, batch: int) -> None:
-        self.spark.createDataFrame([(version, stream, batch)], "version int, stream string, batch long").coalesce(1).write.mode("append").json(f"{self.root}/current")
+    def _point(self, staged: Staged, stream: str, batch: int) -> None:
+        self.table.commit(staged, stream, batch)
 
     def on_batch(self, changes: DataFrame, batch_id: int) -> None:
         """For foreachBatch: changes (file, type, text), with ``seq`` where a file may be updated more than once in a batch: the
@@ -200,7 +191,7 @@ class IndexSync:
         if not self.active() or base is None:
             return
         stream = self.spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
-        if not self._pointers().where((F.col("stream") == stream) & (F.col("batch") == batch_id)).isEmpty():
+        if self.table.knows(stream, batch_id):
             return
         changes = changes.persist()
         try:
@@ -211,12 +202,14 @@ class IndexSync:
             tried = last.join(batch.where("type = 'updated'"), "file", "left_semi").unionByName(again)
             new = self.chunk(tried)
             bad = new.where("not ok").select("file").distinct() if "ok" in new.columns else self.spark.createDataFrame([], "file string")
-            done = batch.unionByName(again.select("file", F.lit("updated").alias("type"))).join(bad, "file", "left_anti")
+            done = batch.select("file").unionByName(again.select("file")).join(bad, "file", "left_anti")
             good = new.where("ok").drop("ok") if "ok" in new.columns else new
-            self._write(base + 1, apply_changes(self.read(base), done, good.join(bad, "file", "left_anti")), tried.join(bad, "file", "left_semi"))
+            tried.join(bad, "file", "left_semi").write.mode("overwrite").parquet(f"{self.root}/failed/v{base + 1}")
+            staged = self.table.stage(base + 1, good.join(bad, "file", "left_anti"), done)
         finally:
             changes.unpersist()
-        self._point(base + 1, stream, batch_id)
+        self._point(staged, stream, batch_id)
+        self.table.compact()
         self.events.append(("incrementalSync", base + 1))
 
 

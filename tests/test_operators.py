@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import registry, scalar, text, vectors
 from lodestone.operators import aggregates as agg
-from lodestone.operators import diff, graph, joins, ranking, text_search, windows
+from lodestone.operators import diff, graph, graph_index, joins, ranking, text_search, windows
 from lodestone.plans import catalog
 from lodestone.sources import files, stores
 from lodestone.streaming import changes
@@ -551,11 +551,11 @@ def test_saved_index_gives_what_was_built(spark, sf_dir, tmp_path):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     v = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    ranking.save_index(v, str(tmp_path / "ix"))
-    got = ranking.search_index(q, *ranking.load_index(spark, str(tmp_path / "ix")), 5)
-    key = lambda df: {(r.query_id, r.chunk_id, r["rank"]) for r in df.collect()}
+    graph_index.GraphIndex(spark, str(tmp_path / "ix")).create(v)
+    got = graph_index.GraphIndex(spark, str(tmp_path / "ix")).search(q, 5)
+    key = lambda df: {(r.query_id, int(r.chunk_id), r["rank"]) for r in df.collect()}
     assert key(got) == key(ranking.ann_top_k(q, v, 5))
-    ranking.save_index(v.limit(0), str(tmp_path / "ix"))
+    graph_index.GraphIndex(spark, str(tmp_path / "ix")).create(v.limit(0))
     assert not (tmp_path / "ix").exists()
 
 
