@@ -12,22 +12,52 @@ def lookup(left: DataFrame, right: DataFrame, key: str, value: str, fallback: st
     return left.join(found, key, "left").withColumn(value, F.coalesce("_found", fallback)).drop("_found")
 
 
-def spread(start: Column, end: Column, width: int) -> Column:
-    """Numbers of the buckets that a closed interval touches."""
-    return F.sequence(F.floor(start / width), F.floor(end / width))
+def blocks(start: Column, end: Column) -> Column:
+    """A closed interval of whole numbers cut into blocks of lengths that are powers of two, each at a multiple of its length:
+    array<struct<level,no>>, at most two a level, whatever the interval's length. An empty interval has none."""
+    lo, hi = start.cast("long"), end.cast("long") + 1
+    top = F.floor(F.log2(F.greatest(hi - lo, F.lit(1)).cast("double"))).cast("int")
+    down, up = (lambda x, k: F.call_function("shiftright", x, k)), (lambda x, k: -F.call_function("shiftright", -x, k))
 
+    def of(k: Column) -> Column:
+        a, b = up(lo, k), down(hi, k)
+        block = lambda no: F.struct(k.alias("level"), no.alias("no"))
+        return F.array(F.when((a < b) & (a % 2 != 0), block(a)), F.when((a < b) & (b % 2 != 0), block(b - 1)))
 
-def innermost(points: DataFrame, spans: DataFrame, group: str, point: str, point_id: list[str], start: str, end: str, order: str, width: int = 256, first: bool = False) -> DataFrame:
+    cut = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), top), of)), lambda x: x.isNotNull())
+    return F.when(lo < hi, cut).otherwise(F.array().cast("array<struct<level:int,no:bigint>>"))
+
+
+def _in_blocks(spans: DataFrame, start: Column, end: Column) -> DataFrame:
+    """spans with a row for each block (_level, _no)."""
+    return spans.withColumn("_block", F.explode(blocks(start, end))).withColumns({"_level": F.col("_block.level"), "_no": F.col("_block.no")}).drop("_block")
+
+
+def _asking(points: DataFrame, point: str, cut: DataFrame) -> DataFrame:
+    """points with a row for each block that holds them, of the levels (63 at most) that cut has."""
+    levels = cut.select("_level").distinct()
+    return points.crossJoin(F.broadcast(levels)).withColumn("_no", F.call_function("shiftright", F.col(point).cast("long"), F.col("_level")))
+
+
+def within(points: DataFrame, spans: DataFrame, group: str, point: str, start: Column, end: Column) -> DataFrame:
+    """Points with each span (closed, of whole numbers) of their group that holds them: an equi-join on blocks, each pair once."""
+    cut = _in_blocks(spans, start, end)
+    return _asking(points, point, cut).join(cut, [group, "_level", "_no"]).drop("_level", "_no")
+
+
+def innermost(points: DataFrame, spans: DataFrame, group: str, point: str, point_id: list[str], start: str, end: str, order: str, first: bool = False) -> DataFrame:
     """Points with the span of their group that holds them: the one that starts last (first: that comes first in ``order``).
 
-    Spans are put into every bucket they touch and points into theirs, so it is an equi-join; points
-    without a span are dropped.
+    A span holds every point of its blocks, so of all spans that have a block only the best is kept, and a point meets one a level,
+    however deep spans are nested. Points without a span are dropped.
     """
-    p = points.withColumn("_b", F.floor(F.col(point) / width))
-    s = spans.withColumn("_b", F.explode(spread(F.col(start), F.col(end), width)))
-    hit = p.join(s, [group, "_b"]).where((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end)))
-    best = Window.partitionBy(*point_id).orderBy(*([] if first else [F.desc(start)]), order)
-    return hit.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_b", "_rn")
+    cut = _in_blocks(spans, F.col(start), F.col(end))
+    rank = F.struct(*([] if first else [(-F.col(start).cast("long")).alias("start")]), F.col(order).alias("order"))
+    rest = [c for c in spans.columns if c != group]
+    best = cut.groupBy(group, "_level", "_no").agg(F.min_by(F.struct(*rest), rank).alias("_span"), F.min(rank).alias("_rank"))
+    hit = _asking(points, point, cut).join(best, [group, "_level", "_no"])
+    nearest = Window.partitionBy(*point_id).orderBy("_rank")
+    return hit.withColumn("_rn", F.row_number().over(nearest)).where("_rn = 1").select(*(F.col(f"`{c}`") for c in points.columns), *(F.col(f"_span.`{c}`") for c in rest))
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: str, out: str, forward: bool = False) -> DataFrame:
@@ -70,13 +100,14 @@ def semi(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right.select(*keys).distinct(), keys, "left_semi")
 
 
-def overlaps(a: DataFrame, b: DataFrame, a_cols: tuple[str, str], b_cols: tuple[str, str], group: str, width: int = 64) -> DataFrame:
-    """Pairs of half-open ranges of a group that overlap, with the overlap (lo, hi); by buckets, each pair once."""
-    left = a.withColumn("_b", F.explode(spread(F.col(a_cols[0]), F.col(a_cols[1]) - 1, width))).where(F.col(a_cols[0]) < F.col(a_cols[1]))
-    right = b.withColumn("_b", F.explode(spread(F.col(b_cols[0]), F.col(b_cols[1]) - 1, width))).where(F.col(b_cols[0]) < F.col(b_cols[1]))
-    lo, hi = F.greatest(a_cols[0], b_cols[0]), F.least(a_cols[1], b_cols[1])
-    hit = left.join(right, [group, "_b"]).where((lo < hi) & (F.floor(lo / width) == F.col("_b")))
-    return hit.withColumn("lo", lo).withColumn("hi", hi).drop("_b")
+def overlaps(a: DataFrame, b: DataFrame, a_cols: tuple[str, str], b_cols: tuple[str, str], group: str) -> DataFrame:
+    """Pairs of half-open ranges of a group that overlap, with the overlap (lo, hi), each pair once: one of both begins in the
+    other, or both begin together."""
+    left, right = a.where(F.col(a_cols[0]) < F.col(a_cols[1])), b.where(F.col(b_cols[0]) < F.col(b_cols[1]))
+    begun = within(right, left, group, b_cols[0], F.col(a_cols[0]), F.col(a_cols[1]) - 1)
+    later = within(left, right, group, a_cols[0], F.col(b_cols[0]) + 1, F.col(b_cols[1]) - 1)
+    both = begun.unionByName(later)
+    return both.withColumn("lo", F.greatest(a_cols[0], b_cols[0])).withColumn("hi", F.least(a_cols[1], b_cols[1]))
 
 
 def intersect_range(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -163,16 +194,15 @@ def remap_index(indexes: DataFrame, edits: DataFrame, group: str = "doc") -> Dat
 FAR = 2 << 20
 
 
-def word_distance(words: DataFrame, anchors: DataFrame, ranges: DataFrame, keywords: list[str], width: int = 256) -> DataFrame:
+def word_distance(words: DataFrame, anchors: DataFrame, ranges: DataFrame, keywords: list[str]) -> DataFrame:
     """(id, word, distance): enclosing ranges between a word's nearest anchor at or before its place and the place.
 
     words (id, doc, word, pos), anchors (doc, word, pos), ranges (doc, start, end; half-open). Keywords and words without an
-    anchor are FAR. Anchors meet only the ranges in their bucket of places.
+    anchor are FAR. Anchors meet only the ranges that hold them.
     """
     near = asof(words.select("id", "doc", "word", "pos"), anchors.withColumn("anchor", F.col("pos")), ["doc", "word"], "pos", "anchor", "anchor")
-    spans = ranges.where("start < end").select("doc", "start", "end").withColumn("_b", F.explode(spread(F.col("start"), F.col("end") - 1, width)))
-    hit = near.withColumn("_b", F.floor(F.col("anchor") / width)).join(spans, ["doc", "_b"])
-    left = hit.where((F.col("start") <= F.col("anchor")) & (F.col("anchor") < F.col("end")) & (F.col("end") <= F.col("pos")))
+    spans = ranges.where("start < end").select("doc", "start", "end")
+    left = within(near.where("anchor is not null"), spans, "doc", "anchor", F.col("start"), F.col("end") - 1).where("end <= pos")
     counts = left.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("d"))
     return near.join(counts, "id", "left").select("id", "word", F.when(F.col("word").isin(*keywords) | F.col("anchor").isNull(), FAR).otherwise(F.coalesce("d", F.lit(0))).alias("distance"))
 

@@ -238,7 +238,7 @@ def test_ranges(spark):
     assert [x.asDict() for x in f(joins.complement_range(F.lit(0), F.lit(10), F.lit(3), F.lit(5)))] == [{"start": 0, "end": 3}, {"start": 5, "end": 10}]
     g = spark.createDataFrame([(0, 10, 2), (10, 12, 2), (12, 20, 3)], "start int, end int, size int").withColumn("k", F.lit(1)).withColumn("o", F.monotonically_increasing_id())
     assert [(r.start, r.end, r.size) for r in windows.consolidate(g, ["k"], "o").orderBy("start").collect()] == [(0, 12, 2), (12, 20, 3)]
-    got = joins.overlaps(g, spark.createDataFrame([(1, 5, 15)], "k int, s int, e int"), ("start", "end"), ("s", "e"), "k", width=4)
+    got = joins.overlaps(g, spark.createDataFrame([(1, 5, 15)], "k int, s int, e int"), ("start", "end"), ("s", "e"), "k")
     assert {(r.lo, r.hi, r.size) for r in got.collect()} == {(5, 10, 2), (10, 12, 2), (12, 15, 3)} and got.count() == 3
     e = spark.createDataFrame([(1, 2, 4, 5), (1, 10, 11, 0)], "doc int, start int, end int, length int")
     idx = spark.createDataFrame([(1, 0), (1, 3), (1, 6), (1, 12), (2, 7)], "doc int, index int")
