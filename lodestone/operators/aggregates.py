@@ -106,10 +106,12 @@ def parent_texts(chunks: DataFrame, most: int = 1500) -> DataFrame:
 STATE_PRIORITY = {"unset": 0, "skipped": 1, "passed": 2, "queued": 3, "failed": 4, "errored": 5, "running": 6}
 
 
-def rollup_states(leaves: DataFrame, path: str = "path", sep: str = "/") -> DataFrame:
-    """(node, state, duration) of every ancestor: the state of highest priority, and the sum of durations."""
+def rollup_states(leaves: DataFrame, path: str = "path", sep: str = "/", only: DataFrame | None = None) -> DataFrame:
+    """(node, state, duration) of every ancestor, or of those in ``only`` (node): the state of highest priority, and the sum of durations."""
     prio = F.element_at(F.create_map(*(F.lit(x) for kv in STATE_PRIORITY.items() for x in kv)), F.col("state"))
     up = leaves.withColumn("node", F.explode(ancestors(F.col(path), sep)))
+    if only is not None:
+        up = up.join(only, "node", "left_semi")
     return up.groupBy("node").agg(F.max_by("state", prio).alias("state"), F.sum("duration").alias("duration"))
 
 

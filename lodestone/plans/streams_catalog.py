@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
+from ..operators import rollup
 from ..session import load, scratch
 from ..streaming import changes
 from .registered import query
@@ -145,4 +146,23 @@ def affected_rollup(spark, d):
     state = F.when(F.col("c_custkey") % 40 == 7, "errored").when(F.col("c_custkey") % 3 == 0, "passed").otherwise("skipped")
     leaves = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.concat_ws("/", "r_name", "n_name", F.col("c_custkey").cast("string")).alias("path"), state.alias("state"), F.col("c_acctbal").alias("duration"), (F.col("c_custkey") % 40 == 7).alias("changed"))
     nodes = agg.affected_nodes(leaves.where("changed"))
-    return agg.rollup_states(leaves).join(nodes, "node", "left_semi").withColumn("duration", F.round("duration", 2))
+    return agg.rollup_states(leaves, only=nodes).withColumn("duration", F.round("duration", 2))
+
+
+@query("""WITH l AS (SELECT r_name || '/' || n_name || '/' || c_mktsegment || '/' || c_custkey::VARCHAR AS path, c_acctbal + CASE WHEN c_custkey % 50 = 9 THEN 5 ELSE 0 END AS duration,
+  CASE WHEN c_custkey % 40 = 7 THEN 'failed' WHEN c_custkey % 3 = 0 THEN 'passed' ELSE 'skipped' END AS state FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 60 <> 11),
+ u AS (SELECT unnest(list_transform(range(1, 5), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS node, * FROM l)
+ SELECT node, max_by(state, CASE state WHEN 'failed' THEN 4 WHEN 'passed' THEN 2 ELSE 1 END) AS state, round(sum(duration), 2) AS duration FROM u GROUP BY node""")
+def rollup_updates(spark, d):
+    """A stored rollup after two batches: some leaves fail and some take longer, then some are removed; the first batch is sent twice."""
+    c, n, r = (load(spark, d, t) for t in ("customer", "nation", "region"))
+    at, key = F.concat_ws("/", "r_name", "n_name", "c_mktsegment", F.col("c_custkey").cast("string")), F.col("c_custkey")
+    start = F.when(key % 3 == 0, "passed").otherwise("skipped")
+    leaves = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(key, at.alias("path"), start.alias("state"), F.col("c_acctbal").alias("duration"))
+    table = rollup.Rollup(spark, scratch(spark, "rollup"))
+    table.create(leaves)
+    first = leaves.where((key % 40 == 7) | (key % 50 == 9)).withColumn("state", F.when(key % 40 == 7, "failed").otherwise(F.col("state"))).withColumn("duration", F.col("duration") + F.when(key % 50 == 9, 5).otherwise(0))
+    table.update(first, "changes", 1)
+    table.update(leaves.where(key % 60 == 11).withColumn("state", F.lit(None).cast("string")), "changes", 2)
+    table.update(first.limit(0), "changes", 1)
+    return table.read().withColumn("duration", F.round("duration", 2))
