@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import registry, scalar
+from ..functions import registry, scalar, timeline
 from ..operators import aggregates as agg
 from ..operators import graph, joins, ranking, windows
 from ..session import load
@@ -372,6 +372,16 @@ def timeline_provider(spark, d):
     return ranking.after_cursor(registry.timeline("user:3"), F.col("ts"), F.col("event_id"), None, 20).select("event_id", "event_type")
 
 
+@query("""SELECT user_id::VARCHAR AS uri, event_id AS item, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, event_id DESC))::BIGINT AS place FROM events
+ WHERE ts < (SELECT max(ts) - INTERVAL '7 days' FROM events) QUALIFY place <= 5""")
+def timeline_function(spark, d):
+    """The first five events of each user that are over a week older than the last of all, as SQL over a table function."""
+    timeline.register(spark)
+    events = load(spark, d, "events").select(F.col("user_id").cast("string").alias("uri"), "ts", F.col("event_type").alias("source"), F.col("event_id").alias("item"))
+    cursor = events.agg(F.max("ts") - F.expr("interval 7 days")).first()[0]
+    return spark.sql("SELECT uri, item, place FROM timeline(TABLE({items}), 5, CAST(:at AS TIMESTAMP_NTZ), '')", {"at": str(cursor)}, items=events)
+
+
 @query("SELECT doc_id AS file, md5(array_to_string((string_split(text, chr(10)))[2:1 + doc_id % 4], chr(10))) AS digest FROM documents")
 def lines_read(spark, d):
     docs = load(spark, d, "documents").withColumnRenamed("doc_id", "file")

@@ -8,7 +8,7 @@ from ..functions import scalar, text
 from ..functions.scalar import stable_key
 from ..operators import graph, graph_index, text_search
 from ..session import load, scratch
-from ..sources import files, stores
+from ..sources import commit_log, files, stores
 from .registered import query
 
 #: Fixed values of the made paths.
@@ -111,6 +111,17 @@ def git_log_files(spark, d):
     return files.commit_totals(commits).select("hash", "lines_added").join(commits.select("hash", "author"), "hash")
 
 
+@query(f"WITH {_COMMITS} SELECT hash, author, coalesce(sum(added), 0)::BIGINT AS lines_added, count(path)::INT AS files FROM c LEFT JOIN f ON l_orderkey = o_orderkey WHERE date >= '1995' GROUP BY hash, author")
+def commit_log_source(spark, d):
+    """Logs of very unlike sizes, written as text files and read by byte ranges through the data source, with the date pushed into it."""
+    lines = _log_lines(spark, d, F.when(F.col("o_custkey") % 10 < 9, 0).otherwise(F.col("o_custkey") % 4))
+    whole = lines.repartitionByRange(4, "log").sortWithinPartitions("log", "line_no").select("log", F.col("line").alias("value"))
+    whole.write.partitionBy("log").text(at := scratch(spark, "log"))
+    commit_log.register(spark)
+    commits = spark.read.format("commitlog").option("splitBytes", 100_000).option("pushFilters", "true").load(at.removeprefix("file:")).where("date >= '1995'")
+    return commits.select("hash", "author", F.aggregate("files", F.lit(0).cast("long"), lambda s, x: s + x["added"]).alias("lines_added"), F.size("files").alias("files"))
+
+
 _NUMSTAT = "SELECT 'p' || l_partkey::VARCHAR AS file, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE l_quantity::INT END AS added, l_linenumber AS removed FROM lineitem"
 
 
