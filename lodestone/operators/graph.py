@@ -8,46 +8,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexer
 from ..functions.udf import pandas_function
 from ..session import use_checkpoints
 from ..sources.stores import replace_files
 
 KINDS = ("calls", "imports", "inherits", "contains")
 
-_SYMBOLS = (
-    (r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:public\s+|private\s+|protected\s+|static\s+|final\s+)*(class|interface|struct|enum|object)\s+([A-Za-z_$][\w$]*)", 1, 2),
-    (r"^\s*function\s*(?:\[?[\w,\s]*\]?\s*=\s*)()([A-Za-z_]\w*)\s*\(", 0, 2),
-    (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(function|def|fun|func|fn)\s+([A-Za-z_$][\w$]*)", 0, 2),
-    (r"^\s*(?!return\b|else\b|new\b|throw\b|if\b|for\b|while\b|switch\b)(?:[A-Za-z_][\w:<>,*&\[\]]*\s+)+()([A-Za-z_][\w:]*)\s*\([^;]*$", 0, 2),
-    (r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*()(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b)([A-Za-z_$][\w$]*)\s*\([^;]*\)\s*(?::\s*[^{;]+)?\{\s*$", 0, 2),
-)
+_ENDED = re.compile(r"^[ \t]*function[ \t]*(?:\[?[\w, \t]*\]?[ \t]*=[ \t]*)?([A-Za-z_]\w*)[ \t]*\(", re.M)
 
 
 def _symbols_of(text: str) -> list[tuple[str, str, int, int]]:
-    """(type, name, first line, last line) by patterns and by braces or indentation."""
+    """(type, name, first line, last line): by tokens, or where functions end in ``end`` by those lines."""
+    found = lexer.symbols(text)
+    if found or not re.search(r"^[ \t]*end(?:function)?\b", text, re.M):
+        return found
     lines, out = text.split("\n"), []
-    for i, line in enumerate(lines):
-        for pattern, kind, name in _SYMBOLS:
-            m = re.match(pattern, line)
-            if not m:
-                continue
-            depth, end, opened = 0, i, False
-            if "{" in line or (i + 1 < len(lines) and lines[i + 1].strip().startswith("{")):
-                for j in range(i, len(lines)):
-                    depth += lines[j].count("{") - lines[j].count("}")
-                    opened, end = opened or "{" in lines[j], j
-                    if opened and depth <= 0:
-                        break
-            else:
-                own = len(line) - len(line.lstrip())
-                for j in range(i + 1, len(lines)):
-                    if lines[j].strip() and len(lines[j]) - len(lines[j].lstrip()) <= own:
-                        if re.match(r"\s*end(function)?\b", lines[j]):
-                            end = j
-                        break
-                    end = j if lines[j].strip() else end
-            out.append((m[kind] if kind else "function", m[name], i + 1, end + 1))
-            break
+    for m in _ENDED.finditer(text):
+        k = text.count("\n", 0, m.start(1))
+        own = len(lines[k]) - len(lines[k].lstrip())
+        end = next((j for j in range(k + 1, len(lines)) if re.match(r"[ \t]*end(?:function)?\b", lines[j]) and len(lines[j]) - len(lines[j].lstrip()) <= own), len(lines) - 1)
+        out.append(("function", m[1], k + 1, end + 1))
     return out
 
 
@@ -65,23 +46,48 @@ def chunk_code(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+@pandas_function("array<struct<part:int,start_line:int,end_line:int,text:string>>")
+def parted(text: pd.Series, start_line: pd.Series, most: pd.Series) -> pd.Series:
+    """A chunk's text in parts of at most ``most`` characters, cut between lines; a longer line is a part of its own, or several."""
+
+    def one(t: str | None, first: int, n: int) -> list[tuple]:
+        out, held, size, at = [], [], 0, first
+        for k, line in enumerate((t or "").split("\n"), first):
+            for lo in range(0, max(len(line), 1), n):
+                piece = line[lo : lo + n]
+                if held and (size + 1 + len(piece) > n or lo):
+                    out.append((len(out) + 1, at, k if lo else k - 1, "\n".join(held)))
+                    held, size, at = [], 0, k
+                size += len(piece) + (1 if held else 0)
+                held.append(piece)
+        return [*out, (len(out) + 1, at, k, "\n".join(held))]
+
+    return pd.Series([one(t, int(a), int(n)) for t, a, n in zip(text, start_line, most)])
+
+
+def part_chunks(chunks: DataFrame, most: int = 1500) -> DataFrame:
+    """Chunks (text, start_line, ..., any more) no longer than ``most`` characters: longer ones in several rows with ``part`` from 1."""
+    rest = [c for c in chunks.columns if c not in ("text", "start_line", "end_line", "part")]
+    return chunks.select(*rest, F.explode(parted("text", "start_line", F.lit(most))).alias("_p")).select(*rest, "_p.*")
+
+
 @pandas_function("array<struct<kind:string,source:string,target:string,line:int>>")
 def extract_relations(text: pd.Series) -> pd.Series:
     """imports (source null), calls and contains by enclosing symbol, inherits by class."""
 
     def one(t: str | None) -> list[tuple]:
         out, symbols = [], _symbols_of(t or "")
-        for i, line in enumerate((t or "").split("\n"), 1):
-            m = re.match(r"\s*(?:import\b.*?\bfrom\s*['\"]([^'\"]+)|import\s*['\"]([^'\"]+)|#include\s*[<\"]([^>\"]+)|from\s+([\w.]+)\s+import|import\s+([\w.]+)|.*\brequire\(['\"]([^'\"]+))", line)
+        for i, (line, code) in enumerate(zip((t or "").split("\n"), lexer.masked(t or "").split("\n")), 1):
+            m = code.strip() and re.match(r"\s*(?:import\b.*?\bfrom\s*['\"]([^'\"]+)|import\s*['\"]([^'\"]+)|#include\s*[<\"]([^>\"]+)|from\s+([\w.]+)\s+import|import\s+([\w.]+)|.*\brequire\(['\"]([^'\"]+))", line)
             if m:
                 out.append(("imports", None, next(g for g in m.groups() if g), i))
                 continue
             own = [s for s in symbols if s[2] <= i <= s[3]]
             head = next((s for s in symbols if s[2] == i), None)
-            if head and (x := re.search(r"\b(?:extends|implements)\s+([A-Za-z_]\w*)|:\s*(?:public\s+)?([A-Z]\w*)\s*\{|class\s+\w+\(([A-Za-z_]\w*)\)", line)):
+            if head and (x := re.search(r"\b(?:extends|implements)\s+([A-Za-z_]\w*)|:\s*(?:public\s+)?([A-Z]\w*)\s*\{|class\s+\w+\(([A-Za-z_]\w*)\)", code)):
                 out.append(("inherits", head[1], next(g for g in x.groups() if g), i))
             if own:
-                for c in re.findall(r"\b([A-Za-z_$][\w$]*)\s*\(", line):
+                for c in re.findall(r"\b([A-Za-z_$][\w$]*)\s*\(", code):
                     if c not in ("if", "for", "while", "switch", "return", "catch", "function", "def") and not (head and c == head[1]):
                         out.append(("calls", own[0][1], c, i))
         return out

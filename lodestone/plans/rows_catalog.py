@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import registry, scalar, timeline
@@ -271,6 +273,28 @@ def code_relations(spark, d):
     return r.select("c_custkey", "r.kind", "r.source", "r.target", "r.line")
 
 
+_VARIED = (
+    "function f%1$d() {\n  const s = \"}%1$d\"; return `${ {a: 1}.a }}`;\n}\n// class No%1$d {\nconst h%1$d = (a) => {\n  return /[}/]}/.test(a);\n};\n",
+    "/* int no%1$d() { } */\nclass H%1$d { void run%1$d() { go('}'); } };\nint sum%1$d(int a)\n{\n  if (a) { f(\"{\"); }\n}\n",
+    "class A%1$d(B):\n    '''def no%1$d():\n'''\n    def f%1$d(self, a,\n          b):\n        return a\n\ndef g%1$d():\n    x = [\n1]\n    return x\n",
+    "func (r *T) Name%1$d(x int) {\n  s := `}`\n}\ntype S%1$d struct { a int }\n",
+    "fn p%1$d<'a>(x: &'a str) -> &'a str {\n  if true { x } else { x }\n}\nstruct Q%1$d { y: i32 }\n",
+    "data class P%1$d(val x: Int)\nclass Q%1$d : R() {\n  fun f%1$d(): Int = 3\n}\n",
+)
+
+
+@query("""WITH s(lang, kind, name, first, last) AS (VALUES (0, 'function', 'f', 1, 3), (0, 'function', 'h', 5, 7), (1, 'class', 'H', 2, 2), (1, 'function', 'run', 2, 2), (1, 'function', 'sum', 3, 6),
+  (2, 'class', 'A', 1, 6), (2, 'function', 'f', 4, 6), (2, 'function', 'g', 8, 11), (3, 'function', 'Name', 1, 3), (3, 'struct', 'S', 4, 4), (4, 'function', 'p', 1, 3), (4, 'struct', 'Q', 4, 4),
+  (5, 'class', 'P', 1, 1), (5, 'class', 'Q', 2, 4), (5, 'function', 'f', 3, 3))
+ SELECT c_custkey, kind, name || c_custkey::VARCHAR AS name, first::INT AS first, last::INT AS last FROM customer JOIN s ON lang = c_custkey % 6""")
+def code_symbols(spark, d):
+    """Symbols of files in six languages whose strings, comments and expressions hold braces and declarations."""
+    k = F.col("c_custkey")
+    text = reduce(lambda c, i: c.when(k % 6 == i, F.format_string(_VARIED[i], k)), range(1, 6), F.when(k % 6 == 0, F.format_string(_VARIED[0], k)))
+    c = load(spark, d, "customer").select("c_custkey", F.explode(graph.chunk_code(text)).alias("c"))
+    return c.select("c_custkey", F.col("c.symbol_type").alias("kind"), F.col("c.symbol_name").alias("name"), F.col("c.start_line").alias("first"), F.col("c.end_line").alias("last"))
+
+
 @query("""WITH k AS (SELECT c_custkey AS k, (SELECT max(c_custkey) FROM customer) AS last FROM customer), n AS (SELECT 'src/m' || k::VARCHAR || '.ts' AS f, k, last FROM k)
  SELECT f AS src, 'src/m' || (k + 1)::VARCHAR || '.ts' AS dst, 'imports' AS kind FROM n WHERE k < last UNION ALL SELECT f || '#K' || k::VARCHAR, 'src/m' || (k + 1)::VARCHAR || '.ts#f' || (k + 1)::VARCHAR, 'calls' FROM n WHERE k < last
  UNION ALL SELECT f, f || '#' || unnest(['K' || k::VARCHAR, 'f' || k::VARCHAR, 'run']), 'contains' FROM n""")
