@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, text
 from ..functions.scalar import stable_key
-from ..operators import graph, graph_index, text_search
+from ..operators import graph, graph_index, joins, text_search
 from ..session import load, scratch
 from ..sources import commit_log, files, stores
 from .registered import query
@@ -61,6 +61,16 @@ def ignore_files(spark, d):
     return files.drop_ignored(paths(spark, d), rules).select("doc_id")
 
 
+@query(f"""WITH p AS (SELECT doc_id, path, string_split(path, '/') AS parts FROM {PATHS}), h AS (SELECT *, array_to_string(parts[1:len(parts) - 1], '/') AS dir, parts[len(parts)] AS name FROM p)
+ SELECT doc_id FROM h WHERE NOT (name LIKE '%.exe' OR (contains(path, '/build/') OR starts_with(path, 'build/')) OR (name LIKE 'f1.%' AND NOT name = 'f1.py'))""")
+def ignore_table(spark, d):
+    """Paths under ignore files of which every folder has one: they rule out what the root's doesn't, and take back one name."""
+    p = paths(spark, d).withColumn("path", F.col("path"))
+    folders = p.select(F.explode(joins.ancestors(F.col("path"), own=False)).alias("folder")).distinct()
+    rules = folders.select("folder", F.lit("# here\nf1.*\n!f1.py\n").alias("text")).unionByName(spark.createDataFrame([("", "*.exe\nbuild/\nf1.*\n!f1.py")], "folder string, text string"))
+    return files.drop_ignored_by(p, rules).select("doc_id")
+
+
 @query(f"WITH p AS (SELECT DISTINCT path FROM {PATHS}) SELECT path FROM p WHERE NOT (path LIKE '%.ts' AND replace(path, '.ts', '.py') IN (SELECT path FROM p))")
 def sibling_filter(spark, d):
     return files.listing(paths(spark, d).select("path").distinct(), sibling=("ts", "py"))
@@ -200,6 +210,20 @@ def dual_written_records(spark, d):
     return both.select("chunk_id", "file_path", "doc_type", F.md5("text_content").alias("digest"), "metadata", F.size("dense_vector").alias("dims"), (F.size("sparse_vector") > 0).alias("has_sparse"))
 
 
+@query(f"WITH c AS ({_CHUNKS}) SELECT sink, batch, doc_type, count(*) AS n FROM (SELECT *, unnest([0, 1]) AS sink, chunk_id::BIGINT % 3 AS batch FROM c) GROUP BY ALL")
+def dual_store(spark, d):
+    """Three batches in two sinks: the second is broken off between them and sent again, the third is sent twice."""
+    rows = stores.local_records(_chunks(spark, d)).withColumn("batch", F.col("chunk_id").cast("long") % 3)
+    store = stores.DualStore(spark, scratch(spark, "remote"), scratch(spark, "local"))
+    of = lambda b: rows.where(F.col("batch") == b)
+    store.write(of(0), "s", 0)
+    stores.DualStore(spark, store.sinks[0]).write(of(1), "s", 1)  # as far as a crash let it come
+    for b in (1, 2, 2):
+        store.write(of(b), "s", b)
+    both = store.read(0).withColumn("sink", F.lit(0)).unionByName(store.read(1).withColumn("sink", F.lit(1)))
+    return both.groupBy("sink", "batch", "doc_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT * FROM (VALUES (0, '/b/name'), (1, '/b/name'), (2, '/b/hash'), (3, '/b/name')) AS x(there, path)")
 def store_layout(spark, d):
     """Which of the folders exist (1: by name, 2: by hash), and the one that is used."""

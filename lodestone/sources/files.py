@@ -107,6 +107,55 @@ def drop_ignored(files: DataFrame, rule_files: Sequence[tuple[str, Sequence[str]
     return files.where(~F.exists(ancestors, ignored))
 
 
+_GLOB = re.compile(r"[*?\[{\\\\]")
+
+
+@pandas_function("array<struct<ord:int,regex:string,negated:boolean,folders:boolean,kind:string,key:string>>")
+def ignore_entries(folder: pd.Series, text: pd.Series) -> pd.Series:
+    """The rules of ignore files, each with what a path must have to fit it: a name, an extension, a first part below the folder, or nothing."""
+
+    def key(line: str) -> tuple[str, str]:
+        line = line.strip().lstrip("!").rstrip("/")
+        if "/" in line:
+            first = line.lstrip("/").split("/")[0]
+            return ("any", "") if _GLOB.search(first) else ("first", first)
+        if not _GLOB.search(line):
+            return "name", line
+        return ("ext", line[2:]) if line.startswith("*.") and not _GLOB.search(line[2:]) and "." not in line[2:] else ("any", "")
+
+    def one(f: str | None, t: str | None) -> list[tuple]:
+        lines = [x for x in (t or "").splitlines() if x.strip() and not x.strip().startswith("#")]
+        return [(i, *rule, *key(x)) for i, (x, rule) in enumerate(zip(lines, ignore_rules(lines, f or "")))]
+
+    return pd.Series([one(f, t) for f, t in zip(folder, text)])
+
+
+def drop_ignored_by(files: DataFrame, rule_files: DataFrame) -> DataFrame:
+    """Files (path, any more) that no ignore file rules out, themselves or through a folder above them; rule_files: (folder, text).
+
+    The same as drop_ignored(), for any number of ignore files: rules are rows. Every different path and folder meets the
+    rules of the folders above it that name something it has, by an equi-join; of those that fit the deepest folder's last
+    one holds. Files without a path stay; of ignore files that share a folder the one with the largest text counts.
+    """
+    slashed = lambda parts, n: F.array_join(F.slice(parts, 1, n), "/")
+    one_each = rule_files.select(F.coalesce(F.trim(F.col("folder"), F.lit("/")), F.lit("")).alias("folder"), "text").groupBy("folder").agg(F.max("text").alias("text"))
+    rules = one_each.select("folder", F.explode(ignore_entries("folder", "text")).alias("r")).select("folder", "r.*")
+    parts = F.filter(F.split("path", "/"), lambda p: p != "")
+    n = F.size("parts")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(slashed(F.col("parts"), i).alias("p"), (i < n).alias("dir")))
+    held = files.where("path is not null").select("path").distinct().withColumn("parts", parts).select("path", F.explode(above).alias("a")).select("path", "a.p", "a.dir")
+    things = held.select("p", "dir").distinct().withColumn("parts", F.split("p", "/")).withColumn("at", F.explode(F.sequence(F.lit(0), n - 1)))
+    name = F.element_at("parts", -1)
+    keys = F.array(
+        F.struct(F.lit("name").alias("kind"), name.alias("key")), F.struct(F.lit("ext").alias("kind"), F.regexp_extract(name, r"\.([^.]*)$", 1).alias("key")),
+        F.struct(F.lit("first").alias("kind"), F.get("parts", F.col("at")).alias("key")), F.struct(F.lit("any").alias("kind"), F.lit("").alias("key")),
+    )
+    asking = things.select("p", "dir", "at", slashed(F.col("parts"), F.col("at")).alias("folder"), F.explode(keys).alias("k")).select("p", "dir", "at", "folder", "k.*")
+    fits = asking.join(rules, ["folder", "kind", "key"]).where(F.rlike("p", F.col("regex")) & (F.col("dir") | ~F.col("folders")))
+    ruled = fits.groupBy("p", "dir").agg(F.max_by(~F.col("negated"), F.struct("at", "ord")).alias("out")).where("out").select("p", "dir")
+    return files.join(held.join(ruled, ["p", "dir"], "left_semi").select("path").distinct(), "path", "left_anti").select(*(F.col(f"`{c}`") for c in files.columns))
+
+
 def decode(content: Column) -> Column:
     """UTF-16 by its mark, else UTF-8; null for binaries (an undecodable character among the first 1000, and a NUL)."""
     mark = F.hex(F.substring(content, 1, 2))

@@ -51,6 +51,47 @@ def dual_write(records: DataFrame, remote: str, local: str | None) -> None:
         records.unpersist()
 
 
+class DualStore:
+    """Records in two sinks, or one, batch by batch. A batch counts in a sink once its record is there, which is written after its
+    files; a batch that is sent again writes only where the record is missing, from the sink that has it if there is one."""
+
+    def __init__(self, spark: SparkSession, remote: str, local: str | None = None) -> None:
+        self.spark, self.sinks = spark, [s for s in (remote, local) if s]
+
+    def _has(self, sink: str) -> DataFrame:
+        """(batch_key) of the batches that count."""
+        try:
+            return self.spark.read.schema("batch_key string").json(f"{sink}/log/*")
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return self.spark.createDataFrame([], "batch_key string")
+            raise
+
+    def _files(self, sink: str, key: str) -> str:
+        return f"{sink}/data/batch_key={key}"
+
+    def write(self, records: DataFrame, stream: str, batch: int) -> list[str]:
+        """The sinks that were written."""
+        key = f"{stream}-{batch}"
+        done = [s for s in self.sinks if not self._has(s).where(F.col("batch_key") == key).isEmpty()]
+        missing = [s for s in self.sinks if s not in done]
+        for sink in missing:
+            rows = self.spark.read.schema(records.schema).parquet(self._files(done[0], key)) if done else records
+            write_records(rows.select(*records.columns), self._files(sink, key))
+            self._record(sink, key)
+            done.append(sink)
+        return missing
+
+    def _record(self, sink: str, key: str) -> None:
+        self.spark.createDataFrame([(key,)], "batch_key string").coalesce(1).write.mode("overwrite").json(f"{sink}/log/{key}")
+
+    def read(self, sink: int = 0, route: str = "all") -> DataFrame:
+        """The records of the batches that count; a route reads its own part of each."""
+        path = self.sinks[sink]
+        df = self.spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data").join(F.broadcast(self._has(path)), "batch_key", "left_semi").drop("batch_key")
+        return df if route == "all" else df.where(F.col("doc_type") == route)
+
+
 def read_records(spark: SparkSession, path: str, route: str = "all") -> DataFrame:
     df = spark.read.parquet(path)
     return df if route == "all" else df.where(F.col("doc_type") == route)
