@@ -193,9 +193,10 @@ def slice_array(a: Column, start: int, end: int | None = None) -> Column:
 
 
 def structural_key(c: Column) -> Column:
-    """Equal for equal structures, map entries in any order."""
-    return F.xxhash64(F.to_json(F.struct(c)))
+    """128 bits, equal for equal structures."""
+    return F.md5(F.to_json(F.struct(c)))
 
 
 def map_key(c: Column) -> Column:
-    return F.xxhash64(F.to_json(F.struct(F.array_sort(F.map_entries(c)).alias("m"))))
+    """As above for maps, entries in any order."""
+    return F.md5(F.to_json(F.struct(F.array_sort(F.map_entries(c)).alias("m"))))

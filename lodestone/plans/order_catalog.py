@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as agg
 from ..operators import ranking, text_search, windows
-from ..session import load
+from ..operators.sorted_runs import SortedRuns
+from ..session import load, scratch
 from ..sources import files
 from .registered import query
 from .sources_catalog import PATHS, paths
@@ -147,3 +149,41 @@ def sorted_maps(spark, d):
     up, down = ranking.sorted_map(o, ["o_custkey"], "k", "v", "v"), ranking.sorted_map(o, ["o_custkey"], "k", "v", "v", lambda a, b: (b["v"] - a["v"]).cast("int"))
     up = up.select("o_custkey", shown("entries").alias("up"), ranking.floor_entry(F.col("entries"), "k", F.lit("3"))["v"].alias("floor"))
     return up.join(down.select("o_custkey", shown("entries").alias("down")), "o_custkey")
+
+
+def _runs(spark, d):
+    at = F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")
+    lines = load(spark, d, "lineitem").select(at.cast("long").alias("k"), F.col("l_orderkey").alias("v"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    runs = SortedRuns(spark, scratch(spark, "runs"))
+    runs.create(lines, "k", "v", "at", run_rows=10_000)
+    return runs
+
+
+@query("""WITH m AS (SELECT l_partkey * 1000000 + l_suppkey AS k, max_by(l_orderkey, l_orderkey * 10 + l_linenumber) AS v FROM lineitem GROUP BY ALL),
+ p AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS place FROM m), q AS (SELECT o_orderkey, o_custkey * 1000000 + o_orderkey % 1000 AS x FROM orders)
+ SELECT o_orderkey, x, k AS floor, v AS value, CASE WHEN k = x THEN place ELSE -(coalesce(place + 1, 0)) - 1 END AS position FROM q ASOF LEFT JOIN p ON q.x >= p.k""")
+def sorted_run_lookups(spark, d):
+    """One sorted map of all parts and suppliers that were ordered together, in runs; the entry at or below a key of every order."""
+    runs = _runs(spark, d)
+    asked = load(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") * 1_000_000 + F.col("o_orderkey") % 1000).cast("long").alias("x"))
+    return runs.find(asked, "x")
+
+
+@query("""WITH m AS (SELECT l_partkey * 1000000 + l_suppkey AS k, max_by(l_orderkey, l_orderkey * 10 + l_linenumber) AS v FROM lineitem GROUP BY ALL)
+ SELECT k AS "key", v AS value, row_number() OVER (ORDER BY k) - 1 AS place FROM m""")
+def sorted_run_entries(spark, d):
+    """All entries of that map with their places."""
+    runs = _runs(spark, d)
+    return runs.entries()
+
+
+@query("""WITH RECURSIVE e AS (SELECT l_suppkey AS node, l_partkey % 97 + 1 AS caller, sum(l_quantity) AS time FROM lineitem GROUP BY ALL),
+ b AS MATERIALIZED (SELECT node, caller FROM e QUALIFY row_number() OVER (PARTITION BY node ORDER BY time DESC, caller DESC) = 1),
+ w AS (SELECT s_suppkey AS node, [s_suppkey] AS path, 0 AS i FROM supplier UNION ALL
+  SELECT w.node, CASE WHEN b.caller IS NULL OR list_contains(path, b.caller) THEN path ELSE list_append(path, b.caller) END, i + 1 FROM w LEFT JOIN b ON b.node = path[-1] WHERE i < 5)
+ SELECT node, array_to_string(list_transform(path, lambda x: x::VARCHAR), '>') AS path FROM w WHERE i = 5""")
+def heaviest_paths(spark, d):
+    """From each supplier the caller that took most, and so on for five steps."""
+    edges = load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("node"), (F.col("l_partkey") % 97 + 1).alias("caller")).agg(F.sum("l_quantity").alias("time"))
+    paths = agg.heaviest_path(edges, load(spark, d, "supplier").select(F.col("s_suppkey").alias("node")))
+    return paths.select("node", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))

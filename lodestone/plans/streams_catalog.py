@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as agg
 from ..operators import rollup
 from ..session import load, scratch
-from ..streaming import changes
+from ..streaming import changes, state
 from .registered import query
 
 
@@ -166,3 +166,41 @@ def rollup_updates(spark, d):
     table.update(leaves.where(key % 60 == 11).withColumn("state", F.lit(None).cast("string")), "changes", 2)
     table.update(first.limit(0), "changes", 1)
     return table.read().withColumn("duration", F.round("duration", 2))
+
+
+def _in_batches(spark, d, name, n=4):
+    """The events as a stream of n batches in order of event_id: each is a file of its own."""
+    at, e = scratch(spark, name), load(spark, d, "events")
+    top = e.agg(F.max("event_id")).first()[0] + 1
+    for i in range(n):
+        e.where((F.col("event_id") >= top * i // n) & (F.col("event_id") < top * (i + 1) // n)).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+def _each_batch(spark, stream, name, mode):
+    """(batch, ...): what a stream gives with each batch, once all of it is read."""
+    at = scratch(spark, name)
+    keep = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{at}/out/b={i}")
+    with state.state_store(spark):
+        q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    changes.wait_for(q, lambda: not q.isActive, 600)
+    if q.exception():
+        raise q.exception()
+    return spark.read.parquet(f"{at}/out").drop("b")
+
+
+@query("SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS place, round(value, 6) AS value FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5)")
+def live_ring(spark, d):
+    """The last five events of each user, kept as state over a live stream: what was sent with the last batch that touched the user."""
+    rows = _each_batch(spark, state.ring_stream(_in_batches(spark, d, "ring"), "user_id", "event_id", "value", 5), "ring", "update")
+    last = rows.groupBy("user_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["user_id", "batch"]).select("user_id", "event_id", "place", F.round("value", 6).alias("value"))
+
+
+@query("""SELECT user_id, event_id, round(value, 6) AS delta, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS value FROM events
+ QUALIFY event_id <= max(event_id) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id)""")
+def live_deltas(spark, d):
+    """Changes that wait for the purchase that ends their transaction, over a live stream."""
+    stream = _in_batches(spark, d, "deltas").select("user_id", "event_id", F.col("value").alias("delta"), (F.col("event_type") == "purchase").alias("ends"))
+    rows = _each_batch(spark, state.delta_stream(stream, "user_id", "event_id", "delta", "ends"), "deltas", "append")
+    return rows.select("user_id", "event_id", F.round("delta", 6).alias("delta"), F.round("value", 4).alias("value"))

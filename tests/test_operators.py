@@ -431,6 +431,33 @@ def test_diff_of_long_texts():
     assert diff.shortest_edits([f"a{i}" for i in range(20_000)], [f"b{i}" for i in range(20_000)]) == [(0, 20_000, 0, 20_000)]
 
 
+def test_scored_diff_is_one_script_at_every_size(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(150):
+        cut, parts = rng.choice([(1, 2), (2, 3), (8, 16), (512, 16)])
+        monkeypatch.setattr(diff, "STRETCH", cut)
+        monkeypatch.setattr(diff, "PARTS", parts)
+        a, b = ([rng.choice("abcdef"[: rng.randint(1, 6)]) for _ in range(rng.randrange(1, 40))] for _ in range(2))
+        left, right = diff._shared(a, b)
+        x, y = [a[i] for i in left], [b[j] for j in right]
+        if x:
+            assert diff._by_rows(x, y, left, right) == diff._by_diagonals(x, y, left, right)
+    assert diff._by_diagonals(["a"], ["a"], [0], [0]) == [(0, 0)]
+
+
+def test_scored_diff_of_5000_lines_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(9)
+    a, b = ([str(rng.randrange(300)) for _ in range(5000)] for _ in range(2))
+    tracemalloc.start()
+    got = diff.scored_edits(a, b)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    kept = lambda r: len(a) + len(b) - sum(a2 - a1 + b2 - b1 for a1, a2, b1, b2 in r)
+    assert kept(got) == kept(diff.shortest_edits(a, b)) and used < 10_000_000
+
+
 def test_cell_diff(spark):
     got = one(spark, diff.cell_diff("a", "b"), a=["1", "2", "3"], b=["1", "9", "3", "4"])
     assert [(r.status, r.original, r.modified) for r in got] == [("unchanged", 0, 0), ("modified", 1, 1), ("unchanged", 2, 2), ("inserted", None, 3)]
