@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
-Texts are folded first: case, homoglyphs and digit substitutions become plain letters, everything
-else becomes one blank. The lexicon (words and word beginnings, each with cautious log odds of its
+Texts are folded first: case, accents, homoglyphs and digit substitutions become plain letters, invisible
+signs go, everything else becomes one blank, and three or more single letters in a row become one word. The lexicon (words and word beginnings, each with cautious log odds of its
 rate among words) and the three numbers that turn matches into a probability are fitted on a bounded
 sample of labelled rows. Matches inside exception phrases don't count; the sum of weights is
 normalised by the text's length in words.
@@ -9,6 +9,7 @@ normalised by the text's length in words.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -23,11 +24,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import cut
 
-#: At most about so many labelled rows are read for fitting, and so many patterns kept; a pattern counts at most BURST times
-#: in one document, so that repetitive texts don't rule. All three are parameters of fit().
-SAMPLE_ROWS, LEXICON_SIZE, BURST = 20_000, 5_000, 8
+#: At most about so many labelled rows are read for fitting; a pattern counts at most BURST times in one document, so that
+#: repetitive texts don't rule. Both are parameters of fit().
+SAMPLE_ROWS, BURST = 20_000, 8
 #: Letters of other scripts and signs that look like Latin letters.
 HOMOGLYPHS = dict(zip("авеіјкмнорстухѕԁɡօαβεηικνορτυχ@$€£", "abeijkmhopctyxsdgoabenikvoptuxasel", strict=True))
+HOMOGLYPHS |= dict(zip("ıɩɪłøđħƒɑʋѵԛԝӏոսհց", "iiilodhfauvqwlnuhg", strict=True))
+HOMOGLYPHS |= dict(zip("ᴀʙᴄᴅᴇɢʜᴊᴋʟᴍɴᴏᴘʀᴛᴜᴠᴡʏᴢ", "abcdeghjklmnoprtuvwyz", strict=True))
 DIGITS = dict(zip("0134578", "oieastb", strict=True))
 #: Phrases in which a listed word is harmless.
 EXCEPTIONS = ("trash can", "trash bag", "clown fish", "clown nose", "pathetic fallacy", "pond scum", "sore loser rule", "village idiot pub")
@@ -40,23 +43,25 @@ class Fold(dict):
     """For str.translate: a character's folded form, found once and kept."""
 
     def __missing__(self, code: int) -> str:
-        c = chr(code).lower()
-        c = HOMOGLYPHS.get(c, DIGITS.get(c, c))
-        if not all(x.isalpha() for x in c):
-            flat = unicodedata.normalize("NFKC", c).lower()
-            c = flat if flat and all(x.isalpha() for x in flat) else " "
-        elif ord(c[0]) > 0x2000:
-            c = unicodedata.normalize("NFKC", c).lower()
-        self[code] = c
-        return c
+        out = ""
+        if unicodedata.category(chr(code)) != "Cf":
+            bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code).lower()) if not unicodedata.combining(c))
+            for c in unicodedata.normalize("NFC", bare).lower():
+                c = HOMOGLYPHS.get(c, DIGITS.get(c, c))
+                out += c if c.isalpha() else " "
+        self[code] = out
+        return out
 
 
 _FOLD = Fold()
+#: Three or more letters that stand alone.
+_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 
 
 def fold(text: str | None) -> list[str]:
     """The folded words of a text."""
-    return unicodedata.normalize("NFC", text or "").translate(_FOLD).split()
+    words = " ".join(unicodedata.normalize("NFC", text or "").translate(_FOLD).split())
+    return _SPACED.sub(lambda m: m[0].replace(" ", ""), words).split()
 
 
 @dataclass
@@ -190,19 +195,19 @@ def _choose(rows: list[tuple[str, int, float]]) -> tuple[dict[str, float], dict[
     return words, prefixes
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon_size: int = LEXICON_SIZE, burst: int = BURST) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, burst: int = BURST) -> Model:
     """A model from labels (doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0.
 
     Of several labels of a document the largest counts; null labels and documents without text are
     left out. About ``sample_rows`` labelled rows at most are used, chosen by hash of doc_id; that
     bound also bounds what reaches the driver (three numbers a row, and the patterns that three or more toxic documents of
-    the sample share) and what is sent to the tasks. At most ``lexicon_size`` patterns are kept. A pattern
+    the sample share) and what is sent to the tasks. A pattern
     counts at most ``burst`` times in one document; no word is too long to be one.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5 != 0))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, sample_rows / max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < int(share * (1 << 62)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     sample = cut(texts.join(F.broadcast(chosen), "doc_id").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")))
     size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -218,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
     # The log odds less two standard errors, which go by documents: words come in bursts.
     weight = odds - 2 * np.sqrt(1 / (docs1 + 0.5) + 1 / (docs0 + 0.5))
     found = sorted((i for i in range(1, len(patterns)) if docs1[i] >= 3 and weight[i] > 1), key=lambda i: (-weight[i], patterns[i]))
-    model = Model(*_choose([(patterns[i], int(n1[i]), float(weight[i])) for i in found[:lexicon_size]]))
+    model = Model(*_choose([(patterns[i], int(n1[i]), float(weight[i])) for i in found]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -264,6 +264,18 @@ def naive_matches(model, text):
     return out, len(words)
 
 
+@pytest.mark.parametrize("text", ["ïdiot", "ıdiot", "id\u200biot", "i\u00addiot", "i.d.i.o.t", "I D I O T", "i\u0308d\u0323iot", "ＩＤＩＯＴ", "ɪᴅɪᴏᴛ", "1d10t", "іԁіοт", "such an i d i o t!", "ⓘⓓⓘⓞⓣ"])
+def test_toxicity_folds_disguises(text):
+    assert "idiot" in toxicity.fold(text)
+    assert toxicity.Model({"idiot": 4.0}, {}).features(text)[0] > 0
+
+
+def test_toxicity_folding_leaves_other_words_alone():
+    assert toxicity.fold("I am of the U.S. today; a b") == ["i", "am", "of", "the", "u", "s", "today", "a", "b"]
+    assert toxicity.fold("U.S.A. 한국어 2\u200d") == ["usa", "한국어"]
+    assert len(toxicity.fold("a " * 2_000_000)[0]) == 2_000_000 and toxicity.fold(None) == toxicity.fold("\u200b .") == []
+
+
 def test_toxicity_scores_against_a_naive_matcher(spark, sf_dir):
     docs, labels = docs_of(spark, "/root/testdata/sf0.01"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = toxicity.fit(docs, labels)
