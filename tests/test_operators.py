@@ -384,6 +384,15 @@ def test_chunker(spark, src, names):
     assert {c.symbol_name for c in got} >= names and all(1 <= c.start_line <= c.end_line for c in got)
 
 
+def test_louvain_at_every_size(spark, tmp_path):
+    """Fours that plain modularity would join, as each is small beside the whole graph."""
+    from lodestone.plans import catalog
+
+    spark.range(1600).toDF("s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = catalog.QUERIES["communities"](spark, str(tmp_path)).collect()
+    assert len(got) == 1600 and all(r.community == r.node // 4 * 4 for r in got)
+
+
 def test_louvain(spark):
     cl = [(f"{s}{i}", f"{s}{j}", 1.0) for s in "xy" for i in range(4) for j in range(i)]
     got, q = graph.louvain(spark.createDataFrame([*cl, ("x0", "y0", 0.1)], "a string, b string, w double"))
