@@ -52,8 +52,12 @@ def scan(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """(path, content, length, modificationTime) of files below root, without those in skipped folders."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    inner = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
-    return files.where(~in_skipped_folder(inner))
+    return files.where(~in_skipped_folder(below(F.col("path"), root)))
+
+
+def below(path: Column, root: str) -> Column:
+    """A path without its root."""
+    return F.regexp_replace(path, "^.*?" + re.escape(root.rstrip("/")) + "/", "")
 
 
 def listing(files: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), sibling: tuple[str, str] | None = None) -> DataFrame:

@@ -187,6 +187,15 @@ def test_scan_and_decode(spark, tmp_path):
     assert [r.t for r in got] == ["é", None]
 
 
+def test_scanned_tables_in_parts(spark, tmp_path):
+    from lodestone.plans import catalog
+
+    spark.range(9).repartition(3).write.parquet(str(tmp_path / "parts.parquet"))
+    spark.range(9).toPandas().to_parquet(tmp_path / "whole.parquet")
+    got = catalog.QUERIES["scan_files"](spark, str(tmp_path))
+    assert sorted((r.name, r.has_bytes) for r in got.collect()) == [("parts.parquet", True), ("whole.parquet", True)]
+
+
 def test_git_log(spark, tmp_path):
     log = "COMMIT|abc123def456|Alice|2024-01-01|Fix payment module\n10\t2\tsrc/pay.cpp\n-\t-\tlogo.png\n\nCOMMIT|fff|Bob|2024-01-02|a|b\nCOMMIT||x|y|z\n1\t1\tq"
     (tmp_path / "log.txt").write_text(log)
