@@ -117,18 +117,16 @@ def commit_documents(spark, d):
 def git_log_files(spark, d):
     """Eight captured logs, written as text files and read back."""
     lines = _log_lines(spark, d, F.col("o_custkey") % 8)
-    whole = lines.groupBy("log").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\r\n").alias("text"))
-    whole.repartition(8, "log").write.partitionBy("log").text(at := scratch(spark, "log"))
+    files.write_log(lines.withColumn("line", F.concat("line", F.lit("\r"))), at := scratch(spark, "log"), F.floor(F.col("line_no") / 10))
     commits = files.read_git_log(spark, f"{at}/log=*")
-    return files.commit_totals(commits).select("hash", "lines_added").join(commits.select("hash", "author"), "hash")
+    return commits.select("hash", "author", F.aggregate("files", F.lit(0).cast("long"), lambda s, x: s + x["added"]).alias("lines_added"))
 
 
 @query(f"WITH {_COMMITS} SELECT hash, author, coalesce(sum(added), 0)::BIGINT AS lines_added, count(path)::INT AS files FROM c LEFT JOIN f ON l_orderkey = o_orderkey WHERE date >= '1995' GROUP BY hash, author")
 def commit_log_source(spark, d):
     """Logs of very unlike sizes, written as text files and read by byte ranges through the data source, with the date pushed into it."""
     lines = _log_lines(spark, d, F.when(F.col("o_custkey") % 10 < 9, 0).otherwise(F.col("o_custkey") % 4))
-    whole = lines.repartitionByRange(4, "log").sortWithinPartitions("log", "line_no").select("log", F.col("line").alias("value"))
-    whole.write.partitionBy("log").text(at := scratch(spark, "log"))
+    files.write_log(lines, at := scratch(spark, "log"), F.floor(F.col("line_no") / 10))
     commit_log.register(spark)
     commits = spark.read.format("commitlog").option("splitBytes", 100_000).option("pushFilters", "true").load(at.removeprefix("file:")).where("date >= '1995'")
     return commits.select("hash", "author", F.aggregate("files", F.lit(0).cast("long"), lambda s, x: s + x["added"]).alias("lines_added"), F.size("files").alias("files"))

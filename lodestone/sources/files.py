@@ -201,10 +201,32 @@ def parse_log(lines: DataFrame, prefix: str = "COMMIT|") -> DataFrame:
     return rec.where("h.hash <> ''").select(*keys, "h.hash", "h.author", "h.date", "h.message", files.alias("files"))
 
 
-def read_git_log(spark: SparkSession, path: str) -> DataFrame:
-    """Captured ``git log --numstat`` text files, one log a file."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("log"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return parse_log(rows)
+def write_log(lines: DataFrame, path: str, record: Column) -> None:
+    """Writes (log, line_no, line) as text files, a folder for each log. ``record`` is a number that rises with line_no and that the
+    lines of a record share: a large log is cut between records into several files, each written by its own task."""
+    ranged = lines.withColumn("_record", record).repartitionByRange("log", "_record").sortWithinPartitions("log", "line_no")
+    ranged.select("log", F.col("line").alias("value")).write.partitionBy("log").text(path)
+
+
+def read_git_log(spark: SparkSession, path: str, prefix: str = "COMMIT|") -> DataFrame:
+    """Captured ``git log --numstat`` text files: (log, hash, author, date, message, files).
+
+    A row of the scan is a record, as the text source cuts files before header lines; so nothing is shuffled, and large files are
+    read by many tasks. What stands before a file's first header is left out.
+    """
+    rows = spark.read.text(path, lineSep="\n" + prefix).select(F.input_file_name().alias("log"), "value", (F.col("_metadata.file_block_start") == 0).alias("_first"))
+    # Of a file's rows only the first still has its prefix; where it has none it is no record.
+    opening = rows.where("_first").withColumn("_at", F.monotonically_increasing_id()).groupBy("log").agg(F.min_by("value", "_at").alias("value"))
+    stray = opening.where(~F.col("value").startswith(prefix)).withColumn("_first", F.lit(True))
+    rows = rows.join(F.broadcast(stray), ["log", "value", "_first"], "left_anti")
+    text = F.when(F.col("_first") & F.col("value").startswith(prefix), F.substring("value", len(prefix) + 1, 1 << 30)).otherwise(F.col("value"))
+    rows = rows.select("log", F.split(F.regexp_replace(text, "\r$", ""), "\r?\n").alias("lines")).withColumn("head", F.split(F.get("lines", F.lit(0)), r"\|"))
+    count = lambda tabs, i: F.coalesce(F.get(tabs, F.lit(i)).try_cast("int"), F.lit(0))
+    tabs = F.filter(F.transform(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), lambda x: F.split(x, "\t")), lambda t: F.size(t) >= 3)
+    of = lambda t: F.struct(F.array_join(F.slice(t, 3, F.size(t)), "\t").alias("path"), count(t, 0).alias("added"), count(t, 1).alias("deleted"))
+    at = lambda i: F.get("head", F.lit(i))
+    message = F.array_join(F.slice("head", 4, F.greatest(F.size("head"), F.lit(1))), "|")
+    return rows.where(at(0) != "").select("log", at(0).alias("hash"), at(1).alias("author"), at(2).alias("date"), message.alias("message"), F.transform(tabs, of).alias("files"))
 
 
 def parse_numstat(lines: DataFrame) -> DataFrame:

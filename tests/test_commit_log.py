@@ -114,3 +114,28 @@ def test_timeline_pages(spark):
     assert spark.sql("SELECT * FROM timeline(TABLE({items}), 1, NULL, NULL)", items=items.limit(0)).count() == 0
     with pytest.raises(Exception, match="needs the columns"):
         spark.sql("SELECT * FROM timeline(TABLE({items}), 1, NULL, NULL)", items=items.drop("ts")).collect()
+
+
+def test_a_large_log_is_written_in_parts(spark, tmp_path):
+    """One log of 5,000 records: no task sorts or holds it all, on the way out or back in."""
+    n = F.col("id")
+    lines = spark.range(15000).select(F.lit(0).alias("log"), n.alias("line_no"), F.when(n % 3 == 0, F.format_string("COMMIT|h%d|a|d|m|n\r", n)).otherwise(F.format_string("%d\t2\tp%d\tq\r", n % 3, n)).alias("line"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_log(lines, str(tmp_path / "out"), F.floor(F.col("line_no") / 3))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "out").glob("log=0/*.txt"))
+    assert len(parts) > 1 and max(p.stat().st_size for p in parts) < sum(p.stat().st_size for p in parts) / 2
+    got = files.read_git_log(spark, str(tmp_path / "out"))
+    rows = got.collect()
+    assert {r.hash for r in rows} == {f"h{i}" for i in range(0, 15000, 3)} and len(rows) == 5000
+    assert all(r.message == "m|n" and [(f.path, f.added) for f in r.files] == [(f"p{int(r.hash[1:]) + i}\tq", i) for i in (1, 2)] for r in rows)
+
+
+def test_text_before_the_first_header(spark, tmp_path):
+    (tmp_path / "a.log").write_text("warning: shallow|x\n1\t2\tno\nCOMMIT|h1|a|d|m\n3\t4\tp")
+    (tmp_path / "b.log").write_text("nothing here")
+    (tmp_path / "c.log").write_text("COMMIT|h2")
+    got = sorted((r.hash, r.author, r.message, len(r.files)) for r in files.read_git_log(spark, str(tmp_path)).collect())
+    assert got == [("h1", "a", "m", 1), ("h2", None, "", 0)]
