@@ -45,12 +45,31 @@ def within(points: DataFrame, spans: DataFrame, group: str, point: str, start: C
     return _asking(points, point, cut).join(cut, [group, "_level", "_no"]).drop("_level", "_no")
 
 
+def _holding(points: DataFrame, spans: DataFrame, group: str, point: str, start: str, end: str) -> DataFrame:
+    """The spans that hold a point of their group.
+
+    A group's line is cut into cells as long as the longest span, so what a span holds lies in the cell where it starts or in
+    the next: spans have one row, points two. From a cell's end to its start, each span meets the last point before it.
+    """
+    longest = F.greatest(F.max(F.col(end).cast("long") - F.col(start).cast("long")), F.lit(1))
+    bits = spans.agg((F.coalesce(F.floor(F.log2(longest.cast("double"))), F.lit(0)) + 1).cast("int").alias("_bits"))
+    cell = lambda at: F.call_function("shiftright", at, F.col("_bits"))
+    at = F.col(point).cast("long")
+    asked = points.select(F.col(group).alias("_g"), at.alias("_at")).distinct().crossJoin(F.broadcast(bits))
+    asked = asked.withColumn("_cell", F.explode(F.array(cell(F.col("_at")), cell(F.col("_at")) - 1))).select("_g", "_cell", "_at", F.lit(0).alias("_kind"))
+    whole = spans.crossJoin(F.broadcast(bits)).select(F.col(group).alias("_g"), cell(F.col(start).cast("long")).alias("_cell"), F.col(start).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.struct(*spans.columns).alias("_span"))
+    back = Window.partitionBy("_g", "_cell").orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = whole.unionByName(asked, allowMissingColumns=True).withColumn("_next", F.min(F.when(F.col("_kind") == 0, F.col("_at"))).over(back))
+    return met.where((F.col("_kind") == 1) & (F.col("_next") <= F.col("_span")[end].cast("long"))).select("_span.*")
+
+
 def innermost(points: DataFrame, spans: DataFrame, group: str, point: str, point_id: list[str], start: str, end: str, order: str, first: bool = False) -> DataFrame:
     """Points with the span of their group that holds them: the one that starts last (first: that comes first in ``order``).
 
-    A span holds every point of its blocks, so of all spans that have a block only the best is kept, and a point meets one a level,
-    however deep spans are nested. Points without a span are dropped.
+    Only spans that hold a point are cut into blocks. A span holds every point of its blocks, so of all spans that have a block only
+    the best is kept, and a point meets one a level, however deep spans are nested. Points without a span are dropped.
     """
+    spans = _holding(points, spans, group, point, start, end)
     cut = _in_blocks(spans, F.col(start), F.col(end))
     rank = F.struct(*([] if first else [(-F.col(start).cast("long")).alias("start")]), F.col(order).alias("order"))
     rest = [c for c in spans.columns if c != group]

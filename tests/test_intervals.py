@@ -62,3 +62,15 @@ def test_overlaps_and_within_against_brute_force(spark):
     assert sorted((r.i, r.j, r.lo, r.hi) for r in joins.overlaps(x, y, ("s", "e"), ("s2", "e2"), "g").collect()) == want
     inside = sorted((i, j) for i, g, s, _ in a for j, h, t, f in b if g == h and t <= s <= f)
     assert sorted((r.i, r.j) for r in joins.within(x, y, "g", "s", F.col("s2"), F.col("e2")).collect()) == inside
+
+
+def test_only_spans_with_a_point_are_cut(spark):
+    """100,000 spans, five of which hold a point: the others have no block."""
+    i = F.col("id")
+    spans = spark.range(100_000).select((i % 3).alias("g"), (i * 40).alias("s"), (i * 40 + 30 + i % 7).alias("e"), i.alias("o"))
+    spans = spans.unionByName(spark.createDataFrame([(0, -5000, 9_000_000, -1), (1, 7, 3, -2), (1, None, 5, -3)], "g long, s long, e long, o long"))
+    points = spark.createDataFrame([(1, 0, 0), (2, 1, 70), (3, 1, 71), (4, 2, 111), (5, 0, -5000), (6, 0, -5001), (7, 0, 9_000_000), (8, 2, None)], "id long, g long, pos long")
+    held = joins._holding(points, spans, "g", "pos", "s", "e")
+    assert sorted(r.o for r in held.collect()) == [-1, 0, 1, 2]
+    got = {r.id: r.o for r in joins.innermost(points, spans, "g", "pos", ["id"], "s", "e", "o").collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 2, 5: -1, 7: -1}
