@@ -6,11 +6,15 @@ import posixpath
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .udf import pandas_function
 
@@ -75,14 +79,40 @@ def sparse_vector(text: pd.Series) -> pd.Series:
     return text.map(encode_sparse)
 
 
+@pandas_function("binary")
+def bucket_bytes(text: pd.Series) -> pd.Series:
+    """bucket_counts() of each text as bytes: all buckets, then all counts, as little-endian integers of 32 bits."""
+    return text.map(lambda t: np.array([list((c := bucket_counts(t)).keys()), list(c.values())], "<i4").tobytes())
+
+
+#: Texts whose vectors a task holds at a time.
+SLICE = 256
+
+
+def _sparse_vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, x): sparse_vector() of each text, in slices of SLICE, however many rows a batch has."""
+    kind = df.schema[id_col]
+    entry = pa.struct([("idx", pa.int32()), ("weight", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
+            found = [encode_sparse(t) for t in part.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]).astype("int32")
+            flat = [pa.array([e[n] for x in found for e in x], entry.field(n).type) for n in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, fields=list(entry)))], names=[id_col, "x"])
+
+    schema = StructType([StructField(id_col, kind.dataType), *StructType.fromDDL("x array<struct<idx:int,weight:double>>")])
+    return df.select(id_col, text_col).mapInArrow(run, schema)
+
+
 def sparse_encode(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Long form (id, idx, weight): count of a bucket over the largest count of the text, row by row."""
-    return df.select(id_col, F.explode(sparse_vector(text_col)).alias("x")).select(id_col, "x.idx", "x.weight")
+    return _sparse_vectors(df, id_col, text_col).select(id_col, F.explode("x").alias("x")).select(id_col, "x.idx", "x.weight")
 
 
 def sparse_map(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, sparse map<int,double>) of every row; empty texts have an empty map."""
-    return df.select(id_col, F.map_from_entries(sparse_vector(text_col)).alias("sparse"))
+    return _sparse_vectors(df, id_col, text_col).select(id_col, F.map_from_entries("x").alias("sparse"))
 
 
 def utf16_length(text: Column) -> Column:
