@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.text import bucket_counts, overlap, rerank_tokens
+from ..functions.text import bucket_bytes, overlap, rerank_tokens
 from ..session import scratch, use_checkpoints
 from .graph_index import GraphIndex
 from .windows import min_max
@@ -23,8 +23,10 @@ def top_k(df: DataFrame, keys: list[str], score: str, tie: str, k: int, out: str
     return df.withColumn(out, rn).where(F.col(out) <= k)
 
 
-#: So many queries are scored against every row at once; more are taken in blocks of that number.
-FEW_QUERIES = 2_000
+#: So many queries are scored against every row at once; more are taken in blocks of that number. Scores that a task holds at a time.
+FEW_QUERIES, TILE_SCORES = 2_000, 1 << 20
+#: Buckets of so many queries are multiplied as a matrix, the most common of them up to that number; the others by their postings.
+COMMON, MOST_COMMON = 16, 1_024
 
 
 def _matrix(lists: list, dims: int | None = None) -> np.ndarray:
@@ -46,7 +48,8 @@ def _best_by_blocks(queries: DataFrame, rows: DataFrame, k: int, few: int, prepa
     """(query_id, chunk_id, score, rank): of queries (query_id, x) and rows (chunk_id, y), the k best scores of each query, ties by chunk.
 
     Queries are taken in blocks of ``few``; a block is made ready by prepare(xs) and goes to the tasks. score(ready, ys) gives a matrix
-    with a row for each y, NaN for none. A batch of rows hands on k of each query, so nothing else is shuffled.
+    with a row for each y, NaN for none. Rows are scored in tiles of TILE_SCORES at most, whatever a batch holds; a tile hands on k of each
+    query, and none below the k-th score that its task has seen, so nothing else is shuffled.
     """
     n = queries.count()
     blocks = max(1, -(-n // few))
@@ -59,16 +62,24 @@ def _best_by_blocks(queries: DataFrame, rows: DataFrame, k: int, few: int, prepa
         ids, ready = [r[0] for r in asked], prepare([r[1] for r in asked])
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, ready=ready) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                chunks, got = b.column(0).to_pylist(), []
-                scores = score(ready, b.column(1).to_pylist()) if ids else np.zeros((len(chunks), 0))
-                for j, q in enumerate(ids):
-                    own = np.flatnonzero(~np.isnan(scores[:, j]))
-                    if len(own) > k:
-                        own = own[scores[own, j] >= -np.partition(-scores[own, j], k - 1)[k - 1]]
-                    best = sorted(((-scores[i, j], chunks[i]) for i in own), key=lambda x: (x[0], x[1] is None, x[1]))[:k]
-                    got += [(q, c, -s) for s, c in best]
-                yield pa.RecordBatch.from_pylist([{"query_id": q, "chunk_id": c, "score": float(s)} for q, c, s in got], schema=to_arrow_schema(schema))
+            out = to_arrow_schema(schema)
+            asked_by, floor = pa.array(ids, out.field(0).type), np.full(len(ids), -np.inf)
+            step = max(1, TILE_SCORES // max(1, len(ids)))
+            for tile in (b.slice(lo, step) for b in batches for lo in range(0, b.num_rows if ids and k > 0 else 0, step)):
+                chunks = tile.column(0).to_pylist()
+                place = np.empty(len(chunks), int)
+                place[sorted(range(len(chunks)), key=lambda i: (chunks[i] is not None, chunks[i]))] = np.arange(len(chunks))
+                scores = score(ready, tile.column(1).to_pylist())
+                none = np.isnan(scores)
+                scores[none] = -np.inf
+                if len(scores) > k:
+                    floor = np.maximum(floor, -np.partition(-scores, k - 1, axis=0)[k - 1])
+                r, q = np.nonzero((scores >= floor) & ~none)
+                s = scores[r, q]
+                order = np.lexsort((place[r], -s, q))
+                r, q, s = r[order], q[order], s[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                yield pa.RecordBatch.from_arrays([asked_by.take(pa.array(q[best])), tile.column(0).take(pa.array(r[best])).cast(out.field(1).type), pa.array(s[best])], schema=out)
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
@@ -88,32 +99,54 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, few: int = FEW_Q
 def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int, few: int = FEW_QUERIES) -> DataFrame:
     """(query_id, chunk_id, score, rank) by the dot product of sparse vectors, to six places; only chunks that share a bucket.
 
-    queries (query_id, text) and chunks (chunk_id, text) are encoded in their own rows: however common a bucket, no join meets it.
+    queries (query_id, text) and chunks (chunk_id, text) are encoded in their own rows, once: however common a bucket, no join meets it.
     """
 
-    def prepare(texts: list) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
-        postings: dict[int, list[tuple[int, int]]] = {}
-        tops = np.ones(len(texts))
-        for j, t in enumerate(texts):
-            counts = bucket_counts(t)
-            tops[j] = max(counts.values(), default=1)
-            for i, c in counts.items():
-                postings.setdefault(i, []).append((j, c))
-        return tops, {i: (np.array([j for j, _ in p]), np.array([c for _, c in p], float)) for i, p in postings.items()}
-
-    def score(ready: tuple, texts: list) -> np.ndarray:
+    def prepare(coded: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        who, bucket, count, tops = _uncoded(coded)
+        kinds, at, n = np.unique(bucket, return_inverse=True, return_counts=True)
+        dense = np.full(len(kinds), -1)
+        common = np.argsort(-n, kind="stable")[:MOST_COMMON]
+        common = common[n[common] >= COMMON]
+        dense[common] = np.arange(len(common))
+        counted, often = np.zeros((len(common), len(tops))), dense[at] >= 0
+        counted[dense[at[often]], who[often]] = count[often]
+        at, who, count = at[~often], who[~often], count[~often]
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(len(kinds) + 1))
+        return tops, kinds, dense, counted, ends, np.stack([who[order], count[order]])
+
+    def score(ready: tuple, coded: list) -> np.ndarray:
         # Counts are multiplied and divided by the largest at the end, so that sums are whole numbers.
-        tops, postings = ready
-        out = np.zeros((len(texts), len(tops)))
-        for row, t in zip(out, texts):
-            counts = bucket_counts(t)
-            for i in counts.keys() & postings.keys():
-                who, of = postings[i]
-                row[who] += counts[i] * of
-            row /= tops * max(counts.values(), default=1)
+        tops, kinds, dense, counted, ends, postings = ready
+        row, bucket, count, own_tops = _uncoded(coded)
+        at = np.minimum(np.searchsorted(kinds, bucket), max(len(kinds) - 1, 0))
+        known = kinds[at] == bucket if len(kinds) else np.zeros(len(bucket), bool)
+        row, at, count = row[known], at[known], count[known]
+        often = dense[at] >= 0
+        own = np.zeros((len(coded), len(counted)))
+        own[row[often], dense[at[often]]] = count[often]
+        out = own @ counted
+        row, at, count = row[~often], at[~often], count[~often]
+        n = ends[at + 1] - ends[at]
+        place = np.arange(n.sum()) + np.repeat(ends[at] - (np.cumsum(n) - n), n)
+        who, of = postings[:, place]
+        out += np.bincount(np.repeat(row, n) * len(tops) + who, np.repeat(count, n) * of, out.size).reshape(out.shape)
+        out /= tops[None, :] * own_tops[:, None]
         return np.where(out > 0, _rounded(out, 6), np.nan)
 
-    return _best_by_blocks(queries.select("query_id", "text"), chunks.select("chunk_id", "text"), k, few, prepare, score)
+    asked, rows = queries.select("query_id", bucket_bytes("text").alias("x")), chunks.select("chunk_id", bucket_bytes("text").alias("y"))
+    if queries.count() > few:  # every block reads the rows anew
+        rows.write.parquet(at := scratch(chunks.sparkSession, "coded"))
+        rows = chunks.sparkSession.read.schema(rows.schema).parquet(at)
+    return _best_by_blocks(asked, rows, k, few, prepare, score)
+
+
+def _uncoded(coded: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts as bucket_bytes() gives them: the text, bucket and count of each entry, and the largest count of each text (1 at least)."""
+    each = [np.frombuffer(c, "<i4").reshape(2, -1) for c in coded]
+    both = np.concatenate([np.zeros((2, 0), "<i4"), *each], axis=1).astype(np.int64)
+    return np.repeat(np.arange(len(each)), [x.shape[1] for x in each]), both[0], both[1], np.array([x[1].max(initial=1) for x in each], float)
 
 
 def ann_top_k(queries: DataFrame, vectors: DataFrame, k: int, **how) -> DataFrame:

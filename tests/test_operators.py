@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -402,6 +403,34 @@ def test_louvain_at_every_size(spark, tmp_path):
     assert len(got) == 1600 and all(r.community == r.node // 4 * 4 for r in got)
 
 
+def test_best_rows_in_tiles(spark, monkeypatch):
+    """A batch of many rows is scored in tiles: no matrix is larger, and ties over tiles go to the smaller id."""
+    monkeypatch.setattr(ranking, "TILE_SCORES", 64)
+    seen = []
+
+    def score(ready, ys):
+        seen.append(len(ys) * len(ready))
+        assert len(ys) * len(ready) <= 64
+        return np.array([[np.nan if y % 7 == q else float(y % 5) for q in ready] for y in ys])
+
+    queries = spark.createDataFrame([(q, q) for q in range(6)], "query_id int, x int")
+    rows = spark.range(400).select((399 - F.col("id")).alias("chunk_id"), (399 - F.col("id")).alias("y")).coalesce(1)
+    got = ranking._best_by_blocks(queries, rows, 3, 4, list, score)
+    want = {(q, y, r + 1) for q in range(6) for r, y in enumerate(sorted((y for y in range(400) if y % 7 != q), key=lambda y: (-(y % 5), y))[:3])}
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in got.collect()} == want
+
+
+def test_sparse_scores_of_common_and_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "COMMON", 3)
+    monkeypatch.setattr(ranking, "MOST_COMMON", 2)
+    texts = ["alpha beta beta", "alpha gamma", "alpha beta delta delta", None, "", "gamma gamma beta alpha"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = ranking.sparse_top_k(df.toDF("query_id", "text"), df.toDF("chunk_id", "text"), 6).collect()
+    counts = [text.bucket_counts(t) for t in texts]
+    dot = lambda a, b: sum(a[i] * b[i] for i in a) / max(a.values(), default=1) / max(b.values(), default=1)
+    assert {(r.query_id, r.chunk_id): r.score for r in got} == {(i, j): round(dot(a, b), 6) for i, a in enumerate(counts) for j, b in enumerate(counts) if dot(a, b) > 0}
+
+
 def test_louvain(spark):
     cl = [(f"{s}{i}", f"{s}{j}", 1.0) for s in "xy" for i in range(4) for j in range(i)]
     got, q = graph.louvain(spark.createDataFrame([*cl, ("x0", "y0", 0.1)], "a string, b string, w double"))
