@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.udf import pandas_function
 
 MATCHES = "array<struct<start_line:int,start_col:int,end_line:int,end_col:int,preview:string>>"
 
+#: Texts that a task searches at a time.
+SLICE = 256
+
 
 def search(docs: DataFrame, id_col: str, pattern: str, quota: int = 10_000, chars: int = 250) -> DataFrame:
     """(id, matches, total, limit_hit): places from 0, lines may be crossed, previews start 20 characters before.
@@ -20,28 +27,33 @@ def search(docs: DataFrame, id_col: str, pattern: str, quota: int = 10_000, char
     than are given.
     """
 
-    @F.pandas_udf(f"struct<m:{MATCHES},total:bigint,limit_hit:boolean>")
-    def run(text: pd.Series) -> pd.DataFrame:
-        rx, rows = re.compile(pattern), []
-        for t in text:
-            found, total, starts = [], 0, None
-            for m in rx.finditer(t or ""):
-                if m.end() == m.start():
-                    continue
-                total += 1
-                if total > quota:
-                    continue
-                starts = starts or [0, *(i + 1 for i, c in enumerate(t) if c == "\n")]
-                import bisect
-
-                a, b = bisect.bisect_right(starts, m.start()) - 1, bisect.bisect_right(starts, m.end()) - 1
-                left = max(starts[a], m.start() - 20)
-                found.append((a, m.start() - starts[a], b, m.end() - starts[b], t[left : left + chars].split("\n")[0] if a == b else t[left : m.end()]))
-            rows.append((found, total, total > quota))
-        return pd.DataFrame(rows, columns=["m", "total", "limit_hit"])
-
-    hit = docs.select(id_col, run("text").alias("r")).select(id_col, F.col("r.m").alias("matches"), "r.total", "r.limit_hit")
-    return hit.where("total > 0")
+    place = pa.struct([(c, pa.int32()) for c in ("start_line", "start_col", "end_line", "end_col")] + [("preview", pa.string())])
+    kind = docs.schema[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rx = re.compile(pattern)
+        for part in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
+            rows = []
+            for at, t in enumerate(part.column(1).to_pylist()):
+                found, total, starts = [], 0, None
+                for m in rx.finditer(t or ""):
+                    if m.end() == m.start():
+                        continue
+                    total += 1
+                    if total > quota:
+                        continue
+                    starts = starts or [0, *(i + 1 for i, c in enumerate(t) if c == "\n")]
+                    a, b = bisect.bisect_right(starts, m.start()) - 1, bisect.bisect_right(starts, m.end()) - 1
+                    left = max(starts[a], m.start() - 20)
+                    found.append((a, m.start() - starts[a], b, m.end() - starts[b], t[left : left + chars].split("\n")[0] if a == b else t[left : m.end()]))
+                if total:
+                    rows.append((at, found, total, total > quota))
+            at, found, total, hit = zip(*rows) if rows else ((), (), (), ())
+            matches = pa.array([[dict(zip(place.names, f)) for f in x] for x in found], pa.list_(place))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), matches, pa.array(total, pa.int64()), pa.array(hit, pa.bool_())], names=[id_col, "matches", "total", "limit_hit"])
+
+    schema = StructType([StructField(id_col, kind.dataType), *StructType.fromDDL(f"matches {MATCHES}, total bigint, limit_hit boolean")])
+    return docs.select(id_col, "text").mapInArrow(run, schema)
 
 
 def search_folders(docs: DataFrame, folder: str, id_col: str, pattern: str, most: int) -> DataFrame:

@@ -431,6 +431,18 @@ def test_sparse_scores_of_common_and_rare_words(spark, monkeypatch):
     assert {(r.query_id, r.chunk_id): r.score for r in got} == {(i, j): round(dot(a, b), 6) for i, a in enumerate(counts) for j, b in enumerate(counts) if dot(a, b) > 0}
 
 
+def test_texts_in_slices(spark, monkeypatch):
+    """Batches are worked through in slices by the function that makes the rows, so that no batch's results are held at once."""
+    monkeypatch.setattr(text, "SLICE", 2)
+    monkeypatch.setattr(text_search, "SLICE", 2)
+    texts = ["alpha abc", None, "", "beta beta abc abc", "gamma"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    coded, hits = text.sparse_encode(docs, "id", "text"), text_search.search(docs, "id", "abc")
+    assert sorted((r.id, r.idx, r.weight) for r in coded.collect()) == sorted((i, *e) for i, t in enumerate(texts) for e in text.encode_sparse(t))
+    assert sorted((r.id, r.total, len(r.matches)) for r in hits.collect()) == [(0, 1, 1), (3, 2, 2)]
+    assert all("MapInArrow" in df._jdf.queryExecution().executedPlan().toString() for df in (coded, hits))
+
+
 def test_louvain(spark):
     cl = [(f"{s}{i}", f"{s}{j}", 1.0) for s in "xy" for i in range(4) for j in range(i)]
     got, q = graph.louvain(spark.createDataFrame([*cl, ("x0", "y0", 0.1)], "a string, b string, w double"))
