@@ -6,6 +6,9 @@ further one about a sixteenth of the one below. A layer's node has links to its
 those it is a neighbour of. A search goes down from the few nodes on top; on each layer it follows the links of the
 best node not followed yet, until none in a bounded frontier is left. All queries of a tile move through a shard together.
 
+How many cells and how wide a frontier a search needs depends on the vectors: an index measures it once it is made, by
+the recall of a few of its own vectors against an exact search over all of them.
+
 An update rewrites only the shards it falls into: new nodes are searched for in the graph and linked, removed ones stay
 as waypoints that are never found, until a shard has too many of them and is built anew.
 """
@@ -13,20 +16,25 @@ as waypoints that are never found, until a shard has too many of them and is bui
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.log_table import LogTable
 
-#: Links of a node to nearest neighbours (it has up to twice as many with those from others), frontier of a search, rows of
-#: a shard, centroids that a query looks into, queries of a tile.
-LINKS, FRONTIER, SHARD_ROWS, PROBES, TILE = 16, 12, 20_000, 12, 1000
+#: Links of a node to nearest neighbours (it has up to twice as many with those from others), least frontier of a search,
+#: rows of a shard, centroids that a query looks into at least, queries of a tile, queries that a task gets with a shard.
+LINKS, FRONTIER, SHARD_ROWS, PROBES, TILE, TASK_QUERIES = 16, 12, 20_000, 12, 1000, 20_000
+#: An index is tuned by so many of its vectors to this recall at ten, with the least of these frontiers that reaches it.
+TUNED_BY, RECALL, FRONTIERS = 200, 0.95, (12, 16, 24, 32, 48, 64, 96, 128)
+#: Products that are held at a time while links are made.
+HELD = 4_000_000
 #: Nodes of a top layer, the share of removed nodes at which a shard is built anew, the frontier on layers above the lowest.
 TOP, WORN, UPPER = 32, 0.25, 4
 #: Centroids are fitted on about so many vectors at most.
@@ -39,13 +47,27 @@ def usable(v: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))), F.lit(False))
 
 
-def matrix(lists: list, dims: int) -> np.ndarray:
+def matrix(lists: Sequence, dims: int) -> np.ndarray:
     """Unit vectors, padded with zeros or cut to ``dims``; a vector of zeros stays."""
     out = np.zeros((len(lists), dims), np.float32)
     for row, x in zip(out, lists):
         row[: min(len(x), dims)] = x[:dims]
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm == 0, 1, norm)
+    return _unit(out)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm == 0, 1, norm)
+
+
+def column_matrix(lists: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """``matrix`` of an Arrow column without nulls; of lists of one length no Python objects are made."""
+    lists = lists.combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+    if (pc.list_value_length(lists).to_numpy(zero_copy_only=False) == dims).all():
+        return _unit(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims))
+    return matrix(lists.to_numpy(zero_copy_only=False), dims)
 
 
 def layer_of(chunk_id: str) -> int:
@@ -62,17 +84,20 @@ def link(x: np.ndarray, links: int) -> np.ndarray:
     out = np.full((n, 2 * links), -1, np.int32)
     if k < 1:
         return out
-    near = np.empty((n, k), np.int32)
-    for lo in range(0, n, 1024):
-        s = x[lo : lo + 1024] @ x.T
+    near, step = np.empty((n, k), np.int32), max(1, min(1024, HELD // n))
+    for lo in range(0, n, step):
+        s = x[lo : lo + step] @ x.T
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
-        best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        near[lo : lo + 1024] = np.take_along_axis(best, np.argsort(-np.take_along_axis(s, best, 1), axis=1, kind="stable"), 1)
+        np.negative(s, out=s)
+        best = np.argpartition(s, k - 1, axis=1)[:, :k].astype(np.int32)
+        near[lo : lo + step] = np.take_along_axis(best, np.argsort(np.take_along_axis(s, best, 1), axis=1, kind="stable"), 1)
     out[:, :k] = near
     own, other = np.repeat(np.arange(n), k), near.ravel()
     back = ~(near[other] == own[:, None]).any(1)  # links that the other end doesn't have yet
     own, other = own[back], other[back]
-    closeness = np.einsum("ij,ij->i", x[own], x[other])
+    closeness, step = np.empty(len(own), np.float32), max(1, HELD // x.shape[1])
+    for lo in range(0, len(own), step):
+        closeness[lo : lo + step] = np.einsum("ij,ij->i", x[own[lo : lo + step]], x[other[lo : lo + step]])
     order = np.lexsort((own, -closeness, other))
     own, other = own[order], other[order]
     place = np.arange(len(other)) - np.searchsorted(other, other) + k
@@ -204,7 +229,7 @@ class Shard:
         out = Shard(self.ids + ids, np.concatenate([self.x, _fitted(x, self.x.shape[1])]), np.concatenate([dead, np.zeros(len(ids), bool)]), [])
         links = np.concatenate([old, np.full((len(ids), 2 * LINKS), -1, np.int32)])
         before = Shard(self.ids, self.x, np.zeros(n, bool), self.layers)  # removed nodes are waypoints, also for links
-        near = before.search(out.x[n:], LINKS, 4 * LINKS)[0]
+        near = np.concatenate([before.search(out.x[lo : lo + TILE], LINKS, 4 * LINKS)[0] for lo in range(n, n + max(len(ids), 1), TILE)])
         among = link(out.x[n:], LINKS)[:, :LINKS] if len(ids) > 1 else np.full((len(ids), LINKS), -1, np.int32)
         for j in range(len(ids)):
             own = n + j
@@ -240,10 +265,14 @@ def centroids_of(vectors: DataFrame, cells: int, dims: int, rounds: int = 8) ->
     return c
 
 
+def _nearness(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return x @ c.T - (c * c).sum(1) / 2
+
+
 def _near(c: np.ndarray, probes: int):
     @F.pandas_udf("array<int>")
     def cells(v: pd.Series) -> pd.Series:
-        m = matrix(list(v), c.shape[1]) @ c.T - (c * c).sum(1) / 2
+        m = _nearness(matrix(v, c.shape[1]), c)
         return pd.Series(list(np.argsort(-m, axis=1, kind="stable")[:, :probes].astype("int32")))
 
     return cells
@@ -276,58 +305,106 @@ class GraphIndex:
 
         def build(t: pa.Table) -> pa.Table:
             ids = t.column("chunk_id").to_pylist()
-            return _table([Shard.build(ids, matrix(t.column("v").to_pylist(), dims)).row(t.column("shard")[0].as_py())])
+            return _table([Shard.build(ids, column_matrix(t.column("v"), dims)).row(t.column("shard")[0].as_py())])
 
         self.shards.create(dealt.groupBy("shard").applyInArrow(build, SHARD).withColumn("cell", F.shiftright("shard", 32).cast("int")))
+        self.tune()
+
+    def tune(self, k: int = 10, recall: float = RECALL) -> tuple[int, int]:
+        """(probes, frontier): the cheapest with which TUNED_BY of the vectors, by hash of the id, find so much of what an exact
+        search over all vectors gives them beside themselves; the most there is, if none do. Searches use it from now on.
+
+        Every shard is read once. What it has among a query's nearest, and which frontiers find that, is known from the shard
+        alone, so only the best of all shards are looked at together.
+        """
+        c, _, dims = self._centres()
+        asked = self.nodes().orderBy(F.xxhash64("chunk_id", F.lit(7)), "chunk_id").limit(TUNED_BY).collect()
+        own, q = [r.chunk_id for r in asked], matrix([r.v for r in asked], dims)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _each(batches):
+                s = Shard.read(row)
+                exact = np.where(s.dead, -np.inf, q @ s.x.T)
+                n = min(k + 1, len(s.ids))
+                best = np.argpartition(-exact, n - 1, axis=1)[:, :n] if n else np.empty((len(q), 0), int)
+                found = np.stack([(best[:, :, None] == s.search(q, k + 1, f)[0][:, None, :]).any(2) for f in FRONTIERS], -1)
+                held = np.take_along_axis(exact, best, 1)
+                i, j = np.nonzero(held > -np.inf)
+                keep = [at for at, (a, b) in enumerate(zip(i, best[i, j])) if s.ids[b] != own[a]]
+                i, j = i[keep], j[keep]
+                yield pa.record_batch([pa.array(i.astype(np.int32)), pa.array(np.full(len(i), row["cell"], np.int32)), pa.array(held[i, j].astype(np.float64)), pa.array(found[i, j].tolist(), pa.list_(pa.bool_()))], names=["query", "cell", "score", "found"])
+
+        first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cell"))
+        best = self.shards.read().mapInArrow(run, "query int, cell int, score double, found array<boolean>").withColumn("n", first).where(F.col("n") <= k).collect()
+        probes, frontier = [min(PROBES << i, len(c)) for i in range(32) if i == 0 or PROBES << (i - 1) < len(c)], FRONTIERS
+        choice = (probes[-1], frontier[-1])
+        if best:
+            rank = np.argsort(np.argsort(-_nearness(q, c), axis=1, kind="stable"), axis=1)
+            at, found = rank[[r["query"] for r in best], [r.cell for r in best]], np.array([r.found for r in best])
+            good = [(p, f) for p in probes for i, f in enumerate(frontier) if (found[:, i] & (at < p)).mean() >= recall]
+            choice = min(good, key=lambda x: (x[0] * x[1], x), default=choice)
+        else:
+            choice = (probes[0], FRONTIER)
+        self.spark.createDataFrame([choice], "probes int, frontier int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/tuned")
+        return choice
 
     def nodes(self) -> DataFrame:
         """(chunk_id, cell, v): the vectors that can be found."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                    s = Shard.read(row)
-                    live = np.flatnonzero(~s.dead)
-                    yield pa.record_batch([pa.array([s.ids[i] for i in live], pa.string()), pa.array(np.full(len(live), row["cell"], np.int32)), pa.array(list(s.x[live]), pa.list_(pa.float32()))], names=["chunk_id", "cell", "v"])
+            for row in _each(batches):
+                s = Shard.read(row | {"layers": []})
+                live = np.flatnonzero(~s.dead)
+                v = pa.ListArray.from_arrays(pa.array(np.arange(len(live) + 1, dtype=np.int32) * s.x.shape[1]), pa.array(s.x[live].ravel()))
+                yield pa.record_batch([pa.array([s.ids[i] for i in live], pa.string()), pa.array(np.full(len(live), row["cell"], np.int32)), v], names=["chunk_id", "cell", "v"])
 
-        return self.shards.read().mapInArrow(run, "chunk_id string, cell int, v array<float>")
+        return self.shards.read().select("cell", "dims", "ids", "vectors", "dead").mapInArrow(run, "chunk_id string, cell int, v array<float>")
 
     def _centres(self) -> tuple[np.ndarray, int, int]:
         rows = self.spark.read.parquet(f"{self.root}/centroids").orderBy("cell").collect()
         return np.array([r.centre for r in rows], np.float32), rows[0].shard_rows, rows[0].dims
 
-    def search(self, queries: DataFrame, k: int, probes: int = PROBES, frontier: int = FRONTIER, stats: bool = False) -> DataFrame:
-        """(query_id, chunk_id, score, rank) of queries (query_id, q) by cosine; with ``stats``, (products) of each tile in a shard.
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, frontier: int | None = None, stats: bool = False) -> DataFrame:
+        """(query_id, chunk_id, score, rank) of queries (query_id, q) by cosine; with ``stats``, (products) of each shard's tasks.
 
-        A query visits the shards of its ``probes`` nearest cells, in tiles that meet a shard once. Queries without a
-        direction find nothing. Longer or shorter vectors are cut or padded to the index's length.
+        A query visits the shards of its ``probes`` nearest cells; both numbers are as the index was tuned, unless given. A
+        shard meets its queries as one group, or several if they are very many. Queries without a direction find nothing.
+        Longer or shorter vectors are cut or padded to the index's length.
         """
         c, _, dims = self._centres()
+        tuned = self.spark.read.parquet(f"{self.root}/tuned").first()
+        probes, frontier = probes or tuned.probes, frontier or tuned.frontier
         asked = queries.where(F.col("query_id").isNotNull() & usable(F.col("q"))).select("query_id", F.col("q").cast("array<float>").alias("q"))
         asked = asked.withColumn("cell", F.explode(_near(c, probes)(F.col("q"))))
         kind = asked.schema["query_id"].dataType
         arrow_kind = to_arrow_type(kind)
-        per_cell = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-        tiled = asked.join(F.broadcast(per_cell), "cell").withColumn("tile", F.pmod(F.xxhash64("query_id"), "tiles"))
-        tiles = tiled.groupBy("cell", "tile").agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-        met = self.shards.read().join(tiles, "cell").select("shard", "dims", "ids", "vectors", "dead", "layers", "queries")
+        per_cell = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TASK_QUERIES).cast("int").alias("parts"))
+        shards = self.shards.read()
+        met = shards.join(F.broadcast(per_cell), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = asked.join(F.broadcast(per_cell), "cell").withColumn("of_part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+        dealt = dealt.join(F.broadcast(shards.select("cell", F.col("shard").alias("of"))), "cell").select("of", "of_part", "query_id", "q")
         names = ["query_id", "chunk_id", "score"]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    row = b.slice(i, 1).to_pylist()[0]
-                    s, own = Shard.read(row), row["queries"]
-                    at, score = s.search(matrix([x["q"] for x in own], dims), k, frontier)
-                    if stats:
-                        yield pa.record_batch([pa.array([s.products], pa.int64())], names=["products"])
-                        continue
+        def run(shard: pa.Table, asked: pa.Table) -> pa.Table:
+            out = []
+            if shard.num_rows and asked.num_rows:
+                s = Shard.read(shard.slice(0, 1).to_pylist()[0])
+                for lo in range(0, asked.num_rows, TILE):
+                    tile = asked.slice(lo, TILE)
+                    at, score = s.search(column_matrix(tile.column("q"), dims), k, frontier)
                     r, j = np.nonzero(at >= 0)
-                    yield pa.record_batch([pa.array([own[x]["query_id"] for x in r], arrow_kind), pa.array([s.ids[n] for n in at[r, j]], pa.string()), pa.array(score[r, j].astype(np.float64))], names=names)
-
+                    if not stats:
+                        out.append(pa.table([tile.column("query_id").cast(arrow_kind).take(pa.array(r)), pa.array([s.ids[n] for n in at[r, j]], pa.string()), pa.array(score[r, j].astype(np.float64))], names=names))
+                if stats:
+                    return pa.table({"products": pa.array([s.products], pa.int64())})
+            if stats:
+                return pa.table({"products": pa.array([], pa.int64())})
+            return pa.concat_tables(out) if out else pa.table([pa.array([], arrow_kind), pa.array([], pa.string()), pa.array([], pa.float64())], names=names)
+
+        both = met.select("shard", "part", "dims", "ids", "vectors", "dead", "layers").groupBy("shard", "part").cogroup(dealt.groupBy("of", "of_part"))
         if stats:
-            return met.mapInArrow(run, "products long")
-        found = met.mapInArrow(run, f"query_id {kind.simpleString()}, chunk_id string, score double")
+            return both.applyInArrow(run, "products long")
+        found = both.applyInArrow(run, f"query_id {kind.simpleString()}, chunk_id string, score double")
         best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
         return found.withColumn("rank", best).where(F.col("rank") <= k)
 
@@ -359,11 +436,11 @@ class GraphIndex:
             rows = shards.to_pylist()
             if not asked.num_rows:
                 return _table(rows)
-            ids, vs = asked.column("chunk_id").to_pylist(), asked.column("v").to_pylist()
-            fresh = [i for i, v in enumerate(vs) if v is not None]
+            ids, new = asked.column("chunk_id").to_pylist(), asked.column("v").is_valid().to_pylist()
+            fresh = [i for i, is_new in enumerate(new) if is_new]
             own, number = Shard.read(rows[0]) if rows else Shard.build([], np.zeros((0, dims), np.float32)), asked.column("of")[0].as_py()
-            x = matrix([vs[i] for i in fresh], dims)
-            return _table([own.update([ids[i] for i in fresh], x, {i for i, v in zip(ids, vs) if v is None}).row(number)])
+            x = column_matrix(asked.column("v").drop_null(), dims)
+            return _table([own.update([ids[i] for i in fresh], x, {i for i, is_new in zip(ids, new) if not is_new}).row(number)])
 
         out = theirs.groupBy("shard").cogroup(orders.select(F.col("shard").alias("of"), "chunk_id", "v").groupBy("of")).applyInArrow(apply, SHARD)
         out = out.withColumn("cell", F.shiftright("shard", 32).cast("int"))
@@ -373,6 +450,13 @@ class GraphIndex:
         return True
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Row for row: a row may be a whole shard."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 def _table(rows: list[dict]) -> pa.Table:
     layer = pa.struct([("nodes", pa.binary()), ("links", pa.binary())])
     return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int64()), ("dims", pa.int32()), ("ids", pa.list_(pa.string())), ("vectors", pa.binary()), ("dead", pa.binary()), ("layers", pa.list_(layer))]))

@@ -1,6 +1,7 @@
 """The graph index: recall and products, updates against what is left, odd vectors, cells and parts."""
 
 import pathlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -100,3 +101,37 @@ def test_saved_index_over_cells_and_parts(spark, tmp_path):
     near = [r.chunk_id for r in again.search(spark.createDataFrame([(1, far)], "query_id int, q array<float>"), 2).orderBy("rank").collect()]
     ids = [r.chunk_id for r in again.nodes().collect()]
     assert sorted(near) == ["950", "new"] and len(ids) == len(set(ids)) == 2000 and "951" not in ids and "none" not in ids and "other" not in ids
+
+
+def test_an_index_tunes_itself_until_it_finds_nine_tenths(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = gi.matrix(rng.normal(size=(4000, 64)).tolist(), 64)  # no direction is nearer than others: neighbours lie in all cells
+    v = spark.createDataFrame([(str(i), r.tolist()) for i, r in enumerate(x)], VECTORS)
+    index = gi.GraphIndex(spark, str(tmp_path / "ix"))
+    index.create(v, shard_rows=150)
+    own = range(0, 4000, 20)
+    best = {i: set(b) for i, b in zip(own, exact(x, x[::20]).tolist())}
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in own], "query_id int, q array<float>")
+    share = lambda **how: sum(int(r.chunk_id) in best[r.query_id] for r in index.search(q, 10, **how).collect()) / (10 * len(best))
+    assert share(probes=gi.PROBES, frontier=gi.FRONTIER) < 0.9 <= share()
+
+
+def test_links_are_made_in_bounded_memory():
+    x = gi.matrix(np.random.default_rng(6).normal(size=(8000, 64)), 64)
+    tracemalloc.start()
+    gi.link(x, gi.LINKS)
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+
+
+def test_a_search_gives_a_task_one_shard_at_a_time(spark, tmp_path, monkeypatch):
+    x = clustered(np.random.default_rng(7), 1200, 16, 12)
+    v = spark.createDataFrame([(str(i), r.tolist()) for i, r in enumerate(x)], VECTORS)
+    index = gi.GraphIndex(spark, str(tmp_path / "ix"))
+    index.create(v, shard_rows=300)
+    q = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "query_id int, q array<float>")
+    whole = {(r.query_id, r["rank"]): r.chunk_id for r in index.search(q, 5, probes=4, frontier=32).collect()}
+    monkeypatch.setattr(gi, "TASK_QUERIES", 100)
+    monkeypatch.setattr(gi, "TILE", 7)
+    assert {(r.query_id, r["rank"]): r.chunk_id for r in index.search(q, 5, probes=4, frontier=32).collect()} == whole and len(whole) == 6000
+    assert "FlatMapCoGroups" in index.search(q, 5)._jdf.queryExecution().executedPlan().toString()
