@@ -94,3 +94,16 @@ def test_parts(spark):
         assert [p.part for p in parts] == list(range(1, len(parts) + 1)) and all(len(p.text) <= 40 and p.start_line <= p.end_line for p in parts)
         assert "".join(p.text for p in parts).replace("\n", "") == (t or "").replace("\n", "")
         assert parts[0].start_line == 10 * i and parts[-1].end_line == 10 * i + (t or "").count("\n")
+
+
+def test_a_text_is_masked_and_cut_into_tokens_once(monkeypatch):
+    calls, real = [], lexer.masked
+    monkeypatch.setattr(lexer, "masked", lambda *a: calls.append(1) or real(*a))
+    symbols, relations = graph._parsed("class K extends B {\n  run() {\n    f();\n  }\n}\n")
+    assert len(calls) == 1 and [s[1] for s in symbols] == ["K", "run"] and [r[:3] for r in relations] == [("inherits", "K", "B"), ("calls", "K", "f")]
+
+
+def test_small_files_of_many_sources_are_parsed_on_all_cores(spark, sf_dir):
+    from lodestone.plans import rows_catalog
+
+    assert rows_catalog._sources(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
