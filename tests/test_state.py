@@ -2,6 +2,8 @@
 
 import time
 
+import pandas as pd
+
 from lodestone.streaming import state
 
 RING = "k string, at long, v double"
@@ -63,3 +65,59 @@ def test_a_transaction_that_never_ends_goes_out_after_its_wait(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(out) == [("a", 1, 1.0, 1.0), ("a", 2, 2.0, 3.0)]
+
+
+class Store:
+    """A state store in memory that counts calls."""
+
+    def __init__(self):
+        self.calls, self.values = 0, {}
+
+    def getValueState(self, name, *_):
+        return Cell(self, name, None)
+
+    getListState = getValueState
+
+    def getMapState(self, name, *_):
+        raise AssertionError("a call for each slot")
+
+
+class Cell:
+    def __init__(self, store, name, _):
+        self.store, self.name = store, name
+
+    def _call(self):
+        self.store.calls += 1
+        return self.store.values
+
+    def exists(self):
+        return self.name in self._call()
+
+    def get(self):
+        return self._call().get(self.name)
+
+    def update(self, value):
+        self._call()[self.name] = value
+
+    def appendList(self, rows):
+        self._call().setdefault(self.name, []).extend(rows)
+
+    def clear(self):
+        self._call().pop(self.name, None)
+
+
+def test_a_key_costs_one_read_and_one_write(monkeypatch):
+    ring, deltas, types = Store(), Store(), {"at": "long", "v": "double", "d": "double"}
+    r, d = state._Ring("k", "at", "v", 5, types, None), state._Deltas("k", "at", "d", "e", types, None)
+    r.init(ring)
+    d.init(deltas)
+    for i in range(3):
+        list(r.handleInputRows(("a",), iter([pd.DataFrame({"at": range(i * 9, i * 9 + 9), "v": 1.0})]), None))
+        list(d.handleInputRows(("a",), iter([pd.DataFrame({"at": range(i * 9, i * 9 + 9), "d": 1.0, "e": [False] * 4 + [True] + [False] * 4})]), None))
+    assert ring.calls == deltas.calls == 6
+    monkeypatch.setattr(state, "BESIDE", 2)  # many changes move to the list, and come back before those beside the value
+    long, out = state._Deltas("k", "at", "d", "e", types, None), []
+    long.init(store := Store())
+    for i in range(4):
+        out += list(long.handleInputRows(("a",), iter([pd.DataFrame({"at": range(i * 2, i * 2 + 2), "d": [1.0, 2.0], "e": [False, i == 3]})]), None))
+    assert [tuple(x) for x in out[0].itertuples(index=False)] == [("a", i, 1.0 + i % 2, float(i // 2 * 3 + 1 + i % 2 * 2)) for i in range(8)] and "held" not in store.values
