@@ -101,6 +101,8 @@ def consolidate(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def group_matches(df: DataFrame, keys: list[str]) -> DataFrame:
     """``island``: matches whose first line is the last line of the match before share it."""
+    # Asked for by number, parts aren't joined again: a task sorts a part, and joined ones grow with the table.
+    df = df.repartition(16 * df.sparkSession.sparkContext.defaultParallelism, *keys)
     w = Window.partitionBy(*keys).orderBy("start_line", "end_line")
     return islands(df.withColumn("_prev", F.lag("end_line").over(w)), keys, ["start_line", "end_line"], F.col("_prev") != F.col("start_line")).drop("_prev")
 

@@ -700,3 +700,8 @@ def test_registry(spark):
     assert [r.x for r in df.select(registry.equal_by(lambda x, y: F.lower(x) == F.lower(y), "a", "b").alias("x")).collect()] == [True, True, False]
     fl = spark.createDataFrame([("f", "1\n2\n3")], "file string, text string")
     assert registry.read_lines(fl, spark.createDataFrame([("f", 2, 3)], "file string, start int, end int")).first().text == "2\n3"
+
+
+def test_matches_are_sorted_in_parts_that_are_not_joined_again(spark):
+    df = spark.range(1000).selectExpr("id % 100 as g", "id as start_line", "id + 100 as end_line")
+    assert windows.group_matches(df, ["g"]).rdd.getNumPartitions() >= 16 * spark.sparkContext.defaultParallelism
