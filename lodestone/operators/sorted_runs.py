@@ -13,6 +13,10 @@ from pyspark.sql.types import IntegerType
 #: never has more rows than this. Up to PRUNED runs are named in the filter of a lookup's scan; for more, all are read.
 RUN_ROWS, MOST_RUNS, PRUNED = 1_000_000, 10_000, 1_000
 
+#: Rows of a part: a task sorts one part, which is this many rows and one run's at most, however large the map is. Parts are
+#: asked for by number, as adaptive execution would join them again.
+PART_ROWS = 500_000
+
 
 class SortedRuns:
     """A sorted map from ``key`` (a number, string, date or time) to ``value``, stored under ``root``.
@@ -49,38 +53,59 @@ class SortedRuns:
 
     def entries(self) -> DataFrame:
         """(key, value, place): places count from 0 over the whole map, each run by itself."""
-        place = F.row_number().over(Window.partitionBy("run").orderBy("key")) - 1
-        known = F.broadcast(self.fences().select("run", "start"))
-        return self._runs().withColumn("place", place).join(known, "run").select("key", "value", (F.col("start") + F.col("place")).alias("place"))
+        total = self.fences().agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        part = self._part_rows(total)
+        known = F.broadcast(self.fences().select("run", "start", F.floor(F.col("start") / part).cast("int").alias("part")))
+        parts = self._runs().join(known, "run").repartitionById(total // part + 1, "part")
+        place = F.row_number().over(Window.partitionBy("part", "run").orderBy("key")) - 1
+        return parts.select("key", "value", (F.col("start") + place).alias("place"))
+
+    def _part_rows(self, total: int) -> int:
+        return min(PART_ROWS, total // self.spark.sparkContext.defaultParallelism + 1)
 
     def find(self, asked: DataFrame, key: str) -> DataFrame:
         """asked, row for row, with (floor, value, position): the entry with the greatest key up to the one asked for, and where
         that key stands, or -(place + 1) where it would. Null and NaN keys get nulls.
 
         The runs that keys fall into are found in the fences; a run and the keys asked of it are sorted together, so no key
-        meets more than one entry, and other runs aren't read.
+        meets more than one entry, and other runs aren't read. If more keys than entries are asked of a run, beyond a part,
+        they are dealt into shares by their rows' hash, and each share meets the whole run: all shares are no more than all
+        entries and twice the keys.
         """
         kind = dict(asked.dtypes)[key]
         rows = asked.select(F.struct(*asked.columns).alias("asked"), F.col(key).alias("key"))
         usable = F.col("key").isNotNull() & (~F.isnan("key") if kind in ("float", "double") else F.lit(True))
         fences = self.fences().orderBy("first").collect()  # MOST_RUNS at most
-        firsts, runs = [r["first"] for r in fences], [r.run for r in fences]
+        firsts, runs = [r["first"] for r in fences], [r.run for r in fences] or [-1]
 
         @F.pandas_udf("int")
         def run_of(keys: pd.Series) -> pd.Series:
-            return pd.Series([runs[max(bisect_right(firsts, k) - 1, 0)] if firsts else None for k in keys], dtype="Int32")
+            return pd.Series([runs[max(bisect_right(firsts, k) - 1, 0)] for k in keys], dtype="int32")
 
         as_stored = self._runs().schema["key"].dataType
         good = rows.where(usable).withColumn("key", F.col("key").cast(as_stored)).withColumn("run", run_of("key"))
-        needed = [r.run for r in good.select("run").distinct().limit(PRUNED + 1).collect()]
+        needed = {r.run: r["count"] for r in good.groupBy("run").count().collect()}
+        placed, total = [], 0  # where a run's shares lie if all are laid end to end, and how long each is
+        for run, held, start in [(r.run, r.rows, r.start) for r in fences] or [(-1, 0, 0)]:
+            if n := needed.get(run):
+                shares = n // max(PART_ROWS, held) + 1
+                size = held + n // shares + 1
+                placed.append((run, start, shares, total, size))
+                total += shares * size
+        part = self._part_rows(total)
+        known = F.broadcast(self.spark.createDataFrame(placed, "run int, start long, shares int, at long, size long"))
         stored = self._runs()
         if len(needed) <= PRUNED:
             stored = stored.where(F.col("run").isin(*needed) if needed else F.lit(False))
-        stored = stored.join(F.broadcast(self.fences().select("run", "start")), "run")
-        both = stored.select("run", "key", F.struct("value").alias("held"), "start").unionByName(good.select("run", "key", "asked"), allowMissingColumns=True)
-        upto = Window.partitionBy("run").orderBy("key", F.col("held").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+        stored = stored.join(known, "run").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        hashed = F.xxhash64("key", *(F.col("asked")[c] for c, t in asked.dtypes if "map<" not in t))
+        good = good.join(known, "run", "left").withColumn("share", F.pmod(hashed, "shares").cast("int"))
+        at = F.floor((F.col("at") + F.col("share") * F.col("size")) / part).cast("int").alias("part")
+        both = stored.select(at, "run", "share", "key", F.struct("value").alias("held"), "start").unionByName(good.select(at, "run", "share", "key", "asked"), allowMissingColumns=True)
+        both = both.repartitionById(total // part + 1, "part")
+        upto = Window.partitionBy("part", "run", "share").orderBy("key", F.col("held").isNull()).rowsBetween(Window.unboundedPreceding, 0)
         entry = F.when(F.col("held").isNotNull(), F.struct("key", "held.value", "start"))
-        both = both.withColumn("last", F.last(entry, True).over(upto)).withColumn("upto", F.count("held").over(upto))
+        both = both.select("*", F.last(entry, True).over(upto).alias("last"), F.count("held").over(upto).alias("upto"))
         got = both.where("asked is not null")
         there, place = F.col("last.key") == F.col("key"), F.coalesce(F.col("last.start"), F.lit(0)) + F.col("upto")
         found = got.select("asked.*", F.col("last.key").alias("floor"), F.col("last.value").alias("value"), F.when(there, place - 1).otherwise(-place - 1).alias("position"))

@@ -6,6 +6,7 @@ from bisect import bisect_left, bisect_right
 
 import pytest
 
+from lodestone.operators import sorted_runs
 from lodestone.operators.sorted_runs import SortedRuns
 
 
@@ -57,3 +58,30 @@ def test_kinds_and_odd_maps(spark, tmp_path, kind, rows, x, want):
     m = made(spark, tmp_path / "m", rows, 10, kind)
     r = m.find(spark.createDataFrame([(x,)], f"floor_of {kind}"), "floor_of").first()
     assert (r.floor, r.value, r.position) == want
+
+
+def sizes(df):
+    return [len(p) for p in df.rdd.glom().collect()]
+
+
+def test_runs_are_sorted_in_parts_that_are_not_joined_again(spark, tmp_path):
+    m = made(spark, tmp_path / "m", [(i, str(i), 0) for i in range(5000)], 100)
+    cores = spark.sparkContext.defaultParallelism
+    assert max(sizes(m.entries())) < 2 * 5000 / cores
+    found = m.find(spark.range(3000).selectExpr("id as x"), "x")
+    assert found.count() == 3000 and found.where("floor <> x or value <> x or position <> x").count() == 0
+    assert max(sizes(found)) < 2 * 3000 / cores
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("REPARTITION_BY_NUM") == 1 and len(re.findall(r"\bWindow \[", plan)) == 1 and "ENSURE_REQUIREMENTS" not in plan
+
+
+@pytest.mark.parametrize("entries", [0, 300])
+def test_keys_of_one_run_are_dealt_into_shares(spark, tmp_path, monkeypatch, entries):
+    monkeypatch.setattr(sorted_runs, "PART_ROWS", 500, raising=False)
+    m = made(spark, tmp_path / "m", [(i, str(i), 0) for i in range(entries)], 100)
+    asked = spark.range(10_000).selectExpr("id", "id % 7 + 300 as x", "map(id, 'm') as m")  # all beyond the last entry
+    found = m.find(asked, "x")
+    want = (299, "299", -301) if entries else (None, None, -1)
+    assert {(r.floor, r.value, r.position) for r in found.collect()} == {want}
+    assert sorted(r.id for r in found.select("id").collect()) == list(range(10_000))
+    assert max(sizes(found)) < 2000
