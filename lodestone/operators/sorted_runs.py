@@ -13,8 +13,8 @@ from pyspark.sql.types import IntegerType
 #: never has more rows than this. Up to PRUNED runs are named in the filter of a lookup's scan; for more, all are read.
 RUN_ROWS, MOST_RUNS, PRUNED = 1_000_000, 10_000, 1_000
 
-#: Rows of a part: a task sorts one part, which is this many rows and one run's at most, however large the map is. Parts are
-#: asked for by number, as adaptive execution would join them again.
+#: Rows of a part: a task sorts one part, which is this many rows and one share's at most, however large the map is. A share is
+#: a run and fewer keys than it has entries, or than this. Parts are asked for by number, as adaptive execution would join them.
 PART_ROWS = 500_000
 
 
