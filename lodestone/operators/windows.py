@@ -74,10 +74,10 @@ def run_lengths(df: DataFrame, keys: list[str], order: list, value: str, delta:
 
 
 def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Overlapping and touching ranges as one."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = islands(df.withColumn("_reach", reach), keys, [start, end], F.col("_reach") < F.col(start))
+    """Overlapping and touching ranges as one. A null end comes after the ends of its start, a null start is a range of its own."""
+    order = [F.asc_nulls_last(start), F.asc_nulls_last(end)]
+    reach = F.max(end).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    runs = islands(df.withColumn("_reach", reach), keys, order, F.col("_reach") < F.col(start))
     return runs.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end))
 
 

@@ -502,7 +502,7 @@ def keep_latest_n(spark, d):
  m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
  i AS (SELECT *, sum(CASE WHEN reach >= s THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT user_id, min(s) AS s, max(e) AS e FROM i GROUP BY user_id, island""")
 def merge_ranges(spark, d):
-    s = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60000)
+    s = F.expr("unix_millis(cast(ts AS timestamp)) div 60000")  # towards zero before 1970 too
     r = load(spark, d, "events").select("user_id", s.alias("s"), (s + 1 + F.col("event_id") % 600).alias("e"))
     return windows.merge_ranges(r, ["user_id"], "s", "e").select("user_id", "s", "e")
 

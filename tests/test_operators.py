@@ -329,6 +329,21 @@ def test_rollup_and_counts(spark):
 # Windows
 
 
+def test_merged_ranges_of_odd_rows(spark, tmp_path):
+    """Null ids and times, times before 1970, and rows that repeat: as in the query's SQL, which one thread runs in one order."""
+    import duckdb
+
+    rows = "(1, NULL, 240), (1, 5, 240), (1, 7, 300), (2, NULL, 60), (2, 3, NULL), (2, 4, NULL), (3, 1, -30), (3, 2, -90), (3, 590, -36030), (3, 0, -200), (3, 0, -200), (4, 1, 9000), (4, 1, 9000), (4, 601, 9000)"
+    at = str(tmp_path / "events.parquet")
+    with duckdb.connect() as con:
+        con.execute("SET threads = 1")
+        con.execute(f"COPY (SELECT u::BIGINT AS user_id, i::BIGINT AS event_id, make_timestamp(t::BIGINT * 1000000) AS ts FROM (VALUES {rows}) AS v(u, i, t)) TO '{at}' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{at}'")
+        want = con.execute(catalog.ORACLES["merge_ranges"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["merge_ranges"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_window_pack(spark):
     r = spark.createDataFrame([(1, 0, 2), (1, 2, 4), (1, 5, 6), (1, 5, 9)], "k int, s int, e int")
     assert [(x.s, x.e) for x in windows.merge_ranges(r, ["k"], "s", "e").orderBy("s").collect()] == [(0, 4), (5, 9)]
