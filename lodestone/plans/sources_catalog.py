@@ -41,7 +41,7 @@ def scan_paths(spark, d):
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{t}.parquet', true)" for t in TABLES) + ") AS x(name, has_bytes)")
 def scan_files(spark, d):
     """Tables by name, whether they are a file or a folder of part files, and whether all their files were read whole."""
-    found = files.scan(spark, d, "*.parquet").select(F.split_part(files.below(F.col("path"), d), F.lit("/"), F.lit(1)).alias("name"), ((F.length("content") == F.col("length")) & (F.col("length") > 0)).alias("has_bytes"))
+    found = files.scan_bytes(spark, d, "*.parquet").select(F.split_part(files.below(F.col("path"), d), F.lit("/"), F.lit(1)).alias("name"), (F.col("whole") & (F.col("length") > 0)).alias("has_bytes"))
     return found.groupBy("name").agg(F.bool_and("has_bytes").alias("has_bytes"))
 
 

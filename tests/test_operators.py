@@ -197,6 +197,27 @@ def test_scanned_tables_in_parts(spark, tmp_path):
     assert sorted((r.name, r.has_bytes) for r in got.collect()) == [("parts.parquet", True), ("whole.parquet", True)]
 
 
+def test_scanned_tables_of_any_size(spark, tmp_path):
+    """Files larger than a row may be, and than a split: whatever their bytes are."""
+    (tmp_path / "a b.parquet").mkdir()
+    (tmp_path / "a b.parquet/part 0%20.parquet").write_bytes(bytes(range(256)) * 200)
+    (tmp_path / "a b.parquet/part-1.parquet").write_bytes(b"PAR1" * 5000)
+    (tmp_path / "some.parquet").mkdir()
+    (tmp_path / "some.parquet/part-0.parquet").write_bytes(b"\r\n\xff\0" * 5000)
+    (tmp_path / "zeros.parquet").write_bytes(bytes(20000))
+    (tmp_path / "marked.parquet").write_bytes(b"\xef\xbb\xbf" + b"PAR1" * 5000)
+    confs = {"spark.sql.sources.binaryFile.maxLength": "1000", "spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        got = catalog.QUERIES["scan_files"](spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.name: r.has_bytes for r in got} == {"a b.parquet": True, "some.parquet": True, "zeros.parquet": True, "marked.parquet": False}  # a mark isn't handed on
+
+
 def test_git_log(spark, tmp_path):
     log = "COMMIT|abc123def456|Alice|2024-01-01|Fix payment module\n10\t2\tsrc/pay.cpp\n-\t-\tlogo.png\n\nCOMMIT|fff|Bob|2024-01-02|a|b\nCOMMIT||x|y|z\n1\t1\tq"
     (tmp_path / "log.txt").write_text(log)
