@@ -405,6 +405,14 @@ def test_ranking_pack(spark):
 SOURCES = [("a.ts", "import { bar } from './b';\nfunction foo() {\n  bar();\n}\n"), ("b.ts", "import './c';\nexport function bar() {\n  baz();\n}\n"), ("c.ts", "export function baz() {\n  return 1;\n}\n")]
 
 
+def test_graph_is_built_without_broadcasts(spark):
+    """Every table of the graph is as long as its files, also if these look small at first."""
+    few = spark.range(30).repartition(2).select(F.format_string("m%d.ts", "id").alias("file"), F.format_string("import { f%d } from './m%d';\nfunction f%d() {\n  f%d();\n}\n", F.col("id") + 1, F.col("id") + 1, "id", F.col("id") + 1).alias("text"))
+    _, edges = graph.build_graph(few)
+    assert sorted(r["count"] for r in edges.groupBy("kind").count().collect()) == [29, 29, 30]
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
 def test_graph(spark, tmp_path):
     nodes, edges = graph.build_graph(spark.createDataFrame(SOURCES, "file string, text string"))
     assert nodes.count() == 6
