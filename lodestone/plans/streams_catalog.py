@@ -16,13 +16,19 @@ def _stream(spark, d, name="events"):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
+def _finished(q):
+    """Waits until a stream has read all there is, however long that takes, as what it has written so far is no result; raises what
+    it failed by."""
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+
+
 def _drained(spark, stream, name):
     """What a stream of files gives in append mode once all of it is read."""
     at = scratch(spark, name)
-    q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
-    changes.wait_for(q, lambda: not q.isActive, 600)
-    if q.exception():
-        raise q.exception()
+    _finished(stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start())
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
@@ -53,7 +59,9 @@ def lifecycle_events(spark, d):
     try:
         at = scratch(spark, "heard")
         q = _stream(spark, d).select("event_id").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
-        changes.wait_for(q, lambda: any(k in ("complete", "error") for k, _ in heard.events), 600)
+        _finished(q)
+        if not changes.wait_for(q, lambda: any(k in ("complete", "error") for k, _ in heard.events), 600):
+            raise TimeoutError("the listener wasn't told of the stream's end")
     finally:
         spark.streams.removeListener(heard)
     kinds = {k for k, _ in heard.events}
@@ -183,9 +191,7 @@ def _each_batch(spark, stream, name, mode):
     keep = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{at}/out/b={i}")
     with state.state_store(spark):
         q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
-    changes.wait_for(q, lambda: not q.isActive, 600)
-    if q.exception():
-        raise q.exception()
+    _finished(q)
     return spark.read.parquet(f"{at}/out").drop("b")
 
 

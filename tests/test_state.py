@@ -1,10 +1,15 @@
 """Keyed state over live streams: against batch results, through restarts, timers and odd rows."""
 
 import time
+import uuid
 
+import duckdb
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
-from lodestone.streaming import state
+from lodestone.plans import catalog, streams_catalog
+from lodestone.streaming import changes, state
 
 RING = "k string, at long, v double"
 ROWS = [[("a", 1, 1.0), ("a", 2, None), ("b", 1, 5.0), (None, 9, 9.0)], [("a", 4, 4.0), ("a", 3, 3.0)], [("b", 2, 6.0), ("a", 5, 5.0), (None, 10, 8.0)]]
@@ -67,6 +72,33 @@ def test_a_transaction_that_never_ends_goes_out_after_its_wait(spark, tmp_path):
     assert sorted(out) == [("a", 1, 1.0, 1.0), ("a", 2, 2.0, 3.0)]
 
 
+@pytest.mark.parametrize("name", ["live_ring", "live_deltas"])
+def test_a_part_of_a_stream_is_no_result(spark, sf_dir, tmp_path, monkeypatch, name):
+    """Time that is up after the first batch, as it may be with a large table."""
+
+    def is_up(q, holds, seconds=30):
+        while q.isActive and not any(tmp_path.glob("*/out/b=0/_SUCCESS")):
+            time.sleep(0.02)
+        return holds()
+
+    monkeypatch.setattr(streams_catalog, "scratch", lambda spark, name: str(tmp_path / f"{name}-{uuid.uuid4().hex}"))
+    monkeypatch.setattr(changes, "wait_for", is_up)
+    got = catalog.QUERIES[name](spark, sf_dir).select("user_id", "event_id").collect()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+        want = con.execute(f"SELECT user_id, event_id FROM ({catalog.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_a_stream_that_fails_is_no_result(spark, tmp_path):
+    for i in range(2):
+        spark.createDataFrame([(i,)], "i long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("i long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    bad = F.when(F.col("i") == 1, F.raise_error(F.lit("odd row"))).cast("string")
+    with pytest.raises(Exception, match="odd row"):
+        streams_catalog._each_batch(spark, stream.withColumn("x", bad), "failing", "append")
+
+
 class Store:
     """A state store in memory that counts calls."""
 
